@@ -1,9 +1,10 @@
 """Quality rules as weak supervision, in DataFrame operations only.
 
-Every rule looks at one statistic of a text and votes good (1), bad (-1) or abstains (0). Expectation-maximisation over
-the counts of vote patterns (at most 3 to the number of rules, whatever the table's size) estimates how often each rule
-is right on good and on bad texts, and the share of good texts; a text is kept by its posterior probability of being
-good, not because it passes every rule.
+Every rule looks at one statistic of a text. Rules against a defect vote bad (-1) or abstain (0); rules on what prose
+is like vote good (1), bad or abstain. Expectation-maximisation over the counts of vote patterns (at most 3 to the number of
+rules, whatever the table's size) estimates how often each rule casts each vote on good and on bad texts, which is its
+accuracy, and the share of good texts; a text is kept by its posterior probability of being good, not because it
+passes every rule.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ from pyspark.sql import functions as F
 from tessella.llm.common import cut, words_column
 
 KEEP_FROM = 0.5
-ROUNDS, START = 200, 0.8
+ROUNDS = 200
+#: Log-odds of a good and a bad vote before anything is known: the first is right two times in three, the second 19 times in 20.
+START = (0.69, -2.94)
 SYMBOLS = "#*$%&|<>"
 
 
@@ -85,67 +88,57 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return out.select("doc_id", "w.*", "l.*", "n_symbols", "n_capitals", "n_marks", "n_stops")
 
 
-def _vote(good: Column, bad: Column) -> Column:
-    return F.when(bad, -1).when(good, 1).otherwise(0)
+def _vote(good: Column | None, bad: Column) -> Column:
+    return F.when(bad, -1).otherwise(0) if good is None else F.when(bad, -1).when(good, 1).otherwise(0)
 
 
 def votes() -> dict[str, Column]:
-    """Rules over the statistics; each abstains between its two limits and on texts without words."""
+    """Rules over the statistics; those on prose abstain between their two limits and on texts without words."""
     n, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
     some = F.col("n_words") > 0
     symbols, capitals, marks = F.col("n_symbols") / chars, F.col("n_capitals") / chars, F.col("n_marks") / chars
     repeats, distinct = F.col("n_repeat_words") / n, F.col("n_distinct") / n
     lines, length, pace = F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)), chars / n, F.col("n_stops") / n
     return {
-        "symbols": _vote(some & (symbols < 0.02), symbols > 0.08),
-        "marks": _vote(some & (marks < 0.08), marks > 0.14),
-        "capitals": _vote(some & (capitals < 0.2), capitals > 0.5),
-        "repeats": _vote(some & (repeats < 0.2), repeats > 0.5),
+        "symbols": _vote(None, symbols > 0.08),
+        "marks": _vote(None, marks > 0.1),
+        "capitals": _vote(None, capitals > 0.5),
+        "repeats": _vote(None, repeats > 0.5),
+        "lines": _vote(None, lines > 0.3),
         "distinct": _vote((n >= 20) & (distinct > 0.3), (n >= 20) & (distinct < 0.1)),
-        "lines": _vote((F.col("n_lines") > 1) & (lines < 0.1), lines > 0.3),
         "length": _vote((length >= 3.5) & (length <= 9), some & ((length < 2.5) | (length > 12))),
         "pace": _vote((n >= 20) & (pace > 0.04) & (pace < 0.4), (n >= 40) & (pace < 0.01)),
         "size": _vote(n >= 100, n < 25),
     }
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[float], list[float]]:
-    """Share of good texts, and each rule's accuracy when it votes on a good and on a bad text, by expectation-maximisation.
+def log_odds(vote: tuple[int, ...], prior: float, weights: list[dict[int, float]]) -> float:
+    return prior + sum(w[v] for v, w in zip(vote, weights))
 
-    Starts from rules that are right four times in five, so that good keeps its meaning; counts are smoothed by one
-    right and one wrong vote.
+
+def fit(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[dict[int, float]]]:
+    """Prior log-odds of good, and for each rule what each of its votes adds, by expectation-maximisation over patterns.
+
+    Each round weighs the patterns by their posteriors and counts each rule's votes on good and on bad texts, smoothed
+    by one vote of each kind.
     """
     rules = len(patterns[0][0]) if patterns else 0
-    share, on_good, on_bad = 0.5, [START] * rules, [START] * rules
+    total = sum(n for _, n in patterns)
+    prior, weights = 0.0, [{1: START[0], -1: START[1], 0: 0.0} for _ in range(rules)]
     for _ in range(ROUNDS):
-        weights = [1 / (1 + math.exp(-max(-30.0, min(30.0, log_odds(v, share, on_good, on_bad))))) for v, _ in patterns]
-        total = sum(n for _, n in patterns)
-        good = sum(p * n for p, (_, n) in zip(weights, patterns))
-        new = (good + 1) / (total + 2)
+        before = prior
+        shares = [1 / (1 + math.exp(-max(-30.0, min(30.0, log_odds(v, prior, weights))))) for v, _ in patterns]
+        good = sum(p * n for p, (_, n) in zip(shares, patterns))
+        prior = math.log((good + 1) / (total - good + 1))
         for j in range(rules):
-            right = [1.0, 1.0]
-            cast = [2.0, 2.0]
-            for p, (v, n) in zip(weights, patterns):
-                if v[j]:
-                    right[0] += n * p * (v[j] > 0)
-                    right[1] += n * (1 - p) * (v[j] < 0)
-                    cast[0] += n * p
-                    cast[1] += n * (1 - p)
-            on_good[j], on_bad[j] = right[0] / cast[0], right[1] / cast[1]
-        done, share = abs(new - share) < 1e-12, new
-        if done:
+            cast = {v: [1.0, 1.0] for v in (1, -1, 0)}
+            for p, (v, n) in zip(shares, patterns):
+                cast[v[j]][0] += n * p
+                cast[v[j]][1] += n * (1 - p)
+            weights[j] = {v: math.log(c[0] / (good + 3) / (c[1] / (total - good + 3))) for v, c in cast.items()}
+        if abs(prior - before) < 1e-12:
             break
-    return share, on_good, on_bad
-
-
-def _weights(share: float, on_good: list[float], on_bad: list[float]) -> tuple[float, list[tuple[float, float]]]:
-    """Prior log-odds, and what a good and a bad vote of each rule add to it."""
-    return math.log(share / (1 - share)), [(math.log(g / (1 - b)), math.log((1 - g) / b)) for g, b in zip(on_good, on_bad)]
-
-
-def log_odds(vote: tuple[int, ...], share: float, on_good: list[float], on_bad: list[float]) -> float:
-    prior, rules = _weights(share, on_good, on_bad)
-    return prior + sum(up if v > 0 else down if v < 0 else 0.0 for v, (up, down) in zip(vote, rules))
+    return prior, weights
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -158,10 +151,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rows = cut(statistics(docs, id_col, text_col)).withColumns({f"v_{k}": v for k, v in rules.items()})
     names = [f"v_{k}" for k in rules]
     counted = rows.groupBy(*names).agg(F.count("*").alias("n")).collect()
-    prior, weights = _weights(*fit(sorted((tuple(r[k] for k in names), r["n"]) for r in counted))) if counted else (0.0, [(0.0, 0.0)] * len(names))
+    prior, weights = fit(sorted((tuple(r[k] for k in names), r["n"]) for r in counted))
+    weights = weights or [{1: 0.0, -1: 0.0, 0: 0.0}] * len(names)
     odds = F.lit(prior)
-    for name, (up, down) in zip(names, weights):
-        odds = odds + F.when(F.col(name) > 0, up).when(F.col(name) < 0, down).otherwise(0.0)
+    for name, w in zip(names, weights):
+        odds = odds + F.when(F.col(name) > 0, w[1]).when(F.col(name) < 0, w[-1]).otherwise(w[0])
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     good = 1 / (1 + F.exp(-odds))
     return rows.select(
