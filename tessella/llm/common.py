@@ -64,6 +64,15 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """An aggregate dealt anew before a join on its key.
+
+    Joined where it was made, an aggregate shares its exchange's place in the plan, and Spark can't split the other
+    side's hot keys; with a plain exchange on both sides the adaptive skew join can. The aggregate is the small side.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def dropped(df: DataFrame) -> None:
     """Remove a stored table that nothing reads any more."""
     spark = df.sparkSession

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import cut
+from tessella.llm.common import apart, cut
 
 
 def _minima(pairs: DataFrame) -> DataFrame:
@@ -15,13 +15,13 @@ def _minima(pairs: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    joined = both.where("b > a").join(_minima(both), "a")
+    joined = both.where("b > a").join(apart(_minima(both)), "a")
     return joined.select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    joined = down.join(_minima(down), "a")
+    joined = down.join(apart(_minima(down)), "a")
     linked = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return linked.unionAll(joined.where("b = m").select("a", "b"))
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import cut
+from tessella.llm.common import apart, cut
 from tessella.llm.components import components
 
 THRESHOLD = 0.98
@@ -135,7 +135,7 @@ def candidate_links(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = spread.join(reps, "rid").withColumn("size", F.size("embedding"))
     key = ["label", "size", "t", "bucket"]
     cells = rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key, F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-    dealt = rows.join(cells, key).withColumn("own", F.pmod(F.xxhash64("rid"), F.col("tiles")).cast("int"))
+    dealt = rows.join(apart(cells), key).withColumn("own", F.pmod(F.xxhash64("rid"), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     groups = dealt.groupBy(*key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(
         F.collect_list(F.struct("rid", "own", "copies", "marks", "embedding")).alias("members")
@@ -177,7 +177,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     classes = reps.join(counts, "rid", "left").join(roots, F.col("rid") == F.col("node"), "left")
     classes = classes.select("label", "embedding", "first", "copies", F.coalesce("linked", F.lit(0)).alias("linked"), F.coalesce("root", "rid").alias("root"))
     smallest = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = classes.join(smallest, "root").select("label", "embedding", (F.col("linked") + F.col("copies") - 1).alias("n_links"), "component_id")
+    named = classes.join(apart(smallest), "root").select("label", "embedding", (F.col("linked") + F.col("copies") - 1).alias("n_links"), "component_id")
     found = good.join(named, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return found.unionAll(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

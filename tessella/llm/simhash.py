@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import byte_words, cut, text_bytes
+from tessella.llm.common import apart, byte_words, cut, text_bytes
 from tessella.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -106,7 +106,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     )
     cells = rows.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
     cells = cells.select("band", "value", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-    dealt = rows.join(cells, ["band", "value"]).withColumn("own", F.pmod(F.xxhash64("fp", "band"), F.col("tiles")).cast("int"))
+    dealt = rows.join(apart(cells), ["band", "value"]).withColumn("own", F.pmod(F.xxhash64("fp", "band"), F.col("tiles")).cast("int"))
     dealt = dealt.select("fp", "band", "value", "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
     groups = dealt.groupBy("band", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     groups = groups.agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1").select("fps")
@@ -141,7 +141,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     roots = components(fingerprint_links(distinct))
     classes = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = cut(classes.join(smallest, "root").select("fp", "component_id"))
+    named = cut(classes.join(apart(smallest), "root").select("fp", "component_id"))
     out = prints.join(named, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -18,10 +18,10 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import byte_words, dropped, steps, stored, text_bytes
+from tessella.llm.common import apart, byte_words, dropped, steps, stored, text_bytes
 
 WINDOW, ANCHOR = 20, 6
 _BASE, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -118,14 +118,14 @@ def covered(texts: DataFrame) -> DataFrame:
     """
     occurrences = stored(texts.mapInArrow(_all_paths, _PATHS), "paths")
     again = occurrences.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
-    repeated = stored(occurrences.join(again, "anchor", "left_semi"), "repeated")
+    repeated = stored(occurrences.join(apart(again), "anchor", "left_semi"), "repeated")
     dropped(occurrences)
     firsts = repeated.groupBy("anchor", "path").agg(
         F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("times"), F.first("n").alias("n")
     )
     firsts = stored(firsts, "firsts")
     branching = firsts.groupBy("anchor").agg(F.count("*").alias("ways")).where("ways > 1").select("anchor")
-    branches = firsts.join(branching, "anchor", "left_semi").select("first.doc_id", "first.start", "n", "anchor")
+    branches = firsts.join(apart(branching), "anchor", "left_semi").select("first.doc_id", "first.start", "n", "anchor")
     wanted = branches.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "anchor")).alias("wanted"))
     windows = stored(
         texts.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_branch_windows, "window long, anchor long, doc_id long, start int"), "windows"
@@ -133,7 +133,7 @@ def covered(texts: DataFrame) -> DataFrame:
     known = firsts.where("times > 1").select("anchor", "path", "first")
     spans = repeated.join(known, ["anchor", "path"]).where(F.struct("doc_id", "start") != F.col("first")).select("doc_id", "start", "n")
     least = windows.groupBy("window", "anchor").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("times"))
-    single = windows.join(least.where("times > 1"), ["window", "anchor"]).where(F.struct("doc_id", "start") != F.col("first"))
+    single = windows.join(apart(least.where("times > 1")), ["window", "anchor"]).where(F.struct("doc_id", "start") != F.col("first"))
     both = spans.unionAll(single.select("doc_id", "start", F.lit(1).alias("n")))
     out = stored(both.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "spans")
     for table in (repeated, firsts, windows):
@@ -207,23 +207,23 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             out.append(b"\n".join(lines).decode())
         return pa.array(out, pa.string())
 
+    new = {"text": cut(docs["text"].cast("string"), spans["spans"])}
     joined = docs.join(spans, docs["doc_id"] == spans["of_doc"], "left")
-    new: Column = cut(F.col("text").cast("string"), F.col("spans"))
-    rows = joined.withColumn("text", new)
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+        count = F.when(spans["spans"].isNull(), docs["n_chars"]).otherwise(F.length(new["text"]))
+        new["n_chars"] = count.cast(docs.schema["n_chars"].dataType)
+    return joined.select(*(new[c].alias(c) if c in new else docs[c] for c in docs.columns))
 
 
 #: The same rows in SQL, for tables of moderate size.
 ORACLE = f"""
-with d as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t-\\r]+'), x -> x <> '') as w from documents),
+with d as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t-\\r]+'), lambda x: x <> '') as w from documents),
 p as (select doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) as i from d where len(w) >= {WINDOW}),
 g as (select doc_id, i, sha256(array_to_string(w[i:i + {WINDOW - 1}], ' ')) as h from p),
 r as (select doc_id, i, row_number() over (partition by h order by doc_id, i) as k from g),
 c as (select distinct doc_id, unnest(range(i, i + {WINDOW})) as j from r where k > 1),
-a as (select doc_id, list(j) as gone, count(*) as n from c group by doc_id)
-select d.doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_removed,
-  sha256(array_to_string(case when gone is null then w else list_filter(w, (x, j) -> not list_contains(gone, j)) end, ' ')) as kept_sha256
-from d left join a on d.doc_id = a.doc_id
+e as (select doc_id, unnest(range(1, len(w) + 1)) as j, unnest(w) as x from d),
+m as (select doc_id, string_agg(x, ' ' order by j) as kept, count(*) as n from e anti join c using (doc_id, j) group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join m on d.doc_id = m.doc_id
 """
