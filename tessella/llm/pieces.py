@@ -24,10 +24,10 @@ from tessella.llm.common import steps
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Marks with the word they lead, a word without one, or a line end.
-_UNITS = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
+#: Spaces (a mark in the vocabulary's writing) with the word they lead, a word without one, or a line end.
+_UNITS = re.compile(" +[^ \n]*|[^ \n]+|\n")
 #: Encoded words and pairs of pieces that a Python worker remembers; longer words than this aren't remembered.
-REMEMBERED, LONG = 500_000, 64
+REMEMBERED, LONG = 1_000_000, 64
 
 
 class Pieces:
@@ -46,13 +46,14 @@ class Pieces:
                 self.byte_ids[int(piece[3:5], 16)] = i
                 self.parts[i] = bytes([int(piece[3:5], 16)])
             elif not (reader.is_control(i) or reader.is_unknown(i) or reader.is_unused(i)):
+                piece = piece.replace(MARK, " ")
                 self.ids[piece], self.score[piece] = i, reader.get_score(i)
-                self.parts[i] = piece.replace(MARK, " ").encode()
-        if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.ids):
+                self.parts[i] = piece.encode()
+        if any(" " in p.lstrip(" ") or "\n" in p for p in self.ids):
             raise ValueError("pieces that reach over words can't be encoded word by word")
-        self.longest = max(map(len, self.ids), default=1)
-        self.alone: dict[str, bool] = {}
-        self.beside: dict[tuple[str, str], bool] = {}
+        #: Ends of pieces of two letters or more: where a stretch to the left isn't one, no longer piece ends here.
+        self.ends = {p[i:] for p in self.ids for i in range(len(p) - 1)}
+        self.beside: dict[tuple[str | None, str], bool] = {}
         self.words: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -66,19 +67,14 @@ class Pieces:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def _survives(self, last: str | None, piece: str) -> bool:
+    def _tried(self, last: str | None, piece: str) -> bool:
         """Whether merging leaves piece whole after last (None: at the start)."""
-        ok = self.alone.get(piece)
-        if ok is None:
-            ok = self.alone[piece] = len(piece) == 1 or self.merged(piece) == [piece]
-        if not ok or last is None or last not in self.ids or piece not in self.ids:
-            return ok
-        key = (last, piece)
-        ok = self.beside.get(key)
-        if ok is None:
-            if len(self.beside) >= REMEMBERED:
-                self.beside.clear()
-            ok = self.beside[key] = self.merged(last + piece) == [last, piece]
+        ok = len(piece) == 1 or self.merged(piece) == [piece]
+        if ok and last in self.ids and piece in self.ids:
+            ok = self.merged(last + piece) == [last, piece]
+        if len(self.beside) >= REMEMBERED:
+            self.beside.clear()
+        self.beside[last, piece] = ok
         return ok
 
     def ids_of(self, parts: Iterable[str]) -> bytes:
@@ -95,8 +91,9 @@ class Pieces:
         found: dict[str, bytes] = {}
         before = ""
         lasts: list[str | None] = [None]
+        ends, ids, beside = self.ends, self.ids, self.beside
         for word in sorted(words):
-            if word.startswith(MARK * 2):
+            if word.startswith("  "):
                 found[word] = self.ids_of(self.merged(word))
                 continue
             shared = 0
@@ -104,9 +101,12 @@ class Pieces:
                 shared += 1
             del lasts[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                for start in range(max(0, end - self.longest), end):
+                start = end - 1
+                while start and word[start - 1 : end] in ends:
+                    start -= 1
+                for start in range(start, end):
                     piece = word[start:end]
-                    if (piece in self.ids or end - start == 1) and self._survives(lasts[start], piece):
+                    if (piece in ids or end - start == 1) and (beside[key] if (key := (lasts[start], piece)) in beside else self._tried(*key)):
                         break
                 lasts.append(piece)
             before, end, parts = word, len(word), []
@@ -118,11 +118,12 @@ class Pieces:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian 32-bit numbers; an empty text has none."""
-        units = [_UNITS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = {w for u in units for w in u} - self.words.keys()
+        units = [_UNITS.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
+        distinct = set().union(*units)
+        new = distinct.difference(self.words)
         if len(self.words) + len(new) > REMEMBERED:
             self.words.clear()
-            new = {w for u in units for w in u}
+            new = distinct
         learnt = self.learn(new)
         known = self.words
         known |= learnt
