@@ -25,8 +25,8 @@ def text_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     base = F.regexp_replace(F.lit(root.rstrip("/")), r"^[a-z]+:/*", "/")
-    path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), F.concat(F.lit("^\\Q"), base, F.lit("\\E/*")), "")
-    return files.select(path.alias("path"), F.decode("content", F.lit("UTF-8")).alias("text"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
+    path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), F.concat(F.lit("^\\Q"), base, F.lit("\\E/*")), F.lit(""))
+    return files.select(path.alias("path"), F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
 
 
 def page_type_rows(spark: SparkSession, types: dict[str, str] | None = None) -> DataFrame:
