@@ -88,6 +88,8 @@ _TELLING = re.compile(rb"[0-9@]|[\[(](?:at|dot|\.)[\])]", re.I)
 _TOKEN = re.compile(rb"[^\x20\x09-\x0D]+")
 _DIGIT = re.compile(rb"[0-9]")
 _LOCAL_BYTES = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+#: Characters that an added span of the kinds ip, card and phone may hold.
+_WRITTEN = {1: rb"[0-9.\[\]:/ ]+", 2: rb"[0-9._/ -]+", 3: rb"[0-9+(). /-]+"}
 _SPACES = frozenset(b" \t\n\x0b\x0c\r")
 
 
@@ -308,6 +310,8 @@ def _plausible(kind: int, span: bytes) -> bool:
     digits = b"".join(numbers)
     if kind == 0:
         return bool(re.search(rb"[a-z0-9]\s*(?:@|[\[(]at[\])])\s*[a-z0-9]", low))
+    if not re.fullmatch(_WRITTEN[kind], span):
+        return False
     if kind == 1:
         return len(numbers) >= 4 and all(len(x) <= 3 and int(x) <= 255 for x in numbers[:4])
     if kind == 2:
