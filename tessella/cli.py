@@ -2,6 +2,7 @@
 
     python -m tessella.cli init VAULT
     python -m tessella.cli raw-candidates VAULT [--include-processed] [--limit N] [--json]
+    python -m tessella.cli ingest VAULT RAW... --providers CONFIG.json --encoder MODEL [--dimensions N] [--json]
     python -m tessella.cli status VAULT [OPERATION] [--verify] [--json]
     python -m tessella.cli providers-check CONFIG.json [--json]
 """
@@ -16,8 +17,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.operators import ledger
-from tessella.operators.provider import Registry, Spec
+from tessella.operators import cache, ingest, ledger
+from tessella.operators.provider import ChatCompletions, Registry, Spec
 from tessella.session import session
 from tessella.sources import vault
 
@@ -55,6 +56,11 @@ def status(spark: SparkSession, root: str, operation: str | None = None, verify:
     return states, [r.asDict() for r in ledger.artifact_drift(kept, files).collect()]
 
 
+def _registry(path: str) -> Registry:
+    with open(path) as file:
+        return Registry({k: Spec(**v) for k, v in json.load(file).items()})
+
+
 def _print(rows: Any, as_json: bool) -> None:
     if as_json:
         print(json.dumps(rows, ensure_ascii=False, default=str))
@@ -67,18 +73,21 @@ def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="tessella")
     commands = parser.add_subparsers(dest="command", required=True)
     made = {}
-    for name in ("init", "raw-candidates", "status", "providers-check"):
+    for name in ("init", "raw-candidates", "ingest", "status", "providers-check"):
         made[name] = commands.add_parser(name)
         made[name].add_argument("path")
         made[name].add_argument("--json", action="store_true")
     made["raw-candidates"].add_argument("--include-processed", action="store_true")
     made["raw-candidates"].add_argument("--limit", type=int)
+    made["ingest"].add_argument("raw", nargs="+")
+    made["ingest"].add_argument("--providers", required=True)
+    made["ingest"].add_argument("--encoder", required=True)
+    made["ingest"].add_argument("--dimensions", type=int, default=cache.DEFAULTS["dimensions"])
     made["status"].add_argument("operation", nargs="?")
     made["status"].add_argument("--verify", action="store_true")
     args = parser.parse_args(argv)
     if args.command == "providers-check":
-        with open(args.path) as file:
-            rows = Registry({k: Spec(**v) for k, v in json.load(file).items()}).check()
+        rows = _registry(args.path).check()
         _print(rows, args.json)
         return 0 if all(r["ok"] for r in rows) else 2
     spark = session("tessella")
@@ -88,6 +97,12 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "raw-candidates":
         _print(raw_candidates(spark, args.path, args.include_processed, args.limit), args.json)
         return 0
+    if args.command == "ingest":
+        registry = _registry(args.providers)
+        run = ingest.Run(spark, args.path, ChatCompletions(registry), registry, cache.sentence_encoder(args.encoder), args.dimensions)
+        done = [r.asDict() for r in ingest.ingest(run, args.raw).collect()]
+        _print(done, args.json)
+        return 2 if any(r["status"] == "failed" for r in done) else 0
     states, drift = status(spark, args.path, args.operation, args.verify)
     _print([*states, *drift], args.json)
     return 2 if drift or not states else 0

@@ -69,6 +69,17 @@ def embedded(cards: DataFrame, encoder: Callable[[], Callable[[list[str]], Itera
     return cards.select("path", "card").mapInPandas(run, "path string, vector array<double>")
 
 
+def sentence_encoder(name: str) -> Callable[[], Callable[[list[str]], Iterable[Iterable[float]]]]:
+    """An encoder by a local sentence-transformers model, loaded once in each worker; the library is optional."""
+
+    def make() -> Callable[[list[str]], Iterable[Iterable[float]]]:
+        from sentence_transformers import SentenceTransformer
+
+        return SentenceTransformer(name).encode
+
+    return make
+
+
 def synced(pages: DataFrame, cached: DataFrame, encoder: Callable, dimensions: int) -> DataFrame:
     """The cache as it must be: kept vectors and new ones for what missed or is stale; vectors without a page go.
 

@@ -105,6 +105,32 @@ class Replay:
         return found
 
 
+class ChatCompletions:
+    """Answers over HTTP from chat completion endpoints; a refused schema (400) is asked for again as a plain JSON object."""
+
+    def __init__(self, registry: Registry):
+        self.registry = registry
+
+    def _post(self, spec: Spec, body: dict[str, Any]) -> dict[str, Any]:
+        import urllib.request
+
+        headers = {"Content-Type": "application/json", "Authorization": f"Bearer {spec.api_key}"}
+        call = urllib.request.Request(spec.endpoint or "", json.dumps(body, ensure_ascii=False).encode(), headers)
+        with urllib.request.urlopen(call, timeout=spec.timeout_seconds) as response:
+            return json.load(response)
+
+    def answer(self, step: str, request: dict[str, Any], attempt: int) -> dict[str, Any]:
+        import urllib.error
+
+        spec = self.registry.of(step)
+        try:
+            return self._post(spec, request["payload"])
+        except urllib.error.HTTPError as error:
+            if error.code != 400 or request["payload"]["response_format"]["type"] != "json_schema":
+                raise
+        return self._post(spec, request["payload"] | {"response_format": {"type": "json_object"}})
+
+
 def payload(spec: Spec, request: dict[str, Any]) -> dict[str, Any]:
     """A chat request: system prompt, the shared prefix as a message of its own where there is one, then the rest."""
     messages = [{"role": "system", "content": request["system_prompt"]}]

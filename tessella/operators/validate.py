@@ -236,7 +236,8 @@ def pre_write(pages: DataFrame, current: DataFrame, raws: DataFrame) -> DataFram
     """
     from tessella.functions.links import normalize_path
 
-    rows = pages.join(current.withColumnRenamed("current_sha256", "now"), "target_path", "left").join(raws, "operation_id", "left")
+    own = pages.select("operation_id", "target_path", "action", "markdown", "content_sha256", "preimage_sha256", "source_refs")
+    rows = own.join(current.withColumnRenamed("current_sha256", "now"), "target_path", "left").join(raws, "operation_id", "left")
     wrong = F.exists("source_refs", lambda r: (r["raw_path"] != F.col("raw_path")) | (r["raw_sha256"] != F.col("bound_sha256")))
     lacking = F.size(F.array_except(F.array(*map(F.lit, REQUIRED_SECTIONS)), headings(F.col("markdown")))) > 0
     update = F.col("action") == "update"

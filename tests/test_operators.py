@@ -281,7 +281,7 @@ def test_provider(spark):
     script = {
         ("source_digest", "raw/a.md"): [answer('{"n"', "length"), answer('ok {"n": 1}')], ("source_digest", "raw/b.md"): [answer('{"n": 2}')], ("source_digest", "raw/c.md"): [ValueError("boom")],
     }
-    made = provider.calls(asked, provider.Replay(script), provider.Registry({"default": GOOD})).localCheckpoint()
+    made = provider.calls(asked, provider.Replay(script), provider.Registry({"default": GOOD})).checkpoint()
     assert rows(made, "request_key", "attempt", "status") == [("raw/a.md", 0, "paused"), ("raw/a.md", 1, "success"), ("raw/b.md", 0, "success"), ("raw/c.md", 0, "paused"), ("raw/c.md", 1, "paused")]
     out = {r.request_key: r for r in provider.outputs(made, "n int").collect()}
     assert (out["raw/a.md"].output.n, out["raw/b.md"].output.n, out["raw/c.md"].problem) == (1, 2, "boom")
