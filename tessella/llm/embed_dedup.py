@@ -20,7 +20,7 @@ from tessella.llm.common import apart, cut
 from tessella.llm.components import components
 
 THRESHOLD = 0.98
-TABLES, HASHES, PROBES = 4, 2, 3
+TABLES, HASHES, PROBES = 5, 3, 3
 SEED = 20
 #: Vectors in a tile, and in the blocks that one matrix product takes.
 TILE, BLOCK = 1024, 512
