@@ -4,6 +4,7 @@
     python -m tessella.cli raw-candidates VAULT [--include-processed] [--limit N] [--json]
     python -m tessella.cli ingest VAULT RAW... --providers CONFIG.json --encoder MODEL [--dimensions N] [--json]
     python -m tessella.cli status VAULT [OPERATION] [--verify] [--json]
+    python -m tessella.cli inspect VAULT OPERATION [--json]
     python -m tessella.cli providers-check CONFIG.json [--json]
 """
 
@@ -56,6 +57,13 @@ def status(spark: SparkSession, root: str, operation: str | None = None, verify:
     return states, [r.asDict() for r in ledger.artifact_drift(kept, files).collect()]
 
 
+def inspect(spark: SparkSession, root: str, operation: str) -> list[dict[str, Any]]:
+    """An operation's steps in order, with how many artifacts it left."""
+    events = _json_table(spark, f"{root}/runs/events", EVENTS).where(F.col("operation_id") == operation)
+    kept = _json_table(spark, f"{root}/runs/artifacts", ARTIFACTS).groupBy("operation_id").agg(F.count("*").alias("artifacts"))
+    return [r.asDict() for r in events.join(kept, "operation_id", "left").orderBy("pos").collect()]
+
+
 def _registry(path: str) -> Registry:
     with open(path) as file:
         return Registry({k: Spec(**v) for k, v in json.load(file).items()})
@@ -73,7 +81,7 @@ def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="tessella")
     commands = parser.add_subparsers(dest="command", required=True)
     made = {}
-    for name in ("init", "raw-candidates", "ingest", "status", "providers-check"):
+    for name in ("init", "raw-candidates", "ingest", "status", "inspect", "providers-check"):
         made[name] = commands.add_parser(name)
         made[name].add_argument("path")
         made[name].add_argument("--json", action="store_true")
@@ -84,6 +92,7 @@ def main(argv: list[str] | None = None) -> int:
     made["ingest"].add_argument("--encoder", required=True)
     made["ingest"].add_argument("--dimensions", type=int, default=cache.DEFAULTS["dimensions"])
     made["status"].add_argument("operation", nargs="?")
+    made["inspect"].add_argument("operation")
     made["status"].add_argument("--verify", action="store_true")
     args = parser.parse_args(argv)
     if args.command == "providers-check":
@@ -103,6 +112,10 @@ def main(argv: list[str] | None = None) -> int:
         done = [r.asDict() for r in ingest.ingest(run, args.raw).collect()]
         _print(done, args.json)
         return 2 if any(r["status"] == "failed" for r in done) else 0
+    if args.command == "inspect":
+        found = inspect(spark, args.path, args.operation)
+        _print(found, args.json)
+        return 0 if found else 2
     states, drift = status(spark, args.path, args.operation, args.verify)
     _print([*states, *drift], args.json)
     return 2 if drift or not states else 0

@@ -277,3 +277,14 @@ def json_object(text: pd.Series) -> pd.Series:
         return None
 
     return text.map(read)
+
+
+@F.pandas_udf(StringType())
+def unified_diff(old: pd.Series, new: pd.Series, name: pd.Series) -> pd.Series:
+    """A page's change as a unified diff; finding the longest common runs has no column form."""
+    import difflib
+
+    def of(a: str | None, b: str | None, path: str) -> str:
+        return "\n".join(difflib.unified_diff((a or "").splitlines(), (b or "").splitlines(), f"a/{path}", f"b/{path}", lineterm=""))
+
+    return pd.Series([of(*x) for x in zip(old, new, name)])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.text import coverage_policy, let, strip, summary, strip_frontmatter
+from tessella.functions.text import coverage_policy, labelled, let, strip, strip_frontmatter, summary
 
 
 def numbered(prefix: str, position: Column) -> Column:
@@ -181,3 +181,25 @@ def best_anchor(found: Column, hint: Column, title: Column) -> Column:
         return F.when(key != "", F.get(F.filter(found, close), F.lit(0)))
 
     return let(F.struct(near(hint).alias("a"), near(title).alias("b")), lambda x: F.coalesce(x["a"], x["b"], F.get(found, F.lit(0)), hint))
+
+
+def normalized_decisions(decisions: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Decisions with what the engine owns put right: ids, types, paths, and where in the candidate they hold.
+
+    decisions: ``operation_id``, ``pos``, ``decision_id``, ``candidate_page_id``, ``action``, ``target_path``, ``page_type``, ``content_scope``, ``locators``;
+    candidates: ``operation_id``, ``candidate_page_id``, ``title``, ``summary``, ``content_unit_id``. Blank ids are numbered, only creations keep
+    a type, paths lose back slashes and leading ones; decisions without locators get them from their candidate.
+    """
+    own = candidates.select("operation_id", "candidate_page_id", F.col("title").alias("c_title"), F.col("summary").alias("c_summary"), F.col("content_unit_id").alias("c_unit"))
+    rows = decisions.join(own, ["operation_id", "candidate_page_id"], "left")
+    given = F.filter(F.coalesce("locators", F.array().cast("array<string>")), lambda x: strip(x) != "")
+    made = F.array("content_scope", F.concat(F.lit("候选页标题："), "c_title"), F.concat(F.lit("候选页摘要："), "c_summary"), F.concat(F.lit("内容单元："), "c_unit"))
+    usable = F.array_distinct(F.filter(made, lambda x: x.isNotNull() & (strip(x) != "")))
+    chosen = F.when(F.size(given) > 0, given).when(F.col("c_unit").isNotNull(), usable).otherwise(given)
+    clean = F.regexp_replace(F.replace(strip(F.col("target_path")), F.lit("\\"), F.lit("/")), "^/+", "")
+    identity = strip(F.coalesce("decision_id", F.lit("")))
+    return rows.select(
+        "operation_id", "pos", F.when(identity == "", numbered("MD", F.col("pos"))).otherwise(identity).alias("decision_id"), "candidate_page_id", "action",
+        clean.alias("target_path"), F.when(F.col("action") == "create", strip(F.col("page_type"))).alias("page_type"), "content_scope",
+        F.transform(chosen, lambda x: labelled(x, "候选内容定位")).alias("locators"), ((F.size(given) == 0) & F.col("c_unit").isNotNull()).alias("locators_repaired"),
+    )

@@ -103,3 +103,10 @@ def source_records(final: DataFrame) -> DataFrame:
     name = F.regexp_extract("raw_path", r"([^/]*?)(?:\.[^./]*)?$", 1)
     text = F.concat(F.lit("# Source "), name, F.lit("\n\n- raw: `"), "raw_path", F.lit("`\n- sha256: `"), "raw_sha256", F.lit("`\n\n## 派生页面\n\n"), F.when(F.size("t") == 0, "- 无").otherwise(made), F.lit("\n"))
     return listed.select("operation_id", F.concat(F.lit("sources/Source_"), name, F.lit(".md")).alias("target_path"), text.alias("markdown"))
+
+
+def report(found: DataFrame, key: str, title: str, columns: list[str]) -> DataFrame:
+    """``key``, ``markdown``: the rows of each key (by ``pos``) as a table below a title; what people read of an artifact."""
+    listed = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", row(*(F.col(c) for c in columns)).alias("row")))).alias("l"))
+    body = F.array_join(F.transform("l", lambda x: x["row"]), "\n")
+    return listed.select(key, F.concat(F.lit(f"# {title}\n\n{head(columns)}\n"), body, F.lit("\n")).alias("markdown"))

@@ -12,6 +12,12 @@ NODE = ["page_path", "node_id", "title", "kind", "section_hint", "parent_node_id
 CLAIM = ["page_path", "state_claim_id", "source_claim_id", "text", "importance", "node_id", "source_content_unit_id", "source_operation_id", "status", "coverage_policy", "current_anchor"]
 
 
+def loaded(states: DataFrame, page_paths: DataFrame, schema: str) -> DataFrame:
+    """``page_path``, ``state`` of the wanted pages from JSON (``page_path``, ``json``): null where there is none, an error where it is broken."""
+    parsed = states.select("page_path", F.from_json("json", schema, {"mode": "FAILFAST"}).alias("state"))
+    return page_paths.select("page_path").distinct().join(parsed, "page_path", "left")
+
+
 def updated_nodes(units: DataFrame, claims: DataFrame, previous: DataFrame) -> DataFrame:
     """Previous nodes and the new ones of an operation's units (``operation_id``, ``page_path``, ``content_unit_id``, ``title``, ``content_role``,
     ``section_hint``, ``anchor_unit_id``, ``claim_ids``). claims: ``operation_id``, ``page_path``, ``claim_id``.

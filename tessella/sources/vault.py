@@ -105,6 +105,17 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def tracked_by_git(folder: str) -> list[str]:
+    """Files of a local folder that git tracks; a vault's own folders should have none. Empty where there is no git."""
+    import subprocess
+
+    try:
+        found = subprocess.run(["git", "-C", folder, "ls-files"], capture_output=True, text=True, timeout=30, check=False)
+    except (OSError, subprocess.SubprocessError):
+        return []
+    return found.stdout.split("\n")[:-1] if found.returncode == 0 else []
+
+
 def initialise(spark: SparkSession, root: str) -> list[str]:
     """Make the layout of a vault; what is there already stays."""
     path = spark._jvm.org.apache.hadoop.fs.Path

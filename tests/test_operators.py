@@ -312,3 +312,30 @@ def test_requests_share_their_prefix(spark):
     groups = spark.createDataFrame([("o", "CU-001", ["CU-001"]), ("o", "CU-002", ["CU-002"])], "operation_id string, anchor_unit_id string, members array<string>")
     prefixes = {r.cache_prefix for df in (requests.page_requests(raws, digests, groups), requests.warmup_requests(raws, digests)) for r in df.collect()}
     assert len(prefixes) == 1
+
+
+def test_decisions_are_put_right(spark):
+    d = "operation_id string, pos int, decision_id string, candidate_page_id string, action string, target_path string, page_type string, content_scope string, locators array<string>"
+    decisions = spark.createDataFrame([("o", 0, " ", "CP-1", "create", "/a\\b.md", " concept ", "全部", ["O-001", "摘要"]), ("o", 1, "X", "CP-2", "update", "c.md", "concept", "scope", [" "])], d)
+    candidates = spark.createDataFrame([("o", "CP-2", "T", "S", "CU-1")], "operation_id string, candidate_page_id string, title string, summary string, content_unit_id string")
+    got = {r.pos: r for r in plans.normalized_decisions(decisions, candidates).collect()}
+    assert (got[0].decision_id, got[0].target_path, got[0].page_type, got[0].locators) == ("MD-001", "a/b.md", "concept", ["候选内容定位：O-001", "摘要"])
+    assert (got[1].decision_id, got[1].page_type, got[1].locators, got[1].locators_repaired) == ("X", None, ["候选内容定位：scope", "候选页标题：T", "候选页摘要：S", "内容单元：CU-1"], True)
+
+
+def test_loaded_states_and_reports(spark):
+    wanted = spark.createDataFrame([("a",), ("b",)], "page_path string")
+    states = spark.createDataFrame([("a", '{"n": 1}')], "page_path string, json string")
+    assert rows(state.loaded(states, wanted, "n int"), "page_path", "state.n") == [("a", 1), ("b", None)]
+    with pytest.raises(Exception, match="(?i)malformed"):
+        state.loaded(states.withColumn("json", F.lit("{")), wanted, "n int").collect()
+    table = spark.createDataFrame([("o", 1, "b|c"), ("o", 0, "a")], "operation_id string, pos int, x string")
+    assert render.report(table, "operation_id", "R", ["pos", "x"]).first().markdown == "# R\n\n| pos | x |\n| --- | --- |\n| 0 | a |\n| 1 | b\\|c |\n"
+
+
+def test_diff(spark):
+    from tessella.functions.text import unified_diff
+
+    df = spark.createDataFrame([("a\nb", "a\nc", "p.md"), (None, "x", "q.md")], "o string, n string, p string")
+    got = [r[0] for r in df.select(unified_diff("o", "n", "p")).collect()]
+    assert got[0].split("\n")[:2] == ["--- a/p.md", "+++ b/p.md"] and got[0].endswith("-b\n+c") and got[1].endswith("+x")
