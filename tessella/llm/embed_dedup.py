@@ -2,9 +2,9 @@
 
 Equal vectors of a label are one representative. Each of TABLES tables hashes a representative by HASHES random
 rotations (sign flips and fast Hadamard transforms, three times over): a rotated vector goes to its nearest signed
-axis. The PROBES next-nearest combinations are visited as well. Who meets in a bucket is compared exactly, in tiles, in
-double precision; a pair that meets more than once is counted where it meets first. Only links that join two trees
-leave a tile, never all pairs.
+axis. The PROBES next-nearest combinations are visited as well. Buckets are first filled with ids alone; only where two
+meet do vectors follow, to be compared exactly, in tiles, in double precision. A pair that meets more than once is
+counted where it meets first, and only links that join two trees leave a tile, never all pairs.
 """
 
 from __future__ import annotations
@@ -128,15 +128,15 @@ def candidate_links(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
                 [batch.column(0), pa.array(list(marks.reshape(len(sizes), -1)), pa.list_(pa.int64()))], names=["rid", "marks"]
             )
 
-    marks = reps.select("rid", "embedding").mapInArrow(hashed, "rid long, marks array<long>")
-    marks = cut(marks)
-    spread = marks.select("rid", "marks", F.posexplode("marks").alias("at", "bucket")).where("bucket >= 0")
-    spread = spread.select("rid", "marks", F.floor(F.col("at") / width).cast("int").alias("t"), "bucket")
-    rows = spread.join(reps, "rid").withColumn("size", F.size("embedding"))
+    marks = cut(reps.select("rid", "embedding").mapInArrow(hashed, "rid long, marks array<long>"))
+    short = reps.select("rid", "label", F.size("embedding").alias("size")).join(marks, "rid")
+    spread = short.select("rid", "label", "size", F.posexplode("marks").alias("at", "bucket")).where("bucket >= 0")
+    spread = cut(spread.withColumn("t", F.floor(F.col("at") / width).cast("int")).drop("at"))
     key = ["label", "size", "t", "bucket"]
-    cells = rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key, F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-    dealt = rows.join(apart(cells), key).withColumn("own", F.pmod(F.xxhash64("rid"), F.col("tiles")).cast("int"))
+    cells = spread.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key, F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+    dealt = spread.join(apart(cells), key).withColumn("own", F.pmod(F.xxhash64("rid"), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.join(marks.join(reps.select("rid", "copies", "embedding"), "rid"), "rid")
     groups = dealt.groupBy(*key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(
         F.collect_list(F.struct("rid", "own", "copies", "marks", "embedding")).alias("members")
     )
