@@ -1,6 +1,7 @@
 """Text and Markdown as column expressions; nothing here leaves the JVM but YAML and embedded JSON.
 
-White space means Unicode white space throughout, as ``(?U)`` gives it.
+White space means Unicode white space and the separators U+001C to U+001F throughout, written out as a class: that is
+what the data model's strings are stripped by, and several times faster than the regex flag for Unicode classes.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType
 
-SPACE = r"(?U)\s"
+SPACE = r"[\s\p{Z}\x85\x1c-\x1f]"
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 # Fixed values.
@@ -27,7 +28,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
 
 
 def sha256(c: Column) -> Column:
@@ -47,7 +48,7 @@ def lines(c: Column) -> Column:
 def strip_frontmatter(c: Column) -> Column:
     """Without a header between ``---`` lines; the end is looked for from the fifth character on."""
     end = F.locate("\n---", c, 5)
-    rest = F.regexp_replace(c.substr(end + 4, F.length(c)), r"(?U)^\s+", "")
+    rest = F.regexp_replace(c.substr(end + 4, F.length(c)), f"^{SPACE}+", "")
     return F.when(c.startswith("---\n") & (end > 0), rest).otherwise(c)
 
 
@@ -71,7 +72,7 @@ def sentences(c: Column) -> Column:
 
 def summary(c: Column, most_sentences: int = 2, most_chars: int = 240) -> Column:
     def cut(text: Column) -> Column:
-        short = F.concat(F.regexp_replace(F.substring(text, 1, most_chars - 1), r"(?U)\s+$", ""), F.lit("..."))
+        short = F.concat(F.regexp_replace(F.substring(text, 1, most_chars - 1), f"{SPACE}+$", ""), F.lit("..."))
         return F.when(F.length(text) <= most_chars, text).otherwise(short)
 
     return let(F.array_join(F.slice(sentences(c), 1, most_sentences), " "), cut)
@@ -95,7 +96,7 @@ def excerpt(c: Column, most: int) -> Column:
     """Runs of blank lines shortened, trimmed and cut; with a flag that says whether it was cut."""
 
     def cut(text: Column) -> Column:
-        return F.struct(F.regexp_replace(F.substring(text, 1, most), r"(?U)\s+$", "").alias("text"), (F.length(text) > most).alias("truncated"))
+        return F.struct(F.regexp_replace(F.substring(text, 1, most), f"{SPACE}+$", "").alias("text"), (F.length(text) > most).alias("truncated"))
 
     return let(strip(F.regexp_replace(c, r"\n{3,}", "\n\n")), cut)
 
@@ -137,8 +138,8 @@ def with_section(c: Column, heading: str, body: Column) -> Column:
     block = F.concat(F.lit(f"## {heading}\n\n"), body)
     pattern = rf"(?ms)^[ \t]*##[ ]+{heading}[ \t]*$.*?(?=^[ \t]*##[ ]|\z)"
     replaced = F.regexp_replace(c, F.lit(pattern), F.concat(F.regexp_replace(block, r"([\\$])", r"\\$1"), F.lit("\n\n")))
-    appended = F.concat(F.regexp_replace(c, r"(?U)\s+$", ""), F.lit("\n\n"), block, F.lit("\n"))
-    return F.when(has_section(c, [heading]), F.concat(F.regexp_replace(replaced, r"(?U)\s+$", ""), F.lit("\n"))).otherwise(appended)
+    appended = F.concat(F.regexp_replace(c, f"{SPACE}+$", ""), F.lit("\n\n"), block, F.lit("\n"))
+    return F.when(has_section(c, [heading]), F.concat(F.regexp_replace(replaced, f"{SPACE}+$", ""), F.lit("\n"))).otherwise(appended)
 
 
 def headings(c: Column, deepest: int = 3) -> Column:

@@ -21,12 +21,14 @@ NOISE_REASON = r"404|not found|无法访问|导航|菜单|噪声|重复|证据
 
 
 def is_navigation(line: Column) -> Column:
-    bare = strip(line)
-    low = F.lower(bare)
-    links = (F.length(low) - F.length(F.replace(low, F.lit("](")))) / 2
-    return (bare != "") & (
-        ((F.length(bare) <= 80) & low.rlike(NAVIGATION)) | ((F.length(bare) <= 120) & (links >= 2)) | ((F.length(bare) <= 120) & bare.rlike(LINK_BULLET))
-    )
+    """Short lines that name a part of a site's frame, hold several links, or are a bullet of links only."""
+
+    def of(bare: Column) -> Column:
+        links = (F.length(bare) - F.length(F.replace(bare, F.lit("](")))) / 2
+        named = (F.length(bare) <= 80) & F.lower(bare).rlike(NAVIGATION)
+        return (bare != "") & (F.length(bare) <= 120) & (named | (links >= 2) | bare.rlike(LINK_BULLET))
+
+    return let(strip(line), of)
 
 
 def is_error_page(text: Column) -> Column:
@@ -45,11 +47,11 @@ def stats(text: Column, raw_size: Column | None = None) -> Column:
         no_code = F.regexp_replace(body, FENCE, "\n")
 
         def of_lines(rows: Column) -> Column:
-            content = F.array_join(F.filter(rows, lambda x: ~is_navigation(x)), "\n")
-            return F.struct(F.size(F.filter(rows, is_navigation)).alias("noise"), content.alias("content"))
+            kept = F.filter(rows, lambda x: ~is_navigation(x))
+            return let(kept, lambda k: F.struct((F.size(rows) - F.size(k)).alias("noise"), F.array_join(k, "\n").alias("content")))
 
         def of_content(plain: Column) -> Column:
-            parts = F.filter(F.split(plain["content"], r"\n(?U)\s*\n"), lambda x: strip(x) != "")
+            parts = F.filter(F.split(plain["content"], rf"\n{SPACE}*\n"), lambda x: strip(x) != "")
             return let(_dense(plain["content"]), lambda n: row(n, parts, plain["noise"]))
 
         def row(n: Column, parts: Column, noise: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.links import stem
-from tessella.functions.text import frontmatter, sha256, strip_frontmatter, summary, title
+from tessella.functions.text import SPACE, frontmatter, sha256, strip_frontmatter, summary, title
 
 # Fixed values.
 SYSTEM = r"^(?:index\.md|log\.md|logs/.*|sources/.*)$"
@@ -173,5 +173,5 @@ def page_markdown(rows: DataFrame) -> DataFrame:
         yaml_list("source_raw_paths", union(F.col("old_raw_paths"), F.col("raw_paths"))), yaml_list("source_raw_hashes", union(F.col("old_raw_hashes"), F.col("raw_hashes"))),
         yaml_list("source_operation_ids", union(F.col("old_operations"), F.array("operation_id"))), F.concat(F.lit("last_operation: "), yaml_scalar(F.col("operation_id"))), F.lit("---"),
     ]
-    text = F.concat(F.concat_ws("\n", *parts), F.lit("\n\n"), F.regexp_replace(body, r"(?U)\s+$", ""), F.lit("\n"))
+    text = F.concat(F.concat_ws("\n", *parts), F.lit("\n\n"), F.regexp_replace(body, f"{SPACE}+$", ""), F.lit("\n"))
     return rows.select("target_path", text.alias("markdown"))
