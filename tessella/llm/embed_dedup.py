@@ -181,3 +181,14 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     found = good.join(named, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return found.unionAll(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+#: Exact links in SQL; the same rows as long as hashing finds every link.
+ORACLE = f"""
+with recursive v as (select vec_id, label, embedding::double[] as e from embeddings),
+u as (select * from v where label is not null and e is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+l as (select a.vec_id as a, b.vec_id as b from u a join u b on a.label = b.label and len(a.e) = len(b.e) and a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= {THRESHOLD}),
+r as (select vec_id as id, vec_id as root from v union select l.b, r.root from r join l on r.id = l.a),
+c as (select id, min(root) as root from r group by id), n as (select a, count(*) as n from l group by a)
+select vec_id, coalesce(n, 0) as n_links, root as component_id, vec_id = root as kept from v join c on id = vec_id left join n on a = vec_id
+"""

@@ -54,4 +54,4 @@ _ALL = (op1_toxicity, op2_substring_dedup, op3_simhash, op4_quality, op5_chat, o
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 #: SQL for what SQL can express; the others are tested against brute force, held-out labels or an exact round trip.
-ORACLES: dict[str, str] = {"op2_substring_dedup": substring.ORACLE, "op5_chat": chat.ORACLE}
+ORACLES: dict[str, str] = {"op2_substring_dedup": substring.ORACLE, "op5_chat": chat.ORACLE, "op7_embedding_dedup": embed_dedup.ORACLE}

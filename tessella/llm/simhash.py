@@ -147,6 +147,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents (all their columns) that name their component; rows that repeat a kept doc_id stay."""
-    kept = simhash_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
+    """The documents (all their columns) but those whose component has a smaller id.
+
+    Rows that repeat a kept doc_id stay, and so do rows without a doc_id, as they can't be told from one another by it.
+    """
+    gone = simhash_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(apart(gone), docs["doc_id"] == F.col("gone_id"), "left_anti")

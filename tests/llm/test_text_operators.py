@@ -348,3 +348,27 @@ def test_empty_tables(spark):
     assert packing.pack(empty).count() == 0
     assert toxicity.classify(empty, labels_of(spark, [], "toxic")).count() == 0
     assert quality.classify(empty, labels_of(spark, [], "quality")).count() == 0
+
+
+def test_rows_without_ids_are_kept(spark):
+    rows = [(None, "alpha beta gamma"), (None, "alpha beta gamma"), (None, None), (4, "alpha beta gamma"), (5, "alpha beta gamma"), (5, "alpha beta gamma")]
+    docs = table(spark, rows)
+    found = simhash.simhash_components(docs).collect()
+    assert len(found) == 6 and {r.component_id for r in found if r.fingerprint != "0" * 16} == {4}
+    assert sorted((r.doc_id or 0) for r in simhash.keep_one(docs).collect()) == [0, 0, 0, 4]
+    labels = labels_of(spark, [(4, 1), (5, 0)], "toxic")
+    for out in (rules.judge(docs), pii.find(docs), pieces.encode(docs), toxicity.classify(docs, labels), quality.classify(docs, labels.withColumnRenamed("toxic", "quality"))):
+        assert sum(r.doc_id is None for r in out.collect()) == 3
+    packed = [d for r in packing.pack(docs).collect() for d in r.doc_ids]
+    assert sorted((d or 0) for d in packed) == [0, 0, 0, 4, 5, 5]
+    assert simhash.keep_one(docs).columns == substring.without_repeats(docs).columns == docs.columns
+
+
+def test_one_very_long_text(spark):
+    r = random.Random(1)
+    words = [r.choice("bcdfg") + r.choice("aeiou") + r.choice("lmnrst") for _ in range(120_000)]
+    docs = table(spark, [(1, " ".join(words)), (2, " ".join(words[50_000:90_000])), (3, "z" * 300_000)])
+    got = by_id(substring.deduplicate(docs))
+    assert (got[2].n_words, got[2].n_removed) == (40_000, 40_000) and got[3].n_words == 1
+    assert by_id(rules.judge(docs))[1].n_words == 120_000 and by_id(pieces.encode(docs, with_ids=False))[3].round_trip
+    assert sum(r.n_words for r in packing.pack(docs).collect()) == 160_001

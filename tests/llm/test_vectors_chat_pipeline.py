@@ -83,6 +83,15 @@ def test_vectors(spark, vectors, monkeypatch, tile):
     assert all(g.kept == (g.vec_id == g.component_id) for g in got.values())
 
 
+def test_vectors_against_sql(spark, vectors):
+    rows = [(i, v, y) for i, v, y in vectors[:250] if v]
+    con = duckdb.connect()
+    con.register("embeddings", pa.table({"vec_id": [r[0] for r in rows], "embedding": pa.array([r[1] for r in rows], pa.list_(pa.float32())), "label": [r[2] for r in rows]}))
+    got = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    want = con.sql(embed_dedup.ORACLE).fetchall()
+    assert len(got) == len(want) and len({tuple(r) for r in got} & set(want)) >= 0.98 * len(want)
+
+
 def test_vectors_empty(spark):
     assert embed_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
