@@ -1,7 +1,7 @@
 """Exact similarity search: a set of query vectors against a pool, in blocks.
 
 Both sides are packed into blocks; every block of queries meets every block of the pool, as a matrix product, and leaves
-its best rows only. What is shuffled is blocks and candidates, never pairs.
+its best rows only. What is shuffled is blocks, once, and candidates; never pairs, of rows or of blocks.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 TOP_K = 5
 STRONG_OVERLAP = 0.80
 SAME_BATCH_MOST, RELATED_TOP_K, RELATED_LEAST, REPLACE_MARGIN = 5, 3, 0.7, 0.04
-QUERY_BLOCK, POOL_BLOCK = 256, 4096
+QUERY_BLOCK, POOL_BLOCK = 1024, 4096
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -28,10 +28,10 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def _blocks(rows: DataFrame, size: int, prefix: str) -> DataFrame:
-    """Rows ``id``, ``vector`` packed by hash into blocks of about ``size``."""
+    """Rows ``id``, ``vector`` packed by hash into blocks of about ``size``, spread over as many tasks as there are blocks."""
     n = max(1, -(-rows.count() // size))
-    packed = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias(f"{prefix}_block"))
-    return packed.agg(F.collect_list(F.struct("id", "vector")).alias(prefix))
+    packed = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("id", "vector")).alias(prefix))
+    return packed.repartition(min(n, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))).select(prefix)
 
 
 def scores(queries: DataFrame, pool: DataFrame, top_k: int | None = None, least: float | None = None, strict: bool = True, itself: bool = False) -> DataFrame:
@@ -41,9 +41,7 @@ def scores(queries: DataFrame, pool: DataFrame, top_k: int | None = None, least:
     (score descending, id), so the callers' ranking over the result is exact; least keeps scores above (strict) or
     from it on, by the rounded (strict) or raw score. itself: whether a query may find its own id.
     """
-    spark = queries.sparkSession
-    pairs = _blocks(queries, QUERY_BLOCK, "q").crossJoin(_blocks(pool, POOL_BLOCK, "p"))  # of blocks, not of rows
-    pairs = pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pairs = _blocks(pool, POOL_BLOCK, "p").crossJoin(_blocks(queries, QUERY_BLOCK, "q"))  # of blocks, where they lie: pairs aren't shuffled
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
