@@ -88,6 +88,13 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x if x is not None else b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller slices, so that a worker holds the Python objects of few rows at once."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def steps(texts: list[bytes], most: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``most`` bytes together; a longer text is a range of its own."""
     start = size = 0

@@ -20,7 +20,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import steps
+from tessella.llm.common import sliced, steps
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -160,7 +160,7 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(shipped.value)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             raw = [t.encode() for t in texts]
             for a, b in steps(raw):
@@ -187,7 +187,7 @@ def decode(encoded: DataFrame, model: str = MODEL, id_col: str = "doc_id", ids_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(shipped.value)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [None if x is None else pieces.decode(np.array(x, dtype="<i4").tobytes()).decode(errors="replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 

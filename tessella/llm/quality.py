@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import byte_words, text_bytes
+from tessella.llm.common import byte_words, sliced, text_bytes
 from tessella.llm.labelled import fold, labelled, sample
 
 #: Labelled documents of each class that a model is fitted on at most.
@@ -96,7 +96,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Model:
     rows = labelled(docs, sample(labels, "quality", fold(F.col("doc_id"), HELD_PARTS) != HELD, most))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [statistics(t) for t in text_bytes(batch.column(0))]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.float64()))], names=["y", "x"])
 
@@ -114,7 +114,7 @@ def classify(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Dat
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, most))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             x = np.array([statistics(t) for t in text_bytes(batch.column(1))], dtype=float).reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.value.scores(x))], names=["doc_id", "score"])
 

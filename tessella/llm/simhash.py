@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import apart, byte_words, cut, text_bytes
+from tessella.llm.common import apart, byte_words, cut, sliced, text_bytes
 from tessella.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``doc_id``, ``fp`` (the fingerprint's bits as a signed long) of every row; a null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = np.array([fingerprint(t) for t in text_bytes(batch.column(1))], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 

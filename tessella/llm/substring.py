@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import apart, byte_words, dropped, steps, stored, text_bytes
+from tessella.llm.common import apart, byte_words, dropped, sliced, steps, stored, text_bytes
 
 WINDOW, ANCHOR = 20, 6
 _BASE, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -166,7 +166,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts, spans = _with_spans(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = []
             for text, part in zip(text_bytes(batch.column(1)), batch.column(2)):
                 words = byte_words(text)
