@@ -2,11 +2,13 @@
 
 Each class has discounted counts of a letter after up to five letters of the same word. What is discounted goes to one
 backoff that both classes share, built from continuation counts over both; so an expression too rare to tell the classes
-apart gets the same probability from either, and variants of a toxic stem still differ. A text's expressions are
-compared by their log-likelihoods under the two models, divided by the expression's number of words; the expression that
-speaks most for the toxic model decides, and a logistic curve fitted on labelled documents that the counts have not
-seen turns it into a score. A mean over the whole text is returned too; it alone would lose one insult among
-thousands of ordinary words.
+apart gets the same probability from either, and variants of a toxic stem still differ. A word's log-likelihoods under
+the two models are divided by its letters; a word of more than WINDOW letters is its best run of WINDOW. Expressions of
+two and three words, which no letters show, are compared by their discounted frequencies in the two classes. The
+expression that speaks most for the toxic model decides, after it is set against the highest that ordinary text with as
+many expressions reaches by chance (a Gumbel law fitted on ordinary documents that the counts have not seen), so that a
+long text isn't toxic for its length. A logistic curve fitted on such documents of both classes turns it into a score. A
+mean over the whole text is returned too; it alone would lose one insult among thousands of ordinary words.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +28,10 @@ from tessella.llm.labelled import fold, labelled, sample
 
 #: Labelled documents of each class that a model is fitted on at most.
 SAMPLE_ROWS = 3000
-#: Letters (bytes) of an n-gram, words of an expression.
-ORDER, SPAN = 6, 1
+#: Letters (bytes) of an n-gram, words of an expression, letters of a longer word that are compared together.
+ORDER, SPAN, WINDOW = 6, 3, 16
+#: Times that an expression of several words must occur in the sample to be told from chance, and what is discounted.
+PHRASE_LEAST, PHRASE_DISCOUNT = 3, 0.75
 HELD_PARTS, HELD = 5, 0
 #: Word scores that a Python worker remembers.
 REMEMBERED = 150_000
@@ -41,25 +46,36 @@ def grams(word: bytes, order: int) -> Iterator[bytes]:
             yield s[i - n : i]
 
 
+def phrases(words: list[bytes], span: int) -> Iterator[bytes]:
+    """All runs of 2 to span words, joined by a blank, which no n-gram of letters has."""
+    for n in range(2, span + 1):
+        yield from map(b" ".join, zip(*(words[i:] for i in range(n))))
+
+
 class WordScores(dict):
-    """Toxic minus ordinary log-likelihood by word, worked out when first asked for."""
+    """Toxic minus ordinary log-likelihood per letter by word, worked out when first asked for."""
 
     def __init__(self, gain: dict[bytes, float], backoff: dict[bytes, float], order: int):
         super().__init__()
         self.gain, self.backoff, self.order = gain, backoff, order
 
     def __missing__(self, word: bytes) -> float:
-        s, total, order = FIRST + word + LAST, 0.0, self.order
+        s, order, values = FIRST + word + LAST, self.order, []
         gain, backoff = self.gain, self.backoff
         for i in range(2, len(s) + 1):
             g = s[max(0, i - order) : i]
             v = gain.get(g)
-            total += backoff.get(g[:-1], 0.0) if v is None else v
+            values.append(backoff.get(g[:-1], 0.0) if v is None else v)
+        if len(values) <= WINDOW:
+            best = sum(values) / len(values)
+        else:
+            sums = np.concatenate([[0.0], np.cumsum(values)])
+            best = float((sums[WINDOW:] - sums[:-WINDOW]).max()) / WINDOW
         if len(word) <= 64:
             if len(self) >= REMEMBERED:
                 self.clear()
-            self[word] = total
-        return total
+            self[word] = best
+        return best
 
 
 def fit_counts(counts: dict[bytes, tuple[int, int]], order: int = ORDER) -> tuple[dict[bytes, float], dict[bytes, float]]:
@@ -107,17 +123,43 @@ def fit_counts(counts: dict[bytes, tuple[int, int]], order: int = ORDER) -> tupl
     return gain, {ctx: math.log(w[1] / w[0]) for ctx, w in weight.items()}
 
 
-def measure(text: bytes, scores: WordScores, span: int = SPAN) -> tuple[float, float]:
-    """Highest per-word log-likelihood difference of an expression, and the mean over the text; zeros without words."""
+def fit_phrases(counts: dict[bytes, tuple[int, int]], sizes: tuple[int, int], discount: float = PHRASE_DISCOUNT) -> dict[bytes, float]:
+    """Log ratio of the discounted frequencies (ordinary, toxic) of each expression that speaks for the toxic class.
+
+    What is discounted goes to a floor that both classes share. The others could never decide and are left out.
+    """
+    floor = 1 / max(1, sum(sizes))
+    p = {g: [max(c[k] - discount, 0) / max(1, sizes[k]) + floor for k in (0, 1)] for g, c in counts.items()}
+    return {g: math.log(t / o) for g, (o, t) in p.items() if t > o}
+
+
+def measure(text: bytes, scores: WordScores, seen: dict[bytes, float], span: int = SPAN) -> tuple[float, float, int, float]:
+    """Highest value per letter of a word, highest of an expression of several words, number of expressions, mean of the words' values."""
     words = byte_words(text.lower())
     if not words:
-        return 0.0, 0.0
+        return 0.0, 0.0, 1, 0.0
     values = list(map(scores.__getitem__, words))
-    mean = sum(values) / len(values)
-    if span == 1:
-        return max(values), mean
-    runs = np.convolve(values, np.ones(span), "valid") / span if len(values) >= span else np.array([mean])
-    return float(runs.max()), mean
+    n = len(words) + sum(len(w) + 1 - WINDOW for w in words if len(w) >= WINDOW)
+    phrase = max(map(seen.get, phrases(words, span), repeat(0.0)), default=0.0) if seen else 0.0
+    return max(values), phrase, n, sum(values) / len(values)
+
+
+def chance(peaks: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """a, b of the likeliest law by which ordinary text exceeds v with each expression at the rate exp(a - b v).
+
+    The highest of n expressions then follows a Gumbel law, and b v - a - log(n) says how far v is beyond chance.
+    """
+    best = (-math.inf, 0.0, 1.0)
+    low = peaks.min()
+    for b in np.geomspace(0.05, 32, 400):
+        a = math.log(len(peaks)) - math.log((n * np.exp(-b * (peaks - low))).sum()) + b * low
+        best = max(best, (len(peaks) * (math.log(b) + a) - b * peaks.sum(), a, b))
+    return float(best[1]), float(best[2])
+
+
+def beyond(law: tuple[float, float], peak, n):
+    """How far a peak of n expressions is beyond chance, in natural logarithms of the odds against it."""
+    return law[1] * peak - law[0] - np.log(n)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, float]:
@@ -137,19 +179,28 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float,
 
 
 class Model:
-    """Parts that travel to the executors: log ratios and the curve. Without both classes the score is constant."""
+    """Parts that travel to the executors: log ratios, laws of chance and the curve. Without both classes the score is constant."""
 
-    def __init__(self, gain: dict[bytes, float], backoff: dict[bytes, float], slope: float, shift: float, order: int, span: int):
-        self.gain, self.backoff, self.slope, self.shift, self.order, self.span = gain, backoff, slope, shift, order, span
+    def __init__(self, gain: dict[bytes, float], backoff: dict[bytes, float], seen: dict[bytes, float], order: int, span: int):
+        self.gain, self.backoff, self.seen, self.order, self.span = gain, backoff, seen, order, span
+        self.laws, self.slope, self.shift = ((0.0, 1.0), (0.0, 1.0)), 0.0, 0.0
         self._scores: WordScores | None = None
 
     def __getstate__(self):
         return self.__dict__ | {"_scores": None}
 
-    def score(self, text: bytes) -> tuple[float, float, float]:
+    def measure(self, text: bytes) -> tuple[float, float, int, float]:
         if self._scores is None:
             self._scores = WordScores(self.gain, self.backoff, self.order)
-        peak, mean = measure(text, self._scores, self.span)
+        return measure(text, self._scores, self.seen, self.span)
+
+    def evidence(self, word, phrase, n):
+        """The more telling of the two peaks, each against chance."""
+        return np.maximum(beyond(self.laws[0], word, n), beyond(self.laws[1], phrase, n))
+
+    def score(self, text: bytes) -> tuple[float, float, float]:
+        word, phrase, n, mean = self.measure(text)
+        peak = float(self.evidence(word, phrase, n))
         return 1 / (1 + math.exp(-min(30.0, max(-30.0, self.slope * peak + self.shift)))), peak, mean
 
 
@@ -168,12 +219,19 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS, order: in
             found: Counter[tuple[bytes, int]] = Counter()
             for y, aside in ((0, False), (1, False), (0, True), (1, True)):
                 words: Counter[bytes] = Counter()
+                total = 0
                 for text, label, out in zip(text_bytes(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                     if label == y and out == aside:
-                        words.update(byte_words(text.lower()))
+                        line = byte_words(text.lower())
+                        words.update(line)
+                        total += len(line)
+                        for g in phrases(line, span):
+                            found[g, y + 2 * aside] += 1
                 for word, n in words.items():
                     for g in grams(word, order):
                         found[g, y + 2 * aside] += n
+                if total:
+                    found[b"", y + 2 * aside] = total
             keys = list(found)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([g for g, _ in keys], pa.binary()), pa.array([k for _, k in keys], pa.int32()), pa.array([found[k] for k in keys], pa.int64())],
@@ -183,24 +241,34 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS, order: in
     sizes = {(r["y"], r["aside"]): r["n"] for r in rows.groupBy("y", "aside").agg(F.count("*").alias("n")).collect()}
     classes = [sizes.get((y, False), 0) + sizes.get((y, True), 0) for y in (0, 1)]
     if not min(classes):
-        return Model({}, {}, 0.0, 30.0 if classes[1] else -30.0, order, span)
+        model = Model({}, {}, {}, order, span)
+        model.shift = 30.0 if classes[1] else -30.0
+        return model
     both = min(classes) < 40 or not all(sizes.get((y, a), 0) for y in (0, 1) for a in (False, True))
     parts = {0: (0, 2), 1: (1, 3)} if both else {0: (0,), 1: (1,)}
     sums = [F.sum(F.when(F.col("part").isin(*parts[y]), F.col("n")).otherwise(0)).alias(f"n{y}") for y in (0, 1)]
-    table = rows.mapInArrow(count, "gram binary, part int, n long").groupBy("gram").agg(*sums).where("n0 + n1 > 0").toArrow()
+    table = rows.mapInArrow(count, "gram binary, part int, n long").groupBy("gram").agg(*sums)
+    often = F.when(F.col("gram").contains(F.lit(b" ")), PHRASE_LEAST).otherwise(1)
+    table = table.where(F.col("n0") + F.col("n1") >= often).toArrow()
     counts = {g: (o, t) for part in table.to_batches(1 << 16) for g, o, t in zip(*(c.to_pylist() for c in part.columns), strict=True)}
     del table
-    gain, backoff = fit_counts(counts, order)
-    del counts
-    draft = spark.sparkContext.broadcast(Model(gain, backoff, 1.0, 0.0, order, span))
+    words = counts.pop(b"", (0, 0))
+    several = {g: counts.pop(g) for g in [g for g in counts if b" " in g]}
+    model = Model(*fit_counts(counts, order), fit_phrases(several, words), order, span)
+    del counts, several
+    draft = spark.sparkContext.broadcast(model)
 
     def peaks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([draft.value.score(t)[1] for t in text_bytes(batch.column(0))])], names=["y", "peak"])
-
-    seen = (rows if both else rows.where("aside")).mapInArrow(peaks, "y int, peak double").toArrow()
-    slope, shift = logistic(seen.column(1).to_numpy(), seen.column(0).to_numpy())
-    return Model(gain, backoff, slope, shift, order, span)
+            found = [draft.value.measure(t)[:3] for t in text_bytes(batch.column(0))]
+            columns = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.float64(), pa.float64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(1), *columns], names=["y", "word", "phrase", "n"])
+
+    seen = (rows if both else rows.where("aside")).mapInArrow(peaks, "y int, word double, phrase double, n long").toArrow()
+    y, word, phrase, n = (c.to_numpy() for c in seen.columns)
+    model.laws = (chance(word[y == 0], n[y == 0]), chance(phrase[y == 0], n[y == 0]))
+    model.slope, model.shift = logistic(model.evidence(word, phrase, n), y)
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -318,6 +318,29 @@ def test_toxicity_shared_backoff_cancels():
     assert abs(scores[b"abab"]) < 1e-9 and scores[b"zzz"] == 0
 
 
+def test_toxicity_by_length(spark):
+    r = random.Random(18)
+    vocabulary = [a + b + c + d for a in "bcdfg" for b in "aeiou" for c in "lmnrst" for d in ("a", "en", "is")]
+    line = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    rows, labels = [], []
+    for i in range(600):
+        w = line(r.randrange(5, 300))
+        if i % 4 == 0:
+            at = r.randrange(len(w))
+            w[at : at + 1] = ["zork" + r.choice(["a", "en", "is", "uf"])] if i % 8 else ["bala", "cemen", "diris"]
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 4 == 0)))
+    clean = {1000 + k: " ".join(w for w in line(20_000) if w != "cemen") for k in range(10)}  # else pairs of the expression come up
+    clean |= {2000 + k: "".join(line(n)) for k, n in enumerate([40, 400, 4000, 20_000])}
+    clean |= {3000 + k: " ".join("".join(line(40)) for _ in range(50)) for k in range(10)}
+    toxic = {4000 + k: " ".join([*line(10_000), "zorken", *line(10_000)]) for k in range(5)}
+    toxic |= {5000 + k: " ".join([*line(50), "bala", "cemen", "diris", *line(50)]) for k in range(5)}
+    apart = {6000 + k: " ".join([*line(50), "diris", *line(5), "cemen", *line(5), "bala"]) for k in range(5)}
+    docs = table(spark, [*rows, *clean.items(), *toxic.items(), *apart.items()])
+    got = {i: x.predicted for i, x in by_id(toxicity.classify(docs, labels_of(spark, labels, "toxic"))).items()}
+    assert [i for i in (*clean, *apart) if got[i]] == [] and [i for i in toxic if not got[i]] == []
+
+
 def test_quality_separates_noise(spark):
     r = random.Random(9)
     rows, labels = [], []
