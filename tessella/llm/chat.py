@@ -6,12 +6,14 @@ only the assistant's words carry training loss. Masks are run lengths over the c
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.llm.common import apart, cut
+
 #: Speakers that set the scene and take no side.
 NARRATORS = ("system",)
-#: Turn numbers in one part of a dialogue, and rows from which a part is split further.
+#: Turn numbers in one part of a dialogue, and rows of a part that one split takes.
 PART_TURNS, PART_ROWS = 64, 4096
 END = "<|end|>\n"
 
@@ -25,6 +27,25 @@ def _head(turn: Column, side: Column) -> Column:
     )
 
 
+def ranges(hot: DataFrame, n: int) -> DataFrame:
+    """The n rows of hot parts with ``split``, which counts ranges of PART_ROWS rows of a part in order.
+
+    A sort over all of them deals even one part among many tasks; a row's place is that within its task and the rows
+    of the part in the tasks before.
+    """
+    order = ["turn", "speaker", "text"]
+    tasks = max(int(hot.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // PART_ROWS))
+    dealt = cut(hot.repartitionByRange(tasks, "conv_id", "part", *order).withColumn("task", F.spark_partition_id()))
+    held = dealt.groupBy("conv_id", "part", "task").agg(F.count("*").alias("held"))
+    earlier = F.sum("held").over(Window.partitionBy("conv_id", "part").orderBy("task")) - F.col("held")
+    earlier = held.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.col("task").alias("k"), earlier.alias("earlier"))
+    place = F.row_number().over(Window.partitionBy("conv_id", "part", "task").orderBy(*order)) - 1
+    placed = dealt.withColumn("place", place).join(
+        apart(earlier), F.col("conv_id").eqNullSafe(F.col("c")) & F.col("part").eqNullSafe(F.col("p")) & (F.col("task") == F.col("k"))
+    )
+    return placed.select("conv_id", "part", F.floor((F.col("earlier") + F.col("place")) / PART_ROWS).cast("int").alias("split"), *order)
+
+
 def perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text") -> DataFrame:
     """``conv_id``, ``perspective``, ``part``, ``split``, ``n_turns``, ``rendered``, ``mask`` for each participant and part.
 
@@ -32,17 +53,22 @@ def perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     the order of (turn, speaker, text), nulls first; a null text is empty, a null speaker is a user without a name and no
     participant, a null dialogue or turn number is a group like others. Rows that repeat exactly are one turn. A
     dialogue is cut into parts of PART_TURNS turn numbers; a part of more than PART_ROWS rows (a key that holds a large
-    share of the table) is dealt by hash into splits, so no task gathers more. A dialogue of narrators only gives no row.
+    share of the table) is cut into splits of PART_ROWS rows in that order, so no task gathers more, and parts and splits
+    one after another are the dialogue. A dialogue of narrators only gives no row.
     """
     rows = turns.select(
         F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(speaker_col).cast("string").alias("speaker"), F.col(text_col).cast("string").alias("text")
     ).distinct()
     rows = rows.withColumn("part", F.floor(F.col("turn") / PART_TURNS))
-    large = rows.groupBy("conv_id", "part").agg(F.count("*").alias("rows")).where(F.col("rows") > PART_ROWS)
-    large = large.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.ceil(F.col("rows") / PART_ROWS).cast("int").alias("splits"))
-    dealt = rows.join(large, rows["conv_id"].eqNullSafe(large["c"]) & rows["part"].eqNullSafe(large["p"]), "left")
-    split = F.pmod(F.xxhash64("turn", "speaker", "text"), F.coalesce("splits", F.lit(1))).cast("int")
-    parts = dealt.groupBy("conv_id", "part", split.alias("split")).agg(F.sort_array(F.collect_list(F.struct("turn", "speaker", "text"))).alias("turns"))
+    large = cut(rows.groupBy("conv_id", "part").agg(F.count("*").alias("rows")).where(F.col("rows") > PART_ROWS))
+    n = large.agg(F.sum("rows")).first()[0] or 0
+    dealt = rows.withColumn("split", F.lit(0))
+    if n:
+        keys = large.select(F.col("conv_id").alias("c"), F.col("part").alias("p"))
+        same = dealt["conv_id"].eqNullSafe(keys["c"]) & dealt["part"].eqNullSafe(keys["p"])
+        hot = rows.join(keys, rows["conv_id"].eqNullSafe(keys["c"]) & rows["part"].eqNullSafe(keys["p"]), "left_semi")
+        dealt = dealt.join(keys, same, "left_anti").unionByName(ranges(hot, n))
+    parts = dealt.groupBy("conv_id", "part", "split").agg(F.sort_array(F.collect_list(F.struct("turn", "speaker", "text"))).alias("turns"))
     sides = rows.where(F.col("speaker").isNotNull() & ~F.col("speaker").isin(*NARRATORS)).select(F.col("conv_id").alias("c"), F.col("speaker").alias("perspective")).distinct()
     faced = parts.join(sides, parts["conv_id"].eqNullSafe(sides["c"]))
     said = lambda t: F.concat(F.coalesce(t["text"], F.lit("")), F.lit(END))

@@ -135,6 +135,20 @@ def test_chat_splits_hot_parts(spark, monkeypatch):
     assert sum(r.n_turns for r in rows if r.perspective == "a") == 95 and len({r.split for r in rows}) > 5
 
 
+def test_chat_splits_in_order(spark, monkeypatch):
+    hot = [(c, t, "ab"[i % 2], f"t{i:03d}") for c in (1, None) for i, t in enumerate([5] * 40 + [6, 7, 8] * 15 + [None] * 30)]
+    rows = hot + [(2, t, "ab"[t % 2], f"u{t}") for t in range(8)] + [(3, t, "a", "long") for t in range(200)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    columns = ("conv_id", "perspective", "part", "split")
+    first = lambda r: [(r[k] is not None, r[k]) for k in columns]
+    joined = lambda got: {c: "".join(r.rendered for r in sorted(got, key=first) if (r.conv_id, r.perspective) == c) for c in {(r.conv_id, r.perspective) for r in got}}
+    whole = joined(chat.perspectives(df).collect())
+    monkeypatch.setattr(chat, "PART_ROWS", 10)
+    got = chat.perspectives(df).collect()
+    assert max(r.n_turns for r in got) == 10 and len({r.split for r in got}) > 5
+    assert joined(got) == whole and len(got) == len({tuple(r[k] for k in columns) for r in got})
+
+
 def test_substring_oracle(spark):
     text = " ".join(f"w{i}" for i in range(50))
     rows = [(1, text), (2, "x " + text + " y"), (3, None), (4, ""), (5, "w1 w2\n" * 40)]
