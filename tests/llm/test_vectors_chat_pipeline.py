@@ -159,6 +159,45 @@ def test_substring_oracle(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("tile", [1024, 8])
+def test_stage_drops_near_duplicates(spark, monkeypatch, tile):
+    import random
+
+    import corpus_pipeline
+    from tessella.llm import near
+
+    monkeypatch.setattr(near, "TILE", tile)
+    r = random.Random(4)
+    line = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    docs = []
+    for k in range(40):
+        base = line(200)
+        docs.append(base)
+        for changed in (1, 3, 4, 12):
+            other = list(base)
+            for at in r.sample(range(10, 190, 10), changed):
+                other[at] = "new"
+            docs.append(other)
+    hot = line(120)
+    docs += [[*hot[:60], f"x{k}", *hot[60:]] for k in range(40)] + [[], [], ["one"], ["one"], ["two"]]
+    sets = [{tuple(d[i : i + 5]) for i in range(max(1, len(d) - 4))} for d in docs]
+    root = list(range(len(docs)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(docs)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)] + [(None, " ".join(docs[0]))], "doc_id long, text string").repartition(3)
+    got = sorted(x.doc_id for x in corpus_pipeline.drop_near_duplicates(spark, df, "").collect() if x.doc_id is not None)
+    assert got == [i for i in range(len(docs)) if find(i) == i]
+
+
 def test_pipeline(spark, tmp_path):
     import random
 
