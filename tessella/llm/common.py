@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +15,9 @@ from pyspark.sql import functions as F
 
 #: Characters that one numpy or Python step works on at a time, so that memory does not follow the Arrow batch.
 STEP_CHARS = 2_000_000
+#: Rows and bytes of a batch that Spark hands to a Python worker; its own defaults (10,000 rows, 64 MB) are more than
+#: six workers on small executors have room for. A session that sets either keeps its value.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2048"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4194304b")}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,11 +34,29 @@ def words_column(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "[ \\t-\\r]+"), lambda w: w != "")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches that Python workers get, where the session has Spark's defaults."""
+    for key, (default, ours) in BATCH.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, ours)
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
+    """``mapInArrow`` over bounded batches."""
+    small_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder all executors share, from ``spark.checkpoint.dir`` or the checkpoint folder of the context.
+
+    Where neither is set, one machine makes a temporary folder; a cluster has none that its executors share and gets an error.
+    """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tessella-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
@@ -46,21 +70,32 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_STORED = re.compile(r"-[0-9a-f]{32}$")
+_writing: Counter[int] = Counter()
+_before: dict[int, str] = {}
+_lock = threading.Lock()
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Write to a table in the shared folder and read it again: columnar, for intermediate results of many rows.
 
-    The shuffle files of the write are removed when it ends, so disk use follows the largest step, not the sum.
+    The shuffle files of the write are removed when it ends, so disk use follows the largest step, not the sum. The
+    setting for that is put back when the last of a session's writes ends, however many run side by side.
     """
-    spark = df.sparkSession
+    spark, key = df.sparkSession, id(df.sparkSession)
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    with _lock:
+        if not _writing[key]:
+            _before[key] = spark.conf.get(_CLEANUP, "false")
+            spark.conf.set(_CLEANUP, "true")
+        _writing[key] += 1
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        with _lock:
+            _writing[key] -= 1
+            if not _writing[key]:
+                spark.conf.set(_CLEANUP, _before.pop(key))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -73,12 +108,29 @@ def apart(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, made longer until no column of the table has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The documents, all columns, whose ``doc_id`` isn't one of ``gone`` (column ``doc_id``); those without an id stay."""
+    name = fresh(docs, "gone_id")
+    ids = apart(gone.select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(ids, docs["doc_id"].cast("long") == ids[name], "left_anti")
+
+
 def dropped(df: DataFrame) -> None:
-    """Remove a stored table that nothing reads any more."""
-    spark = df.sparkSession
+    """Remove the stored tables that a result was read from, when nothing reads them any more; other files stay."""
+    spark, root = df.sparkSession, shared_dir(df.sparkSession).rstrip("/").rsplit("/", 1)[-1]
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        above, _, name = folder.rpartition("/")
+        if _STORED.search(name) and above.rsplit("/", 1)[-1] == root:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
