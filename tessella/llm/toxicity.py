@@ -4,7 +4,8 @@ Each class has discounted counts of a letter after up to five letters of the sam
 backoff that both classes share, built from continuation counts over both; so an expression too rare to tell the classes
 apart gets the same probability from either, and variants of a toxic stem still differ. A word's log-likelihoods under
 the two models are divided by its letters; a word of more than WINDOW letters is its best run of WINDOW. Expressions of
-two and three words, which no letters show, are compared by their discounted frequencies in the two classes. The
+two and three words, which no letters show, are compared by their discounted frequencies in the two classes. N-grams are
+packed into 64-bit numbers, so that the models are sorted arrays and all new words of a batch are looked up at once. The
 expression that speaks most for the toxic model decides, after it is set against the highest that ordinary text with as
 many expressions reaches by chance (a Gumbel law fitted on ordinary documents that the counts have not seen), so that a
 long text isn't toxic for its length. A logistic curve fitted on such documents of both classes turns it into a score. A
@@ -23,104 +24,134 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import byte_words, sliced, text_bytes
+from tessella.llm.common import byte_words, mapped, sliced, steps, text_bytes
 from tessella.llm.labelled import fold, labelled, sample
 
 #: Labelled documents of each class that a model is fitted on at most.
-SAMPLE_ROWS = 3000
-#: Letters (bytes) of an n-gram, words of an expression, letters of a longer word that are compared together.
+SAMPLE_ROWS = 4000
+#: Letters (bytes) of an n-gram (at most 6, which pack into a number), words of an expression, letters of a longer word that are compared together.
 ORDER, SPAN, WINDOW = 6, 3, 16
 #: Times that an expression of several words must occur in the sample to be told from chance, and what is discounted.
 PHRASE_LEAST, PHRASE_DISCOUNT = 3, 0.75
 HELD_PARTS, HELD = 5, 0
-#: Word scores that a Python worker remembers.
-REMEMBERED = 150_000
+#: Words that a Python worker remembers, and their letters; letters looked up at once; bytes of a text that are cut into words at once.
+REMEMBERED, REMEMBERED_BYTES, LETTERS, CHUNK = 200_000, 16_000_000, 400_000, 1 << 20
 FIRST, LAST = b"\x02", b"\x03"
+_BODY = (1 << 48) - 1
 
 
-def grams(word: bytes, order: int) -> Iterator[bytes]:
-    """All n-grams of 1 to order letters that end after each letter of the marked word."""
-    s = FIRST + word + LAST
-    for i in range(2, len(s) + 1):
-        for n in range(1, min(order, i) + 1):
-            yield s[i - n : i]
+def packed(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the marked words one after another: place in its word of each letter, first place of each word, and for n from 1
+    to order the n-gram that ends there (row n - 1; -1 where the word has no n letters up to there or the letter is the first mark).
+
+    A number holds the length above 48 bits and the letters, first the highest, below.
+    """
+    line = np.frombuffer(b"".join([FIRST + w + LAST for w in words]), dtype=np.uint8).astype(np.int64)
+    sizes = np.array([len(w) + 2 for w in words], dtype=np.int64)
+    starts = np.cumsum(sizes) - sizes
+    place = np.arange(len(line)) - np.repeat(starts, sizes)
+    out = np.full((order, len(line)), -1, dtype=np.int64)
+    body = np.zeros(len(line), dtype=np.int64)
+    for n in range(1, order + 1):
+        body[n - 1 :] |= line[: len(line) - n + 1] << (8 * (n - 1))
+        ok = (place >= n - 1) & (place >= 1)
+        out[n - 1, ok] = body[ok] | n << 48
+    return place, starts, out
+
+
+def _context(grams: np.ndarray) -> np.ndarray:
+    """Without the last letter."""
+    return ((grams >> 48) - 1) << 48 | (grams & _BODY) >> 8
+
+
+def _suffix(grams: np.ndarray) -> np.ndarray:
+    """Without the first letter."""
+    n = (grams >> 48) - 1
+    return n << 48 | grams & ((np.int64(1) << 8 * n) - 1)
+
+
+def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of the wanted keys, and which there are; keys are sorted."""
+    if not len(keys):
+        return np.zeros(len(wanted)), np.zeros(len(wanted), dtype=bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    hit = keys[at] == wanted
+    return np.where(hit, values[at], 0), hit
 
 
 def phrases(words: list[bytes], span: int) -> Iterator[bytes]:
-    """All runs of 2 to span words, joined by a blank, which no n-gram of letters has."""
+    """All runs of 2 to span words, joined by a blank."""
     for n in range(2, span + 1):
         yield from map(b" ".join, zip(*(words[i:] for i in range(n))))
 
 
-class WordScores(dict):
-    """Toxic minus ordinary log-likelihood per letter by word, worked out when first asked for."""
-
-    def __init__(self, gain: dict[bytes, float], backoff: dict[bytes, float], order: int):
-        super().__init__()
-        self.gain, self.backoff, self.order = gain, backoff, order
-
-    def __missing__(self, word: bytes) -> float:
-        s, order, values = FIRST + word + LAST, self.order, []
-        gain, backoff = self.gain, self.backoff
-        for i in range(2, len(s) + 1):
-            g = s[max(0, i - order) : i]
-            v = gain.get(g)
-            values.append(backoff.get(g[:-1], 0.0) if v is None else v)
-        if len(values) <= WINDOW:
-            best = sum(values) / len(values)
-        else:
-            sums = np.concatenate([[0.0], np.cumsum(values)])
-            best = float((sums[WINDOW:] - sums[:-WINDOW]).max()) / WINDOW
-        if len(word) <= 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = best
+class Letters:
+    """Log ratios (toxic against ordinary) of the longest n-grams, and of the backoff weights by context: sorted keys and values."""
+
+    def __init__(self, grams: np.ndarray, gain: np.ndarray, contexts: np.ndarray, backoff: np.ndarray, order: int):
+        self.grams, self.gain, self.contexts, self.backoff, self.order = grams, gain.astype(np.float32), contexts, backoff.astype(np.float32), order
+
+    def values(self, words: list[bytes]) -> np.ndarray:
+        """Per letter, the log ratio of each word; of a word of more than WINDOW letters the best WINDOW in a row."""
+        if not words:
+            return np.zeros(0)
+        place, starts, grams = packed(words, self.order)
+        longest = grams[np.minimum(place, self.order - 1), np.arange(len(place))]
+        # at place k of a word the longest n-gram has min(k + 1, order) letters
+        gain, known = _found(self.grams, self.gain, longest)
+        away, _ = _found(self.contexts, self.backoff, _context(longest))
+        value = np.where(place >= 1, np.where(known, gain, away), 0.0)
+        sizes = np.array([len(w) + 1 for w in words])
+        best = np.add.reduceat(value, starts) / sizes
+        for k in np.nonzero(sizes > WINDOW)[0]:
+            sums = np.concatenate([[0.0], np.cumsum(value[starts[k] + 1 : starts[k] + 1 + sizes[k]])])
+            best[k] = (sums[WINDOW:] - sums[:-WINDOW]).max() / WINDOW
         return best
 
 
-def fit_counts(counts: dict[bytes, tuple[int, int]], order: int = ORDER) -> tuple[dict[bytes, float], dict[bytes, float]]:
-    """From n-gram counts (ordinary, toxic): the log ratio of each longest n-gram, and of the backoff weights by context.
+def fit_letters(grams: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray, order: int = ORDER) -> Letters:
+    """From distinct packed n-grams and their counts in both classes: Kneser-Ney log ratios over one shared backoff.
 
     An n-gram that neither class has seen after a known context has the weights' ratio, as the shared backoff cancels;
     after an unknown context the ratio is 1.
     """
-    ones = sum(1 for o, t in counts.values() if o + t == 1)
-    twos = sum(1 for o, t in counts.values() if o + t == 2)
+    if not len(grams):
+        none = np.zeros(0, dtype=np.int64)
+        return Letters(none, np.zeros(0), none, np.zeros(0), order)
+    both = ordinary + toxic
+    ones, twos = int((both == 1).sum()), int((both == 2).sum())
     d = min(0.95, max(0.3, ones / max(1, ones + 2 * twos)))
-    followed: Counter[bytes] = Counter(g[1:] for g in counts if len(g) > 1)
-    mass: Counter[bytes] = Counter()
-    kinds: Counter[bytes] = Counter()
-    for g, n in followed.items():
-        mass[g[:-1]] += n
-        kinds[g[:-1]] += 1
-    memo: dict[bytes, float] = {}
-
-    def shared(g: bytes) -> float:
-        if not g:
-            return 1 / 256
-        if (p := memo.get(g)) is None:
-            n = mass[g[:-1]]
-            below = shared(g[1:])
-            p = (max(followed[g] - d, 0) + d * kinds[g[:-1]] * below) / n if n else below
-            memo[g] = p
-        return p
-
-    total: dict[bytes, list[float]] = {}
-    top = [g for g in counts if len(g) == order or g[:1] == FIRST]
-    for g in top:
-        o, t = counts[g]
-        c = total.setdefault(g[:-1], [0, 0, 0, 0])
-        c[0] += o
-        c[1] += t
-        c[2] += o > 0
-        c[3] += t > 0
-    weight = {ctx: tuple(d * c[2 + k] / c[k] if c[k] else 1.0 for k in (0, 1)) for ctx, c in total.items()}
-    gain = {}
-    for g in top:
-        below, c, w = shared(g[1:]), total[g[:-1]], weight[g[:-1]]
-        p = [(max(counts[g][k] - d, 0) / c[k] if c[k] else 0.0) + w[k] * below for k in (0, 1)]
-        gain[g] = math.log(p[1] / p[0])
-    return gain, {ctx: math.log(w[1] / w[0]) for ctx, w in weight.items()}
+    followed, times = np.unique(_suffix(grams[grams >> 48 > 1]), return_counts=True)
+    before, of = np.unique(_context(followed), return_inverse=True)
+    mass, kinds = np.bincount(of, weights=times, minlength=len(before)), np.bincount(of, minlength=len(before))
+
+    def shared(wanted: np.ndarray, n: int) -> np.ndarray:
+        if not n:
+            return np.full(len(wanted), 1 / 256)
+        below = shared(_suffix(wanted), n - 1)
+        context = _context(wanted)
+        total, some = _found(before, mass, context)
+        several, _ = _found(before, kinds, context)
+        seen, _ = _found(followed, times, wanted)
+        return np.where(some, (np.maximum(seen - d, 0) + d * several * below) / np.maximum(total, 1), below)
+
+    length = grams >> 48
+    top = (length == order) | ((grams & _BODY) >> 8 * (length - 1) == FIRST[0])
+    order_ = np.argsort(grams[top])
+    grams, counts = grams[top][order_], [c[top][order_].astype(float) for c in (ordinary, toxic)]
+    length = grams >> 48
+    below = np.zeros(len(grams))
+    for n in range(1, order + 1):
+        here = length == n
+        below[here] = shared(_suffix(grams[here]), n - 1)
+    contexts, of = np.unique(_context(grams), return_inverse=True)
+    weights, chances = [], []
+    for c in counts:
+        total = np.bincount(of, weights=c, minlength=len(contexts))
+        several = np.bincount(of, weights=c > 0, minlength=len(contexts))
+        weights.append(np.where(total > 0, d * several / np.maximum(total, 1), 1.0))
+        chances.append(np.where(total[of] > 0, np.maximum(c - d, 0) / np.maximum(total[of], 1), 0.0) + weights[-1][of] * below)
+    return Letters(grams, np.log(chances[1] / chances[0]), contexts, np.log(weights[1] / weights[0]), order)
 
 
 def fit_phrases(counts: dict[bytes, tuple[int, int]], sizes: tuple[int, int], discount: float = PHRASE_DISCOUNT) -> dict[bytes, float]:
@@ -133,15 +164,16 @@ def fit_phrases(counts: dict[bytes, tuple[int, int]], sizes: tuple[int, int], di
     return {g: math.log(t / o) for g, (o, t) in p.items() if t > o}
 
 
-def measure(text: bytes, scores: WordScores, seen: dict[bytes, float], span: int = SPAN) -> tuple[float, float, int, float]:
-    """Highest value per letter of a word, highest of an expression of several words, number of expressions, mean of the words' values."""
-    words = byte_words(text.lower())
-    if not words:
-        return 0.0, 0.0, 1, 0.0
-    values = list(map(scores.__getitem__, words))
-    n = len(words) + sum(len(w) + 1 - WINDOW for w in words if len(w) >= WINDOW)
-    phrase = max(map(seen.get, phrases(words, span), repeat(0.0)), default=0.0) if seen else 0.0
-    return max(values), phrase, n, sum(values) / len(values)
+def chunks(text: bytes, most: int = CHUNK) -> Iterator[list[bytes]]:
+    """Words of a lower-cased text, of about ``most`` bytes at a time; no word is cut."""
+    text, at = text.lower(), 0
+    while len(text) - at > most:
+        end = at + most
+        while end < len(text) and text[end] not in b" \t\n\x0b\x0c\r":
+            end += 1
+        yield byte_words(text[at:end])
+        at = end
+    yield byte_words(text[at:] if at else text)
 
 
 def chance(peaks: np.ndarray, n: np.ndarray) -> tuple[float, float]:
@@ -163,15 +195,18 @@ def beyond(law: tuple[float, float], peak, n):
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, float]:
-    """Slope and intercept of a one-dimensional logistic regression by Newton steps, classes weighted alike."""
+    """Slope and intercept of a one-dimensional logistic regression by Newton steps.
+
+    Every row weighs the same: a score of a half is where both classes are as likely in the sample. Classes weighted alike
+    would flag more ordinary texts the more of the toxic ones can't be told from them.
+    """
     centre, scale = x.mean(), x.std() or 1.0
     z = np.column_stack([(x - centre) / scale, np.ones(len(x))])
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
     beta = np.zeros(2)
     penalty = np.diag([ridge, 1e-6])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-        step = np.linalg.solve((z.T * (weight * p * (1 - p))) @ z + penalty, z.T @ (weight * (y - p)) - penalty @ beta)
+        step = np.linalg.solve((z.T * (p * (1 - p))) @ z + penalty, z.T @ (y - p) - penalty @ beta)
         beta += np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-9:
             break
@@ -179,95 +214,200 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float,
 
 
 class Model:
-    """Parts that travel to the executors: log ratios, laws of chance and the curve. Without both classes the score is constant."""
+    """Parts that travel to the executors: log ratios, laws of chance and the curve. Without both classes the score is constant.
 
-    def __init__(self, gain: dict[bytes, float], backoff: dict[bytes, float], seen: dict[bytes, float], order: int, span: int):
-        self.gain, self.backoff, self.seen, self.order, self.span = gain, backoff, seen, order, span
+    seen: expressions of several words and their log ratios, kept as sorted numbers in the base of their vocabulary.
+    """
+
+    def __init__(self, letters: Letters, seen: dict[bytes, float], span: int):
+        self.letters, self.span = letters, span
+        self.vocabulary = {w: i for i, w in enumerate(sorted({w for g in seen for w in g.split(b" ")}))}
+        self.phrases: list[tuple[np.ndarray, np.ndarray]] = []
+        for n in range(2, span + 1):
+            some = [(self._number([self.vocabulary[w] for w in g.split(b" ")]), v) for g, v in seen.items() if g.count(b" ") == n - 1]
+            keys, values = np.array([k for k, _ in some], dtype=np.int64), np.array([v for _, v in some])
+            order = np.argsort(keys)
+            self.phrases.append((keys[order], values[order]))
         self.laws, self.slope, self.shift = ((0.0, 1.0), (0.0, 1.0)), 0.0, 0.0
-        self._scores: WordScores | None = None
+        self._forget(0)
 
     def __getstate__(self):
-        return self.__dict__ | {"_scores": None}
-
-    def measure(self, text: bytes) -> tuple[float, float, int, float]:
-        if self._scores is None:
-            self._scores = WordScores(self.gain, self.backoff, self.order)
-        return measure(text, self._scores, self.seen, self.span)
-
-    def evidence(self, word, phrase, n):
-        """The more telling of the two peaks, each against chance."""
-        return np.maximum(beyond(self.laws[0], word, n), beyond(self.laws[1], phrase, n))
-
-    def score(self, text: bytes) -> tuple[float, float, float]:
-        word, phrase, n, mean = self.measure(text)
-        peak = float(self.evidence(word, phrase, n))
-        return 1 / (1 + math.exp(-min(30.0, max(-30.0, self.slope * peak + self.shift)))), peak, mean
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._forget(0)
+
+    def _number(self, ids):
+        out = 0
+        for i in ids:
+            out = out * len(self.vocabulary) + i
+        return out
+
+    def _forget(self, needed: int) -> None:
+        """Room for the words that are remembered, by row: value, place in the vocabulary, runs of letters that are compared."""
+        rows = max(needed, REMEMBERED if needed else 0)
+        self._known: dict[bytes, int] = {}
+        self._bytes = 0
+        self._value, self._place, self._runs = np.zeros(rows), np.zeros(rows, dtype=np.int64), np.zeros(rows, dtype=np.int64)
+
+    def _rows(self, words: list[bytes]) -> np.ndarray:
+        """Rows of the words; those that aren't remembered are worked out."""
+        distinct = set(words)
+        new = [w for w in distinct if w not in self._known]
+        self._bytes += sum(map(len, new))
+        if len(self._known) + len(new) > len(self._value) or self._bytes > REMEMBERED_BYTES:
+            self._forget(len(distinct))
+            new = list(distinct)
+        at = len(self._known)
+        for a, b in steps(new, LETTERS):
+            self._value[at + a : at + b] = self.letters.values(new[a:b])
+        here = slice(at, at + len(new))
+        self._place[here] = np.fromiter(map(self.vocabulary.get, new, repeat(-1)), np.int64, len(new))
+        self._runs[here] = np.maximum(np.fromiter(map(len, new), np.int64, len(new)) + 2 - WINDOW, 1)
+        self._known.update(zip(new, range(at, at + len(new))))
+        return np.fromiter(map(self._known.__getitem__, words), np.int64, len(words))
+
+    def _best_phrases(self, place: np.ndarray, text: np.ndarray, best: np.ndarray) -> None:
+        """Raise each text's best value to that of its best expression; place, text: vocabulary and text of each word."""
+        number, inside = place, place >= 0
+        for n, (keys, values) in enumerate(self.phrases, start=2):
+            number = number[:-1] * len(self.vocabulary) + place[n - 1 :]
+            inside = inside[:-1] & (place[n - 1 :] >= 0) & (text[: len(text) - n + 1] == text[n - 1 :])
+            at = np.nonzero(inside)[0]
+            gain, hit = _found(keys, values, number[at])
+            np.maximum.at(best, text[at[hit]], gain[hit])
+
+    def measure(self, texts: list[bytes]) -> np.ndarray:
+        """For each text: highest value of a word, highest of an expression of several words, number of expressions, mean of the words' values."""
+        out = np.zeros((len(texts), 4))
+        for a, b in steps(texts, CHUNK):
+            if len(texts[a]) > CHUNK:  # alone, piece by piece
+                best, total, n, size, phrase, tail = -math.inf, 0.0, 0, 0, np.zeros(1), np.zeros(0, dtype=np.int64)
+                for words in chunks(texts[a]):
+                    rows = self._rows(words)
+                    value, place = self._value[rows], np.concatenate([tail, self._place[rows]])
+                    best, total = max(best, value.max(initial=-math.inf)), total + value.sum()
+                    n, size = n + self._runs[rows].sum(), size + len(words)
+                    self._best_phrases(place, np.zeros(len(place), dtype=np.int64), phrase)
+                    tail = place[max(0, len(place) - self.span + 1) :]
+                out[a] = (best, phrase[0], n, total / size) if size else (0, 0, 0, 0)
+                continue
+            lists = [byte_words(t.lower()) for t in texts[a:b]]
+            sizes = np.array([len(x) for x in lists])
+            some = np.nonzero(sizes)[0]
+            if not len(some):
+                continue
+            rows = self._rows([w for words in lists for w in words])
+            starts = (np.cumsum(sizes) - sizes)[some]
+            value = self._value[rows]
+            out[a + some, 0], out[a + some, 3] = np.maximum.reduceat(value, starts), np.add.reduceat(value, starts) / sizes[some]
+            out[a + some, 2] = np.add.reduceat(self._runs[rows], starts)
+            phrase = np.zeros(b - a)
+            self._best_phrases(self._place[rows], np.repeat(np.arange(b - a), sizes), phrase)
+            out[a:b, 1] = phrase
+        out[:, 2] = np.maximum(out[:, 2], 1)
+        return out
+
+    def evidence(self, found: np.ndarray) -> np.ndarray:
+        """The more telling of the two peaks in each row of measure(), each against chance."""
+        return np.maximum(beyond(self.laws[0], found[:, 0], found[:, 2]), beyond(self.laws[1], found[:, 1], found[:, 2]))
+
+    def scores(self, texts: list[bytes]) -> np.ndarray:
+        """Rows of score, peak against chance, mean."""
+        found = self.measure(texts)
+        peak = self.evidence(found)
+        return np.column_stack([1 / (1 + np.exp(-np.clip(self.slope * peak + self.shift, -30, 30))), peak, found[:, 3]])
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS, order: int = ORDER, span: int = SPAN) -> Model:
     """Fit on at most ``most`` labelled documents of each class outside the held-out fold.
 
-    Three of four give the counts, the others (all, where a class has under 40) the curve. The n-gram counts are summed
-    on the executors; only sums over the bounded sample reach the driver.
+    Three of four give the counts, the others (all, where a class has under 40) the curve. The counts are summed on the
+    executors; only sums over the bounded sample reach the driver, as columns.
     """
     spark = docs.sparkSession
     rows = labelled(docs, sample(labels, "toxic", fold(F.col("doc_id"), HELD_PARTS) != HELD, most))
     rows = rows.select("text", "y", (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)) == 0).alias("aside"))
 
+    def counted(part: int, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        words: Counter[bytes] = Counter()
+        several: Counter[bytes] = Counter()
+        for text in texts:
+            tail: list[bytes] = []
+            for line in chunks(text):
+                words.update(line)
+                line = tail + line
+                several.update(phrases(line, span))
+                tail = line[1 - span :] if span > 1 else []  # no expression of these alone is counted again: see below
+                if len(tail) > 1:
+                    several.subtract(phrases(tail, span))
+            if len(tail) > 1:
+                several.update(phrases(tail, span))
+        codes, times = [], []
+        every = list(words)
+        for a, b in steps(every, LETTERS):
+            place, starts, grams = packed(every[a:b], order)
+            n = np.repeat([words[w] for w in every[a:b]], [len(w) + 2 for w in every[a:b]])
+            for row in grams:
+                found, of = np.unique(row[row >= 0], return_inverse=True)
+                codes.append(found)
+                times.append(np.bincount(of, weights=n[row >= 0], minlength=len(found)).astype(np.int64))
+        for code, n in zip(codes, times):
+            yield made(part, code, None, n)
+        several = +several
+        if several:
+            yield made(part, None, list(several), np.array(list(several.values())))
+        yield made(part, None, [None], np.array([words.total()]))
+        yield made(part + 4, None, [None], np.array([len(texts)]))
+
+    def made(part: int, code: np.ndarray | None, phrase: list[bytes | None] | None, n: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array(code) if code is not None else pa.nulls(len(n), pa.int64()), pa.array(phrase, pa.binary()) if phrase else pa.nulls(len(n), pa.binary())]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([part] * len(n), pa.int32()), pa.array(n, pa.int64())], names=["gram", "phrase", "part", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: Counter[tuple[bytes, int]] = Counter()
-            for y, aside in ((0, False), (1, False), (0, True), (1, True)):
-                words: Counter[bytes] = Counter()
-                total = 0
-                for text, label, out in zip(text_bytes(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    if label == y and out == aside:
-                        line = byte_words(text.lower())
-                        words.update(line)
-                        total += len(line)
-                        for g in phrases(line, span):
-                            found[g, y + 2 * aside] += 1
-                for word, n in words.items():
-                    for g in grams(word, order):
-                        found[g, y + 2 * aside] += n
-                if total:
-                    found[b"", y + 2 * aside] = total
-            keys = list(found)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([g for g, _ in keys], pa.binary()), pa.array([k for _, k in keys], pa.int32()), pa.array([found[k] for k in keys], pa.int64())],
-                names=["gram", "part", "n"],
-            )
-
-    sizes = {(r["y"], r["aside"]): r["n"] for r in rows.groupBy("y", "aside").agg(F.count("*").alias("n")).collect()}
-    classes = [sizes.get((y, False), 0) + sizes.get((y, True), 0) for y in (0, 1)]
+        for batch in sliced(batches):
+            texts, kind = text_bytes(batch.column(0)), [y + 2 * a for y, a in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            for part in range(4):
+                if some := [t for t, k in zip(texts, kind) if k == part]:
+                    yield from counted(part, some)
+
+    sums = [F.sum(F.when(F.col("part") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(8)]
+    table = mapped(rows, count, "gram long, phrase binary, part int, n long").groupBy("gram", "phrase").agg(*sums)
+    often = F.col("phrase").isNull() | (F.col("n0") + F.col("n1") + F.col("n2") + F.col("n3") >= PHRASE_LEAST)
+    table = table.where(often).toArrow().combine_chunks()
+    n = np.column_stack([table.column(f"n{k}").to_numpy() for k in range(8)]) if table.num_rows else np.zeros((0, 8), dtype=np.int64)
+    gram, phrase = (table.column(k).combine_chunks() if table.num_rows else pa.array([], (pa.int64(), pa.binary())[k]) for k in range(2))
+    no_gram, no_phrase = (c.is_null().to_numpy(zero_copy_only=False) for c in (gram, phrase))
+    words, sizes = n[no_gram & no_phrase, :4].sum(axis=0), n[no_gram & no_phrase, 4:].sum(axis=0)
+    classes = [int(sizes[y] + sizes[y + 2]) for y in (0, 1)]
+    none = np.zeros(0, dtype=np.int64)
     if not min(classes):
-        model = Model({}, {}, {}, order, span)
+        model = Model(fit_letters(none, none, none, order), {}, span)
         model.shift = 30.0 if classes[1] else -30.0
         return model
-    both = min(classes) < 40 or not all(sizes.get((y, a), 0) for y in (0, 1) for a in (False, True))
-    parts = {0: (0, 2), 1: (1, 3)} if both else {0: (0,), 1: (1,)}
-    sums = [F.sum(F.when(F.col("part").isin(*parts[y]), F.col("n")).otherwise(0)).alias(f"n{y}") for y in (0, 1)]
-    table = rows.mapInArrow(count, "gram binary, part int, n long").groupBy("gram").agg(*sums)
-    often = F.when(F.col("gram").contains(F.lit(b" ")), PHRASE_LEAST).otherwise(1)
-    table = table.where(F.col("n0") + F.col("n1") >= often).toArrow()
-    counts = {g: (o, t) for part in table.to_batches(1 << 16) for g, o, t in zip(*(c.to_pylist() for c in part.columns), strict=True)}
-    del table
-    words = counts.pop(b"", (0, 0))
-    several = {g: counts.pop(g) for g in [g for g in counts if b" " in g]}
-    model = Model(*fit_counts(counts, order), fit_phrases(several, words), order, span)
-    del counts, several
+    both = min(classes) < 40 or not sizes.all()
+    of = lambda rows, y: rows[..., y] + (rows[..., y + 2] if both else 0)
+    letters = n[~no_gram]
+    used = of(letters, 0) + of(letters, 1) > 0
+    letters, gram = letters[used], gram.filter(pa.array(~no_gram)).to_numpy()[used]
+    several = n[~no_phrase]
+    chosen = [(g, int(of(r, 0)), int(of(r, 1))) for g, r in zip(phrase.filter(pa.array(~no_phrase)).to_pylist(), several)]
+    chosen = {g: (o, t) for g, o, t in chosen if o + t >= PHRASE_LEAST}
+    model = Model(fit_letters(gram, of(letters, 0), of(letters, 1), order), fit_phrases(chosen, (int(of(words, 0)), int(of(words, 1)))), span)
+    del table, n, letters, several, chosen
     draft = spark.sparkContext.broadcast(model)
 
     def peaks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            found = [draft.value.measure(t)[:3] for t in text_bytes(batch.column(0))]
-            columns = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.float64(), pa.float64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(1), *columns], names=["y", "word", "phrase", "n"])
-
-    seen = (rows if both else rows.where("aside")).mapInArrow(peaks, "y int, word double, phrase double, n long").toArrow()
-    y, word, phrase, n = (c.to_numpy() for c in seen.columns)
-    model.laws = (chance(word[y == 0], n[y == 0]), chance(phrase[y == 0], n[y == 0]))
-    model.slope, model.shift = logistic(model.evidence(word, phrase, n), y)
+            found = draft.value.measure(text_bytes(batch.column(0)))
+            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(found[:, k]) for k in range(4))], names=["y", "word", "phrase", "n", "mean"])
+
+    seen = mapped(rows if both else rows.where("aside"), peaks, "y int, word double, phrase double, n double, mean double").toArrow()
+    draft.destroy()
+    y, found = seen.column(0).to_numpy(), np.column_stack([c.to_numpy() for c in seen.columns[1:]])
+    model.laws = (chance(found[y == 0, 0], found[y == 0, 2]), chance(found[y == 0, 1], found[y == 0, 2]))
+    model.slope, model.shift = logistic(model.evidence(found), y)
     return model
 
 
@@ -277,12 +417,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            found = [shipped.value.score(t) for t in text_bytes(batch.column(1))]
-            columns = [pa.array([x[k] for x in found], pa.float64()) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "score", "peak", "mean_llr"])
+            found = shipped.value.scores(text_bytes(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[:, k]) for k in range(3))], names=["doc_id", "score", "peak", "mean_llr"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double, peak double, mean_llr double")
+    return mapped(rows, run, "doc_id long, score double, peak double, mean_llr double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> DataFrame:
@@ -297,12 +436,12 @@ def classify(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Dat
 
 
 def keep_ordinary(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents, all columns, that score under the threshold: a filter in the scan's own stage."""
+    """The documents, all columns, that score under the threshold: slices go in and filtered slices come out, no shuffle."""
     shipped = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    at = docs.columns.index("text")
 
-    @F.arrow_udf("double")
-    def toxic(text: pa.Array) -> pa.Array:
-        parts = (text.slice(i, 1024) for i in range(0, len(text), 1024))
-        return pa.array([shipped.value.score(t)[0] for part in parts for t in text_bytes(part)], pa.float64())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            yield batch.filter(pa.array(shipped.value.scores(text_bytes(batch.column(at)))[:, 0] < threshold))
 
-    return docs.where(toxic(F.col("text").cast("string")) < threshold)
+    return mapped(docs, run, docs.schema)
