@@ -2,8 +2,9 @@
 
 A fingerprint bit is the majority of that bit over the XXH64 values of a text's 3-word shingles. Fingerprints that
 differ in at most three bits agree on at least one of their four 16-bit blocks, so tiles are cut inside groups that
-share a block; no other pair can link. Within and between tiles numpy compares every pair by exclusive-or and bit
-counts, and passes over blocks of a tile whose population counts differ beyond the radius.
+share a block; no other pair can link. A group's fingerprints lie in its tiles by their population counts, and two tiles
+are paired only as far as their counts are within the radius of each other: other pairs of tiles are never shipped. Within
+and between tiles numpy compares every pair by exclusive-or and bit counts, and passes over blocks of a tile in the same way.
 """
 
 from __future__ import annotations
@@ -13,10 +14,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import apart, byte_words, cut, sliced, text_bytes
+from tessella.llm.common import apart, byte_words, cut, mapped, sliced, text_bytes, without_ids
 from tessella.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -56,7 +57,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return mapped(rows, run, "doc_id long, fp long")
 
 
 def _forest(n: int, left: np.ndarray, right: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
@@ -96,18 +97,24 @@ def tile_links(values: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]
 def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``a``, ``b``: links enough to connect all fingerprints (column ``fp``, distinct) within the radius.
 
-    A group that shares a block value is one tile while it fits; a larger one is dealt into tiles by hash and every
-    pair of its tiles is compared as a group of its own, so no task gathers more than two tiles.
+    A group that shares a block value is laid out by population count and cut into tiles of TILE places. A fingerprint goes
+    to its own tile and to those where counts within the radius of its own lie; what has no other fingerprint there goes
+    nowhere. Each pair of tiles is a group of its own, so no task gathers more than two tiles.
     """
     if radius != RADIUS:
         raise ValueError("four blocks are exact for a radius of 3")
     rows = distinct.select(
-        "fp", F.posexplode(F.array(*[F.shiftrightunsigned("fp", 16 * k).bitwiseAND(0xFFFF) for k in range(4)])).alias("band", "value")
+        "fp", F.bit_count("fp").alias("ones"), F.posexplode(F.array(*[F.shiftrightunsigned("fp", 16 * k).bitwiseAND(0xFFFF) for k in range(4)])).alias("band", "value")
     )
-    cells = rows.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
-    cells = cells.select("band", "value", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-    dealt = rows.join(apart(cells), ["band", "value"]).withColumn("own", F.pmod(F.xxhash64("fp", "band"), F.col("tiles")).cast("int"))
-    dealt = dealt.select("fp", "band", "value", "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    group = Window.partitionBy("band", "value").orderBy("ones")
+    cells = rows.groupBy("band", "value", "ones").agg(F.count("*").alias("n"))  # at most 65 rows in a group
+    cells = cells.withColumn("end", F.sum("n").over(group)).withColumn("start", F.col("end") - F.col("n"))
+    cells = cells.withColumn("low", F.min("start").over(group.rangeBetween(-radius, 0))).withColumn("high", F.max("end").over(group.rangeBetween(0, radius)))
+    cells = cells.where("high - low > 1").select("band", "value", "ones", "n", "start", "low", "high")
+    dealt = rows.join(apart(cells), ["band", "value", "ones"])
+    tile = lambda place: F.floor(place / TILE).cast("int")
+    own = tile(F.col("start") + F.pmod(F.xxhash64("fp", "band"), F.col("n")))
+    dealt = dealt.select("fp", "band", "value", own.alias("own"), F.explode(F.sequence(tile(F.col("low")), tile(F.col("high") - 1))).alias("other"))
     groups = dealt.groupBy("band", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     groups = groups.agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1").select("fps")
 
@@ -126,7 +133,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
             pairs = np.array(found, dtype=np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return groups.mapInArrow(run, "a long, b long")
+    return mapped(groups, run, "a long, b long")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,5 +158,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows that repeat a kept doc_id stay, and so do rows without a doc_id, as they can't be told from one another by it.
     """
-    gone = simhash_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(apart(gone), docs["doc_id"] == F.col("gone_id"), "left_anti")
+    return without_ids(docs, simhash_components(docs).where("doc_id <> component_id"))
