@@ -17,11 +17,12 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import apart, byte_words, dropped, sliced, steps, stored, text_bytes
+from tessella.llm.common import apart, byte_words, dropped, fresh, mapped, sliced, steps, stored, text_bytes
 
 WINDOW, ANCHOR = 20, 6
 _BASE, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -83,7 +84,7 @@ def _paths_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
 
 
 def _all_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         texts = text_bytes(batch.column(1))
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for a, b in steps(texts):
@@ -116,7 +117,7 @@ def covered(texts: DataFrame) -> DataFrame:
     texts: ``doc_id`` not null, ``text``. Keys that many rows share are reduced by partial aggregates, and their joins
     are of the kind whose partitions Spark splits; each step is written to the shared folder.
     """
-    occurrences = stored(texts.mapInArrow(_all_paths, _PATHS), "paths")
+    occurrences = stored(mapped(texts, _all_paths, _PATHS), "paths")
     again = occurrences.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
     repeated = stored(occurrences.join(apart(again), "anchor", "left_semi"), "repeated")
     dropped(occurrences)
@@ -128,13 +129,14 @@ def covered(texts: DataFrame) -> DataFrame:
     branches = firsts.join(apart(branching), "anchor", "left_semi").select("first.doc_id", "first.start", "n", "anchor")
     wanted = branches.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "anchor")).alias("wanted"))
     windows = stored(
-        texts.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_branch_windows, "window long, anchor long, doc_id long, start int"), "windows"
+        mapped(texts.join(wanted, "doc_id").select("doc_id", "text", "wanted"), _branch_windows, "window long, anchor long, doc_id long, start int"), "windows"
     )
     known = firsts.where("times > 1").select("anchor", "path", "first")
     spans = repeated.join(known, ["anchor", "path"]).where(F.struct("doc_id", "start") != F.col("first")).select("doc_id", "start", "n")
     least = windows.groupBy("window", "anchor").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("times"))
     single = windows.join(apart(least.where("times > 1")), ["window", "anchor"]).where(F.struct("doc_id", "start") != F.col("first"))
     both = spans.unionAll(single.select("doc_id", "start", F.lit(1).alias("n")))
+    both = both.groupBy("doc_id", "start").agg(F.max("n").alias("n"))  # an id that repeats finds its spans as often
     out = stored(both.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "spans")
     for table in (repeated, firsts, windows):
         dropped(table)
@@ -177,42 +179,50 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     joined = texts.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return mapped(joined, run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+def _cut_lines(raw: bytes, keep: np.ndarray) -> bytes:
+    """The kept words of each line joined by a space; lines left without words go."""
+    lines, done = [], 0
+    for line in raw.split(b"\n"):
+        words = byte_words(line)
+        left = list(compress(words, keep[done : done + len(words)].tolist()))
+        done += len(words)
+        if left:
+            lines.append(b" ".join(left))
+    return b"\n".join(lines)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents, all columns, with repeated passages cut from ``text`` (and ``n_chars`` brought up to date).
 
     A text that loses nothing stays as it is; of others, the kept words of each line are joined by a space and lines
-    left without words go.
+    left without words go. Rows without a doc_id stay as they are.
     """
     _, spans = _with_spans(docs, "doc_id", "text")
-    spans = spans.select(F.col("doc_id").alias("of_doc"), "spans")
-
-    @F.arrow_udf("string")
-    def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
-        out = []
-        for t, raw, part in zip(text, text_bytes(text), spans):
-            keep = _kept(len(byte_words(raw)), part.values)
-            if keep is None:
-                out.append(t.as_py())
-                continue
-            lines, done = [], 0
-            for line in raw.split(b"\n"):
-                words = byte_words(line)
-                left = list(compress(words, keep[done : done + len(words)].tolist()))
-                done += len(words)
-                if left:
-                    lines.append(b" ".join(left))
-            out.append(b"\n".join(lines).decode())
-        return pa.array(out, pa.string())
-
-    new = {"text": cut(docs["text"].cast("string"), spans["spans"])}
-    joined = docs.join(spans, docs["doc_id"] == spans["of_doc"], "left")
-    if "n_chars" in docs.columns:
-        count = F.when(spans["spans"].isNull(), docs["n_chars"]).otherwise(F.length(new["text"]))
-        new["n_chars"] = count.cast(docs.schema["n_chars"].dataType)
-    return joined.select(*(new[c].alias(c) if c in new else docs[c] for c in docs.columns))
+    of_doc = fresh(docs, "of_doc")
+    spans = spans.select(F.col("doc_id").alias(of_doc), F.col("spans").alias(of_doc + "_spans"))
+    joined = docs.join(spans, docs["doc_id"].cast("long") == spans[of_doc], "left")
+    joined = joined.select(F.struct(*(docs[c] for c in docs.columns)).alias("document"), spans[of_doc + "_spans"].alias("spans"))
+    at, size = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 512):
+            columns = batch.column(0).flatten()
+            names = [batch.column(0).type.field(k).name for k in range(len(columns))]
+            raw, spans_ = text_bytes(columns[at]), batch.column(1)
+            keep = [_kept(len(byte_words(t)), part.values) if part.is_valid else None for t, part in zip(raw, spans_)]
+            new = [t if k is None else _cut_lines(t, k) for t, k in zip(raw, keep)]
+            known = columns[at].is_valid().to_pylist()
+            text = pa.array([t.decode() if ok else None for t, ok in zip(new, known)], pa.string())
+            columns[at] = text
+            if size >= 0:
+                changed = pa.array([k is not None for k in keep], pa.bool_())
+                columns[size] = pc.if_else(changed, pc.utf8_length(text).cast(columns[size].type), columns[size])
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return mapped(joined, run, docs.schema)
 
 
 #: The same rows in SQL, for tables of moderate size.
