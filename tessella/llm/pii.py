@@ -14,10 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import sliced, text_bytes
+from tessella.llm.common import mapped, sliced, text_bytes
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -394,7 +395,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return mapped(rows, run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 def mask(text: bytes, spans: list[tuple[int, int, int]]) -> bytes:
@@ -407,16 +408,21 @@ def mask(text: bytes, spans: list[tuple[int, int, int]]) -> bytes:
     return b"".join([*out, text[done:]])
 
 
-def masked_text(docs: DataFrame, text: Column) -> Column:
-    """The text column with personal data masked; a null stays null."""
+def masked(docs: DataFrame) -> DataFrame:
+    """The documents, all columns, with personal data in ``text`` masked and ``n_chars``, where there is one, brought up to date; a null text stays null."""
     field = docs.sparkSession.sparkContext.broadcast(train())
+    at, size = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
 
-    @F.arrow_udf("string")
-    def run(column: pa.Array) -> pa.Array:
-        texts = text_bytes(column)
-        base = [base_spans(t) for t in texts]
-        more = added_spans(texts, base, field.value)
-        known = column.is_valid().to_pylist()
-        return pa.array([mask(t, b + m).decode() if ok else None for t, b, m, ok in zip(texts, base, more, known)], pa.string())
-
-    return run(text.cast("string"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 512):
+            texts = text_bytes(batch.column(at))
+            base = [base_spans(t) for t in texts]
+            more = added_spans(texts, base, field.value)
+            known = batch.column(at).is_valid().to_pylist()
+            new = pa.array([mask(t, b + m).decode() if ok else None for t, b, m, ok in zip(texts, base, more, known)], pa.string())
+            batch = batch.set_column(at, batch.schema.field(at).with_type(pa.string()), new)
+            if size >= 0:
+                batch = batch.set_column(size, batch.schema.field(size), pc.utf8_length(new).cast(batch.schema.field(size).type))
+            yield batch
+
+    return mapped(docs, run, docs.schema)
