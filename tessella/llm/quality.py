@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import byte_words, sliced, text_bytes
+from tessella.llm.common import byte_words, mapped, sliced, text_bytes
 from tessella.llm.labelled import fold, labelled, sample
 
 #: Labelled documents of each class that a model is fitted on at most.
@@ -61,6 +61,14 @@ def statistics(text: bytes) -> list[float]:
     return [math.log1p(n), math.log(inside / n), math.log1p(n / max(1, len(lines))), *map(math.sqrt, shares)]
 
 
+def solved(factor: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Each row through the inverse of a lower triangular factor, by forward substitution."""
+    out = np.zeros_like(rows)
+    for i in range(len(factor)):
+        out[:, i] = (rows[:, i] - out[:, :i] @ factor[i, :i]) / factor[i, i]
+    return out
+
+
 class Model:
     """Means, Cholesky factors and log-determinants of the two classes. Without both classes the score is constant."""
 
@@ -79,14 +87,13 @@ class Model:
         eye = 1e-3 * np.eye(len(pooled))
         shrunk = [(1 - TO_POOLED) * scatter[c] / max(1, counts[c] - 1) + TO_POOLED * pooled + eye for c in (0, 1)]
         self.factors = [np.linalg.cholesky(s) for s in shrunk]
-        self.inverses = [np.linalg.inv(f) for f in self.factors]
         self.logdets = [2 * np.log(np.diag(f)).sum() for f in self.factors]
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         if self.constant is not None or not len(x):
             return np.full(len(x), self.constant if self.constant is not None else 0.5)
         z = (x - self.centre) / self.scale
-        density = [-0.5 * (((z - self.means[c]) @ self.inverses[c].T) ** 2).sum(axis=1) - 0.5 * self.logdets[c] for c in (0, 1)]
+        density = [-0.5 * (solved(self.factors[c], z - self.means[c]) ** 2).sum(axis=1) - 0.5 * self.logdets[c] for c in (0, 1)]
         return 1 / (1 + np.exp(-np.clip(density[1] - density[0], -30, 30)))
 
 
@@ -100,7 +107,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Model:
             found = [statistics(t) for t in text_bytes(batch.column(0))]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.float64()))], names=["y", "x"])
 
-    got = rows.select("text", "y").mapInArrow(run, "y int, x array<double>").toArrow()
+    got = mapped(rows.select("text", "y"), run, "y int, x array<double>").toArrow()
     x = np.array(got.column(1).to_pylist(), dtype=float).reshape(-1, len(STATISTICS))
     return Model(x, got.column(0).to_numpy())
 
@@ -119,6 +126,6 @@ def classify(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.value.scores(x))], names=["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInArrow(run, "doc_id long, score double")
+    out = mapped(rows, run, "doc_id long, score double")
     held = F.coalesce(fold(F.col("doc_id"), HELD_PARTS) == HELD, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
