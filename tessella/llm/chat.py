@@ -1,7 +1,9 @@
 """Multi-party dialogues rendered from every participant's side.
 
 For each participant the whole dialogue is written with that speaker as the assistant and all others as named users;
-only the assistant's words carry training loss. Masks are run lengths over the characters of the rendering.
+only the assistant's words carry training loss. Masks are run lengths over the characters of the rendering. Every turn has
+a place in the order of its dialogue, found by one sort over all dialogues, and every PART_TURNS places are a part,
+whatever a dialogue's size or numbering. Marks in what speakers say are escaped, so that nobody can write another's turn.
 """
 
 from __future__ import annotations
@@ -13,9 +15,26 @@ from tessella.llm.common import apart, cut
 
 #: Speakers that set the scene and take no side.
 NARRATORS = ("system",)
-#: Turn numbers in one part of a dialogue, and rows of a part that one split takes.
-PART_TURNS, PART_ROWS = 64, 4096
+#: Turns of a dialogue in one row of the result.
+PART_TURNS = 4096
 END = "<|end|>\n"
+# What opens a mark and what closes one, each with the back slashes it has been given already.
+_OPENS, _CLOSES = r"<(\\*)\|", r"\|(\\*)>"
+
+
+def escaped(said: Column) -> Column:
+    """Text in which no mark can begin: ``<|`` gets a back slash inside, and one more where it has some, so that taking one off gives the text back."""
+    return F.regexp_replace(F.coalesce(said, F.lit("")), _OPENS, r"<\\$1|")
+
+
+def plain(said: Column) -> Column:
+    """The text that was escaped."""
+    return F.regexp_replace(said, r"<\\(\\*)\|", "<$1|")
+
+
+def escaped_name(name: Column) -> Column:
+    """A name that neither begins a mark nor ends the one it stands in."""
+    return F.regexp_replace(escaped(name), _CLOSES, r"|\\$1>")
 
 
 def _head(turn: Column, side: Column) -> Column:
@@ -23,83 +42,73 @@ def _head(turn: Column, side: Column) -> Column:
     return (
         F.when(name.isin(*NARRATORS), F.concat(F.lit("<|"), name, F.lit("|>\n")))
         .when(turn["speaker"] == side, F.lit("<|assistant|>\n"))
-        .otherwise(F.concat(F.lit("<|user name="), name, F.lit("|>\n")))
+        .otherwise(F.concat(F.lit("<|user name="), escaped_name(name), F.lit("|>\n")))
     )
 
 
-def ranges(hot: DataFrame, n: int) -> DataFrame:
-    """The n rows of hot parts with ``split``, which counts ranges of PART_ROWS rows of a part in order.
+def placed(rows: DataFrame) -> DataFrame:
+    """``rows`` (``conv_id``, ``turn``, ``speaker``, ``text``, distinct) with ``place``, from 0, and ``total`` of the dialogue.
 
-    A sort over all of them deals even one part among many tasks; a row's place is that within its task and the rows
-    of the part in the tasks before.
+    One sort by dialogue and turn deals all rows, even those of one dialogue, evenly among tasks; a row's place is that
+    within its task and the rows of the dialogue in the tasks before, of which there is a count for each task.
     """
     order = ["turn", "speaker", "text"]
-    tasks = max(int(hot.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // PART_ROWS))
-    dealt = cut(hot.repartitionByRange(tasks, "conv_id", "part", *order).withColumn("task", F.spark_partition_id()))
-    held = dealt.groupBy("conv_id", "part", "task").agg(F.count("*").alias("held"))
-    earlier = F.sum("held").over(Window.partitionBy("conv_id", "part").orderBy("task")) - F.col("held")
-    earlier = held.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.col("task").alias("k"), earlier.alias("earlier"))
-    place = F.row_number().over(Window.partitionBy("conv_id", "part", "task").orderBy(*order)) - 1
-    placed = dealt.withColumn("place", place).join(
-        apart(earlier), F.col("conv_id").eqNullSafe(F.col("c")) & F.col("part").eqNullSafe(F.col("p")) & (F.col("task") == F.col("k"))
-    )
-    return placed.select("conv_id", "part", F.floor((F.col("earlier") + F.col("place")) / PART_ROWS).cast("int").alias("split"), *order)
+    dealt = cut(rows.repartitionByRange("conv_id", *order).withColumn("task", F.spark_partition_id()))
+    held = dealt.groupBy("conv_id", "task").agg(F.count("*").alias("held"))
+    same = Window.partitionBy("conv_id")
+    earlier = held.select(
+        F.col("conv_id").alias("c"), F.col("task").alias("k"),
+        (F.sum("held").over(same.orderBy("task")) - F.col("held")).alias("earlier"), F.sum("held").over(same).alias("total"),
+    )
+    within = F.row_number().over(Window.partitionBy("conv_id", "task").orderBy(*order)) - 1
+    found = dealt.withColumn("within", within).join(apart(earlier), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("task") == F.col("k")))
+    return found.select("conv_id", *order, (F.col("earlier") + F.col("within")).alias("place"), "total")
 
 
 def perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text") -> DataFrame:
-    """``conv_id``, ``perspective``, ``part``, ``split``, ``n_turns``, ``rendered``, ``mask`` for each participant and part.
+    """``conv_id``, ``perspective``, ``part``, ``first_turn``, ``n_turns``, ``total_turns``, ``rendered``, ``mask`` for each participant and part.
 
     mask is ``characters:learn`` runs, comma-joined, learn 1 on what the assistant says with its end mark. Turns are in
-    the order of (turn, speaker, text), nulls first; a null text is empty, a null speaker is a user without a name and no
-    participant, a null dialogue or turn number is a group like others. Rows that repeat exactly are one turn. A
-    dialogue is cut into parts of PART_TURNS turn numbers; a part of more than PART_ROWS rows (a key that holds a large
-    share of the table) is cut into splits of PART_ROWS rows in that order, so no task gathers more, and parts and splits
-    one after another are the dialogue. A dialogue of narrators only gives no row.
+    the order of (turn, speaker, text), nulls first, and numbered from 0; a part is PART_TURNS of them in a row, from
+    ``first_turn`` on, so parts one after another are the dialogue. A null text is empty, a null speaker is a user without
+    a name and no participant, a null dialogue or turn number is a group like others. Rows that repeat exactly are one
+    turn. A dialogue of narrators only gives no row, an empty table none.
     """
     rows = turns.select(
         F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(speaker_col).cast("string").alias("speaker"), F.col(text_col).cast("string").alias("text")
     ).distinct()
-    rows = rows.withColumn("part", F.floor(F.col("turn") / PART_TURNS))
-    large = cut(rows.groupBy("conv_id", "part").agg(F.count("*").alias("rows")).where(F.col("rows") > PART_ROWS))
-    n = large.agg(F.sum("rows")).first()[0] or 0
-    dealt = rows.withColumn("split", F.lit(0))
-    if n:
-        keys = large.select(F.col("conv_id").alias("c"), F.col("part").alias("p"))
-        same = dealt["conv_id"].eqNullSafe(keys["c"]) & dealt["part"].eqNullSafe(keys["p"])
-        hot = rows.join(keys, rows["conv_id"].eqNullSafe(keys["c"]) & rows["part"].eqNullSafe(keys["p"]), "left_semi")
-        dealt = dealt.join(keys, same, "left_anti").unionByName(ranges(hot, n))
-    parts = dealt.groupBy("conv_id", "part", "split").agg(F.sort_array(F.collect_list(F.struct("turn", "speaker", "text"))).alias("turns"))
+    parts = placed(rows).withColumn("part", F.floor(F.col("place") / PART_TURNS)).groupBy("conv_id", "part")
+    parts = parts.agg(F.sort_array(F.collect_list(F.struct("place", "speaker", "text"))).alias("turns"), F.first("total").alias("total"))
     sides = rows.where(F.col("speaker").isNotNull() & ~F.col("speaker").isin(*NARRATORS)).select(F.col("conv_id").alias("c"), F.col("speaker").alias("perspective")).distinct()
     faced = parts.join(sides, parts["conv_id"].eqNullSafe(sides["c"]))
-    said = lambda t: F.concat(F.coalesce(t["text"], F.lit("")), F.lit(END))
+    said = lambda t: F.concat(escaped(t["text"]), F.lit(END))
     side = F.col("perspective")
+    written = F.transform("turns", lambda t: F.struct(_head(t, side).alias("head"), said(t).alias("said"), F.coalesce(t["speaker"] == side, F.lit(False)).alias("own")))
+    rendered = faced.select("conv_id", "perspective", "part", "turns", "total", written.alias("w"))
     runs = F.transform(
-        "turns",
-        lambda t: F.concat(
-            F.length(_head(t, side)).cast("string"), F.lit(":0,"), F.length(said(t)).cast("string"), F.when(F.coalesce(t["speaker"] == side, F.lit(False)), ":1").otherwise(":0")
-        ),
+        "w", lambda t: F.concat(F.length(t["head"]).cast("string"), F.lit(":0,"), F.length(t["said"]).cast("string"), F.when(t["own"], ":1").otherwise(":0"))
     )
-    return faced.select(
-        "conv_id", "perspective", "part", "split", F.size("turns").cast("long").alias("n_turns"),
-        F.array_join(F.transform("turns", lambda t: F.concat(_head(t, side), said(t))), "").alias("rendered"),
-        F.array_join(runs, ",").alias("mask"),
+    return rendered.select(
+        "conv_id", "perspective", "part", F.get("turns", F.lit(0))["place"].alias("first_turn"), F.size("turns").cast("long").alias("n_turns"), F.col("total").alias("total_turns"),
+        F.array_join(F.transform("w", lambda t: F.concat(t["head"], t["said"])), "").alias("rendered"), F.array_join(runs, ",").alias("mask"),
     )
 
 
-#: The same rows for tables whose parts need no split.
-ORACLE = f"""
-with t as (select distinct conv_id, turn, role, text, turn // {PART_TURNS} as part from conversations),
-s as (select distinct conv_id, role as perspective from t where role is not null and role not in ('system')),
+#: The same rows in SQL.
+ORACLE = rf"""
+with d as (select distinct conv_id, turn, role, text from conversations),
+t as (select *, row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) - 1 as place,
+  count(*) over (partition by conv_id) as total, regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\\\1|', 'g') || '<|end|>' || chr(10) as said,
+  regexp_replace(regexp_replace(coalesce(role, ''), '<(\\*)\|', '<\\\1|', 'g'), '\|(\\*)>', '|\\\1>', 'g') as name from d),
+s as (select distinct conv_id, role as perspective from d where role is not null and role not in ('system')),
 x as (
-  select t.conv_id, perspective, part, turn, role, text,
+  select t.conv_id, perspective, place // {PART_TURNS} as part, place, total, role, said,
     case when role in ('system') then '<|' || role || '|>' || chr(10)
          when role = perspective then '<|assistant|>' || chr(10)
-         else '<|user name=' || coalesce(role, '') || '|>' || chr(10) end as head,
-    coalesce(text, '') || '<|end|>' || chr(10) as said
+         else '<|user name=' || name || '|>' || chr(10) end as head
   from t join s on t.conv_id is not distinct from s.conv_id)
-select conv_id, perspective, part, 0 as split, count(*) as n_turns,
-  string_agg(head || said, '' order by turn nulls first, role nulls first, text nulls first) as rendered,
-  string_agg(length(head)::varchar || ':0,' || length(said)::varchar || case when role = perspective then ':1' else ':0' end, ','
-    order by turn nulls first, role nulls first, text nulls first) as mask
+select conv_id, perspective, part, min(place) as first_turn, count(*) as n_turns, any_value(total) as total_turns,
+  string_agg(head || said, '' order by place) as rendered,
+  string_agg(length(head)::varchar || ':0,' || length(said)::varchar || case when role = perspective then ':1' else ':0' end, ',' order by place) as mask
 from x group by conv_id, perspective, part
 """
