@@ -1,6 +1,6 @@
 """Near duplicates among vectors by cross-polytope hashing.
 
-Equal vectors of a label are one representative. Each of TABLES tables hashes a representative by HASHES random
+Equal vectors of a label, by 128 bits of hash, are one representative; the vectors themselves are shuffled only for that. Each of TABLES tables hashes a representative by HASHES random
 rotations (sign flips and fast Hadamard transforms, three times over): a rotated vector goes to its nearest signed
 axis. The PROBES next-nearest combinations are visited as well. Buckets are first filled with ids alone; only where two
 meet do vectors follow, to be compared exactly, in tiles, in double precision. A pair that meets more than once is
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import apart, cut
+from tessella.llm.common import apart, cut, mapped
 from tessella.llm.components import components
 
 THRESHOLD = 0.98
@@ -43,7 +43,7 @@ def buckets(x: np.ndarray) -> np.ndarray:
     """Bucket numbers, rows x TABLES x (1 + PROBES), the vector's own first; -1 where no further probe exists."""
     width = 1 << max(1, (x.shape[1] - 1).bit_length())
     padded = np.zeros((len(x), width))
-    padded[:, : x.shape[1]] = x / np.linalg.norm(x, axis=1, keepdims=True)
+    padded[:, : x.shape[1]] = _unit(x)
     out = np.full((len(x), TABLES, 1 + PROBES), -1, dtype=np.int64)
     rng = np.random.default_rng([SEED, width])
     rows = np.arange(len(x))
@@ -67,20 +67,28 @@ def buckets(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled by their largest component first, so that no square overflows."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _first_meeting(table: int, bucket: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether pairs with bucket numbers a and b (pairs x TABLES x (1 + PROBES)) meet in this bucket and no earlier one."""
-    own_a, own_b = a[:, :, 0], b[:, :, 0]
-    at_a = (own_a[:, :, None] == b).any(axis=2)
-    at_b = (own_b[:, :, None] == a).any(axis=2)
-    earlier = (at_a | at_b)[:, :table].any(axis=1)
-    first = np.minimum(np.where(at_a[:, table], own_a[:, table], np.iinfo(np.int64).max), np.where(at_b[:, table], own_b[:, table], np.iinfo(np.int64).max))
+    """Whether pairs with bucket numbers a and b (pairs x TABLES x (1 + PROBES)) meet in this bucket and no earlier one.
+
+    They meet wherever both have been put, be it their own bucket or one that they probe; the first place is the least
+    bucket of the first table in which they meet.
+    """
+    common = ((a[:, : table + 1, :, None] == b[:, : table + 1, None, :]) & (a[:, : table + 1, :, None] >= 0)).any(axis=3)
+    earlier = common[:, :table].any(axis=(1, 2))
+    first = np.where(common[:, table], a[:, table], np.iinfo(np.int64).max).min(axis=1)
     return ~earlier & (first == bucket)
 
 
 def tile_pairs(table: int, bucket: int, between: bool, own: np.ndarray, x: np.ndarray, marks: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Linked copies of each vector of a tile (between: only pairs across its two halves), and a forest of the links."""
     n, linked, label, forest = len(x), np.zeros(len(x), dtype=np.int64), np.arange(len(x)), []
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    unit = _unit(x)
     for i in range(0, n, BLOCK):
         for j in range(i, n, BLOCK):
             near = unit[i : i + BLOCK] @ unit[j : j + BLOCK].T >= THRESHOLD
@@ -103,8 +111,8 @@ def tile_pairs(table: int, bucket: int, between: bool, own: np.ndarray, x: np.nd
 
 
 def representatives(vectors: DataFrame) -> DataFrame:
-    """``rid``, ``label``, ``embedding``, ``first``, ``copies``: the distinct usable vectors of each label."""
-    distinct = vectors.groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
+    """``rid``, ``label``, ``h1``, ``h2`` (128 bits of hash of the vector), ``embedding``, ``first``, ``copies``: the distinct usable vectors of each label."""
+    distinct = vectors.groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
     return cut(distinct.withColumn("rid", F.monotonically_increasing_id()))
 
 
@@ -128,7 +136,7 @@ def candidate_links(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
                 [batch.column(0), pa.array(list(marks.reshape(len(sizes), -1)), pa.list_(pa.int64()))], names=["rid", "marks"]
             )
 
-    marks = cut(reps.select("rid", "embedding").mapInArrow(hashed, "rid long, marks array<long>"))
+    marks = cut(mapped(reps.select("rid", "embedding"), hashed, "rid long, marks array<long>"))
     short = reps.select("rid", "label", F.size("embedding").alias("size")).join(marks, "rid")
     spread = short.select("rid", "label", "size", F.posexplode("marks").alias("at", "bucket")).where("bucket >= 0")
     spread = cut(spread.withColumn("t", F.floor(F.col("at") / width).cast("int")).drop("at"))
@@ -155,7 +163,7 @@ def candidate_links(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
                 found += [(int(rid[a]), int(rid[b]), 0) for a, b in forest]
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(3)], names=["a", "b", "linked"])
 
-    out = cut(groups.mapInArrow(compared, "a long, b long, linked long"))
+    out = cut(mapped(groups, compared, "a long, b long, linked long"))
     counts = out.where("b is null").groupBy(F.col("a").alias("rid")).agg(F.sum("linked").alias("linked"))
     return counts, out.where("b is not null").select("a", "b")
 
@@ -170,15 +178,16 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"), F.col(label_col).alias("label"))
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     usable = F.coalesce(F.col("label").isNotNull() & finite & F.exists("embedding", lambda v: v != 0), F.lit(False))
-    good = rows.where(usable)
+    short = F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(SEED), F.col("embedding")).alias("h2")
+    good = rows.where(usable).select("vec_id", "label", "embedding", *short)
     reps = representatives(good)
     counts, links = candidate_links(reps)
     roots = components(links)
     classes = reps.join(counts, "rid", "left").join(roots, F.col("rid") == F.col("node"), "left")
-    classes = classes.select("label", "embedding", "first", "copies", F.coalesce("linked", F.lit(0)).alias("linked"), F.coalesce("root", "rid").alias("root"))
+    classes = classes.select("label", "h1", "h2", "first", "copies", F.coalesce("linked", F.lit(0)).alias("linked"), F.coalesce("root", "rid").alias("root"))
     smallest = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = classes.join(apart(smallest), "root").select("label", "embedding", (F.col("linked") + F.col("copies") - 1).alias("n_links"), "component_id")
-    found = good.join(named, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
+    named = classes.join(apart(smallest), "root").select("label", "h1", "h2", (F.col("linked") + F.col("copies") - 1).alias("n_links"), "component_id")
+    found = good.select("vec_id", "label", "h1", "h2").join(named, ["label", "h1", "h2"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return found.unionAll(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
