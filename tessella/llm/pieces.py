@@ -5,12 +5,14 @@ other pieces than the library does. So the forward pass over a word's prefixes k
 piece that merging leaves at the end of each prefix: a piece may end a prefix if it survives merging next to the last
 piece of the prefix before it. That state belongs to the prefix alone; distinct marked words are therefore sorted, which
 lays out their trie, and walked depth first, each word going on from the states of the letters it shares with the one
-before. The pieces are read off backwards as in Viterbi's algorithm. Letters without a piece become bytes.
+before. The pieces are read off backwards as in Viterbi's algorithm. Letters without a piece become bytes. A unit that begins with
+several marks is merged plainly, with a heap, so that its time follows its length.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterable, Iterator
 
@@ -20,14 +22,18 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import sliced, steps
+from tessella.llm.common import mapped, sliced, steps
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Spaces (a mark in the vocabulary's writing) with the word they lead, a word without one, or a line end.
 _UNITS = re.compile(" +[^ \n]*|[^ \n]+|\n")
-#: Encoded words and pairs of pieces that a Python worker remembers; longer words than this aren't remembered.
-REMEMBERED, LONG = 1_000_000, 64
+#: Bytes, about, of encoded words and of pairs of pieces that a Python worker remembers; longer words than LONG aren't.
+WORD_BYTES, PAIR_BYTES, LONG = 96_000_000, 48_000_000, 64
+#: Bytes that a dictionary's entry takes besides its letters: key, value, and place.
+ENTRY = 200
+#: Letters from which merging keeps its candidates in a heap.
+SHORT = 24
 
 
 class Pieces:
@@ -55,9 +61,12 @@ class Pieces:
         self.ends = {p[i:] for p in self.ids for i in range(len(p) - 1)}
         self.beside: dict[tuple[str | None, str], bool] = {}
         self.words: dict[str, bytes] = {}
+        self.held = 0
 
     def merged(self, text: str) -> list[str]:
-        """Plain merging, for pairs of pieces and runs of marks."""
+        """Plain merging, best pair first and the leftmost of equal ones, for pairs of pieces and runs of marks."""
+        if len(text) > SHORT:
+            return self._merged_long(text)
         parts = list(text)
         while len(parts) > 1:
             best = max(((self.score.get(a + b, -np.inf), -i) for i, (a, b) in enumerate(zip(parts, parts[1:]))), default=None)
@@ -67,12 +76,35 @@ class Pieces:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
+    def _merged_long(self, text: str) -> list[str]:
+        """The same with a heap of pairs and links between neighbours: n log n in the letters."""
+        parts: list[str] = list(text)
+        n, score = len(parts), self.score
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(-score[text[i : i + 2]], i, 1, 1) for i in range(n - 1) if text[i : i + 2] in score]
+        heapq.heapify(heap)
+        while heap:
+            _, i, left, right = heapq.heappop(heap)
+            j = after[i]
+            if len(parts[i]) != left or j >= n or len(parts[j]) != right:
+                continue  # one of the two has been merged meanwhile
+            parts[i] += parts[j]
+            parts[j] = ""
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for a in (before[i], i):
+                b = after[a] if a >= 0 else n
+                if b < n and (whole := parts[a] + parts[b]) in score:
+                    heapq.heappush(heap, (-score[whole], a, len(parts[a]), len(parts[b])))
+        return [p for p in parts if p]
+
     def _tried(self, last: str | None, piece: str) -> bool:
         """Whether merging leaves piece whole after last (None: at the start)."""
         ok = len(piece) == 1 or self.merged(piece) == [piece]
         if ok and last in self.ids and piece in self.ids:
             ok = self.merged(last + piece) == [last, piece]
-        if len(self.beside) >= REMEMBERED:
+        if len(self.beside) * ENTRY > PAIR_BYTES:
             self.beside.clear()
         self.beside[last, piece] = ok
         return ok
@@ -121,8 +153,8 @@ class Pieces:
         units = [_UNITS.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
         distinct = set().union(*units)
         new = distinct.difference(self.words)
-        if len(self.words) + len(new) > REMEMBERED:
-            self.words.clear()
+        if self.held > WORD_BYTES:
+            self.words, self.held = {}, 0
             new = distinct
         learnt = self.learn(new)
         known = self.words
@@ -130,6 +162,7 @@ class Pieces:
         out = [b"".join(map(known.__getitem__, u)) for u in units]
         for w in [w for w in learnt if len(w) > LONG]:
             del known[w]
+        self.held += sum([len(w) + len(x) for w, x in learnt.items() if len(w) <= LONG]) + ENTRY * len(learnt)
         return out
 
     def decode(self, ids: bytes) -> bytes:
@@ -148,6 +181,11 @@ def _pieces(model: bytes) -> Pieces:
     return _LOADED[key]
 
 
+def _lists(ids: list[bytes]) -> pa.ListArray:
+    offsets = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
+
+
 def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """``doc_id``, ``n_pieces``, ``ids`` (unless with_ids is false), ``ids_sha256``, ``round_trip`` of every row.
 
@@ -169,7 +207,7 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
                 columns = {
                     "doc_id": batch.column(0).slice(a, b - a),
                     "n_pieces": pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    "ids": pa.array([np.frombuffer(x, dtype="<i4") for x in ids], pa.list_(pa.int32())) if with_ids else None,
+                    "ids": _lists(ids) if with_ids else None,
                     "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
                     "round_trip": pa.array(back),
                 }
@@ -177,7 +215,7 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, schema)
+    return mapped(rows, run, schema)
 
 
 def decode(encoded: DataFrame, model: str = MODEL, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -192,4 +230,4 @@ def decode(encoded: DataFrame, model: str = MODEL, id_col: str = "doc_id", ids_c
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     rows = encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
-    return rows.mapInArrow(run, "doc_id long, text string")
+    return mapped(rows, run, "doc_id long, text string")
