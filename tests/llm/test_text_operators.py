@@ -1,6 +1,7 @@
 """Operators on documents against brute force on small tables, with the awkward cases of each."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -227,8 +228,9 @@ def test_pii_field_learns_and_decodes_exactly():
 
 def test_pii_mask(spark):
     docs = table(spark, [(1, "to a@b.c or 4111 1111 1111 1111!"), (2, None), (3, "")])
-    out = [r[0] for r in docs.orderBy("doc_id").select(pii.masked_text(docs, docs["text"]).alias("t")).collect()]
-    assert out == ["to [EMAIL] or [CARD]!", None, ""]
+    out = by_id(pii.masked(docs))
+    assert [out[i].text for i in (1, 2, 3)] == ["to [EMAIL] or [CARD]!", None, ""] and out[1].n_chars == 21
+    assert pii.masked(docs).columns == docs.columns
 
 
 def test_pieces_match_the_library(spark, texts):
@@ -249,18 +251,48 @@ def test_pieces_match_the_library(spark, texts):
     assert all(back[i].text == (t or "") for i, t in texts)
 
 
+def test_pieces_runs_of_marks_are_quick():
+    import time
+
+    import sentencepiece
+
+    reader = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    own = pieces.Pieces(open(pieces.MODEL, "rb").read())
+    r = random.Random(16)
+    samples = [" " * k + x for k in (3, 20, 25, 40, 333, 1000) for x in ("", "word", "\n", "  x")] + ["".join(r.choice(" \n▁a") for _ in range(400)) for _ in range(50)]
+    for text, ids in zip(samples, own.encode(samples)):
+        assert np.frombuffer(ids, "<i4").tolist() == reader.encode(text), text
+    began = time.process_time()
+    many = own.encode([" " * 1_000_000 + "end"])[0]
+    assert time.process_time() - began < 30 and own.decode(many) == b" " * 1_000_000 + b"end"
+
+
+def test_pieces_memory_is_bounded(monkeypatch):
+    own = pieces.Pieces(open(pieces.MODEL, "rb").read())
+    monkeypatch.setattr(pieces, "WORD_BYTES", 20_000)
+    monkeypatch.setattr(pieces, "PAIR_BYTES", 20_000)
+    r = random.Random(17)
+    fresh = pieces.Pieces(open(pieces.MODEL, "rb").read())
+    for _ in range(30):
+        text = " ".join("".join(r.choice("abcdefgh") for _ in range(9)) for _ in range(60))
+        assert own.encode([text]) == fresh.encode([text])
+        assert len(own.words) < 400 and len(own.beside) <= 20_000 // pieces.ENTRY + 1
+
+
 def test_packing_against_a_plain_search(spark, texts):
     r = random.Random(7)
     items = [(i, r.choice([0, 3, 40, 90, 100, 130, 250, 999]), r.choice(["a", "b", None]), r.choice([1, 2, i + 10, None])) for i in range(300)]
     bins = packing.pack_shard(items, capacity=200, per_source=2)
     source, cluster, size = ({x[0]: x[k] for x in items} for k in (2, 3, 1))
+    left = [(x[2], x[1] % 200) for x in items if x[1] % 200]
+    limit = {s: max(2, math.ceil(2 * sum(y == s for y, _ in left) / len(left) * 200 / (sum(n for _, n in left) / len(left)))) for s in "ab"}
     plain: list = [[(x[0], k * 200, 200)] for x in items for k in range(x[1] // 200)]
     for n, start, doc in sorted(((n % 200, n // 200 * 200, d) for d, n, _, _ in items if n % 200), key=lambda x: (-x[0], x[2])):
         fits = []
         for at, b in enumerate(plain):
             room = 200 - sum(k for _, _, k in b)
             clash = cluster[doc] is not None and any(cluster[d] == cluster[doc] for d, _, _ in b)
-            clash |= source[doc] is not None and sum(source[d] == source[doc] for d, _, _ in b) >= 2
+            clash |= source[doc] is not None and sum(source[d] == source[doc] for d, _, _ in b) >= limit[source[doc]]
             if room >= n and not clash:
                 fits.append((room, at))
         if fits:
@@ -284,6 +316,28 @@ def test_packing_query_loses_nothing(spark, texts):
     assert len({r.bin_id for r in rows if r.bin_id is not None}) == sum(r.bin_id is not None for r in rows)
 
 
+def test_packing_fills_bins_of_one_source():
+    r = random.Random(19)
+    bins = packing.pack_shard([(i, r.randrange(50, 100), "only", i) for i in range(4000)])
+    assert sum(n for b in bins for _, _, n in b) > 0.95 * packing.CAPACITY * (len(bins) - 1)
+
+
+def test_packing_deals_repeats_apart(spark):
+    rows = spark.range(12_000).selectExpr("if(id < 6000, 7, id) as doc_id", "if(id < 6000, 'one two three', concat('w ', id)) as text", "'s' as source").repartition(5)
+    got = packing.pack(rows, shard_docs=300).collect()
+    of_shard: dict = {}
+    for x in got:
+        of_shard[x.bin_id >> 32] = of_shard.get(x.bin_id >> 32, 0) + len(x.doc_ids)
+        assert x.doc_ids.count(7) <= 1
+    assert sum(of_shard.values()) == 12_000 and len(of_shard) == 40 and max(of_shard.values()) < 450
+
+
+def test_packing_by_given_clusters(spark):
+    rows = spark.createDataFrame([(i, f"w{i} " * 5, "s", i % 3) for i in range(30)], "doc_id long, text string, source string, component_id long")
+    got = packing.pack(rows, capacity=100, cluster_col="component_id").collect()
+    assert all(len({d % 3 for d in x.doc_ids}) == len(x.doc_ids) for x in got) and sum(len(x.doc_ids) for x in got) == 30
+
+
 def labels_of(spark, rows, column):
     return spark.createDataFrame([(i, y) for i, y in rows], f"doc_id long, {column} int")
 
@@ -312,10 +366,113 @@ def test_toxicity_finds_variants(spark):
     assert kept.columns == table(spark, rows).columns and {x.doc_id for x in kept.collect()} >= {1000, 1001}
 
 
-def test_toxicity_shared_backoff_cancels():
-    gain, backoff = toxicity.fit_counts({g: (2, 2) for w in (b"aba", b"abc") for g in toxicity.grams(w, 3)}, 3)
-    scores = toxicity.WordScores(gain, backoff, 3)
-    assert abs(scores[b"abab"]) < 1e-9 and scores[b"zzz"] == 0
+def brute_letters(counts, order):
+    """Kneser-Ney by the definition: counts of n-grams as (ordinary, toxic), to a function that scores a word."""
+    ones, twos = (sum(o + t == k for o, t in counts.values()) for k in (1, 2))
+    d = min(0.95, max(0.3, ones / max(1, ones + 2 * twos)))
+    followed: dict = {}
+    for g in counts:
+        if len(g) > 1:
+            followed[g[1:]] = followed.get(g[1:], 0) + 1
+
+    def shared(g):
+        if not g:
+            return 1 / 256
+        same = [n for h, n in followed.items() if len(h) == len(g) and h[:-1] == g[:-1]]
+        return (max(followed.get(g, 0) - d, 0) + d * len(same) * shared(g[1:])) / sum(same) if same else shared(g[1:])
+
+    top = {g: c for g, c in counts.items() if len(g) == order or g[:1] == b"\x02"}
+
+    def letter(g):
+        after = [c for h, c in top.items() if len(h) == len(g) and h[:-1] == g[:-1]]
+        if not after:
+            return 0.0
+        p = []
+        for k in (0, 1):
+            total, weight = sum(c[k] for c in after), 1.0
+            if total:
+                weight = d * sum(c[k] > 0 for c in after) / total
+            p.append((max(top[g][k] - d, 0) / total if total and g in top else 0.0) + weight * (shared(g[1:]) if g in top else 1.0))
+        return math.log(p[1] / p[0])
+
+    def word(w):
+        s = b"\x02" + w + b"\x03"
+        values = [letter(s[max(0, i - order) : i]) for i in range(2, len(s) + 1)]
+        if len(values) <= 16:
+            return sum(values) / len(values)
+        return max(sum(values[i : i + 16]) / 16 for i in range(len(values) - 15))
+
+    return word
+
+
+def counts_of(words, order):
+    out: dict = {}
+    for w, y in words:
+        s = b"\x02" + w + b"\x03"
+        for i in range(2, len(s) + 1):
+            for n in range(1, min(order, i) + 1):
+                c = out.setdefault(s[i - n : i], [0, 0])
+                c[y] += 1
+    return out
+
+
+@pytest.mark.parametrize("order", [2, 3, 6])
+def test_toxicity_letters_against_the_definition(order):
+    r = random.Random(11)
+    make = lambda: "".join(r.choice("abé\x7f") for _ in range(r.randrange(1, 9))).encode()
+    counts = counts_of([(make(), r.randrange(2)) for _ in range(60)], order)
+    pack = lambda g: len(g) << 48 | int.from_bytes(g, "big")
+    model = toxicity.fit_letters(np.array([pack(g) for g in counts]), *(np.array([c[k] for c in counts.values()]) for k in (0, 1)), order)
+    want = brute_letters(counts, order)
+    words = [make() for _ in range(80)] + [b"zzz", b"a" * 40, "ab".encode() * 30, b"a"]
+    assert np.allclose(model.values(words), [want(w) for w in words], atol=1e-5)
+    place, starts, grams = toxicity.packed([b"ab", b"c"], 3)
+    assert {int(x) for x in grams[grams >= 0]} == {pack(g) for g in counts_of([(b"ab", 0), (b"c", 0)], 3)}
+
+
+def test_toxicity_score_against_plain_python(spark):
+    """The whole way from the texts to the scores, written out once more without arrays, on documents that all go into the counts."""
+    r = random.Random(12)
+    vocabulary = [r.choice("bcd") + r.choice("aei") + r.choice("lmn") for _ in range(20)]
+    docs = {i: " ".join([r.choice(vocabulary) for _ in range(r.randrange(3, 12))] + (["zok"] if i % 3 == 0 else [])) for i in range(40)}
+    labels = [(i, int(i % 3 == 0)) for i in docs]
+    import zlib
+
+    rows = table(spark, list(docs.items()))
+    model = toxicity.train(rows, labels_of(spark, labels, "toxic"))
+    known = [(i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 5]  # under 40 of a class: all go into both the counts and the curve
+    lines = {i: docs[i].encode().split() for i in docs}
+    word = brute_letters(counts_of([(w, y) for i, y in known for w in lines[i]], 6), 6)
+    runs = lambda ws: [b" ".join(ws[k : k + n]) for n in (2, 3) for k in range(len(ws) - n + 1)]
+    several: dict = {}
+    for i, y in known:
+        for g in runs(lines[i]):
+            several.setdefault(g, [0, 0])[y] += 1
+    sizes = [sum(len(lines[i]) for i, y in known if y == k) for k in (0, 1)]
+    gains = {}
+    for g, c in several.items():
+        p = [max(c[k] - 0.75, 0) / sizes[k] + 1 / sum(sizes) for k in (0, 1)]
+        if sum(c) >= 3 and p[1] > p[0]:
+            gains[g] = math.log(p[1] / p[0])
+    found = model.measure([docs[i].encode() for i in docs])
+    for i, row in zip(docs, found):
+        values = [word(w) for w in lines[i]]
+        want = [max(values), max((gains.get(g, 0.0) for g in runs(lines[i])), default=0.0), len(values), sum(values) / len(values)]
+        assert np.allclose(row, want, atol=1e-4), i
+    got = by_id(toxicity.classify(rows, labels_of(spark, labels, "toxic")))
+    for i, row in zip(docs, found):
+        peak = max(model.laws[k][1] * row[k] - model.laws[k][0] - math.log(row[2]) for k in (0, 1))
+        assert abs(got[i].score - 1 / (1 + math.exp(-max(-30, min(30, model.slope * peak + model.shift))))) < 1e-9
+
+
+def test_toxicity_cuts_long_texts_at_blanks(monkeypatch):
+    r = random.Random(13)
+    letters = toxicity.fit_letters(*(lambda c: (np.array([len(g) << 48 | int.from_bytes(g, "big") for g in c]), *(np.array([v[k] for v in c.values()]) for k in (0, 1))))(counts_of([(b"abc", 0), (b"abd", 1), (b"b", 1)], 6)))
+    model = toxicity.Model(letters, {b"abd b": 2.0, b"b abc abd": 3.0}, 3)
+    texts = [b" ".join(r.choice([b"abc", b"abd", b"b", b"x" * 50]) for _ in range(n)) for n in (0, 1, 40, 400)] + [b"y" * 500, b" \n "]
+    whole = model.measure(texts)
+    monkeypatch.setattr(toxicity, "CHUNK", 16)
+    assert np.allclose(model.measure(texts), whole) and [b" ".join(toxicity.byte_words(t.lower())) for t in texts] == [b" ".join(w for c in toxicity.chunks(t) for w in c) for t in texts]
 
 
 def test_toxicity_by_length(spark):
@@ -361,6 +518,78 @@ def test_quality_separates_noise(spark):
     assert {g.score for g in constant.values()} == {0.5}
 
 
+def test_quality_scores_against_plain_densities():
+    r = np.random.default_rng(14)
+    x = np.concatenate([r.normal(size=(80, 14)), r.normal(size=(60, 14)) * 1.5 + 0.7])
+    y = np.repeat([0, 1], [80, 60])
+    model = quality.Model(x, y)
+    z = (x - x.mean(axis=0)) / (x.std(axis=0) + 1e-3)
+    means, scatter = [z[y == c].mean(axis=0) for c in (0, 1)], []
+    for c in (0, 1):
+        scatter.append(sum(np.outer(v - means[c], v - means[c]) for v in z[y == c]))
+    pooled = (scatter[0] + scatter[1]) / (len(y) - 2)
+    pooled = 0.9 * pooled + 0.1 * np.diag(np.diag(pooled) + 1e-3)
+    density = []
+    for c in (0, 1):
+        s = 0.85 * scatter[c] / ((y == c).sum() - 1) + 0.15 * pooled + 1e-3 * np.eye(14)
+        inverse, size = np.linalg.inv(s), np.linalg.slogdet(s)[1]
+        density.append(np.array([-0.5 * (v - means[c]) @ inverse @ (v - means[c]) - 0.5 * size for v in z]))
+    assert np.allclose(model.scores(x), 1 / (1 + np.exp(-np.clip(density[1] - density[0], -30, 30))))
+
+
+def test_rules_against_an_independent_em(spark, texts):
+    """Expectation-maximisation once more, over single texts with numpy, to the same verdicts."""
+    docs = table(spark, texts)
+    names = list(rules.votes())
+    rows = rules.statistics(docs).withColumns({f"v_{k}": v for k, v in rules.votes().items()}).collect()
+    cast = np.array([[x[f"v_{k}"] for k in names] for x in rows])
+    odds = np.where(cast > 0, 0.69, np.where(cast < 0, -2.94, 0.0)).sum(axis=1)
+    for _ in range(rules.ROUNDS):
+        good = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        odds = np.full(len(rows), np.log((good.sum() + 1) / (len(rows) - good.sum() + 1)))
+        for j in range(len(names)):
+            for v in (1, -1, 0):
+                hit = cast[:, j] == v
+                rate = [(w[hit].sum() + 1) / (w.sum() + 3) for w in (good, 1 - good)]
+                odds[hit] += np.log(rate[0] / rate[1])
+    want = sorted((x.doc_id or -1, round(float(p), 6)) for x, p in zip(rows, 1 / (1 + np.exp(-odds))))
+    judged = rules.judge(docs).collect()
+    assert sorted((x.doc_id or -1, round(x.p_good, 6)) for x in judged) == want
+    assert all(x.kept == (not x.base_failed and x.p_good >= 0.5) for x in judged)
+
+
+CLASHES = ["gone_id", "of_doc", "of_doc_spans", "document", "spans", "key", "key_", "first", "size", "bands", "hashes", "root", "node", "component_id", "cluster", "n", "shard", "given", "y", "aside", "gram", "score", "t", "w", "fp", "a", "b"]
+
+
+def test_clashing_names_pass_through(spark):
+    """Columns named like everything the operators and stages use inside stay what they are."""
+    from tessella.llm import near
+
+    same = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, same if i % 2 else f"{same} x{i} a@b.cd", "en", f"s{i % 2}", 1, *range(len(CLASHES))) for i in range(6)] + [(None, None, None, None, None, *range(len(CLASHES)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"{c} int" for c in CLASHES))
+    labels = spark.createDataFrame([(0, 1, 5), (1, 0, 5)], "doc_id long, toxic int, text int")
+    for out in (toxicity.keep_ordinary(docs, labels), near.keep_one(docs), simhash.keep_one(docs), substring.without_repeats(docs), pii.masked(docs)):
+        assert out.schema.names == docs.schema.names
+        assert all(tuple(x)[5:] == tuple(range(len(CLASHES))) for x in out.collect())
+    assert {x.doc_id for x in near.keep_one(docs).collect()} == {0, None}
+    for out in (substring.deduplicate(docs), simhash.simhash_components(docs), rules.judge(docs), pii.find(docs), pieces.encode(docs), toxicity.classify(docs, labels), quality.classify(docs, labels.withColumnRenamed("toxic", "quality"))):
+        assert out.count() == 7
+    assert sum(len(x.doc_ids) for x in packing.pack(docs).collect()) == 7
+
+
+def test_repeated_rows(spark):
+    same = " ".join(f"w{i}" for i in range(60))
+    docs = table(spark, [(1, same)] * 300 + [(2, same)] * 300)
+    labels = labels_of(spark, [(1, 1), (2, 0)], "toxic")
+    assert {(x.doc_id, x.n_removed) for x in substring.deduplicate(docs).collect()} == {(1, 0), (2, 60)}
+    spans = substring.covered(docs.select("doc_id", "text")).collect()
+    assert [(x.doc_id, len(x.spans) <= 45) for x in spans] == [(2, True)]
+    for out in (toxicity.classify(docs, labels), quality.classify(docs, labels.withColumnRenamed("toxic", "quality")), pieces.encode(docs)):
+        got = [tuple(map(str, x)) for x in out.collect()]
+        assert len(got) == 600 and len(set(got)) == 2
+
+
 def test_empty_tables(spark):
     empty = table(spark, [])
     assert substring.deduplicate(empty).count() == 0
