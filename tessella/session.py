@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def session(app: str = "tessella", master: str | None = None, **conf: str) -> SparkSession:
-    """A session in UTC with adaptive execution; later settings win over these."""
+def session(app: str = "tessella", master: str | None = None, shared: str | None = None, **conf: str) -> SparkSession:
+    """A session in UTC with adaptive execution; later settings win over these.
+
+    shared: a folder that the driver and all executors see, where intermediate tables and checkpoints go; a cluster needs
+    one. Checkpoints are removed once nothing refers to them.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -15,6 +19,8 @@ def session(app: str = "tessella", master: str | None = None, **conf: str) -> Sp
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        **({"spark.checkpoint.dir": shared} if shared else {}),
     }
     for key, value in {**settings, **conf}.items():
         builder = builder.config(key, value)
