@@ -28,8 +28,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Spaces (a mark in the vocabulary's writing) with the word they lead, a word without one, or a line end.
 _UNITS = re.compile(" +[^ \n]*|[^ \n]+|\n")
-#: Bytes, about, of encoded words and of pairs of pieces that a Python worker remembers; longer words than LONG aren't.
-WORD_BYTES, PAIR_BYTES, LONG = 96_000_000, 48_000_000, 64
+#: Bytes, about, of encoded words (in each of two generations) and of pairs of pieces that a Python worker remembers;
+#: longer words than LONG aren't.
+WORD_BYTES, PAIR_BYTES, LONG = 112_000_000, 96_000_000, 64
 #: Bytes that a dictionary's entry takes besides its letters: key, value, and place.
 ENTRY = 200
 #: Letters from which merging keeps its candidates in a heap.
@@ -59,22 +60,31 @@ class Pieces:
             raise ValueError("pieces that reach over words can't be encoded word by word")
         #: Ends of pieces of two letters or more: where a stretch to the left isn't one, no longer piece ends here.
         self.ends = {p[i:] for p in self.ids for i in range(len(p) - 1)}
+        #: Whether merging makes a piece of its own letters, and whether it leaves a piece whole after another.
+        self.whole: dict[str, bool] = {}
         self.beside: dict[tuple[str | None, str], bool] = {}
+        self.code = {p: i.to_bytes(4, "little") for p, i in self.ids.items()}
+        #: Encoded words, and those of the generation before, from which a word that is met again comes back.
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
 
     def merged(self, text: str) -> list[str]:
         """Plain merging, best pair first and the leftmost of equal ones, for pairs of pieces and runs of marks."""
         if len(text) > SHORT:
             return self._merged_long(text)
-        parts = list(text)
-        while len(parts) > 1:
-            best = max(((self.score.get(a + b, -np.inf), -i) for i, (a, b) in enumerate(zip(parts, parts[1:]))), default=None)
-            if best[0] == -np.inf:
-                break
-            i = -best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+        parts, score = list(text), self.score
+        while True:
+            best, at, before = -np.inf, -1, parts[0] if parts else ""
+            for i in range(1, len(parts)):
+                part = parts[i]
+                value = score.get(before + part)
+                if value is not None and value > best:
+                    best, at = value, i
+                before = part
+            if at < 0:
+                return parts
+            parts[at - 1 : at + 1] = [parts[at - 1] + parts[at]]
 
     def _merged_long(self, text: str) -> list[str]:
         """The same with a heap of pairs and links between neighbours: n log n in the letters."""
@@ -101,7 +111,9 @@ class Pieces:
 
     def _tried(self, last: str | None, piece: str) -> bool:
         """Whether merging leaves piece whole after last (None: at the start)."""
-        ok = len(piece) == 1 or self.merged(piece) == [piece]
+        ok = len(piece) == 1 or self.whole.get(piece)
+        if ok is None:
+            ok = self.whole[piece] = self.merged(piece) == [piece]
         if ok and last in self.ids and piece in self.ids:
             ok = self.merged(last + piece) == [last, piece]
         if len(self.beside) * ENTRY > PAIR_BYTES:
@@ -110,13 +122,8 @@ class Pieces:
         return ok
 
     def ids_of(self, parts: Iterable[str]) -> bytes:
-        out: list[int] = []
-        for p in parts:
-            if p in self.ids:
-                out.append(self.ids[p])
-            else:
-                out += [self.byte_ids[b] for b in p.encode()]
-        return np.array(out, dtype="<i4").tobytes()
+        code = self.code
+        return b"".join([code[p] if p in code else b"".join([self.byte_ids[b].to_bytes(4, "little") for b in p.encode()]) for p in parts])
 
     def learn(self, words: Iterable[str]) -> dict[str, bytes]:
         """Ids of distinct words, in one walk of their trie; a stack holds each prefix's last piece."""
@@ -128,8 +135,8 @@ class Pieces:
             if word.startswith("  "):
                 found[word] = self.ids_of(self.merged(word))
                 continue
-            shared = 0
-            while shared < min(len(word), len(before)) and word[shared] == before[shared]:
+            shared, most = 0, min(len(word), len(before))
+            while shared < most and word[shared] == before[shared]:
                 shared += 1
             del lasts[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
@@ -151,18 +158,17 @@ class Pieces:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian 32-bit numbers; an empty text has none."""
         units = [_UNITS.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
-        distinct = set().union(*units)
-        new = distinct.difference(self.words)
         if self.held > WORD_BYTES:
-            self.words, self.held = {}, 0
-            new = distinct
-        learnt = self.learn(new)
-        known = self.words
-        known |= learnt
+            self.words, self.older, self.held = {}, self.words, 0
+        known, older = self.words, self.older
+        new = [w for w in set().union(*units) if w not in known]
+        found = {w: older[w] for w in new if w in older}
+        found |= self.learn([w for w in new if w not in found])
+        known |= found
         out = [b"".join(map(known.__getitem__, u)) for u in units]
-        for w in [w for w in learnt if len(w) > LONG]:
+        for w in [w for w in found if len(w) > LONG]:
             del known[w]
-        self.held += sum([len(w) + len(x) for w, x in learnt.items() if len(w) <= LONG]) + ENTRY * len(learnt)
+        self.held += sum([len(w) + len(x) for w, x in found.items() if len(w) <= LONG]) + ENTRY * len(found)
         return out
 
     def decode(self, ids: bytes) -> bytes:
