@@ -249,7 +249,7 @@ def frontmatter(text: pd.Series) -> pd.Series:
             return None
         try:
             data = yaml.safe_load(t[4:end])
-        except yaml.YAMLError:
+        except (yaml.YAMLError, ValueError):  # ValueError: a date that no calendar has
             return None
         if not isinstance(data, dict):
             return None

@@ -119,14 +119,17 @@ def assigned_claims(claims: DataFrame, pages: DataFrame, planned: DataFrame) ->
     ``text``; planned: ``operation_id``, ``claim_id``, ``final_page_id``. A claim without a planned page may go to any of its own
     operation's; of equal scores the larger id wins.
     """
-    ours = pages.select("operation_id", "final_page_id")
-    wanted = planned.distinct().join(ours, ["operation_id", "final_page_id"], "left_semi")
-    rest = claims.join(wanted, ["operation_id", "claim_id"], "left_anti").select("operation_id", "claim_id").join(ours, "operation_id")
-    pairs = wanted.select("operation_id", "claim_id", "final_page_id").unionByName(rest)
-    terms = claims.withColumn("claim_terms", assignment_terms(F.col("claim_text")))
-    rows = pairs.join(terms, ["operation_id", "claim_id"]).join(pages.withColumn("page_terms", assignment_terms(F.col("text"))), ["operation_id", "final_page_id"])
-    score = assignment_score(F.col("claim_text"), F.col("concept_terms"), F.col("text"), F.col("claim_terms"), F.col("page_terms"))
-    best = rows.groupBy("operation_id", "claim_id").agg(F.max(F.struct(score.alias("score"), F.col("final_page_id"))).alias("b"), F.count("*").alias("n_candidates"))
+    known = claims.select("operation_id", "claim_id", "claim_text", "concept_terms", assignment_terms(F.col("claim_text")).alias("claim_terms"))
+    ours = pages.select("operation_id", "final_page_id", "text", assignment_terms(F.col("text")).alias("page_terms"))
+    score = lambda c: assignment_score(c["claim_text"], c["concept_terms"], F.col("text"), c["claim_terms"], F.col("page_terms"))
+    wanted = planned.distinct().join(ours, ["operation_id", "final_page_id"])
+    own = wanted.join(known, ["operation_id", "claim_id"]).select("operation_id", "claim_id", "final_page_id", score(F.struct("claim_text", "concept_terms", "claim_terms")).alias("score"))
+    # claims without a planned page travel together to each page of their operation, and only the best leave a task
+    free = known.join(wanted.select("operation_id", "claim_id").distinct(), ["operation_id", "claim_id"], "left_anti")
+    listed = free.groupBy("operation_id").agg(F.collect_list(F.struct("claim_id", "claim_text", "concept_terms", "claim_terms")).alias("claims"))
+    each = ours.join(listed, "operation_id").select("operation_id", "final_page_id", F.explode(F.transform("claims", lambda c: F.struct(c["claim_id"].alias("claim_id"), score(c).alias("score")))).alias("s"))
+    rows = own.unionByName(each.select("operation_id", "s.claim_id", "final_page_id", "s.score"))
+    best = rows.groupBy("operation_id", "claim_id").agg(F.max(F.struct("score", "final_page_id")).alias("b"), F.count("*").alias("n_candidates"))
     return best.select("operation_id", "claim_id", "b.final_page_id", F.round("b.score", 4).alias("score"), "n_candidates")
 
 

@@ -24,6 +24,8 @@ from tessella.functions.usage import TOKENS, extracted, priced
 MODEL_STEPS = ["source_digest", "digest_coverage_judge", "candidate_pages_warmup", "candidate_pages", "merge_plan", "composition_plan", "final_pages", "final_coverage_judge"]
 NOT_MODELS = ["local:heuristic", "unconfigured"]
 TOKEN_CAP, LIVE_CHECK_TOKENS = 262144, 512
+#: Hosts that know JSON objects but no schemas.
+NO_SCHEMAS = ["api.deepseek.com"]
 SECRETS = ["api_key", "authorization", "headers"]
 
 
@@ -38,14 +40,18 @@ class Spec:
     max_retries: int = 1
     retry_backoff_seconds: float = 1.0
     temperature: float = 0.0
-    max_tokens: int | None = None
+    max_tokens: int | None = TOKEN_CAP
     json_mode: str = "json_schema"
-    json_schema_strict: bool = True
+    json_schema_strict: bool = False
 
     @property
     def model(self) -> str | None:
         return self.spec.partition(":")[2] or None
 
+    def effective_json_mode(self) -> str:
+        """The mode that the endpoint understands."""
+        return "json_object" if any(host in (self.endpoint or "") for host in NO_SCHEMAS) else self.json_mode
+
     def problem(self) -> str | None:
         """Why this can't answer for a model, or nothing."""
         if self.spec in NOT_MODELS or not self.model:
@@ -140,7 +146,7 @@ def payload(spec: Spec, request: dict[str, Any]) -> dict[str, Any]:
     out: dict[str, Any] = {"model": spec.model, "temperature": spec.temperature, "messages": messages}
     if spec.max_tokens:
         out["max_tokens"] = spec.max_tokens
-    if spec.json_mode == "json_schema" and request.get("schema"):
+    if spec.effective_json_mode() == "json_schema" and request.get("schema"):
         out["response_format"] = {"type": "json_schema", "json_schema": {"name": request["schema_name"], "strict": spec.json_schema_strict, "schema": json.loads(request["schema"])}}
     else:
         out["response_format"] = {"type": "json_object"}

@@ -156,10 +156,24 @@ def readable(c: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "`[^`]*`", " "), r"\[[^\]]*\]\([^)]*\)", " "), r"\[\[[^\]]*\]\]", " "))
 
 
+# What a command begins with, and what stands for code, commands, links and addresses once they are taken out.
+COMMANDS = "pip|npm|npx|uv|go|git|curl|brew|docker|kubectl"
+STAND_INS = ["code", "cmd", "link", "url"]
+
+
 def is_technical(c: Column) -> Column:
-    """Every Latin word is a technical token or looks like code (digits, dots, slashes, capitals inside)."""
-    words = F.regexp_extract_all(c, F.lit(r"[A-Za-z][A-Za-z0-9_./+-]*"), 0)
-    return (F.size(words) > 0) & F.forall(words, lambda w: F.lower(w).isin(TECHNICAL) | w.rlike(r"[0-9_./+-]|[a-z][A-Z]"))
+    """Whether every Latin word of a fragment is a technical one: code, an address, a link, a command, a known token, or written
+    like a name (digits or signs inside, all capitals, a capital first in three letters or more, a capital after a small letter)."""
+    marked = [
+        ("`[^`]*`", " CODE "), (r"https?://\S+", " URL "), (r"\[[^\]]*\]\([^)]*\)", " LINK "), (r"\[\[[^\]]*\]\]", " LINK "),
+        (rf"(?i)\b(?:{COMMANDS})\s+[\w@./:+#=-]+(?:\s+[\w@./:+#=-]+)*", " CMD "),
+    ]
+    bare = F.coalesce(c, F.lit(""))
+    for pattern, name in marked:
+        bare = F.regexp_replace(bare, pattern, name)
+    named = r"[_@./:+#-]|[0-9]|^[A-Z]{2,}$|^[A-Z].{2,}|[a-z][A-Z]"
+    words = F.regexp_extract_all(bare, F.lit(r"[A-Za-z][A-Za-z0-9_@./:+#-]*"), 0)
+    return (F.size(words) > 0) & F.forall(words, lambda w: F.lower(w).isin(TECHNICAL + STAND_INS) | w.rlike(named))
 
 
 def language_gate(rows: DataFrame, fields: list[str], key: str, script: str = r"[㐀-鿿]", technical: list[str] | None = None) -> DataFrame:
@@ -168,7 +182,7 @@ def language_gate(rows: DataFrame, fields: list[str], key: str, script: str = r"
     pairs = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value"), F.lit(f in (technical or [])).alias("may")) for f in fields))
     each = rows.select("operation_id", F.col(key).alias("_key"), F.explode(pairs).alias("x")).select("operation_id", "_key", "x.*")
     prose = readable(F.col("value"))
-    bad = each.where((prose != "") & ~prose.rlike(script) & ~(F.col("may") & is_technical(prose)))
+    bad = each.where((prose != "") & ~prose.rlike(script) & ~(F.col("may") & is_technical(strip(F.col("value")))))
     return bad.select("operation_id", F.concat(F.lit("language_"), F.col("field")).alias("rule"), F.col("_key").cast("string").alias("key"), F.lit(0).alias("rule_order"))
 
 
@@ -264,6 +278,33 @@ def pre_write(pages: DataFrame, current: DataFrame, raws: DataFrame) -> DataFram
     )
 
 
+# Fixed values.
+LEGACY_KEYS = ["type", "source_refs"]
+PROVENANCE = ["source_raw_paths", "source_raw_hashes", "source_operation_ids"]
+
+
+def header_issues(pages: DataFrame, type_key: str = "page_type", operation_key: str = "last_operation") -> DataFrame:
+    """Issues of the headers of pages about to be written: ``operation_id``, ``code``, ``path``; a page without a header has only that one.
+
+    pages: ``operation_id``, ``target_path``, ``title``, ``page_type``, ``markdown``.
+    """
+    from tessella.functions.text import frontmatter
+
+    rows = pages.select("operation_id", "target_path", "title", "page_type", frontmatter(F.col("markdown")).alias("fm"))
+    one = lambda key: F.get(F.try_element_at("fm", F.lit(key)), F.lit(0))
+    lacks = lambda key: F.coalesce(F.size(F.try_element_at("fm", F.lit(key))), F.lit(0)) <= 0
+    found = F.array(
+        F.when(~one("title").eqNullSafe(strip(F.col("title"))), "frontmatter_title_mismatch"),
+        F.when(~one(type_key).eqNullSafe(F.col("page_type")), "frontmatter_type_mismatch"),
+        *(F.when(F.map_contains_key("fm", key), "frontmatter_legacy_field") for key in LEGACY_KEYS),
+        F.when(~F.map_contains_key("fm", "aliases"), "frontmatter_missing_aliases"),
+        *(F.when(lacks(key), "frontmatter_missing_provenance") for key in PROVENANCE),
+        F.when(lacks("created") | lacks("updated") | lacks(operation_key), "frontmatter_missing_dates"),
+    )
+    codes = F.when(F.col("fm").isNull(), F.array(F.lit("missing_frontmatter"))).otherwise(F.filter(found, lambda c: c.isNotNull()))
+    return rows.select("operation_id", F.explode(codes).alias("code"), F.col("target_path").alias("path"))
+
+
 def error_kind(message: Column) -> Column:
     """What a failed call is told as."""
     low = F.lower(message)

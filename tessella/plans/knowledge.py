@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions import usage
+from tessella.functions import text, usage
 from tessella.operators import cache, coverage, ledger, plans, render, state, validate
-from tessella.plans.tables import table
+from tessella.plans.tables import SENTENCES, table
 
 
 def _judged(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
@@ -193,7 +193,7 @@ def index_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
     from tessella.functions.links import wikilink
 
-    made = render.row(F.concat(F.col("source"), F.lit(" | "), "lang"), wikilink(path), F.substring("text", 1, 40), F.col("n_chars"))
+    made = render.row(F.concat(F.col("source"), F.lit(" | "), "lang"), wikilink(path), text.summary(F.col("text")), F.col("n_chars"))
     ordered = docs.select(F.col("lang").alias("page_type"), F.col("n_chars").alias("updated"), path.alias("path"), made.alias("row"))
     return ordered.orderBy("page_type", F.desc("updated"), F.desc("path"))
 
@@ -281,6 +281,7 @@ select log_date::varchar as log_date, row_number() over (partition by log_date o
     "usage_rollup": f"""with {_CALLS} select conv_id, count(*) as api_call_count, sum(n)::bigint as prompt_tokens, sum(n + out)::bigint as total_tokens,
   case when sum(n) > 0 then round(sum(hit) / sum(n) * 100, 2) else 0 end as cache_hit_rate_percent, round(sum(price), 6) as price_cny from p group by 1""",
     "artifact_verify": """select source as operation_id, case when doc_id % 10 = 0 then 'artifact_missing' else 'artifact_hash_drift' end as code, 'a/' || doc_id as path from documents where doc_id % 10 = 0 or doc_id % 7 = 0""",
-    "index_listing": r"""select lang as page_type, n_chars as updated, source || '/' || doc_id || '.md' as path, '| ' || concat_ws(' | ', replace(source || ' | ' || lang, '|', '\|'), replace('[[' || source || '/' || doc_id || ']]', '|', '\|'),
-  replace(case when contains(trim(substr(text, 1, 40)), chr(10)) then array_to_string(list_transform(string_split(trim(substr(text, 1, 40), ' ' || chr(10)), chr(10)), lambda x: trim(x)), '<br>') else trim(regexp_replace(substr(text, 1, 40), '\s+', ' ', 'g')) end, '|', '\|'), n_chars::varchar) || ' |' as row from documents""",
+    "index_listing": rf"""with s as (select *, {SENTENCES} as sentences from documents), j as (select *, array_to_string(sentences[1:2], ' ') as two from s)
+select lang as page_type, n_chars as updated, source || '/' || doc_id || '.md' as path, '| ' || concat_ws(' | ', replace(source || ' | ' || lang, '|', '\|'), replace('[[' || source || '/' || doc_id || ']]', '|', '\|'),
+  replace(case when length(two) <= 240 then two else rtrim(substr(two, 1, 239)) || '...' end, '|', '\|'), n_chars::varchar) || ' |' as row from j""",
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import links, text
 from tessella.operators import granularity, plans, validate
-from tessella.plans.tables import table
+from tessella.plans.tables import SENTENCES, table
 
 ACCENTS = "[éèêàçùñóíáúäöüß]"
 
@@ -46,23 +46,67 @@ def navigation_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def claim_page_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's items, a stated query set, as claims without a planned page: each is scored against every document."""
     items = table(spark, sf_dir, "benchmark").select(
         F.lit("op").alias("operation_id"), F.col("item_id").alias("claim_id"), F.col("text").alias("claim_text"), F.array(F.get(F.split("text", " "), F.lit(0))).alias("concept_terms")
     )
-    docs = table(spark, sf_dir, "documents")
-    pages = docs.select(
+    pages = table(spark, sf_dir, "documents").select(
         F.lit("op").alias("operation_id"), F.col("doc_id").alias("final_page_id"), plans.page_text(F.lit(""), F.col("source"), F.col("lang"), F.col("text")).alias("text")
     )
-    slots = items.select("operation_id", "claim_id", (F.col("claim_id") % 40).alias("slot"))
-    planned = slots.join(docs.select(F.col("doc_id").alias("final_page_id"), (F.col("doc_id") % 40).alias("slot")), "slot")
-    return plans.assigned_claims(items, pages, planned.select("operation_id", "claim_id", "final_page_id"))
+    none = spark.createDataFrame([], "operation_id string, claim_id long, final_page_id long")
+    return plans.assigned_claims(items, pages, none)
+
+
+def technical_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First and last words of texts as fields that may be all technical: which of them the gate lets through."""
+    words = F.split(F.trim("text"), " ")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(words, 1, 2), " ").alias("head"), F.element_at(words, -1).alias("tail"))
+    return rows.select("doc_id", validate.is_technical(F.col("head")).alias("head_technical"), validate.is_technical(F.col("tail")).alias("tail_technical"))
+
+
+def names_and_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File names, slugs and keys made of every document's first line."""
+    line = F.split("text", "\n")[0]
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", text.slug(line, "page").alias("slug"), text.safe_filename(line).alias("file_name"), text.name_key(line).alias("name_key"), text.heading_key(line).alias("heading_key"),
+        text.has_cjk(line).alias("has_cjk"), text.state_id(F.col("source"), F.col("doc_id").cast("string")).alias("state_id"), text.labelled(F.col("source"), "来源").alias("labelled"),
+        text.yaml_scalar(F.col("source")).alias("yaml_scalar"), text.demoted(F.concat(F.lit("# "), "source", F.lit("\n## "), "lang", F.lit("\n### x"))).alias("demoted"),
+        text.card(F.col("source"), F.lit(" "), F.col("lang")).alias("card"),
+    )
+
+
+def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.excerpt(F.col("text"), 300).alias("e")).select("doc_id", "e.*")
+
+
+def section_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages put together of a document's lines: one section is read, taken out, and replaced; headings are listed."""
+    parts = F.split("text", "\n")
+    page = F.concat(F.lit("---\ntitle: "), "source", F.lit("\n---\n\n# "), "lang", F.lit("\n\nstart\n\n## Related\n\n- a\n- b\n\n## Other\n\n"), F.regexp_replace(parts[0], "[#-]", " "))
+    rows = table(spark, sf_dir, "documents").select("doc_id", page.alias("page"))
+    body = text.strip_frontmatter(F.col("page"))
+    return rows.select(
+        "doc_id", text.section_body(F.col("page"), ["related"]).alias("related"), text.sha256(text.without_sections(body, ["Related"])).alias("without_sha256"),
+        text.has_section(F.col("page"), ["other"]).alias("has_other"), F.array_join(text.headings(F.col("page")), "|").alias("headings"),
+        text.sha256(text.with_section(body, "Related", F.lit("- c"))).alias("with_sha256"), text.title(body, "none").alias("title"),
+    )
+
+
+def link_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every href of a page as a target: its canonical path, whether it lies outside the graph, and how it is written as a link."""
+    found = table(spark, sf_dir, "pages").select("page_id", F.posexplode(links.hrefs(F.col("html"))).alias("pos", "href"))
+    path = F.regexp_replace(links.clean_target(F.col("href")), "^[a-z]+:/+", "")
+    rows = found.select("page_id", F.col("pos").cast("long").alias("pos"), path.alias("target"))
+    return rows.select(
+        "page_id", "pos", links.is_excluded(F.col("target")).alias("excluded"), links.normalize_path(F.col("target")).alias("path"), links.wikilink(F.col("target")).alias("link"),
+        links.display_title(F.col("target")).alias("shown"), F.size(links.wikilinks(F.concat(F.lit("see [["), "target", F.lit("|x]] and [[ ]]")))).cast("long").alias("n_wikilinks"),
+    )
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (granularity_stats, title_and_summary, text_key_duplicates, language_gate, page_links, navigation_noise, claim_page_assignment)
+    f.__name__: f for f in (granularity_stats, title_and_summary, text_key_duplicates, language_gate, page_links, navigation_noise, claim_page_assignment, technical_fragments, names_and_keys, excerpts, section_edits, link_paths)
 }
 
-_SENTENCES = r"list_filter(list_transform(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([。！？.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')"
 _NOISE = r"""(trim(line) <> '' and ((length(trim(line)) <= 80 and regexp_matches(lower(trim(line)), '\b(skip to|search|sign in|log in|navigation|menu|footer|header|breadcrumb)\b'))
   or (length(trim(line)) <= 120 and (length(line) - length(replace(line, '](', ''))) / 2 >= 2)
   or (length(trim(line)) <= 120 and regexp_full_match(trim(line), '[-*+]\s*(\[.*?\]\(.*?\)\s*)+'))))"""
@@ -76,7 +120,7 @@ select doc_id, octet_length(encode(text))::bigint as raw_size_bytes, length(rege
   len(regexp_extract_all(body, '\[[^\]]+\]\([^)]+\)'))::bigint as markdown_link_count, 0::bigint as navigation_noise_line_count,
   greatest(1, floor(target * 0.6))::bigint as suggested_min_candidate_pages, round(target, 2) as suggested_target_candidate_pages,
   case when n <= 1200 then 1 else greatest(1, floor(target * 0.6), floor(target * 1.45 + 0.999)) end::bigint as suggested_max_candidate_pages from t""",
-    "title_and_summary": rf"""with s as (select doc_id, text, {_SENTENCES} as s from documents),
+    "title_and_summary": rf"""with s as (select doc_id, text, {SENTENCES} as s from documents),
 l as (select *, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') as lines, array_to_string(s[1:2], ' ') as summary from s)
 select doc_id, coalesce(substr(lines[1], 1, 80), 'untitled') as title, case when length(summary) <= 240 then summary else rtrim(substr(summary, 1, 239)) || '...' end as summary,
   len(s)::bigint as n_sentences from l""",
@@ -88,13 +132,39 @@ e as (select page_id, unnest(range(len(h))) as pos, unnest(h) as href from h)
 select page_id, pos, regexp_replace(regexp_replace(replace(trim(href), '\', '/'), '[#?].*$', ''), '^(?:\./)*/*', '') as target from e""",
     "navigation_noise": rf"""with l as (select page_id, unnest(string_split(html, chr(10))) as line from pages)
 select page_id, count(*) as n_lines, count(*) filter (where {_NOISE}) as n_noise from l group by page_id""",
-    "claim_page_assignment": rf"""with d as (select doc_id, source, lang, {_SENTENCES} as s from documents),
+    "claim_page_assignment": rf"""with d as (select doc_id, source, lang, {SENTENCES} as s from documents),
 m as (select doc_id, source, lang, array_to_string(s[1:20], ' ') as summary from d),
 p as (select doc_id, concat_ws(' ', '', source, lang, case when length(summary) <= 3000 then summary else rtrim(substr(summary, 1, 2999)) || '...' end) as text from m),
 pt as (select *, list_distinct(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_./+-]{{2,}}')) as terms from p),
 c as (select item_id, text, string_split(text, ' ')[1] as concept, list_distinct(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_./+-]{{2,}}')) as terms from benchmark),
 x as (select item_id, doc_id, case when len(c.terms) = 0 then 0.0 else (len(list_intersect(c.terms, pt.terms)) + case when concept <> '' and contains(pt.text, concept) then 2 else 0 end) / len(c.terms)::double end as score
-  from c join pt on c.item_id % 40 = pt.doc_id % 40),
+  from c cross join pt),
 r as (select *, row_number() over (partition by item_id order by score desc, doc_id desc) as k, count(*) over (partition by item_id) as n from x)
 select 'op' as operation_id, item_id as claim_id, doc_id as final_page_id, round(score, 4) as score, n as n_candidates from r where k = 1""",
+    "technical_fragments": r"""with w as (select doc_id, string_split(trim(text, ' '), ' ') as w from documents), f as (select doc_id, array_to_string(w[1:2], ' ') as head, w[len(w)] as tail from w),
+m as (select doc_id, k, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(v, '`[^`]*`', ' CODE ', 'g'), 'https?://\S+', ' URL ', 'g'), '\[[^\]]*\]\([^)]*\)', ' LINK ', 'g'), '\[\[[^\]]*\]\]', ' LINK ', 'g'),
+  '(?i)\b(?:pip|npm|npx|uv|go|git|curl|brew|docker|kubectl)\s+[\w@./:+#=-]+(?:\s+[\w@./:+#=-]+)*', ' CMD ', 'g') as v from (select doc_id, 'h' as k, head as v from f union all select doc_id, 't', tail from f)),
+t as (select doc_id, k, regexp_extract_all(v, '[A-Za-z][A-Za-z0-9_@./:+#-]*') as t from m),
+x as (select doc_id, k, len(t) > 0 and len(list_filter(t, lambda y: not (list_contains([@@TECH@@], lower(y)) or regexp_matches(y, '[_@./:+#-]|[0-9]|^[A-Z]{2,}$|^[A-Z].{2,}|[a-z][A-Z]')))) = 0 as ok from t)
+select h.doc_id, h.ok as head_technical, t.ok as tail_technical from x h join x t on h.doc_id = t.doc_id and h.k = 'h' and t.k = 't'""",
+    "names_and_keys": r"""with l as (select *, string_split(text, chr(10))[1] as line from documents),
+s as (select *, regexp_replace(regexp_replace(lower(line), '[^\p{L}\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g') as slug, regexp_replace(trim(regexp_replace(line, '[\\/:*?"<>|\x00-\x1f]+', '_', 'g')), '^[._]+|[._]+$', '', 'g') as name from l)
+select doc_id, case when coalesce(slug, '') = '' then 'page' else slug end as slug, case when coalesce(name, '') = '' then 'untitled' else name end as file_name, lower(regexp_replace(line, '[^\p{L}\p{N}]', '', 'g')) as name_key,
+  regexp_replace(lower(line), '[^\x{4e00}-\x{9fff}A-Za-z0-9]', '', 'g') as heading_key, regexp_matches(line, '[\x{3400}-\x{9fff}]') as has_cjk, source || ':' || doc_id as state_id, '来源：' || source as labelled,
+  '"' || source || '"' as yaml_scalar, '### ' || source || chr(10) || '### ' || lang || chr(10) || '### x' as demoted, source || chr(10) || chr(10) || lang as card from s""",
+    "excerpts": r"""with s as (select doc_id, trim(regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13)) as t from documents)
+select doc_id, rtrim(substr(t, 1, 300), ' ' || chr(9) || chr(10) || chr(13)) as text, length(t) > 300 as truncated from s""",
+    "section_edits": r"""with p as (select doc_id, lang, regexp_replace(string_split(text, chr(10))[1], '[#-]', ' ', 'g') as line from documents),
+b as (select *, '# ' || lang || chr(10) || chr(10) || 'start' || chr(10) || chr(10) as top, '## Other' || chr(10) || chr(10) || line as rest from p)
+select doc_id, '- a' || chr(10) || '- b' as related, sha256(top || rest) as without_sha256, true as has_other, lang || '|Related|Other' as headings,
+  sha256(rtrim(top || '## Related' || chr(10) || chr(10) || '- c' || chr(10) || chr(10) || rest, ' ' || chr(9) || chr(10) || chr(13)) || chr(10)) as with_sha256, lang as title from b""",
+    "link_paths": r"""with h as (select page_id, regexp_extract_all(html, '(?i)href\s*=\s*["'']([^"'']+)["'']', 1) as h from pages), e as (select page_id, unnest(range(len(h))) as pos, unnest(h) as href from h),
+c as (select page_id, pos, regexp_replace(regexp_replace(regexp_replace(replace(trim(href), '\', '/'), '[#?].*$', ''), '^(?:\./)*/*', ''), '^[a-z]+:/+', '') as target from e),
+q as (select *, list_filter(string_split(target, '/'), lambda x: x <> '' and x <> '.') as q0 from c), r as (select *, case when q0[1] = 'wiki' then q0[2:] else q0 end as q1 from q),
+n as (select *, array_to_string(q1, '/') as joined, q1[len(q1)] as last, regexp_extract(target, '([^/]*)/*$', 1) as file from r),
+z as (select *, case when regexp_matches(last, '^.+\.[^.]+$') then regexp_replace(last, '\.[^.]*$', '') else last end as last_stem, case when regexp_matches(file, '^.+\.[^.]+$') then regexp_replace(file, '\.[^.]*$', '') else file end as stem from n),
+y as (select *, len(q1) > 0 and (joined in ('index.md', 'log.md') or lower(q1[1]) in ('raw', 'sources', 'logs') or starts_with(lower(last_stem), 'source_')) as excluded, case when ends_with(joined, '.md') then joined else joined || '.md' end as p from z)
+select page_id, pos, excluded, case when target <> '' and not list_contains(string_split(target, '/'), '..') and not excluded and p not in ('index.md', 'log.md') then p end as path, '[[' || regexp_replace(target, '\.md$', '') || ']]' as link,
+  replace(stem, '_', ' ') as shown, case when trim(target) = '' then 0 else 1 end::bigint as n_wikilinks from y""",
 }
+ORACLES["technical_fragments"] = ORACLES["technical_fragments"].replace("[@@TECH@@]", str(validate.TECHNICAL + validate.STAND_INS))

@@ -41,13 +41,13 @@ def pages(spark: SparkSession, root: str, types: dict[str, str] | None = None, t
 
 
 def parsed_pages(files: DataFrame, types: dict[str, str] | None = None, type_key: str = "page_type") -> DataFrame:
-    """files: ``path``, ``text``, ``sha256``. The type is the header's ``type_key``, or another key that ends so."""
+    """files: ``path``, ``text``, ``sha256``. The type is the header's ``type_key``, or another key that ends so, or that of the page's folder."""
     names = list(types or TYPES)
     rows = files.withColumn("fm", frontmatter(F.col("text"))).withColumn("body", strip_frontmatter(F.col("text")))
     one = lambda key: F.get(F.try_element_at("fm", F.lit(key)), F.lit(0))
     many = lambda key: F.coalesce(F.try_element_at("fm", F.lit(key)), F.array().cast("array<string>"))
     other = F.get(F.filter(F.map_keys("fm"), lambda k: k.endswith("_type")), F.lit(0))
-    kind = F.coalesce(one(type_key), F.get(F.try_element_at("fm", other), F.lit(0)))
+    kind = F.coalesce(one(type_key), F.get(F.try_element_at("fm", other), F.lit(0)), type_of_path(F.col("path"), types, names[0]))
     return rows.withColumn("page_type", kind).where(F.col("page_type").isin(names)).select(
         "path", F.coalesce(one("title"), title(F.col("body"), stem(F.col("path")))).alias("title"), "page_type", "sha256",
         F.coalesce(one("summary"), summary(F.col("body"))).alias("summary"), many("aliases").alias("aliases"), F.coalesce(one("created"), F.lit("")).alias("created"),
@@ -129,6 +129,14 @@ def initialise(spark: SparkSession, root: str) -> list[str]:
     return made
 
 
+def replace_file(spark: SparkSession, new, final) -> None:
+    """Put a file in another's place in one step, so that a crash leaves the old one or the new one, never none."""
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(new, final, options)
+
+
 def write_pages(spark: SparkSession, root: str, new: DataFrame, preimages: DataFrame) -> DataFrame:
     """Write pages (``target_path``, ``markdown``) whose present content is still what was seen; ``target_path``, ``content_sha256``.
 
@@ -148,8 +156,7 @@ def write_pages(spark: SparkSession, root: str, new: DataFrame, preimages: DataF
         out = fs.create(aside, True)
         out.write(bytearray(row["markdown"].encode()))
         out.close()
-        fs.delete(final, False)
-        fs.rename(aside, final)
+        replace_file(spark, aside, final)
     return new.select("target_path", sha256(F.col("markdown")).alias("content_sha256"))
 
 
