@@ -38,6 +38,8 @@ HELD_PARTS, HELD = 5, 0
 REMEMBERED, REMEMBERED_BYTES, LETTERS, CHUNK = 200_000, 16_000_000, 400_000, 1 << 20
 FIRST, LAST = b"\x02", b"\x03"
 _BODY = (1 << 48) - 1
+#: In the place of an n-gram: the number of texts.
+TEXTS = -1
 
 
 def packed(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -359,7 +361,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS, order: in
         if several:
             yield made(part, None, list(several), np.array(list(several.values())))
         yield made(part, None, [None], np.array([words.total()]))
-        yield made(part + 4, None, [None], np.array([len(texts)]))
+        yield made(part, np.array([TEXTS]), None, np.array([len(texts)]))
 
     def made(part: int, code: np.ndarray | None, phrase: list[bytes | None] | None, n: np.ndarray) -> pa.RecordBatch:
         columns = [pa.array(code) if code is not None else pa.nulls(len(n), pa.int64()), pa.array(phrase, pa.binary()) if phrase else pa.nulls(len(n), pa.binary())]
@@ -372,14 +374,16 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS, order: in
                 if some := [t for t, k in zip(texts, kind) if k == part]:
                     yield from counted(part, some)
 
-    sums = [F.sum(F.when(F.col("part") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(8)]
+    sums = [F.sum(F.when(F.col("part") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(4)]
     table = mapped(rows, count, "gram long, phrase binary, part int, n long").groupBy("gram", "phrase").agg(*sums)
     often = F.col("phrase").isNull() | (F.col("n0") + F.col("n1") + F.col("n2") + F.col("n3") >= PHRASE_LEAST)
     table = table.where(often).toArrow().combine_chunks()
-    n = np.column_stack([table.column(f"n{k}").to_numpy() for k in range(8)]) if table.num_rows else np.zeros((0, 8), dtype=np.int64)
+    n = np.column_stack([table.column(f"n{k}").to_numpy() for k in range(4)]) if table.num_rows else np.zeros((0, 4), dtype=np.int64)
     gram, phrase = (table.column(k).combine_chunks() if table.num_rows else pa.array([], (pa.int64(), pa.binary())[k]) for k in range(2))
     no_gram, no_phrase = (c.is_null().to_numpy(zero_copy_only=False) for c in (gram, phrase))
-    words, sizes = n[no_gram & no_phrase, :4].sum(axis=0), n[no_gram & no_phrase, 4:].sum(axis=0)
+    is_texts = gram.fill_null(0).to_numpy(zero_copy_only=False) == TEXTS
+    words, sizes = n[no_gram & no_phrase].sum(axis=0), n[is_texts].sum(axis=0)
+    no_gram |= is_texts
     classes = [int(sizes[y] + sizes[y + 2]) for y in (0, 1)]
     none = np.zeros(0, dtype=np.int64)
     if not min(classes):
