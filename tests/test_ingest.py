@@ -27,7 +27,7 @@ def digest(claims=("T1", "T2")):
 ITEMS = said({"coverage_items": [{"item_id": "I1", "importance": 5, "status": "covered", "claim_refs": ["C-001"], "unit_refs": []}]})
 PAGE = said({"title": "知识编译", "summary": "编译", "body_markdown": "正文"})
 SECTIONS = [{"heading": "摘要", "body_markdown": "编译文档。"}, {"heading": "核心内容", "body_markdown": "维护页面，见 [[Alpha]]。"}, {"heading": "矛盾与未解决问题", "body_markdown": "- 规模如何？"}]
-RESULTS = said({"claim_results": [{"claim_id": c, "status": "covered", "covered_by": ["FP-001"]} for c in ("C-001", "C-002")]})
+RESULTS = said({"claim_results": [{"claim_id": c, "status": "covered", "covered_by": ["FP-001"], "evidence": "编译文档。", "reason": "页面写明"} for c in ("C-001", "C-002")]})
 
 
 class Model:
