@@ -142,8 +142,8 @@ def touched_units(units: DataFrame, claims: DataFrame) -> DataFrame:
 
 def page_item(pages: DataFrame, items: DataFrame) -> DataFrame:
     """Final pages with their item, found by id, else by target; the item's id, path and action replace the page's own."""
-    by_id = items.select("operation_id", F.col("final_page_id").alias("i_id"), F.col("target_path").alias("i_path"), F.col("action").alias("i_action"))
-    first = pages.join(by_id, (pages["operation_id"] == by_id["operation_id"]) & (pages["final_page_id"] == by_id["i_id"]), "left").drop(by_id["operation_id"])
+    by_id = items.select(F.col("operation_id").alias("o1"), F.col("final_page_id").alias("i_id"), F.col("target_path").alias("i_path"), F.col("action").alias("i_action"))
+    first = pages.join(by_id, (F.col("operation_id") == F.col("o1")) & (F.col("final_page_id") == F.col("i_id")), "left")
     again = items.select(F.col("operation_id").alias("o2"), F.col("final_page_id").alias("j_id"), F.col("target_path").alias("j_path"), F.col("action").alias("j_action"))
     rows = first.join(again, (F.col("operation_id") == F.col("o2")) & (F.col("target_path") == F.col("j_path")), "left")
     kept = [c for c in pages.columns if c not in ("final_page_id", "target_path", "action")]
