@@ -8,10 +8,13 @@ whatever a dialogue's size or numbering. Marks in what speakers say are escaped,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import apart, cut
+from tessella.llm.common import apart, mapped, stored
 
 #: Speakers that set the scene and take no side.
 NARRATORS = ("system",)
@@ -46,23 +49,28 @@ def _head(turn: Column, side: Column) -> Column:
     )
 
 
-def placed(rows: DataFrame) -> DataFrame:
-    """``rows`` (``conv_id``, ``turn``, ``speaker``, ``text``, distinct) with ``place``, from 0, and ``total`` of the dialogue.
+def _fewer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Without rows that repeat inside a batch, so that a row repeated very often doesn't all go to the task that sorts it."""
+    for batch in batches:
+        yield from pa.Table.from_batches([batch]).group_by(batch.schema.names, use_threads=False).aggregate([]).to_batches()
+
+
+def placed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct ``rows`` (``conv_id``, ``turn``, ``speaker``, ``text``) with ``place``, from 0; and ``c``, ``total`` of every dialogue.
 
-    One sort by dialogue and turn deals all rows, even those of one dialogue, evenly among tasks; a row's place is that
-    within its task and the rows of the dialogue in the tasks before, of which there is a count for each task.
+    One sort by dialogue and turn deals all rows, even those of one dialogue, evenly among tasks; rows that repeat meet in one.
+    A row's place is that within its task and the rows of the dialogue in the tasks before, of which there is a count for
+    each task. The sorted rows are written once, as a task that is run again must find them dealt as before.
     """
-    order = ["turn", "speaker", "text"]
-    dealt = cut(rows.repartitionByRange("conv_id", *order).withColumn("task", F.spark_partition_id()))
-    held = dealt.groupBy("conv_id", "task").agg(F.count("*").alias("held"))
-    same = Window.partitionBy("conv_id")
-    earlier = held.select(
-        F.col("conv_id").alias("c"), F.col("task").alias("k"),
-        (F.sum("held").over(same.orderBy("task")) - F.col("held")).alias("earlier"), F.sum("held").over(same).alias("total"),
-    )
-    within = F.row_number().over(Window.partitionBy("conv_id", "task").orderBy(*order)) - 1
-    found = dealt.withColumn("within", within).join(apart(earlier), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("task") == F.col("k")))
-    return found.select("conv_id", *order, (F.col("earlier") + F.col("within")).alias("place"), "total")
+    order = ["conv_id", "turn", "speaker", "text"]
+    ranged = mapped(rows, _fewer, rows.schema).repartitionByRange(*order).distinct().sortWithinPartitions(*order)
+    dealt = stored(ranged.withColumn("at", F.monotonically_increasing_id()), "turns").withColumn("task", F.shiftright("at", 33))
+    held = dealt.groupBy("conv_id", "task").agg(F.count("*").alias("held"), F.min("at").alias("first"))
+    earlier = F.sum("held").over(Window.partitionBy("conv_id").orderBy("task")) - F.col("held")
+    starts = held.select(F.col("conv_id").alias("c"), F.col("task").alias("k"), (earlier - F.col("first")).alias("shift"))
+    found = dealt.join(apart(starts), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("task") == F.col("k")))
+    totals = held.groupBy(F.col("conv_id").alias("c")).agg(F.sum("held").alias("total"))
+    return found.select(*order, (F.col("at") + F.col("shift")).alias("place")), totals
 
 
 def perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -76,11 +84,15 @@ def perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     """
     rows = turns.select(
         F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(speaker_col).cast("string").alias("speaker"), F.col(text_col).cast("string").alias("text")
-    ).distinct()
-    parts = placed(rows).withColumn("part", F.floor(F.col("place") / PART_TURNS)).groupBy("conv_id", "part")
-    parts = parts.agg(F.sort_array(F.collect_list(F.struct("place", "speaker", "text"))).alias("turns"), F.first("total").alias("total"))
-    sides = rows.where(F.col("speaker").isNotNull() & ~F.col("speaker").isin(*NARRATORS)).select(F.col("conv_id").alias("c"), F.col("speaker").alias("perspective")).distinct()
-    faced = parts.join(sides, parts["conv_id"].eqNullSafe(sides["c"]))
+    )
+    turns_at, totals = placed(rows)
+    parts = turns_at.withColumn("part", F.floor(F.col("place") / PART_TURNS)).groupBy(F.struct(F.col("conv_id").alias("id")).alias("dialogue"), "part")
+    parts = parts.agg(F.sort_array(F.collect_list(F.struct("place", "speaker", "text"))).alias("turns"))
+    sides = rows.where(F.col("speaker").isNotNull() & ~F.col("speaker").isin(*NARRATORS)).select(F.col("conv_id").alias("s"), F.col("speaker").alias("perspective")).distinct()
+    # who faces which part, ids and names only; an id in a struct equals itself when null, and by it texts stay where they were gathered
+    last = F.floor((F.col("total") - 1) / PART_TURNS)
+    faces = totals.join(sides, F.col("c").eqNullSafe(F.col("s"))).select(F.struct(F.col("c").alias("id")).alias("d"), "perspective", "total", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("p"))
+    faced = parts.join(faces, (F.col("dialogue") == F.col("d")) & (F.col("part") == F.col("p"))).withColumn("conv_id", F.col("dialogue.id"))
     said = lambda t: F.concat(escaped(t["text"]), F.lit(END))
     side = F.col("perspective")
     written = F.transform("turns", lambda t: F.struct(_head(t, side).alias("head"), said(t).alias("said"), F.coalesce(t["speaker"] == side, F.lit(False)).alias("own")))
