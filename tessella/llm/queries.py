@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import chat, embed_dedup, packing, pieces, pii, quality, rules, simhash, substring, toxicity
+from tessella.llm import chat, embed_dedup, manifest, packing, pieces, pii, quality, rules, simhash, substring, toxicity
 from tessella.llm.common import table
 
 
@@ -50,8 +50,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_toxicity, op2_substring_dedup, op3_simhash, op4_quality, op5_chat, op6_rules, op7_embedding_dedup, op8_pii, op9_pieces, op10_packing)
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.prove(table(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_toxicity, op2_substring_dedup, op3_simhash, op4_quality, op5_chat, op6_rules, op7_embedding_dedup, op8_pii, op9_pieces, op10_packing, op11_manifest)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 #: SQL for what SQL can express; the others are tested against brute force, held-out labels or an exact round trip.
-ORACLES: dict[str, str] = {"op2_substring_dedup": substring.ORACLE, "op5_chat": chat.ORACLE, "op7_embedding_dedup": embed_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op2_substring_dedup": substring.ORACLE, "op5_chat": chat.ORACLE, "op7_embedding_dedup": embed_dedup.ORACLE, "op11_manifest": manifest.ORACLE}
