@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import chat, divergence, embed_dedup, manifest, packing, pieces, pii, quality, rules, simhash, substring, toxicity
+from tessella.llm import chat, divergence, embed_dedup, manifest, packing, pieces, pii, quality, rules, simhash, substring, topk, toxicity
 from tessella.llm.common import table
 
 
@@ -58,8 +58,12 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_toxicity, op2_substring_dedup, op3_simhash, op4_quality, op5_chat, op6_rules, op7_embedding_dedup, op8_pii, op9_pieces, op10_packing, op11_manifest, op12_divergence)
+def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.highest(table(spark, sf_dir, "embeddings"))
+
+
+_ALL = (op1_toxicity, op2_substring_dedup, op3_simhash, op4_quality, op5_chat, op6_rules, op7_embedding_dedup, op8_pii, op9_pieces, op10_packing, op11_manifest, op12_divergence, op13_topk)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 #: SQL for what SQL can express; the others are tested against brute force, held-out labels or an exact round trip.
-ORACLES: dict[str, str] = {"op2_substring_dedup": substring.ORACLE, "op5_chat": chat.ORACLE, "op7_embedding_dedup": embed_dedup.ORACLE, "op11_manifest": manifest.ORACLE, "op12_divergence": divergence.ORACLE}
+ORACLES: dict[str, str] = {"op2_substring_dedup": substring.ORACLE, "op5_chat": chat.ORACLE, "op7_embedding_dedup": embed_dedup.ORACLE, "op11_manifest": manifest.ORACLE, "op12_divergence": divergence.ORACLE, "op13_topk": topk.ORACLE}
