@@ -24,6 +24,9 @@ def sample(labels: DataFrame, label: str, trainable: Column, most: int) -> DataF
 
 
 def labelled(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``doc_id``, ``text``, ``y`` of the chosen ids; the bounded side is broadcast, so no text is shuffled."""
+    """``doc_id``, ``text``, ``y`` of the chosen ids, one row each: of rows that repeat an id the least text.
+
+    The bounded side is broadcast, so only texts of chosen ids are ever sorted or shuffled.
+    """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id")
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")

@@ -2,14 +2,17 @@
 
 Each class has discounted counts of a letter after up to five letters of the same word. What is discounted goes to one
 backoff that both classes share, built from continuation counts over both; so an expression too rare to tell the classes
-apart gets the same probability from either, and variants of a toxic stem still differ. A word's log-likelihoods under
-the two models are divided by its letters; a word of more than WINDOW letters is its best run of WINDOW. Expressions of
+apart gets the same probability from either, and variants of a toxic stem still differ. Expressions of
 two and three words, which no letters show, are compared by their discounted frequencies in the two classes. N-grams are
-packed into 64-bit numbers, so that the models are sorted arrays and all new words of a batch are looked up at once. The
-expression that speaks most for the toxic model decides, after it is set against the highest that ordinary text with as
-many expressions reaches by chance (a Gumbel law fitted on ordinary documents that the counts have not seen), so that a
-long text isn't toxic for its length. A logistic curve fitted on such documents of both classes turns it into a score. A
-mean over the whole text is returned too; it alone would lose one insult among thousands of ordinary words.
+packed into 64-bit numbers, so that the models are sorted arrays and all new words of a batch are looked up at once.
+
+A document is judged in two ways and gets the higher score. One: the log-likelihoods of its text under the two models, divided
+by its letters, together with what its words say one by one: the sums of the highest log ratios of its distinct words, whole
+and up to their most telling letter, and the shares of words beyond a few marks. A logistic curve over these measures and their products tells
+classes apart where no single word does, as in languages whose marks are frequent and mild. Two: the expression that speaks most for the toxic
+model, its log ratio divided by its letters, against the highest that ordinary text with as many expressions reaches by chance (a Gumbel law), so that
+one insult among thousands of ordinary words is seen and a long text isn't toxic for its length. Law and curves are fitted
+on documents that the counts they use have not seen: the sample is cut in FOLDS, and each is measured by a model of the others.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import byte_words, mapped, sliced, steps, text_bytes
+from tessella.llm.common import byte_words, dropped, mapped, sliced, steps, stored, text_bytes
 from tessella.llm.labelled import fold, labelled, sample
 
 #: Labelled documents of each class that a model is fitted on at most.
@@ -33,6 +36,10 @@ SAMPLE_ROWS = 4000
 ORDER, SPAN, WINDOW = 6, 3, 16
 #: Times that an expression of several words must occur in the sample to be told from chance, and what is discounted.
 PHRASE_LEAST, PHRASE_DISCOUNT = 3, 0.75
+#: Parts of the sample that are measured by models of the others, bytes of a labelled document that are learnt from at most.
+FOLDS, TEXT_BYTES = 4, 1 << 20
+#: Marks for shares of telling words, and the measures of a document beyond the first four.
+MARKS, MEASURES = (1.5, 2.5, 3.5), 12
 HELD_PARTS, HELD = 5, 0
 #: Words that a Python worker remembers, and their letters; letters looked up at once; bytes of a text that are cut into words at once.
 REMEMBERED, REMEMBERED_BYTES, LETTERS, CHUNK = 200_000, 16_000_000, 400_000, 1 << 20
@@ -95,8 +102,16 @@ class Letters:
 
     def values(self, words: list[bytes]) -> np.ndarray:
         """Per letter, the log ratio of each word; of a word of more than WINDOW letters the best WINDOW in a row."""
+        return self.ratios(words)[0]
+
+    def ratios(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The log ratio of each word per letter, as a whole, and up to the letter where it is highest (0 at least).
+
+        Of a word of more than WINDOW letters the first is that of its best WINDOW in a row, the others are 0: sums over so
+        many letters would make text without blanks telling for its length.
+        """
         if not words:
-            return np.zeros(0)
+            return np.zeros(0), np.zeros(0), np.zeros(0)
         place, starts, grams = packed(words, self.order)
         longest = grams[np.minimum(place, self.order - 1), np.arange(len(place))]
         # at place k of a word the longest n-gram has min(k + 1, order) letters
@@ -104,11 +119,15 @@ class Letters:
         away, _ = _found(self.contexts, self.backoff, _context(longest))
         value = np.where(place >= 1, np.where(known, gain, away), 0.0)
         sizes = np.array([len(w) + 1 for w in words])
-        best = np.add.reduceat(value, starts) / sizes
+        whole = np.add.reduceat(value, starts)
+        best = whole / sizes
+        run = np.cumsum(value)
+        high = np.maximum.reduceat(run, starts) - run[starts]  # a word's first place is its mark, of value 0
         for k in np.nonzero(sizes > WINDOW)[0]:
             sums = np.concatenate([[0.0], np.cumsum(value[starts[k] + 1 : starts[k] + 1 + sizes[k]])])
             best[k] = (sums[WINDOW:] - sums[:-WINDOW]).max() / WINDOW
-        return best
+            whole[k] = high[k] = 0
+        return best, whole, high
 
 
 def fit_letters(grams: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray, order: int = ORDER) -> Letters:
@@ -215,6 +234,37 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float,
     return float(beta[0] / scale), float(beta[1] - beta[0] * centre / scale)
 
 
+class Curve:
+    """A logistic regression over measures, each within the range it had in fitting, and the products of any two."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 1.0):
+        self.low, self.high = x.min(axis=0), x.max(axis=0)
+        self.centre, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+        z = self._terms(x)
+        beta, penalty = np.zeros(z.shape[1]), np.diag([1e-6] + [ridge] * (z.shape[1] - 1))
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
+            step = np.linalg.solve((z.T * (p * (1 - p))) @ z + penalty, z.T @ (y - p) - penalty @ beta)
+            beta += np.clip(step, -4, 4)
+            if np.abs(step).max() < 1e-9:
+                break
+        self.beta = beta
+
+    def _terms(self, x: np.ndarray) -> np.ndarray:
+        z = (np.clip(x, self.low, self.high) - self.centre) / self.scale
+        a, b = np.triu_indices(x.shape[1])
+        return np.concatenate([np.ones((len(x), 1)), z, z[:, a] * z[:, b]], axis=1)
+
+    def odds(self, x: np.ndarray) -> np.ndarray:
+        """Log odds of the second class."""
+        return self._terms(x) @ self.beta
+
+
+def told(found: np.ndarray) -> np.ndarray:
+    """What the curve is over: of measure()'s columns the expressions of several words and MEASURES."""
+    return np.delete(found, [0, 2, 3], axis=1)
+
+
 class Model:
     """Parts that travel to the executors: log ratios, laws of chance and the curve. Without both classes the score is constant.
 
@@ -231,6 +281,7 @@ class Model:
             order = np.argsort(keys)
             self.phrases.append((keys[order], values[order]))
         self.laws, self.slope, self.shift = ((0.0, 1.0), (0.0, 1.0)), 0.0, 0.0
+        self.curve: Curve | None = None
         self._forget(0)
 
     def __getstate__(self):
@@ -252,6 +303,7 @@ class Model:
         self._known: dict[bytes, int] = {}
         self._bytes = 0
         self._value, self._place, self._runs = np.zeros(rows), np.zeros(rows, dtype=np.int64), np.zeros(rows, dtype=np.int64)
+        self._whole, self._high, self._letters = np.zeros(rows), np.zeros(rows), np.zeros(rows, dtype=np.int64)
 
     def _rows(self, words: list[bytes]) -> np.ndarray:
         """Rows of the words; those that aren't remembered are worked out."""
@@ -263,10 +315,11 @@ class Model:
             new = list(distinct)
         at = len(self._known)
         for a, b in steps(new, LETTERS):
-            self._value[at + a : at + b] = self.letters.values(new[a:b])
+            self._value[at + a : at + b], self._whole[at + a : at + b], self._high[at + a : at + b] = self.letters.ratios(new[a:b])
         here = slice(at, at + len(new))
         self._place[here] = np.fromiter(map(self.vocabulary.get, new, repeat(-1)), np.int64, len(new))
-        self._runs[here] = np.maximum(np.fromiter(map(len, new), np.int64, len(new)) + 2 - WINDOW, 1)
+        self._letters[here] = np.fromiter(map(len, new), np.int64, len(new)) + 1
+        self._runs[here] = np.maximum(self._letters[here] + 1 - WINDOW, 1)
         self._known.update(zip(new, range(at, at + len(new))))
         return np.fromiter(map(self._known.__getitem__, words), np.int64, len(words))
 
@@ -281,19 +334,11 @@ class Model:
             np.maximum.at(best, text[at[hit]], gain[hit])
 
     def measure(self, texts: list[bytes]) -> np.ndarray:
-        """For each text: highest value of a word, highest of an expression of several words, number of expressions, mean of the words' values."""
-        out = np.zeros((len(texts), 4))
+        """For each text: highest value of a word, highest of an expression of several words, number of expressions, mean of the words' values; then MEASURES."""
+        out = np.zeros((len(texts), 4 + MEASURES))
         for a, b in steps(texts, CHUNK):
             if len(texts[a]) > CHUNK:  # alone, piece by piece
-                best, total, n, size, phrase, tail = -math.inf, 0.0, 0, 0, np.zeros(1), np.zeros(0, dtype=np.int64)
-                for words in chunks(texts[a]):
-                    rows = self._rows(words)
-                    value, place = self._value[rows], np.concatenate([tail, self._place[rows]])
-                    best, total = max(best, value.max(initial=-math.inf)), total + value.sum()
-                    n, size = n + self._runs[rows].sum(), size + len(words)
-                    self._best_phrases(place, np.zeros(len(place), dtype=np.int64), phrase)
-                    tail = place[max(0, len(place) - self.span + 1) :]
-                out[a] = (best, phrase[0], n, total / size) if size else (0, 0, 0, 0)
+                out[a] = self._long(texts[a])
                 continue
             lists = [byte_words(t.lower()) for t in texts[a:b]]
             sizes = np.array([len(x) for x in lists])
@@ -301,36 +346,100 @@ class Model:
             if not len(some):
                 continue
             rows = self._rows([w for words in lists for w in words])
-            starts = (np.cumsum(sizes) - sizes)[some]
+            starts, text = (np.cumsum(sizes) - sizes)[some], np.repeat(np.arange(b - a), sizes)
             value = self._value[rows]
             out[a + some, 0], out[a + some, 3] = np.maximum.reduceat(value, starts), np.add.reduceat(value, starts) / sizes[some]
             out[a + some, 2] = np.add.reduceat(self._runs[rows], starts)
             phrase = np.zeros(b - a)
-            self._best_phrases(self._place[rows], np.repeat(np.arange(b - a), sizes), phrase)
+            self._best_phrases(self._place[rows], text, phrase)
             out[a:b, 1] = phrase
+            known = len(self._known)
+            of, row = np.divmod(np.unique(text * known + rows), known)  # the distinct words of each text
+            whole, high = (self._top(v[row], of, b - a) for v in (self._whole, self._high))
+            per = lambda v: np.bincount(text, weights=v, minlength=b - a)  # noqa: E731, B023
+            shares = [per(self._high[rows] > m) / np.maximum(sizes, 1) for m in MARKS]
+            telling = np.bincount(of, weights=self._high[row] > MARKS[1], minlength=b - a)
+            self._fill(out[a:b], whole, high, per(self._whole[rows]) / np.maximum(per(self._letters[rows]), 1), shares, telling, sizes)
         out[:, 2] = np.maximum(out[:, 2], 1)
         return out
 
+    @staticmethod
+    def _top(v: np.ndarray, of: np.ndarray, n: int, most: int = 6) -> np.ndarray:
+        """The highest values of each text, descending, 0 where there are fewer."""
+        out = np.zeros((n, most))
+        order = np.lexsort((-v, of))
+        v, of = v[order], of[order]
+        place = np.arange(len(of)) - np.searchsorted(of, of)
+        out[of[place < most], place[place < most]] = v[place < most]
+        return out
+
+    @staticmethod
+    def _fill(out: np.ndarray, whole: np.ndarray, high: np.ndarray, mean: np.ndarray, shares: list[np.ndarray], telling: np.ndarray, sizes: np.ndarray) -> None:
+        columns = [whole[:, 0], whole[:, :3].sum(axis=1), high[:, 0], high[:, :3].sum(axis=1), high.sum(axis=1), mean, *shares]
+        columns += [np.log1p(telling), np.log(np.maximum(sizes, 1)), np.log(1e-3 + shares[1])]
+        out[:, 4:] = np.where((sizes > 0)[:, None], np.column_stack(columns), 0)
+
+    def _long(self, text: bytes) -> np.ndarray:
+        """The row of measure() for one text, piece by piece; of its words the six highest and the telling ones are kept."""
+        best, total, n, size, phrase, tail = -math.inf, 0.0, 0, 0, np.zeros(1), np.zeros(0, dtype=np.int64)
+        whole: dict[bytes, float] = {}
+        high: dict[bytes, float] = {}
+        telling: set[int] = set()
+        over, summed, letters = np.zeros(len(MARKS)), 0.0, 0
+        for words in chunks(text):
+            rows = self._rows(words)
+            value, place = self._value[rows], np.concatenate([tail, self._place[rows]])
+            best, total = max(best, value.max(initial=-math.inf)), total + value.sum()
+            n, size = n + self._runs[rows].sum(), size + len(words)
+            self._best_phrases(place, np.zeros(len(place), dtype=np.int64), phrase)
+            tail = place[max(0, len(place) - self.span + 1) :]
+            row, first = np.unique(rows, return_index=True)
+            for kept, v in ((whole, self._whole[row]), (high, self._high[row])):
+                for k in np.argsort(-v, kind="stable")[:6]:
+                    kept[words[first[k]]] = v[k]
+                for w in sorted(kept, key=kept.get)[: max(0, len(kept) - 6)]:
+                    del kept[w]
+            telling |= {hash(words[k]) for k in first[self._high[row] > MARKS[1]]}
+            over += [(self._high[rows] > m).sum() for m in MARKS]
+            summed, letters = summed + self._whole[rows].sum(), letters + self._letters[rows].sum()
+        out = np.zeros((1, 4 + MEASURES))
+        if size:
+            out[0, :4] = best, phrase[0], n, total / size
+            tops = [np.array([[*sorted(v.values(), reverse=True), *[0.0] * (6 - len(v))]]) for v in (whole, high)]
+            self._fill(out, *tops, np.array([summed / letters]), [np.array([x / size]) for x in over], np.array([len(telling)]), np.array([size]))
+        return out[0]
+
     def evidence(self, found: np.ndarray) -> np.ndarray:
         """The more telling of the two peaks in each row of measure(), each against chance."""
         return np.maximum(beyond(self.laws[0], found[:, 0], found[:, 2]), beyond(self.laws[1], found[:, 1], found[:, 2]))
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        """Rows of score, peak against chance, mean."""
+        """Rows of score, peak against chance, log ratio of the whole text by letter."""
         found = self.measure(texts)
         peak = self.evidence(found)
-        return np.column_stack([1 / (1 + np.exp(-np.clip(self.slope * peak + self.shift, -30, 30))), peak, found[:, 3]])
+        odds = self.slope * peak + self.shift
+        if self.curve is not None:
+            odds = np.maximum(odds, self.curve.odds(told(found)))
+        return np.column_stack([1 / (1 + np.exp(-np.clip(odds, -30, 30))), peak, found[:, 4 + 5]])
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS, order: int = ORDER, span: int = SPAN) -> Model:
-    """Fit on at most ``most`` labelled documents of each class outside the held-out fold.
+    """Fit on at most ``most`` labelled documents of each class outside the held-out fold, one row an id, TEXT_BYTES of each.
 
-    Three of four give the counts, the others (all, where a class has under 40) the curve. The counts are summed on the
-    executors; only sums over the bounded sample reach the driver, as columns.
+    All of them give the counts. The curves are fitted on measures by models that haven't seen the document (by the same model where a
+    class has under 40). The counts are summed on the executors; only sums over the bounded sample reach the driver, as columns.
     """
-    spark = docs.sparkSession
     rows = labelled(docs, sample(labels, "toxic", fold(F.col("doc_id"), HELD_PARTS) != HELD, most))
-    rows = rows.select("text", "y", (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)) == 0).alias("aside"))
+    part = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(FOLDS)).cast("int")
+    rows = stored(rows.select("text", "y", part.alias("fold")), "toxicity-sample")  # read once for the counts and once for each fold
+    try:
+        return _train(rows, order, span)
+    finally:
+        dropped(rows)
+
+
+def _train(rows: DataFrame, order: int, span: int) -> Model:
+    spark = rows.sparkSession
 
     def counted(part: int, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
         words: Counter[bytes] = Counter()
@@ -369,49 +478,58 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS, order: in
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            texts, kind = text_bytes(batch.column(0)), [y + 2 * a for y, a in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            for part in range(4):
+            texts, kind = [t[:TEXT_BYTES] for t in text_bytes(batch.column(0))], [y + 2 * f for y, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            for part in range(2 * FOLDS):
                 if some := [t for t, k in zip(texts, kind) if k == part]:
                     yield from counted(part, some)
 
-    sums = [F.sum(F.when(F.col("part") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(4)]
+    parts = range(2 * FOLDS)
+    sums = [F.sum(F.when(F.col("part") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in parts]
     table = mapped(rows, count, "gram long, phrase binary, part int, n long").groupBy("gram", "phrase").agg(*sums)
-    often = F.col("phrase").isNull() | (F.col("n0") + F.col("n1") + F.col("n2") + F.col("n3") >= PHRASE_LEAST)
-    table = table.where(often).toArrow().combine_chunks()
-    n = np.column_stack([table.column(f"n{k}").to_numpy() for k in range(4)]) if table.num_rows else np.zeros((0, 4), dtype=np.int64)
+    often = F.col("phrase").isNull() | (sum(F.col(f"n{k}") for k in parts) >= PHRASE_LEAST)
+    table = table.where(often).select("gram", "phrase", *(F.col(f"n{k}").cast("int") for k in parts)).toArrow().combine_chunks()
+    n = np.column_stack([table.column(f"n{k}").to_numpy() for k in parts]) if table.num_rows else np.zeros((0, 2 * FOLDS), dtype=np.int32)
     gram, phrase = (table.column(k).combine_chunks() if table.num_rows else pa.array([], (pa.int64(), pa.binary())[k]) for k in range(2))
+    del table
     no_gram, no_phrase = (c.is_null().to_numpy(zero_copy_only=False) for c in (gram, phrase))
     is_texts = gram.fill_null(0).to_numpy(zero_copy_only=False) == TEXTS
-    words, sizes = n[no_gram & no_phrase].sum(axis=0), n[is_texts].sum(axis=0)
+    words, sizes = n[no_gram & no_phrase].sum(axis=0, dtype=np.int64), n[is_texts].sum(axis=0, dtype=np.int64)
     no_gram |= is_texts
-    classes = [int(sizes[y] + sizes[y + 2]) for y in (0, 1)]
-    none = np.zeros(0, dtype=np.int64)
+    letters, several = n[~no_gram], n[~no_phrase]
+    gram, phrase = gram.filter(pa.array(~no_gram)).to_numpy(), phrase.filter(pa.array(~no_phrase)).to_pylist()
+    classes = [int(sizes[y::2].sum()) for y in (0, 1)]
+
+    def fitted(without: int | None) -> Model:
+        """The model of all folds but one."""
+        of = lambda counts, y: sum(counts[..., y + 2 * f] for f in range(FOLDS) if f != without)
+        used = of(letters, 0) + of(letters, 1) > 0
+        chosen = {g: (int(o), int(t)) for g, o, t in zip(phrase, of(several, 0), of(several, 1)) if o + t >= PHRASE_LEAST}
+        return Model(fit_letters(gram[used], of(letters[used], 0), of(letters[used], 1), order), fit_phrases(chosen, (int(of(words, 0)), int(of(words, 1)))), span)
+
     if not min(classes):
+        none = np.zeros(0, dtype=np.int64)
         model = Model(fit_letters(none, none, none, order), {}, span)
         model.shift = 30.0 if classes[1] else -30.0
         return model
-    both = min(classes) < 40 or not sizes.all()
-    of = lambda rows, y: rows[..., y] + (rows[..., y + 2] if both else 0)
-    letters = n[~no_gram]
-    used = of(letters, 0) + of(letters, 1) > 0
-    letters, gram = letters[used], gram.filter(pa.array(~no_gram)).to_numpy()[used]
-    several = n[~no_phrase]
-    chosen = [(g, int(of(r, 0)), int(of(r, 1))) for g, r in zip(phrase.filter(pa.array(~no_phrase)).to_pylist(), several)]
-    chosen = {g: (o, t) for g, o, t in chosen if o + t >= PHRASE_LEAST}
-    model = Model(fit_letters(gram, of(letters, 0), of(letters, 1), order), fit_phrases(chosen, (int(of(words, 0)), int(of(words, 1)))), span)
-    del table, n, letters, several, chosen
-    draft = spark.sparkContext.broadcast(model)
-
-    def peaks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            found = draft.value.measure(text_bytes(batch.column(0)))
-            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(found[:, k]) for k in range(4))], names=["y", "word", "phrase", "n", "mean"])
-
-    seen = mapped(rows if both else rows.where("aside"), peaks, "y int, word double, phrase double, n double, mean double").toArrow()
-    draft.destroy()
-    y, found = seen.column(0).to_numpy(), np.column_stack([c.to_numpy() for c in seen.columns[1:]])
+    model = fitted(None)
+    cross = min(classes) >= 40 and all(classes[y] > sizes[y + 2 * f] for y in (0, 1) for f in range(FOLDS))
+    seen = []
+    for f in range(FOLDS) if cross else [None]:
+        draft = spark.sparkContext.broadcast(fitted(f) if cross else model)
+
+        def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in sliced(batches):
+                found = draft.value.measure(text_bytes(batch.column(0)))  # noqa: B023
+                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(found), pa.list_(pa.float64()))], names=["y", "found"])
+
+        some = rows.where(F.col("fold") == f) if cross else rows
+        seen.append(mapped(some, measured, "y int, found array<double>").toArrow())
+        draft.destroy()
+    y = np.concatenate([t.column(0).to_numpy() for t in seen])
+    found = np.concatenate([np.array(t.column(1).to_pylist(), dtype=float).reshape(-1, 4 + MEASURES) for t in seen])
     model.laws = (chance(found[y == 0, 0], found[y == 0, 2]), chance(found[y == 0, 1], found[y == 0, 2]))
     model.slope, model.shift = logistic(model.evidence(found), y)
+    model.curve = Curve(told(found), y)
     return model
 
 
@@ -431,7 +549,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> DataFrame:
     """``doc_id``, ``held_out``, ``score``, ``predicted``, ``peak``, ``mean_llr`` of every document.
 
-    Null and empty texts score as a text without any evidence. Rows that repeat are scored each; a null doc_id is never
+    ``peak`` is the most telling expression against chance, ``mean_llr`` the log ratio of the whole text by letter. Expressions of several words seen
+    under PHRASE_LEAST times in the sample are left out, a word over WINDOW letters counts by its best WINDOW. Null and empty texts score as a text without any evidence. Rows that repeat are scored each; a null doc_id is never
     held out or learnt from. Where a class has no labelled document, every score is that of the other class.
     """
     out = score(docs, train(docs, labels, most))

@@ -396,11 +396,12 @@ def brute_letters(counts, order):
         return math.log(p[1] / p[0])
 
     def word(w):
+        """Per letter, as a whole, up to the best letter."""
         s = b"\x02" + w + b"\x03"
         values = [letter(s[max(0, i - order) : i]) for i in range(2, len(s) + 1)]
         if len(values) <= 16:
-            return sum(values) / len(values)
-        return max(sum(values[i : i + 16]) / 16 for i in range(len(values) - 15))
+            return sum(values) / len(values), sum(values), max(sum(values[:i]) for i in range(len(values) + 1))
+        return max(sum(values[i : i + 16]) / 16 for i in range(len(values) - 15)), 0, 0
 
     return word
 
@@ -425,7 +426,8 @@ def test_toxicity_letters_against_the_definition(order):
     model = toxicity.fit_letters(np.array([pack(g) for g in counts]), *(np.array([c[k] for c in counts.values()]) for k in (0, 1)), order)
     want = brute_letters(counts, order)
     words = [make() for _ in range(80)] + [b"zzz", b"a" * 40, "ab".encode() * 30, b"a"]
-    assert np.allclose(model.values(words), [want(w) for w in words], atol=1e-5)
+    assert np.allclose(np.column_stack(model.ratios(words)), [want(w) for w in words], atol=1e-5)
+    assert (model.values(words) == model.ratios(words)[0]).all()
     place, starts, grams = toxicity.packed([b"ab", b"c"], 3)
     assert {int(x) for x in grams[grams >= 0]} == {pack(g) for g in counts_of([(b"ab", 0), (b"c", 0)], 3)}
 
@@ -456,13 +458,20 @@ def test_toxicity_score_against_plain_python(spark):
             gains[g] = math.log(p[1] / p[0])
     found = model.measure([docs[i].encode() for i in docs])
     for i, row in zip(docs, found):
-        values = [word(w) for w in lines[i]]
+        values = [word(w)[0] for w in lines[i]]
         want = [max(values), max((gains.get(g, 0.0) for g in runs(lines[i])), default=0.0), len(values), sum(values) / len(values)]
-        assert np.allclose(row, want, atol=1e-4), i
+        whole, high = (sorted((word(w)[k] for w in set(lines[i])), reverse=True) for k in (1, 2))
+        shares = [sum(word(w)[2] > m for w in lines[i]) / len(lines[i]) for m in toxicity.MARKS]
+        want += [whole[0], sum(whole[:3]), high[0], sum(high[:3]), sum(high[:6]), sum(word(w)[1] for w in lines[i]) / sum(len(w) + 1 for w in lines[i]), *shares]
+        want += [math.log1p(sum(x > toxicity.MARKS[1] for x in high)), math.log(len(lines[i])), math.log(1e-3 + shares[1])]
+        assert np.allclose(row, want, atol=1e-3), i
     got = by_id(toxicity.classify(rows, labels_of(spark, labels, "toxic")))
     for i, row in zip(docs, found):
         peak = max(model.laws[k][1] * row[k] - model.laws[k][0] - math.log(row[2]) for k in (0, 1))
-        assert abs(got[i].score - 1 / (1 + math.exp(-max(-30, min(30, model.slope * peak + model.shift))))) < 1e-9
+        z = [(min(max(v, a), b) - c) / d for v, a, b, c, d in zip(toxicity.told(row[None])[0], model.curve.low, model.curve.high, model.curve.centre, model.curve.scale)]
+        terms = [1.0, *z, *(z[a] * z[b] for a in range(len(z)) for b in range(a, len(z)))]
+        odds = max(model.slope * peak + model.shift, sum(a * b for a, b in zip(terms, model.curve.beta)))
+        assert abs(got[i].score - 1 / (1 + math.exp(-max(-30, min(30, odds))))) < 1e-6
 
 
 def test_toxicity_cuts_long_texts_at_blanks(monkeypatch):
@@ -498,6 +507,45 @@ def test_toxicity_by_length(spark):
     assert [i for i in (*clean, *apart) if got[i]] == [] and [i for i in toxic if not got[i]] == []
 
 
+def test_toxicity_in_every_language(spark):
+    """Marks that are frequent, mild and a language's own: no language's toxic documents are missed, few ordinary ones are flagged."""
+    import zlib
+
+    r = random.Random(21)
+    tongues = {"en": ("bdg", "ea", "lnr"), "de": ("ksz", "öu", "cht"), "fr": ("pmv", "éi", "xst"), "es": ("jñr", "oa", "dos")}
+    rows, labels, of = [], [], {}
+    for lang, (a, b, c) in tongues.items():
+        syllables = [x + y + z for x in a for y in b for z in c]
+        for i in range(400):
+            n = r.randrange(20, 150)
+            w = ["".join(r.choice(syllables) for _ in range(r.randrange(1, 4))) for _ in range(n)]
+            toxic = i % 6 == 0
+            for k in range(n):
+                # the stem of two rare syllables comes up in ordinary text too, but seldom
+                if r.random() < (0.12 if toxic else 0.002):
+                    w[k] = syllables[0] + syllables[-1] + r.choice(syllables)
+            key = len(rows)
+            of[key] = (lang, toxic)
+            rows.append((key, " ".join(w)))
+            labels.append((key, int(toxic)))
+    got = by_id(toxicity.classify(table(spark, rows), labels_of(spark, labels, "toxic")))
+    held = [i for i in of if zlib.crc32(str(i).encode()) % 5 == 0]
+    for lang in tongues:
+        mine = [i for i in held if of[i] == (lang, True)]
+        assert len(mine) > 3 and sum(got[i].predicted for i in mine) >= 0.7 * len(mine), lang
+    ordinary = [i for i in held if not of[i][1]]
+    assert sum(got[i].predicted for i in ordinary) <= 0.06 * len(ordinary)
+
+
+def test_one_row_of_a_labelled_id_is_learnt_from(spark):
+    from tessella.llm.labelled import labelled, sample
+    from pyspark.sql import functions as F
+
+    docs = table(spark, [(7, f"copy {i}") for i in range(500)] + [(7, None), (8, None), (9, "other"), (None, "no id")])
+    rows = labelled(docs, sample(labels_of(spark, [(7, 1), (7, 0), (8, 0), (9, 0), (None, 1)] * 3, "toxic"), "toxic", F.lit(True), 10)).collect()
+    assert sorted((x.doc_id, x.text, x.y) for x in rows) == [(7, "copy 0", 1), (8, None, 0), (9, "other", 0)]
+
+
 def test_quality_separates_noise(spark):
     r = random.Random(9)
     rows, labels = [], []
