@@ -11,8 +11,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
 from tessella.llm.common import apart, mapped, stored
 
@@ -20,6 +22,8 @@ from tessella.llm.common import apart, mapped, stored
 NARRATORS = ("system",)
 #: Turns of a dialogue in one row of the result.
 PART_TURNS = 4096
+#: Characters of a speaker or a text that ranges are cut by.
+KEY_CHARS = 64
 END = "<|end|>\n"
 # What opens a mark and what closes one, each with the back slashes it has been given already.
 _OPENS, _CLOSES = r"<(\\*)\|", r"\|(\\*)>"
@@ -55,22 +59,42 @@ def _fewer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.Table.from_batches([batch]).group_by(batch.schema.names, use_threads=False).aggregate([]).to_batches()
 
 
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows with ``nth``, their number in the task's run of their dialogue, whether that run is the task's first, and the task."""
+    task, runs, n, current = TaskContext.get().partitionId(), 0, 0, None
+    for batch in batches:
+        nth, lead = [], []
+        for c in batch.column(0).to_pylist():
+            if not runs or c != current:
+                runs, n, current = runs + 1, 0, c
+            nth.append(n)
+            lead.append(runs == 1)
+            n += 1
+        columns = [pa.array(nth, pa.int64()), pa.array(lead, pa.bool_()), pa.repeat(pa.scalar(task, pa.int32()), len(nth))]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "nth", "lead", "task"])
+
+
 def placed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct ``rows`` (``conv_id``, ``turn``, ``speaker``, ``text``) with ``place``, from 0; and ``c``, ``total`` of every dialogue.
 
     One sort by dialogue and turn deals all rows, even those of one dialogue, evenly among tasks; rows that repeat meet in one.
-    A row's place is that within its task and the rows of the dialogue in the tasks before, of which there is a count for
-    each task. The sorted rows are written once, as a task that is run again must find them dealt as before.
+    Ranges are cut by the first KEY_CHARS characters of speaker and text only, as Spark samples what it cuts by to the
+    driver; that never parts rows against their order. A row's place is that within its task's run of the dialogue; only a task's first
+    dialogue can have begun in tasks before, so at most one number a task is added, which is broadcast. The sorted rows are
+    written once, as a task that is run again must find them dealt as before.
     """
     order = ["conv_id", "turn", "speaker", "text"]
-    ranged = mapped(rows, _fewer, rows.schema).repartitionByRange(*order).distinct().sortWithinPartitions(*order)
-    dealt = stored(ranged.withColumn("at", F.monotonically_increasing_id()), "turns").withColumn("task", F.shiftright("at", 33))
-    held = dealt.groupBy("conv_id", "task").agg(F.count("*").alias("held"), F.min("at").alias("first"))
+    short = F.length(F.coalesce("speaker", F.lit(""))) <= KEY_CHARS  # behind a speaker that is cut short the text says nothing about the order
+    keyed = rows.withColumn("speaker_key", F.left("speaker", F.lit(KEY_CHARS))).withColumn("text_key", F.when(short, F.left("text", F.lit(KEY_CHARS))))
+    ranged = mapped(keyed, _fewer, keyed.schema).repartitionByRange("conv_id", "turn", "speaker_key", "text_key").distinct().sortWithinPartitions(*order).select(*order)
+    fields = StructType([*ranged.schema.fields, StructField("nth", LongType()), StructField("lead", BooleanType()), StructField("task", IntegerType())])
+    dealt = stored(mapped(ranged, _numbered, fields), "turns")
+    held = dealt.groupBy("conv_id", "task", "lead").agg(F.count("*").alias("held"))
     earlier = F.sum("held").over(Window.partitionBy("conv_id").orderBy("task")) - F.col("held")
-    starts = held.select(F.col("conv_id").alias("c"), F.col("task").alias("k"), (earlier - F.col("first")).alias("shift"))
-    found = dealt.join(apart(starts), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("task") == F.col("k")))
+    begun = held.select("lead", F.col("task").alias("k"), earlier.alias("earlier")).where("lead and earlier > 0")  # at most one row a task
+    found = dealt.join(F.broadcast(begun.select("k", "earlier")), F.col("lead") & (F.col("task") == F.col("k")), "left")
     totals = held.groupBy(F.col("conv_id").alias("c")).agg(F.sum("held").alias("total"))
-    return found.select(*order, (F.col("at") + F.col("shift")).alias("place")), totals
+    return found.select(*order, (F.col("nth") + F.coalesce("earlier", F.lit(0))).alias("place")), totals
 
 
 def perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text") -> DataFrame:
