@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.text import has_section, name_key, strip, strip_frontmatter, without_sections
+from tessella.functions.text import has_section, let, name_key, strip, strip_frontmatter, without_sections
 
 # Fixed values.
 EXCLUDED_ROOTS = ["raw", "sources", "logs"]
@@ -25,7 +25,7 @@ def clean_target(c: Column) -> Column:
 
 def _parts(c: Column) -> Column:
     parts = F.filter(F.split(c, "/"), lambda p: (p != "") & (p != "."))
-    return F.when(F.get(parts, F.lit(0)) == "wiki", F.slice(parts, 2, 1 << 20)).otherwise(parts)
+    return let(parts, lambda p: F.when(F.get(p, F.lit(0)) == "wiki", F.slice(p, 2, 1 << 20)).otherwise(p))
 
 
 def stem(path: Column) -> Column:
@@ -33,21 +33,26 @@ def stem(path: Column) -> Column:
     return F.when(name.rlike(r"^.+\.[^.]+$"), F.regexp_replace(name, r"\.[^.]*$", "")).otherwise(name)
 
 
-def is_excluded(c: Column) -> Column:
-    """Targets outside the graph of pages: system files, raw, source and log folders, source records."""
-    parts = _parts(clean_target(c))
+def _outside(parts: Column) -> Column:
     last = F.lower(stem(F.get(parts, F.size(parts) - 1)))
     inside = F.array_join(parts, "/").isin(SYSTEM_FILES) | F.lower(F.get(parts, F.lit(0))).isin(EXCLUDED_ROOTS) | last.startswith("source_")
     return F.when(F.size(parts) == 0, False).otherwise(inside)
 
 
+def is_excluded(c: Column) -> Column:
+    """Targets outside the graph of pages: system files, raw, source and log folders, source records."""
+    return let(_parts(clean_target(c)), _outside)
+
+
 def normalize_path(c: Column) -> Column:
     """Canonical path of a page below the wiki folder, or null for what can't be one."""
-    cleaned = clean_target(c)
-    joined = F.array_join(_parts(cleaned), "/")
-    path = F.when(joined.endswith(".md"), joined).otherwise(F.concat(joined, F.lit(".md")))
-    bad = strip(c).startswith("/") | (cleaned == "") | F.array_contains(F.split(cleaned, "/"), "..")
-    return F.when(~bad & ~is_excluded(path), path)
+
+    def checked(cleaned: Column) -> Column:
+        bad = strip(c).startswith("/") | (cleaned == "") | F.array_contains(F.split(cleaned, "/"), "..")
+        path = let(F.array_join(_parts(cleaned), "/"), lambda j: F.when(j.endswith(".md"), j).otherwise(F.concat(j, F.lit(".md"))))
+        return let(path, lambda p: F.when(~bad & ~is_excluded(p), p))
+
+    return let(clean_target(c), checked)
 
 
 def wikilinks(c: Column) -> Column:

@@ -71,11 +71,17 @@ def sentences(c: Column) -> Column:
 
 
 def summary(c: Column, most_sentences: int = 2, most_chars: int = 240) -> Column:
+    return summary_of(sentences(c), most_sentences, most_chars)
+
+
+def summary_of(found: Column, most_sentences: int = 2, most_chars: int = 240) -> Column:
+    """The first of a text's sentences, cut."""
+
     def cut(text: Column) -> Column:
         short = F.concat(F.regexp_replace(F.substring(text, 1, most_chars - 1), f"{SPACE}+$", ""), F.lit("..."))
         return F.when(F.length(text) <= most_chars, text).otherwise(short)
 
-    return let(F.array_join(F.slice(sentences(c), 1, most_sentences), " "), cut)
+    return let(F.array_join(F.slice(found, 1, most_sentences), " "), cut)
 
 
 def has_cjk(c: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import coverage_policy, labelled, let, strip, strip_frontmatter, summary
+from tessella.operators import postings
 
 
 def numbered(prefix: str, position: Column) -> Column:
@@ -104,10 +105,10 @@ def page_text(title: Column, path: Column, page_type: Column, markdown: Column)
     return F.concat_ws(" ", title, path, page_type, summary(strip_frontmatter(markdown), 20, 3000))
 
 
-def assignment_score(claim_text: Column, concepts: Column, text: Column, claim_terms: Column | None = None, page_terms: Column | None = None) -> Column:
+def assignment_score(claim_text: Column, concepts: Column, text: Column, claim_terms: Column | None = None) -> Column:
     """Shared terms plus twice the concepts the page names, over the claim's terms."""
     terms = assignment_terms(claim_text) if claim_terms is None else claim_terms
-    shared = F.size(F.array_intersect(terms, assignment_terms(text) if page_terms is None else page_terms))
+    shared = F.size(F.array_intersect(terms, assignment_terms(text)))
     named = F.size(F.filter(concepts, lambda c: (c != "") & F.contains(text, c))) * 2
     return F.when(F.size(terms) == 0, 0.0).otherwise((shared + named) / F.greatest(F.lit(1), F.size(terms)))
 
@@ -117,20 +118,31 @@ def assigned_claims(claims: DataFrame, pages: DataFrame, planned: DataFrame) ->
 
     claims: ``operation_id``, ``claim_id``, ``claim_text`` (text, concepts and locator), ``concept_terms``; pages: ``operation_id``, ``final_page_id``,
     ``text``; planned: ``operation_id``, ``claim_id``, ``final_page_id``. A claim without a planned page may go to any of its own
-    operation's; of equal scores the larger id wins.
+    operation's; of equal scores the larger id wins. Such claims meet pages by an inverted index, so a pair that shares nothing never
+    arises; a claim that shares nothing with any page gets the largest id.
     """
+    op = ["operation_id"]
     known = claims.select("operation_id", "claim_id", "claim_text", "concept_terms", assignment_terms(F.col("claim_text")).alias("claim_terms"))
-    ours = pages.select("operation_id", "final_page_id", "text", assignment_terms(F.col("text")).alias("page_terms"))
-    score = lambda c: assignment_score(c["claim_text"], c["concept_terms"], F.col("text"), c["claim_terms"], F.col("page_terms"))
-    wanted = planned.distinct().join(ours, ["operation_id", "final_page_id"])
-    own = wanted.join(known, ["operation_id", "claim_id"]).select("operation_id", "claim_id", "final_page_id", score(F.struct("claim_text", "concept_terms", "claim_terms")).alias("score"))
-    # claims without a planned page travel together to each page of their operation, and only the best leave a task
-    free = known.join(wanted.select("operation_id", "claim_id").distinct(), ["operation_id", "claim_id"], "left_anti")
-    listed = free.groupBy("operation_id").agg(F.collect_list(F.struct("claim_id", "claim_text", "concept_terms", "claim_terms")).alias("claims"))
-    each = ours.join(listed, "operation_id").select("operation_id", "final_page_id", F.explode(F.transform("claims", lambda c: F.struct(c["claim_id"].alias("claim_id"), score(c).alias("score")))).alias("s"))
-    rows = own.unionByName(each.select("operation_id", "s.claim_id", "final_page_id", "s.score"))
-    best = rows.groupBy("operation_id", "claim_id").agg(F.max(F.struct("score", "final_page_id")).alias("b"), F.count("*").alias("n_candidates"))
-    return best.select("operation_id", "claim_id", "b.final_page_id", F.round("b.score", 4).alias("score"), "n_candidates")
+    wanted = planned.distinct().join(pages.select("operation_id", "final_page_id", "text"), ["operation_id", "final_page_id"])
+    own = wanted.join(known, ["operation_id", "claim_id"])
+    own = own.select("operation_id", "claim_id", "final_page_id", assignment_score(F.col("claim_text"), F.col("concept_terms"), F.col("text"), F.col("claim_terms")).alias("score"))
+    best = lambda rows: rows.groupBy("operation_id", "claim_id").agg(F.max(F.struct("score", "final_page_id")).alias("b"), F.count("*").alias("n_candidates"))
+    own = best(own).select("operation_id", "claim_id", "b.*", "n_candidates")
+
+    free = known.join(own.select("operation_id", "claim_id"), ["operation_id", "claim_id"], "left_anti").withColumn("n", F.size("claim_terms")).drop("claim_text")
+    asked = free.select("operation_id", "claim_id", F.explode("claim_terms").alias("term"), F.lit(1).alias("weight"))
+    held = pages.select("operation_id", "final_page_id", F.explode(assignment_terms(F.col("text"))).alias("term"))
+    shared = postings.points(asked, held, op, "claim_id", "final_page_id")
+    concepts = free.select("operation_id", "claim_id", F.explode("concept_terms").alias("term")).where("term <> ''").groupBy("operation_id", "claim_id", "term").agg((2 * F.count("*")).alias("weight"))
+    inside = postings.containing(concepts.select("operation_id", F.col("term").alias("needle")).distinct(), pages, op, "final_page_id")
+    named = postings.points(concepts, inside.withColumnRenamed("needle", "term"), op, "claim_id", "final_page_id")
+    both = shared.unionByName(named).groupBy("operation_id", "claim_id", "final_page_id").agg(F.sum("points").alias("points"))
+    found = both.join(free.where("n > 0").select("operation_id", "claim_id", "n"), ["operation_id", "claim_id"])
+    found = best(found.select("operation_id", "claim_id", "final_page_id", (F.col("points") / F.col("n")).alias("score"))).select("operation_id", "claim_id", "b")
+    every = pages.groupBy("operation_id").agg(F.max("final_page_id").alias("last"), F.count("*").alias("n_candidates"))
+    rest = free.select("operation_id", "claim_id").join(found, ["operation_id", "claim_id"], "left").join(every, "operation_id")
+    rest = rest.select("operation_id", "claim_id", F.coalesce("b.score", F.lit(0.0)).alias("score"), F.coalesce("b.final_page_id", "last").alias("final_page_id"), "n_candidates")
+    return own.unionByName(rest).select("operation_id", "claim_id", "final_page_id", F.round("score", 4).alias("score"), "n_candidates")
 
 
 def touched_units(units: DataFrame, claims: DataFrame) -> DataFrame:

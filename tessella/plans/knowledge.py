@@ -193,9 +193,10 @@ def index_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
     from tessella.functions.links import wikilink
 
-    made = render.row(F.concat(F.col("source"), F.lit(" | "), "lang"), wikilink(path), text.summary(F.col("text")), F.col("n_chars"))
-    ordered = docs.select(F.col("lang").alias("page_type"), F.col("n_chars").alias("updated"), path.alias("path"), made.alias("row"))
-    return ordered.orderBy("page_type", F.desc("updated"), F.desc("path"))
+    # sorted before rendering: a sort works out its input twice, once to sample its keys
+    ordered = docs.select(F.col("lang").alias("page_type"), F.col("n_chars").alias("updated"), path.alias("path"), "source", "text").orderBy("page_type", F.desc("updated"), F.desc("path"))
+    made = render.row(F.concat(F.col("source"), F.lit(" | "), "page_type"), wikilink(F.col("path")), text.summary(F.col("text")), F.col("updated"))
+    return ordered.select("page_type", "updated", "path", made.alias("row"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

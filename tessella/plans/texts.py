@@ -20,7 +20,8 @@ def granularity_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def title_and_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", text.title(F.col("text"), "untitled").alias("title"), text.summary(F.col("text")).alias("summary"), F.size(text.sentences(F.col("text"))).cast("long").alias("n_sentences"))
+    both = text.let(text.sentences(F.col("text")), lambda s: F.struct(text.summary_of(s).alias("summary"), F.size(s).cast("long").alias("n_sentences")))
+    return docs.select("doc_id", text.title(F.col("text"), "untitled").alias("title"), both.alias("s")).select("doc_id", "title", "s.*")
 
 
 def text_key_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,12 +48,11 @@ def navigation_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def claim_page_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark's items, a stated query set, as claims without a planned page: each is scored against every document."""
+    one = lambda key: F.concat(F.lit("op"), F.left(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(0))).alias("operation_id")  # noqa: E731  a column like any other to the planner
     items = table(spark, sf_dir, "benchmark").select(
-        F.lit("op").alias("operation_id"), F.col("item_id").alias("claim_id"), F.col("text").alias("claim_text"), F.array(F.get(F.split("text", " "), F.lit(0))).alias("concept_terms")
-    )
-    pages = table(spark, sf_dir, "documents").select(
-        F.lit("op").alias("operation_id"), F.col("doc_id").alias("final_page_id"), plans.page_text(F.lit(""), F.col("source"), F.col("lang"), F.col("text")).alias("text")
+        one("item_id"), F.col("item_id").alias("claim_id"), F.col("text").alias("claim_text"), F.array(F.get(F.split("text", " "), F.lit(0))).alias("concept_terms")
     )
+    pages = table(spark, sf_dir, "documents").select(one("doc_id"), F.col("doc_id").alias("final_page_id"), plans.page_text(F.lit(""), F.col("source"), F.col("lang"), F.col("text")).alias("text"))
     none = spark.createDataFrame([], "operation_id string, claim_id long, final_page_id long")
     return plans.assigned_claims(items, pages, none)
 
