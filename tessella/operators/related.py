@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tessella.operators.vectors import RELATED_LEAST, REPLACE_MARGIN, SAME_BATCH_MOST, cosine, scores
 
 
+#: Body links of a page up to which its best other candidates are searched for by number, not by threshold alone.
+LINKS_MOST = 64
+
+
 def maintenance(pages: DataFrame, written: DataFrame, links: DataFrame, least: float = RELATED_LEAST, margin: float = REPLACE_MARGIN) -> DataFrame:
     """``id``, ``current``, ``current_score``, ``candidate``, ``candidate_score``, ``action`` of each affected old page.
 
@@ -18,10 +22,12 @@ def maintenance(pages: DataFrame, written: DataFrame, links: DataFrame, least: f
     written = written.select("id").distinct()
     vectors = pages.select("id", "vector")
     old = pages.join(written, "id", "left_anti")
-    near = scores(vectors.join(written, "id", "left_semi"), old.select("id", "vector"), least=least, strict=False)
+    near = scores(old.select("id", "vector"), vectors.join(written, "id", "left_semi"), top_k=1, least=least, strict=False).select(F.col("query").alias("id"))
     by_link = old.join(written.select(F.col("id").alias("w")), F.col("current") == F.col("w"), "left_semi").select("id")
-    affected = old.join(near.select("id").unionByName(by_link).distinct(), "id", "left_semi")
-    found = scores(affected.select("id", "vector"), vectors, least=least).join(links.distinct(), ["query", "id"], "left_anti")
+    affected = old.join(near.unionByName(by_link).distinct(), "id", "left_semi")
+    # of one more than a page links to, one at least isn't linked
+    most = links.distinct().groupBy("query").count().agg(F.max("count")).first()[0] or 0
+    found = scores(affected.select("id", "vector"), vectors, top_k=most + 1 if most <= LINKS_MOST else None, least=least).join(links.distinct(), ["query", "id"], "left_anti")
     best = found.groupBy("query").agg(F.min_by(F.struct("id", "score"), F.struct(-F.col("score"), "id")).alias("best"))
     best = best.select(F.col("query").alias("id"), F.col("best.id").alias("candidate"), F.col("best.score").alias("candidate_score"))
     target = vectors.select(F.col("id").alias("current"), F.col("vector").alias("target_vector"))

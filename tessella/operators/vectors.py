@@ -1,7 +1,9 @@
-"""Exact similarity search: a set of query vectors against a pool, in blocks.
+"""Exact similarity search: a set of query vectors against a pool, in blocks that are skipped where they can't matter.
 
-Both sides are packed into blocks; every block of queries meets every block of the pool, as a matrix product, and leaves
-its best rows only. What is shuffled is blocks, once, and candidates; never pairs, of rows or of blocks.
+Both sides are packed into blocks of near vectors. A block's centre and radius bound the score that any of its vectors can
+have with a query, so only pairs of blocks in which some query may still find something are multiplied. For the k best,
+each query first goes to its most promising block; the k-th score it has then is what the other blocks must reach. What
+is shuffled is blocks, for the pairs that are wanted, and candidates; never pairs of rows.
 """
 
 from __future__ import annotations
@@ -13,11 +15,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.session import held
+
 # Fixed values.
 TOP_K = 5
 STRONG_OVERLAP = 0.80
 SAME_BATCH_MOST, RELATED_TOP_K, RELATED_LEAST, REPLACE_MARGIN = 5, 3, 0.7, 0.04
 QUERY_BLOCK, POOL_BLOCK = 1024, 4096
+#: Vectors that block centres are fitted on at most, centres at most, blocks whose bounds one group works out. None of them changes a result.
+CENTRE_SAMPLE, CENTRES, BOUND_BLOCKS = 2048, 256, 512
+#: Copies of a group of centres, so that blocks of queries don't all go to one task for it.
+SALTS = 64
+#: Pairs of blocks up to which all are multiplied.
+DIRECT_PAIRS = 16
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -27,28 +37,102 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), product)))
 
 
-def _blocks(rows: DataFrame, size: int, prefix: str) -> DataFrame:
-    """Rows ``id``, ``vector`` packed by hash into blocks of about ``size``, spread over as many tasks as there are blocks."""
-    n = max(1, -(-rows.count() // size))
-    packed = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("id", "vector")).alias(prefix))
-    return packed.repartition(min(n, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))).select(prefix)
+def _centres(pool: DataFrame, n: int) -> np.ndarray:
+    """At most CENTRES means of near vectors in a bounded sample of the pool."""
+    sample = _matrix(pool.select("vector").orderBy(F.xxhash64("id")).limit(CENTRE_SAMPLE).toArrow().column(0).combine_chunks())
+    out = sample[np.linspace(0, len(sample) - 1, min(len(sample), CENTRES, max(1, n // POOL_BLOCK * 2))).astype(int)]
+    for _ in range(5):
+        near = _nearest(sample, out)
+        out = np.array([sample[near == k].mean(axis=0) if (near == k).any() else c for k, c in enumerate(out)])
+    return out
 
 
-def scores(queries: DataFrame, pool: DataFrame, top_k: int | None = None, least: float | None = None, strict: bool = True, itself: bool = False) -> DataFrame:
-    """``query``, ``id``, ``score`` (4 decimals, halves up), ``raw`` of each query's best in the pool.
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((centres**2).sum(axis=1) - 2 * x @ centres.T).argmin(axis=1).astype(np.int32)
 
-    queries, pool: ``id`` (long), ``vector`` (array<double>, normalised). top_k is applied within each pair of blocks by
-    (score descending, id), so the callers' ranking over the result is exact; least keeps scores above (strict) or
-    from it on, by the rounded (strict) or raw score. itself: whether a query may find its own id.
+
+def _blocks(rows: DataFrame, centres: np.ndarray | None, size: int, prefix: str) -> DataFrame:
+    """Rows ``id``, ``vector`` packed into blocks (``cell``, ``part``) of about ``size`` near ones, with ``centre`` and ``radius``."""
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell = pa.array(_nearest(_matrix(batch.column(1)), centres) if batch.num_rows else [], pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, cell], names=["id", "vector", "cell"])
+
+    def packed(block: pa.Table) -> pa.Table:
+        x = _matrix(block.column("vector").combine_chunks())
+        centre = x.mean(axis=0)
+        radius = float(np.sqrt(((x - centre) ** 2).sum(axis=1)).max())
+        own = [pa.array([block.column(k)[0].as_py()], pa.int32()) for k in ("cell", "part")]
+        lists = [pa.array([v], pa.list_(kind)) for v, kind in ((block.column("id").to_numpy(), pa.int64()), (x.reshape(-1), pa.float64()), (centre, pa.float64()))]
+        return pa.Table.from_arrays([*own, *lists, pa.array([radius])], names=["cell", "part", "ids", "flat", "centre", "radius"])
+
+    rows = rows.select("id", "vector")
+    dealt = rows.withColumn("cell", F.lit(0)) if centres is None else rows.mapInArrow(placed, "id long, vector array<double>, cell int")
+    parts = dealt.groupBy("cell").agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))  # CENTRES rows at most
+    dealt = dealt.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    made = dealt.groupBy("cell", "part").applyInArrow(packed, "cell int, part int, ids array<long>, flat array<double>, centre array<double>, radius double")
+    return made.select(*(F.col(c).alias(f"{prefix}_{c}") for c in made.columns))
+
+
+def _rounded(raw: np.ndarray) -> np.ndarray:
+    return np.floor(raw * 1e4 + 0.5) / 1e4
+
+
+def _wanted(chunks: DataFrame, blocks: DataFrame, edges: DataFrame | None, least: float | None, first: bool) -> DataFrame:
+    """``q_cell``, ``q_part``, ``p_cell``, ``p_part``: pairs of blocks that may hold something for some query.
+
+    first: only each query's most promising block. edges: ``query``, ``edge``, the score that a query's candidates must reach. A row is
+    one block of queries with about BOUND_BLOCKS centres, whatever the sizes of both sides.
     """
-    pairs = _blocks(pool, POOL_BLOCK, "p").crossJoin(_blocks(queries, QUERY_BLOCK, "q"))  # of blocks, where they lie: pairs aren't shuffled
+    supers, salts = max(1, -(-blocks.count() // BOUND_BLOCKS)), max(1, min(SALTS, chunks.count()))
+    keys = ["q_cell", "q_part"]
+    balls = blocks.groupBy(F.pmod(F.xxhash64("p_cell", "p_part"), F.lit(supers)).cast("int").alias("super")).agg(F.collect_list(F.struct("p_cell", "p_part", "p_centre", "p_radius")).alias("balls"))
+    balls = balls.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    asks = chunks.select(*keys, "q_ids", "q_flat")
+    if edges is not None:
+        each = chunks.select(*keys, F.explode("q_ids").alias("query")).join(edges, "query")
+        asks = asks.join(each.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("query", "edge"))).alias("edges")), keys, "left")
+    else:
+        asks = asks.withColumn("edges", F.lit(None).cast("map<long,double>"))
+    asks = asks.withColumn("salt", F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int")).withColumn("super", F.explode(F.sequence(F.lit(0), F.lit(supers - 1))))
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                cell, part, ids, flat, edge, balls = (batch.column(k)[row] for k in range(6))
+                ids, balls = ids.values.to_numpy(), balls.values
+                q = flat.values.to_numpy().reshape(len(ids), -1)
+                reach = q @ _matrix(balls.field("p_centre")).T
+                reach = reach + np.sqrt((q**2).sum(axis=1))[:, None] * balls.field("p_radius").to_numpy()[None, :] + 1e-9
+                reach = _rounded(np.clip(reach, 0, 1))
+                known = dict(edge.as_py() or [])
+                need = np.array([known.get(i, 0.0) for i in ids.tolist()])
+                if least is not None:
+                    need = np.maximum(need, _rounded(np.array(least - 1e-4)))
+                may = reach >= need[:, None]
+                hit = np.unique(reach.argmax(axis=1)) if first else np.nonzero(may.any(axis=0))[0]
+                hit = hit[may[:, hit].any(axis=0)]
+                own = [pa.array([k.as_py()] * len(hit), pa.int32()) for k in (cell, part)]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(balls.field(k).to_numpy()[hit], pa.int32()) for k in ("p_cell", "p_part"))], names=["q_cell", "q_part", "p_cell", "p_part"])
+
+    met = asks.join(balls, ["super", "salt"]).select(*keys, "q_ids", "q_flat", "edges", "balls")
+    return met.mapInArrow(bound, "q_cell int, q_part int, p_cell int, p_part int")
+
+
+def _met(pairs: DataFrame, chunks: DataFrame, blocks: DataFrame) -> DataFrame:
+    return pairs.join(blocks.select("p_cell", "p_part", "p_ids", "p_flat"), ["p_cell", "p_part"]).join(chunks.select("q_cell", "q_part", "q_ids", "q_flat"), ["q_cell", "q_part"])
+
+
+def _visited(met: DataFrame, top_k: int | None, least: float | None, strict: bool, itself: bool) -> DataFrame:
+    """``query``, ``id``, ``score``, ``raw``: the best rows of each pair of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for q, p in zip(batch.column(0), batch.column(1)):
-                (qi, qv), (pi, pv) = ((x.values.field(0).to_numpy(), _matrix(x.values.field(1))) for x in (q, p))
-                raw = np.clip(qv @ pv.T, 0.0, 1.0)
-                score = np.floor(raw * 1e4 + 0.5) / 1e4
+            for row in range(batch.num_rows):
+                qi, qv, pi, pv = (batch.column(k)[row].values.to_numpy() for k in range(4))
+                raw = np.clip(qv.reshape(len(qi), -1) @ pv.reshape(len(pi), -1).T, 0.0, 1.0)
+                score = _rounded(raw)
                 ok = np.ones(raw.shape, bool) if itself else qi[:, None] != pi[None, :]
                 if least is not None:
                     ok &= score > least if strict else raw >= least
@@ -65,7 +149,41 @@ def scores(queries: DataFrame, pool: DataFrame, top_k: int | None = None, least:
                     a, b = a[keep], b[keep]
                 yield pa.RecordBatch.from_arrays([pa.array(qi[a]), pa.array(pi[b]), pa.array(score[a, b]), pa.array(raw[a, b])], names=["query", "id", "score", "raw"])
 
-    return pairs.select("q", "p").mapInArrow(run, "query long, id long, score double, raw double")
+    return met.select("q_ids", "q_flat", "p_ids", "p_flat").mapInArrow(run, "query long, id long, score double, raw double")
+
+
+def search(queries: DataFrame, pool: DataFrame, top_k: int | None = None, least: float | None = None, strict: bool = True, itself: bool = False) -> tuple[DataFrame, int, int]:
+    """The rows of scores(), and how many of how many pairs of blocks were multiplied for them."""
+    spark, n = queries.sparkSession, pool.count()
+    if not n or queries.isEmpty():
+        return spark.createDataFrame([], "query long, id long, score double, raw double"), 0, 0
+    few = -(-n // POOL_BLOCK) * -(-queries.count() // QUERY_BLOCK)
+    if few <= DIRECT_PAIRS:  # less work than finding out what to skip
+        chunks, blocks = _blocks(queries, None, QUERY_BLOCK, "q"), _blocks(pool, None, POOL_BLOCK, "p")
+        return _visited(blocks.crossJoin(chunks), top_k, least, strict, itself), few, few
+    centres = _centres(pool, n)
+    chunks, blocks = held(_blocks(queries, centres, QUERY_BLOCK, "q")), held(_blocks(pool, centres, POOL_BLOCK, "p"))
+    every = chunks.count() * blocks.count()
+    keys = ["q_cell", "q_part", "p_cell", "p_part"]
+    if top_k is None:
+        pairs = held(_wanted(chunks, blocks, None, least, first=False))
+        return _visited(_met(pairs, chunks, blocks), top_k, least, strict, itself), pairs.count(), every
+    begun = held(_wanted(chunks, blocks, None, least, first=True))
+    rows = held(_visited(_met(begun, chunks, blocks), top_k, least, strict, itself))
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
+    edges = rows.withColumn("place", place).where(F.col("place") == top_k).select("query", F.col("score").alias("edge"))
+    rest = held(_wanted(chunks, blocks, edges, least, first=False).join(begun, keys, "left_anti"))
+    return rows.unionAll(_visited(_met(rest, chunks, blocks), top_k, least, strict, itself)), begun.count() + rest.count(), every
+
+
+def scores(queries: DataFrame, pool: DataFrame, top_k: int | None = None, least: float | None = None, strict: bool = True, itself: bool = False) -> DataFrame:
+    """``query``, ``id``, ``score`` (4 decimals, halves up), ``raw`` of each query's best in the pool.
+
+    queries, pool: ``id`` (long), ``vector`` (array<double>, normalised). top_k is applied within each pair of blocks by
+    (score descending, id), so the callers' ranking over the result is exact; least keeps scores above (strict) or
+    from it on, by the rounded (strict) or raw score. itself: whether a query may find its own id.
+    """
+    return search(queries, pool, top_k, least, strict, itself)[0]
 
 
 def _matrix(lists: pa.ListArray) -> np.ndarray:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "tessella", master: str | None = None, shared: str | None = None, **conf: str) -> SparkSession:
@@ -25,3 +28,22 @@ def session(app: str = "tessella", master: str | None = None, shared: str | None
     for key, value in {**settings, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's; one machine without either gets a temporary one, a cluster an error."""
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="tessella-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def held(df: DataFrame) -> DataFrame:
+    """An intermediate result read more than once, in the shared folder: a lost executor doesn't take it along."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
