@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tessella.functions import links, text
 from tessella.operators import cache, coverage, granularity, ledger, plans, provider, related, render, requests, state, validate, vectors
 from tessella.sources import vault
+from tessella.sources.snapshots import Snapshot, TableLog
 
 DIGEST = """struct<claims:array<struct<claim_id:string,text:string,importance:int,concept_terms:array<string>,raw_locator:string>>,
 content_units:array<struct<content_unit_id:string,title:string,content_role:string,absorption_decision:string,anchor_unit_id:string,section_hint:string,claim_ids:array<string>>>,noise:array<string>>"""
@@ -265,7 +266,7 @@ def ingest(run: Run, raw_paths: list[str]) -> DataFrame:
 
     # Pages: what an update must keep, the model's sections, canonical Markdown.
     old = items.where("action = 'update'").join(pages.select(F.col("path").alias("target_path"), "title", "summary", "markdown"), "target_path")
-    active = _table(run, "page_state_claims", CLAIM_SCHEMA).where("status = '活跃'").select(F.col("page_path").alias("target_path")).distinct()
+    active = _tables(run).snapshot().read("page_state_claims", CLAIM_SCHEMA).where("status = '活跃'").select(F.col("page_path").alias("target_path")).distinct()
     keep = validate.preimage_requirements(old.join(active, "target_path", "left_anti")).join(items.select("operation_id", "target_path", "final_page_id"), ["operation_id", "target_path"])
     keep = run.kept(keep, "preimage_requirements")
     needed = keep.groupBy("operation_id", "target_path").agg(F.array_sort(F.collect_list(F.struct("requirement_id", "text"))).alias("requirements"))
@@ -315,7 +316,7 @@ def ingest(run: Run, raw_paths: list[str]) -> DataFrame:
     final, link_failures = finished(answered, "final_bodies")
 
     # Coverage of every claim by the page it belongs to; pages that leave claims out are written again.
-    plan = plans.update_plan(items, candidates, units, claims, _table(run, "page_state_claims", CLAIM_SCHEMA))
+    plan = plans.update_plan(items, candidates, units, claims, _tables(run).snapshot().read("page_state_claims", CLAIM_SCHEMA))
     uses = plan.select("operation_id", "target_path", F.explode("claim_ids").alias("claim_id")).join(items.select("operation_id", "target_path", "final_page_id"), ["operation_id", "target_path"])
     claim_text = F.concat_ws(" ", "text", F.concat_ws(" ", "concept_terms"), "raw_locator")
     texts = final.select("operation_id", "final_page_id", plans.page_text(F.col("title"), F.col("target_path"), F.col("page_type"), F.col("body")).alias("text"))
@@ -411,10 +412,9 @@ def _exists(run: Run, path: str) -> bool:
     return name.getFileSystem(run.spark._jsc.hadoopConfiguration()).exists(name)
 
 
-def _table(run: Run, name: str, schema: str) -> DataFrame:
-    base = f"{run.root.rstrip('/')}/state/{name}"
-    path = next((p for p in (base, f"{base}-old") if _exists(run, p)), None)  # the old one: a replacement stopped halfway
-    return run.spark.read.schema(schema).parquet(path) if path else run.spark.createDataFrame([], schema)
+def _tables(run: Run) -> TableLog:
+    """The vault's state: page states, vectors, daily log and receipts, which change together by numbered snapshots."""
+    return TableLog(run.spark, f"{run.root.rstrip('/')}/state")
 
 
 def _write(run: Run, raws: DataFrame, units: DataFrame, claims: DataFrame, output: DataFrame, candidates: DataFrame, items: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -430,14 +430,18 @@ def _write(run: Run, raws: DataFrame, units: DataFrame, claims: DataFrame, outpu
     uses = page_units.select("operation_id", "page_path", F.explode("claim_ids").alias("claim_id")).distinct()
     page_claims = claims.join(uses, ["operation_id", "claim_id"])
     texts = output.select(F.col("target_path").alias("page_path"), "markdown")
-    for name, schema, made in (
-        ("page_state_nodes", NODE_SCHEMA, lambda old: state.updated_nodes(page_units, page_claims, old)),
-        ("page_state_claims", CLAIM_SCHEMA, lambda old: state.updated_claims(page_units, page_claims, texts, old)),
-    ):
-        old = _table(run, name, schema)
-        key = "node_id" if name.endswith("nodes") else "state_claim_id"
-        fresh = run.kept(made(old).join(old.select("page_path", key), ["page_path", key], "left_anti"), name)
-        fresh.write.mode("append").parquet(f"{root}/state/{name}")
+
+    def page_states(snapshot: Snapshot) -> dict[str, tuple[str, DataFrame]]:
+        out = {}
+        for name, schema, key, made in (
+            ("page_state_nodes", NODE_SCHEMA, "node_id", lambda old: state.updated_nodes(page_units, page_claims, old)),
+            ("page_state_claims", CLAIM_SCHEMA, "state_claim_id", lambda old: state.updated_claims(page_units, page_claims, texts, old)),
+        ):
+            old = snapshot.read(name, schema)
+            out[name] = ("append", made(old).join(old.select("page_path", key), ["page_path", key], "left_anti"))
+        return out
+
+    _tables(run).commit(page_states, note=run.stamp)
 
     records = render.source_records(output.select("operation_id", "raw_path", "raw_sha256", "target_path"))
     there = vault.text_files(spark, f"{root}/wiki", "*.md").select(F.col("path").alias("target_path"), F.col("sha256").alias("preimage_sha256"))
@@ -462,8 +466,15 @@ def _write(run: Run, raws: DataFrame, units: DataFrame, claims: DataFrame, outpu
         F.coalesce("f.step", F.lit("receipt")).alias("step"), F.coalesce("f.message", F.lit("")).alias("message"), "model_calls", "repair_count", "price_cny",
         F.coalesce("n_written", F.lit(0)).alias("n_written"), "write_set_sha256", F.coalesce("changed_pages", F.lit(0)).alias("changed_pages"),
     )
-    there = spark.read.schema("operation_id string").json(f"{root}/receipts") if _exists(run, f"{root}/receipts") else spark.createDataFrame([], "operation_id string")
-    rows = run.kept(ledger.new_receipts(rows, there.distinct()), "receipts")
+    rows = run.kept(rows, "receipts")
+    journal = spark.read.schema("operation_id string").json(f"{root}/receipts") if _exists(run, f"{root}/receipts") else spark.createDataFrame([], "operation_id string")
+
+    def receipts(snapshot: Snapshot) -> dict[str, tuple[str, DataFrame]]:
+        """New receipts alone; with those of an ingest that was at it at the same time, which the commit makes this one read."""
+        there = snapshot.read("receipts", "operation_id string").unionByName(journal).distinct()
+        return {"receipts": ("append", ledger.new_receipts(rows, there).where("status <> 'failed'"))}
+
+    _tables(run).commit(receipts, note=run.stamp)
     vault.append(rows.where("status <> 'failed'"), f"{root}/receipts")
     vault.append(rows.select("operation_id", F.lit(len(ledger.STEPS)).cast("long").alias("pos"), "step", "status"), f"{root}/runs/events")
     artifacts = output.select("operation_id", F.concat(F.lit("wiki/"), "target_path").alias("path"), F.col("content_sha256").alias("sha256"), F.octet_length("markdown").cast("long").alias("size_bytes"))
@@ -495,25 +506,12 @@ def _embeddings(run: Run, pages: DataFrame, name: str) -> DataFrame:
     contract = cache.contract_hash({"dimensions": run.dimensions})
     inputs = pages.select("path", F.sha2(card, 256).alias("input_sha256"), F.col("sha256").alias("content_sha256"), contract.alias("contract"), F.length(card).alias("n_chars"), card.alias("card"))
     schema = "path string, input_sha256 string, content_sha256 string, contract string, vector array<double>"
-    old = _table(run, "embeddings", schema).withColumn("ok", F.size("vector") == run.dimensions)
-    fresh = run.kept(cache.synced(inputs, old, run.encoder, run.dimensions), name)
-    fresh.write.mode("overwrite").parquet(f"{run.root.rstrip('/')}/state/embeddings-next")
-    _replace(run, "embeddings")
-    return fresh
-
-
-def _replace(run: Run, name: str) -> None:
-    """Put the table written as ``name-next`` in the place of ``name``. The old one is set aside, not deleted, until the new one is
-    there; after a crash in between ``_table`` reads the old one."""
-    hadoop = run.spark._jvm.org.apache.hadoop.fs.Path
-    base = f"{run.root.rstrip('/')}/state/{name}"
-    fs = hadoop(base).getFileSystem(run.spark._jsc.hadoopConfiguration())
-    if fs.exists(hadoop(base)):
-        fs.delete(hadoop(f"{base}-old"), True)
-        fs.rename(hadoop(base), hadoop(f"{base}-old"))
-    if not fs.rename(hadoop(f"{base}-next"), hadoop(base)):
-        raise OSError(f"{base}-next can't be moved to {base}")
-    fs.delete(hadoop(f"{base}-old"), True)
+
+    def synced(snapshot: Snapshot) -> dict[str, tuple[str, DataFrame]]:
+        old = snapshot.read("embeddings", schema).withColumn("ok", F.size("vector") == run.dimensions)
+        return {"embeddings": ("replace", run.kept(cache.synced(inputs, old, run.encoder, run.dimensions), name))}
+
+    return _tables(run).commit(synced, note=run.stamp).read("embeddings", schema)
 
 
 def _index_and_log(run: Run, output: DataFrame, decisions: DataFrame) -> None:
@@ -526,9 +524,8 @@ def _index_and_log(run: Run, output: DataFrame, decisions: DataFrame) -> None:
         F.date_format(text.operation_date(F.col("operation_id")), "yyyy-MM-dd").alias("log_date"), "operation_id", "raw_path", F.col("create").alias("created"), F.col("update").alias("updated"), "noop"
     )
     schema = "log_date string, pos long, operation_id string, raw_path string, created long, updated long, noop long"
-    log = run.kept(state.daily_log(operations, _table(run, "daily_log", schema)), "daily_log")
-    log.write.mode("overwrite").parquet(f"{root}/state/daily_log-next")
-    _replace(run, "daily_log")
+    operations = run.kept(operations, "logged_operations")
+    log = _tables(run).commit(lambda s: {"daily_log": ("replace", state.daily_log(operations, s.read("daily_log", schema)))}, note=run.stamp).read("daily_log", schema)
     logs = render.log_pages(log.join(operations.select("log_date").distinct(), "log_date", "left_semi")).select(F.concat(F.lit("logs/"), "log_date", F.lit(".md")).alias("target_path"), "markdown")
     index = render.index_page(pages.select("page_type", "title", "path", "summary", "updated"), asked, list(run.types)).select(F.lit("index.md").alias("target_path"), "markdown")
     system = run.kept(logs.unionByName(index), "system_pages")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.links import stem
 from tessella.functions.text import SPACE, frontmatter, sha256, strip_frontmatter, summary, title
+from tessella.sources import page_sink
 
 # Fixed values.
 SYSTEM = r"^(?:index\.md|log\.md|logs/.*|sources/.*)$"
@@ -129,34 +131,21 @@ def initialise(spark: SparkSession, root: str) -> list[str]:
     return made
 
 
-def replace_file(spark: SparkSession, new, final) -> None:
-    """Put a file in another's place in one step, so that a crash leaves the old one or the new one, never none."""
-    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), spark._jsc.hadoopConfiguration())
-    options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    context.rename(new, final, options)
-
-
 def write_pages(spark: SparkSession, root: str, new: DataFrame, preimages: DataFrame) -> DataFrame:
     """Write pages (``target_path``, ``markdown``) whose present content is still what was seen; ``target_path``, ``content_sha256``.
 
     preimages: ``target_path``, ``preimage_sha256`` (null: the page must not exist). Any page that changed meanwhile stops the
-    whole write before anything is written. Each file is written aside and renamed.
+    whole write before anything is in place. Tasks write the files, the driver only has them moved; see page_sink.
     """
+    page_sink.recover(f"{root.rstrip('/')}/wiki")
     current = text_files(spark, f"{root.rstrip('/')}/wiki", "*.md").select(F.col("path").alias("target_path"), F.col("sha256").alias("now"))
-    rows = new.join(preimages, "target_path", "left").join(current, "target_path", "left")
-    drift = [r[0] for r in rows.where(~F.col("now").eqNullSafe(F.col("preimage_sha256"))).select("target_path").limit(5).collect()]
+    rows = new.join(preimages, "target_path", "left")
+    drift = [r[0] for r in rows.join(current, "target_path", "left").where(~F.col("now").eqNullSafe(F.col("preimage_sha256"))).select("target_path").limit(5).collect()]
     if drift:
         raise ValueError(f"pages changed since they were read: {', '.join(drift)}")
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    fs = hadoop.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    for row in new.select("target_path", "markdown").toLocalIterator():  # one operation's pages, a file each
-        final = hadoop.Path(f"{root.rstrip('/')}/wiki/{row['target_path']}")
-        aside = hadoop.Path(final.getParent(), f".{final.getName()}.tmp")
-        out = fs.create(aside, True)
-        out.write(bytearray(row["markdown"].encode()))
-        out.close()
-        replace_file(spark, aside, final)
+    spark.dataSource.register(page_sink.Pages)
+    sink = rows.select("target_path", "markdown", "preimage_sha256").write.format("pages").mode("append")
+    sink.option("root", f"{root.rstrip('/')}/wiki").option("job", uuid.uuid4().hex).save()
     return new.select("target_path", sha256(F.col("markdown")).alias("content_sha256"))
 
 

@@ -78,11 +78,12 @@ def test_ingest(spark, root):
     assert "## 相关页面" in pages["concepts/Concept_Alpha.md"].markdown
     files = {r.path: r.text for r in vault.text_files(spark, f"{root}/wiki").collect()}
     assert "规模如何？" in files["index.md"] and "Concept_New" in files["index.md"] and any(k.startswith("logs/") for k in files) and "sources/Source_a.md" in files
-    claims = spark.read.schema(ingest.CLAIM_SCHEMA).parquet(f"{root}/state/page_state_claims")
+    tables = ingest._tables(run).snapshot()
+    claims = tables.read("page_state_claims", ingest.CLAIM_SCHEMA)
     assert claims.count() == 4 and claims.where("coverage_policy = '必须保留'").count() == 4
     receipts = spark.read.json(f"{root}/receipts")
     assert sorted(r.raw_path for r in receipts.select("raw_path").collect()) == ["raw/a.md", "raw/b.md"]
-    assert spark.read.schema("path string, vector array<double>").parquet(f"{root}/state/embeddings").where(F.size("vector") == 2).count() == 3
+    assert tables.read("embeddings", "path string, vector array<double>").where(F.size("vector") == 2).count() == 3
 
 
 def test_refuses_without_a_model(spark, root):

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import ingest, provider
+from tessella.operators import ingest, ledger, provider
 from tessella.sources import vault
 from tests.test_ingest import ITEMS, PAGE, RAW, SECTIONS, SPEC, encoder, said
 
@@ -157,8 +157,31 @@ def test_vectors_come_from_the_cache(spark, outcome):
 
 def test_a_replacement_that_stopped_halfway_loses_nothing(spark, tmp_path):
     run = ingest.Run(spark, str(tmp_path), Model(), provider.Registry({"default": SPEC}), encoder, 2)
-    spark.createDataFrame([(1,)], "a int").write.parquet(f"{tmp_path}/state/t-old")
-    spark.createDataFrame([(2,)], "a int").write.parquet(f"{tmp_path}/state/t-next")
-    assert [r.a for r in ingest._table(run, "t", "a int").collect()] == [1]
-    ingest._replace(run, "t")
-    assert [r.a for r in ingest._table(run, "t", "a int").collect()] == [2] and not (tmp_path / "state" / "t-old").exists()
+    one, two = (spark.createDataFrame([(k,)], "a int") for k in (1, 2))
+    ingest._tables(run).commit(lambda s: {"t": ("replace", one)})
+    two.write.parquet(f"{tmp_path}/state/data/t-of a writer that died")
+    assert [r.a for r in ingest._tables(run).snapshot().read("t", "a int").collect()] == [1]
+    ingest._tables(run).commit(lambda s: {"t": ("replace", two)})
+    assert [r.a for r in ingest._tables(run).snapshot().read("t", "a int").collect()] == [2]
+
+
+def test_two_ingests_side_by_side_keep_each_others_receipts(spark, tmp_path):
+    """What another ingest commits between reading and committing is read again; a receipt that both would make is refused."""
+    run = ingest.Run(spark, str(tmp_path), Model(), provider.Registry({"default": SPEC}), encoder, 2)
+    log, schema, calls = ingest._tables(run), "operation_id string, status string", []
+    mine = spark.createDataFrame([("op-1", "written")], schema)
+
+    def told(other):
+        def change(snapshot):
+            there = snapshot.read("receipts", "operation_id string")
+            if not calls:
+                log.commit(lambda s: {"receipts": ("append", spark.createDataFrame([(other, "written")], schema))})
+            calls.append(1)
+            return {"receipts": ("append", ledger.new_receipts(mine, there))}
+
+        return change
+
+    log.commit(told("op-2"))
+    assert len(calls) == 2 and sorted(r.operation_id for r in log.snapshot().read("receipts", schema).collect()) == ["op-1", "op-2"]
+    with pytest.raises(Exception, match="receipt exists"):
+        log.commit(lambda s: {"receipts": ("append", ledger.new_receipts(mine, s.read("receipts", "operation_id string")))})
