@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.operators import temporal
 from tessella.plans.tables import table
 
 
@@ -40,7 +41,27 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("user_id", "n_events", "first_event")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (pricing_summary, revenue_by_nation, order_rollup, event_sessions)}
+def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").withColumn("time", F.unix_micros(F.col("ts").cast("timestamp"))).drop("ts")
+
+
+def last_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event with its user's last purchase at that time, if that was at most three days before."""
+    events = _timed(spark, sf_dir)
+    bought = events.where("event_type = 'purchase'").select("user_id", "time", F.col("event_id").alias("purchase_id"), "value")
+    found = temporal.as_of(events.select("user_id", "time", "event_id"), bought, ["user_id"], tolerance=3 * 86_400_000_000)
+    return found.select("event_id", "user_id", F.col("state.purchase_id").alias("purchase_id"), F.round("state.value", 2).alias("purchase_value"))
+
+
+def events_after_signup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in the hours that follow a user's sign-up, as many hours as its value: how many, and the last."""
+    events = _timed(spark, sf_dir)
+    spans = events.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("signup_id"), F.col("time").alias("start"), (F.col("time") + F.floor(F.col("value") * 3_600_000_000)).alias("end"))
+    met = temporal.inside(events.select("user_id", "time", "event_id", "event_type"), spans, ["user_id"])
+    return met.groupBy("signup_id", "event_type").agg(F.count("*").alias("n_events"), F.max("event_id").alias("last_event"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (pricing_summary, revenue_by_nation, order_rollup, event_sessions, last_purchase, events_after_signup)}
 ORACLES = {
     "pricing_summary": """select l_returnflag, l_linestatus, sum(l_quantity) as sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) as sum_disc_price, round(avg(l_discount), 6) as avg_disc, count(*) as count_order
 from lineitem where l_shipdate <= timestamp '1998-09-02' group by 1, 2""",
@@ -49,4 +70,9 @@ join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionke
     "order_rollup": """select o_orderpriority, o_orderstatus, count(*) as n_orders, round(sum(o_totalprice), 2) as total, (grouping(o_orderpriority) * 2 + grouping(o_orderstatus))::bigint as level from orders group by rollup (o_orderpriority, o_orderstatus)""",
     "event_sessions": """with g as (select *, case when ts - lag(ts) over w < interval 6 hours then 0 else 1 end as fresh from events window w as (partition by user_id order by ts, event_id)),
 s as (select *, sum(fresh) over (partition by user_id order by ts, event_id) as k from g) select user_id, count(*) as n_events, min(event_id) as first_event from s group by user_id, k""",
+    "last_purchase": """with p as (select user_id, ts, event_id, value from events where event_type = 'purchase'),
+j as (select e.event_id, e.user_id, p.event_id as purchase_id, p.value, epoch_us(e.ts) - epoch_us(p.ts) <= 3 * 86400000000 as near from events e asof left join p on e.user_id = p.user_id and e.ts >= p.ts)
+select event_id, user_id, case when near then purchase_id end as purchase_id, case when near then round(value, 2) end as purchase_value from j""",
+    "events_after_signup": """with s as (select user_id, event_id as signup_id, epoch_us(ts) as a, epoch_us(ts) + floor(value * 3600000000)::bigint as b from events where event_type = 'signup')
+select signup_id, event_type, count(*) as n_events, max(event_id) as last_event from events e join s on e.user_id = s.user_id and epoch_us(e.ts) >= a and epoch_us(e.ts) < b group by 1, 2""",
 }
