@@ -25,7 +25,7 @@ from tessella.llm.common import apart, mapped, sliced, stored
 
 SCALE, EVERY, TOP = 256, 50, 5
 #: Rows of a shard, of a leaf of its tree, of a chunk of queries, of a block of shards whose bounds are worked out together.
-SHARD, LEAF, CHUNK, BLOCK = 8192, 64, 1024, 512
+SHARD, LEAF, CHUNK, BLOCK = 2048, 64, 1024, 512
 #: Vectors that the centres are fitted on at most, and centres at most.
 SAMPLE_ROWS, CENTRES = 2048, 256
 _NONE, _LAST = np.iinfo(np.int64).min, np.iinfo(np.int64).max

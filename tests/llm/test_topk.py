@@ -35,7 +35,7 @@ def vectors():
     return rows
 
 
-@pytest.mark.parametrize("shard,chunk,block", [(8192, 1024, 512), (64, 10, 3)])
+@pytest.mark.parametrize("shard,chunk,block", [(2048, 1024, 512), (64, 10, 3)])
 def test_search(spark, vectors, monkeypatch, shard, chunk, block):
     for name, value in (("SHARD", shard), ("CHUNK", chunk), ("BLOCK", block), ("LEAF", 8)):
         monkeypatch.setattr(topk, name, value)
