@@ -9,9 +9,11 @@ Pages are written only after all checks, receipts last.
 from __future__ import annotations
 
 import datetime
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
+from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,17 +50,47 @@ class Run:
     types: dict[str, str] = field(default_factory=lambda: dict(vault.TYPES))
     #: What a text must hold a letter of; None: any language.
     script: str | None = r"[㐀-鿿]"
+    #: Of a run that stopped: it is taken up again where it was. Empty: a new run, named by the time.
+    stamp: str = ""
     calls: list[DataFrame] = field(default_factory=list)
     failed: list[DataFrame] = field(default_factory=list)
 
+    def __post_init__(self):
+        self.resumed = bool(self.stamp)
+        self.stamp = self.stamp or datetime.datetime.now(datetime.UTC).strftime("%Y%m%dT%H%M%SZ")
+        self.key, self.reused = "", []
+
+    def given(self, raws: DataFrame) -> None:
+        """What the run's first step goes by: the raw files' contents and all settings. raws: ``raw_path``, ``raw_sha256``."""
+        sums = raws.select(F.count("*"), *(F.sum(F.pmod(F.xxhash64("raw_path", "raw_sha256", F.lit(k)), F.lit(1 << 40))) for k in range(3))).first()
+        self.key = sha256(repr([*sums, self.registry.check(), self.dimensions, sorted(self.types.items()), self.script]).encode()).hexdigest()
+
     def kept(self, df: DataFrame, name: str) -> DataFrame:
-        """Written below the vault's runs and read again."""
-        path = f"{self.root.rstrip('/')}/runs/{self.stamp}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        """A step's rows, written below the vault's runs and read again.
+
+        A step is addressed by a hash of the run's inputs and of all steps before it, for what a step does follows from these
+        and from what they have written. One that stands under its address isn't worked out again, so a model isn't asked twice.
+        """
+        self.key = sha256(f"{self.key} {name}".encode()).hexdigest()
+        path, mark = (f"{self.root.rstrip('/')}/runs/{self.stamp}/{part}" for part in (name, f"steps/{name}.json"))
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(mark)
+        fs = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if self.resumed and fs.exists(hadoop) and self.spark.read.schema("key string").json(mark).first()["key"] == self.key:
+            self.reused.append(name)
+        else:
+            df.write.mode("overwrite").parquet(path)
+            out = fs.create(hadoop, True)
+            out.write(bytearray(json.dumps({"key": self.key, "step": name, "at": datetime.datetime.now(datetime.UTC).isoformat()}).encode()))
+            out.close()
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def __post_init__(self):
-        self.stamp = datetime.datetime.now(datetime.UTC).strftime("%Y%m%dT%H%M%SZ")
+    def told(self, rows: DataFrame, journal: str, keys: list[str]) -> None:
+        """Append to one of the vault's journals; what a resumed run has told before it stopped isn't told again."""
+        path = f"{self.root.rstrip('/')}/{journal}"
+        if self.resumed and _exists(self, path):
+            there = self.spark.read.schema(rows.schema).json(path).select(*keys).distinct()
+            rows = rows.join(there, keys, "left_anti").select(*rows.columns)
+        vault.append(rows, path)
 
     def ask(self, step: str, asked: DataFrame, schema: str, check: Callable[[DataFrame], DataFrame], attempts: int = 2, name: str | None = None) -> DataFrame:
         """``operation_id``, ``request_key``, ``output``: answers that pass the check. Only requests whose answer breaks a rule are asked
@@ -93,7 +125,7 @@ class Run:
         bad = wrong.select("operation_id", F.lit(True).alias("bad")).distinct()
         rows = operations.distinct().join(bad, "operation_id", "left")
         status = F.when(F.col("bad"), "failed").otherwise("completed").alias("status")
-        vault.append(rows.select("operation_id", F.lit(ledger.STEPS.index(step)).cast("long").alias("pos"), F.lit(step).alias("step"), status), f"{self.root.rstrip('/')}/runs/events")
+        self.told(rows.select("operation_id", F.lit(ledger.STEPS.index(step)).cast("long").alias("pos"), F.lit(step).alias("step"), status), "runs/events", ["operation_id", "step", "status"])
 
     @staticmethod
     def _wrong(answers: DataFrame, asked: DataFrame, check: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -169,6 +201,7 @@ def ingest(run: Run, raw_paths: list[str]) -> DataFrame:
     wanted = run.spark.createDataFrame([(vault.resolve_raw(p),) for p in raw_paths], "raw_path string").distinct()
     name = text.slug(F.regexp_extract("raw_path", r"([^/]*?)(?:\.[^./]*)?$", 1), "raw")
     raws = vault.raw_files(run.spark, run.root).join(F.broadcast(wanted), "raw_path", "left_semi").where("trim(text) <> ''")
+    run.given(raws)
     raws = run.kept(raws.withColumn("operation_id", F.concat(F.lit(f"ING-{run.stamp}-"), name, F.lit("-"), F.substring(F.sha2("raw_path", 256), 1, 6))), "raw_binding")
 
     # Digest and its coverage; a digest that leaves something out is repaired.
@@ -472,13 +505,14 @@ def _write(run: Run, raws: DataFrame, units: DataFrame, claims: DataFrame, outpu
     def receipts(snapshot: Snapshot) -> dict[str, tuple[str, DataFrame]]:
         """New receipts alone; with those of an ingest that was at it at the same time, which the commit makes this one read."""
         there = snapshot.read("receipts", "operation_id string").unionByName(journal).distinct()
-        return {"receipts": ("append", ledger.new_receipts(rows, there).where("status <> 'failed'"))}
+        mine = rows.join(there, "operation_id", "left_anti").select(*rows.columns) if run.resumed else rows  # an operation's name holds its run's
+        return {"receipts": ("append", ledger.new_receipts(mine, there).where("status <> 'failed'"))}
 
     _tables(run).commit(receipts, note=run.stamp)
-    vault.append(rows.where("status <> 'failed'"), f"{root}/receipts")
-    vault.append(rows.select("operation_id", F.lit(len(ledger.STEPS)).cast("long").alias("pos"), "step", "status"), f"{root}/runs/events")
+    run.told(rows.where("status <> 'failed'"), "receipts", ["operation_id"])
+    run.told(rows.select("operation_id", F.lit(len(ledger.STEPS)).cast("long").alias("pos"), "step", "status"), "runs/events", ["operation_id", "step", "status"])
     artifacts = output.select("operation_id", F.concat(F.lit("wiki/"), "target_path").alias("path"), F.col("content_sha256").alias("sha256"), F.octet_length("markdown").cast("long").alias("size_bytes"))
-    vault.append(artifacts, f"{root}/runs/artifacts")
+    run.told(artifacts, "runs/artifacts", ["operation_id", "path"])
     return rows.select("operation_id", "raw_path", "status", "step", "message", "model_calls", "price_cny")
 
 

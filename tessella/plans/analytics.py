@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions import sketches
 from tessella.operators import temporal
 from tessella.plans.tables import table
 
@@ -61,7 +62,18 @@ def events_after_signup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.groupBy("signup_id", "event_type").agg(F.count("*").alias("n_events"), F.max("event_id").alias("last_event"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (pricing_summary, revenue_by_nation, order_rollup, event_sessions, last_purchase, events_after_signup)}
+def weekly_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events kept as sketches by day, merged by week: exact counts, users (few enough for the sketch to be exact), and whether the merged median's true rank is within the bound."""
+    events = table(spark, sf_dir, "events").withColumn("week", F.date_trunc("week", "ts").cast("date"))
+    days = sketches.daily(events, F.col("ts"), F.col("user_id"), F.col("value"), "event_type")
+    weeks = sketches.merged(days.withColumn("week", F.date_trunc("week", "day").cast("date")), "week", "event_type")
+    weeks = weeks.select("week", "event_type", "n", sketches.distinct_pages().alias("n_users"), sketches.quantile(0.5).alias("median"))
+    ranks = events.join(weeks, ["week", "event_type"]).groupBy("week", "event_type", "n", "n_users").agg(F.avg((F.col("value") < F.col("median")).cast("int")).alias("low"), F.avg((F.col("value") <= F.col("median")).cast("int")).alias("high"))
+    bound = 2 * sketches.RANK_ERROR
+    return ranks.select(F.col("week").cast("string").alias("week"), "event_type", "n", "n_users", ((F.col("low") <= 0.5 + bound) & (F.col("high") >= 0.5 - bound)).alias("median_in_bound"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (pricing_summary, revenue_by_nation, order_rollup, event_sessions, last_purchase, events_after_signup, weekly_sketches)}
 ORACLES = {
     "pricing_summary": """select l_returnflag, l_linestatus, sum(l_quantity) as sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) as sum_disc_price, round(avg(l_discount), 6) as avg_disc, count(*) as count_order
 from lineitem where l_shipdate <= timestamp '1998-09-02' group by 1, 2""",
@@ -75,4 +87,5 @@ j as (select e.event_id, e.user_id, p.event_id as purchase_id, p.value, epoch_us
 select event_id, user_id, case when near then purchase_id end as purchase_id, case when near then round(value, 2) end as purchase_value from j""",
     "events_after_signup": """with s as (select user_id, event_id as signup_id, epoch_us(ts) as a, epoch_us(ts) + floor(value * 3600000000)::bigint as b from events where event_type = 'signup')
 select signup_id, event_type, count(*) as n_events, max(event_id) as last_event from events e join s on e.user_id = s.user_id and epoch_us(e.ts) >= a and epoch_us(e.ts) < b group by 1, 2""",
+    "weekly_sketches": """select date_trunc('week', ts)::date::varchar as week, event_type, count(*) as n, count(distinct user_id) as n_users, true as median_in_bound from events group by 1, 2""",
 }
