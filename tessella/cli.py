@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 from typing import Any
 
@@ -64,9 +65,16 @@ def inspect(spark: SparkSession, root: str, operation: str) -> list[dict[str, An
     return [r.asDict() for r in events.join(kept, "operation_id", "left").orderBy("pos").collect()]
 
 
-def _registry(path: str) -> Registry:
-    with open(path) as file:
-        return Registry({k: Spec(**v) for k, v in json.load(file).items()})
+def _registry(*paths: str, optional: tuple[str, ...] = ()) -> Registry:
+    """Providers of all files by name, a later file's before an earlier one's; optional files, the last, may be missing."""
+    levels = []
+    for path in [*paths, *(p for p in optional if os.path.exists(p))]:
+        with open(path) as file:
+            found = json.load(file)
+        if not isinstance(found, dict) or not all(isinstance(v, dict) for v in found.values()):
+            raise ValueError(f"{path}: providers are settings by name")
+        levels.append({k: Spec(**v) for k, v in found.items()})
+    return Registry(*levels)
 
 
 def _print(rows: Any, as_json: bool) -> None:
@@ -88,7 +96,10 @@ def main(argv: list[str] | None = None) -> int:
     made["raw-candidates"].add_argument("--include-processed", action="store_true")
     made["raw-candidates"].add_argument("--limit", type=int)
     made["ingest"].add_argument("raw", nargs="+")
-    made["ingest"].add_argument("--providers", required=True)
+    made["ingest"].add_argument("--providers", required=True, action="append", help="settings by name; of several files the later wins, the vault's own providers.json last")
+    made["ingest"].add_argument("--resume", default="", metavar="STAMP", help="take up a run that stopped")
+    made["providers-check"].add_argument("--over", action="append", default=[], help="another file whose providers win")
+    made["providers-check"].add_argument("--live", action="store_true", help="ask each provider one small question")
     made["ingest"].add_argument("--encoder", required=True)
     made["ingest"].add_argument("--dimensions", type=int, default=cache.DEFAULTS["dimensions"])
     made["status"].add_argument("operation", nargs="?")
@@ -96,7 +107,8 @@ def main(argv: list[str] | None = None) -> int:
     made["status"].add_argument("--verify", action="store_true")
     args = parser.parse_args(argv)
     if args.command == "providers-check":
-        rows = _registry(args.path).check()
+        registry = _registry(args.path, *args.over)
+        rows = registry.report(ChatCompletions) if args.live else registry.check()
         _print(rows, args.json)
         return 0 if all(r["ok"] for r in rows) else 2
     spark = session("tessella")
@@ -107,8 +119,8 @@ def main(argv: list[str] | None = None) -> int:
         _print(raw_candidates(spark, args.path, args.include_processed, args.limit), args.json)
         return 0
     if args.command == "ingest":
-        registry = _registry(args.providers)
-        run = ingest.Run(spark, args.path, ChatCompletions(registry), registry, cache.sentence_encoder(args.encoder), args.dimensions)
+        registry = _registry(*args.providers, optional=(os.path.join(args.path, "providers.json"),))
+        run = ingest.Run(spark, args.path, ChatCompletions(registry), registry, cache.sentence_encoder(args.encoder), args.dimensions, stamp=args.resume)
         done = [r.asDict() for r in ingest.ingest(run, args.raw).collect()]
         _print(done, args.json)
         return 2 if any(r["status"] == "failed" for r in done) else 0

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import links, text
-from tessella.operators import cache, coverage, granularity, ledger, plans, provider, related, render, requests, state, validate, vectors
+from tessella.operators import cache, coverage, diffs, granularity, ledger, plans, provider, related, render, requests, state, validate, vectors
 from tessella.sources import vault
 from tessella.sources.snapshots import Snapshot, TableLog
 
@@ -454,7 +454,11 @@ def _write(run: Run, raws: DataFrame, units: DataFrame, claims: DataFrame, outpu
     """Pages, page states, source records, upkeep of old pages, index, log, journal and receipts, in this order."""
     root = run.root.rstrip("/")
     spark = run.spark
-    vault.write_pages(spark, root, output.select("target_path", "markdown"), output.select("target_path", "preimage_sha256"))
+    # what each page becomes, told before it is written: a resumed run finds it here
+    seen = vault.text_files(spark, f"{root}/wiki", "*.md").select(F.col("path").alias("target_path"), F.col("text").alias("old"))
+    pairs = output.select("operation_id", "target_path", F.col("markdown").alias("new")).join(seen, "target_path", "left").withColumn("id", F.struct("operation_id", "target_path"))
+    run.kept(diffs.unified(diffs.hunks(pairs.select("id", "old", "new"))).select("id.*", "diff"), "page_diffs")
+    vault.write_pages(spark, root, output.select("target_path", "markdown"), output.select("target_path", "preimage_sha256"), run.resumed)
     done = output.select("operation_id").distinct()
 
     anchors = items.join(done, "operation_id", "left_semi").select("operation_id", "target_path", F.explode("candidate_page_ids").alias("candidate_page_id"))
@@ -478,7 +482,7 @@ def _write(run: Run, raws: DataFrame, units: DataFrame, claims: DataFrame, outpu
 
     records = render.source_records(output.select("operation_id", "raw_path", "raw_sha256", "target_path"))
     there = vault.text_files(spark, f"{root}/wiki", "*.md").select(F.col("path").alias("target_path"), F.col("sha256").alias("preimage_sha256"))
-    vault.write_pages(spark, root, records, records.select("target_path").join(there, "target_path", "left"))
+    vault.write_pages(spark, root, records, records.select("target_path").join(there, "target_path", "left"), run.resumed)
 
     _maintain(run, output)
     _index_and_log(run, output, decisions)
@@ -531,7 +535,7 @@ def _maintain(run: Run, output: DataFrame) -> None:
     section = text.with_section(F.col("markdown"), "相关页面", F.concat(F.lit("- "), links.wikilink(F.col("candidate_path"))))
     changed = made.select(F.col("path").alias("target_path"), F.when(F.col("action") == "remove", text.without_sections(F.col("markdown"), links.RELATED)).otherwise(section).alias("markdown"), F.sha2("markdown", 256).alias("preimage_sha256"))
     changed = run.kept(changed.where(F.sha2("markdown", 256) != F.col("preimage_sha256")), "maintained")
-    vault.write_pages(run.spark, run.root, changed.select("target_path", "markdown"), changed.select("target_path", "preimage_sha256"))
+    vault.write_pages(run.spark, run.root, changed.select("target_path", "markdown"), changed.select("target_path", "preimage_sha256"), run.resumed)
 
 
 def _embeddings(run: Run, pages: DataFrame, name: str) -> DataFrame:
@@ -564,4 +568,4 @@ def _index_and_log(run: Run, output: DataFrame, decisions: DataFrame) -> None:
     index = render.index_page(pages.select("page_type", "title", "path", "summary", "updated"), asked, list(run.types)).select(F.lit("index.md").alias("target_path"), "markdown")
     system = run.kept(logs.unionByName(index), "system_pages")
     there = vault.text_files(run.spark, f"{root}/wiki", "*.md").select(F.col("path").alias("target_path"), F.col("sha256").alias("preimage_sha256"))
-    vault.write_pages(run.spark, run.root, system, system.select("target_path").join(there, "target_path", "left"))
+    vault.write_pages(run.spark, run.root, system, system.select("target_path").join(there, "target_path", "left"), run.resumed)

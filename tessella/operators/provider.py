@@ -71,6 +71,10 @@ class Spec:
         return replace(self, max_tokens=min(TOKEN_CAP, self.max_tokens * 2**attempt))
 
 
+#: Tokens that a live check may use at most.
+LIVE_TOKENS = 512
+
+
 class Registry:
     """Providers by name; a step's own provider answers for it, else the default. A vault's settings win over global ones."""
 
@@ -83,6 +87,37 @@ class Registry:
     def check(self, steps: Iterable[str] = MODEL_STEPS) -> list[dict[str, Any]]:
         return [{"step": s, "ok": (p := self.of(s).problem()) is None, "problem": p} | self.of(s).shown() for s in steps]
 
+    def report(self, live: Callable[[Registry], Provider] | None = None) -> list[dict[str, Any]]:
+        """``name``, ``ok``, ``message``, ``context`` of each provider by name. live: what answers for a registry; each provider that could
+        be a model is then asked one small question, once, without retries."""
+        rows = []
+        for name, spec in sorted((self.specs or {"default": Spec()}).items()):
+            problem = spec.problem()
+            row: dict[str, Any] = {"name": name, "ok": problem is None, "message": problem or "ok", "context": spec.shown()}
+            if problem is None and live is not None:
+                small = replace(spec, max_tokens=min(max(1, spec.max_tokens or LIVE_TOKENS), LIVE_TOKENS), max_retries=0, retry_backoff_seconds=0.0)
+                try:
+                    self._asked(name, small, live(Registry({"default": small})))
+                except Exception as error:  # told, not raised: the other providers are looked at too
+                    row |= {"ok": False, "message": f"live check failed: {error}"}
+                else:
+                    row |= {"message": "live ok", "model_calls": 1, "context": row["context"] | {"live": True, "live_max_tokens": small.max_tokens}}
+            rows.append(row)
+        return rows
+
+    @staticmethod
+    def _asked(name: str, spec: Spec, provider: Provider) -> None:
+        request = {
+            "request_key": name, "system_prompt": "This checks a connection. Answer with a JSON object that keeps to the schema, and nothing else.",
+            "user_payload": json.dumps({"provider_name": name, "instruction": "Answer with ok=true."}), "schema_name": "live_check",
+            "schema": json.dumps({"type": "object", "properties": {"ok": {"type": "boolean"}}, "required": ["ok"], "additionalProperties": False}),
+        }
+        request["payload"] = payload(spec, request)
+        answer = within(spec.timeout_seconds, lambda: provider.answer("provider_live_check", request, 0))
+        said = json.loads(answer["choices"][0]["message"]["content"])
+        if not isinstance(said, dict) or said.get("ok") is not True:
+            raise ValueError("the answer isn't ok=true")
+
     def require(self, steps: Iterable[str] = MODEL_STEPS) -> None:
         """Refuse to start when a step's provider isn't a model; called before anything is written."""
         bad = [f"{r['step']}: {r['problem']}" for r in self.check(steps) if not r["ok"]]

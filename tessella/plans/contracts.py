@@ -146,7 +146,7 @@ def pre_write_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 def field_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events' properties as answers whose schema has no ``k``, and blank required fields."""
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("operation_id"), "event_id", "props", F.when(F.col("event_id") % 10 == 0, " ").otherwise(F.col("event_type")).alias("kind"))
-    found = validate.together(validate.unknown_json_keys(rows.where("event_id % 3 = 0"), "props", ["other"], "event_id"), validate.blank(rows, ["kind", "props"], "event_id"))
+    found = validate.together(validate.unknown_json_keys(rows, "props", ["other"], "event_id"), validate.blank(rows, ["kind", "props"], "event_id"))
     return found.select("operation_id", "rule", "key")
 
 
@@ -335,7 +335,7 @@ v as (select op, unnest(list_filter([case when n % 15 = 0 then 'target_escape' e
   case when upd and n % 5 <> 0 and there and n % 3 <> 1 then 'preimage_drift' end], lambda x: x is not null)) as code from q
   union all select op, 'duplicate_target' from q group by op, t having count(*) > 1 union all select op, 'raw_hash_drift' from o where n % 70 = 0)
 select op as operation_id, code, count(*) as n from v group by op, code""",
-    "field_rules": """select user_id as operation_id, 'unknown_field' as rule, event_id::varchar as key from events where event_id % 3 = 0 and len(list_filter(json_keys(props), lambda k: k <> 'other')) > 0
+    "field_rules": """select user_id as operation_id, 'unknown_field' as rule, event_id::varchar as key from events where len(list_filter(json_keys(props), lambda k: k <> 'other')) > 0
 union all select user_id, 'blank_kind', event_id::varchar from events where event_id % 10 = 0 or trim(coalesce(event_type, '')) = '' union all select user_id, 'blank_props', event_id::varchar from events where trim(coalesce(props, '')) = ''""",
     "link_resolution": f"""with {_ORDERS}, l as (select n, exists (select 1 from o x where x.n = o.n + 1) as a1, exists (select 1 from o x where x.n = o.n + 2) as a2 from o), f as (select n, n % 4 as f0, (n + 1) % 4 as f1, (n + 2) % 4 as f2, a1, a2 from l)
 select n as id, 'a ' || case when n % 2 = 0 then '[[f' || f0 || '/Concept_p_' || n || '|shown]]' else 'shown' end

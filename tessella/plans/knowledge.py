@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import text, usage
-from tessella.operators import cache, coverage, ledger, plans, render, state, validate
+from tessella.operators import cache, coverage, diffs, ledger, plans, render, state, validate
 from tessella.plans.tables import SENTENCES, table
 
 
@@ -188,6 +188,17 @@ def artifact_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.artifact_drift(kept, altered.select("operation_id", "path", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("size_bytes")))
 
 
+def document_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document against that of the next id: lines that go and come, and the hash of what the hunks make of it."""
+    docs = table(spark, sf_dir, "documents")
+    later = docs.select((F.col("doc_id") - 1).alias("id"), F.col("doc_id").alias("next_id"), F.col("text").alias("new"))
+    pairs = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("old")).join(later, "id")
+    found = diffs.hunks(pairs)
+    sizes = found.groupBy("id").agg(F.sum(F.size("added") - F.size("removed")).alias("net_lines"))
+    made = diffs.applied(pairs, found).join(pairs.select("id", "next_id"), "id").join(sizes, "id", "left")
+    return made.select(F.col("id").alias("doc_id"), "next_id", F.coalesce("net_lines", F.lit(0)).alias("net_lines"), F.sha2("text", 256).alias("applied_sha256"))
+
+
 def index_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     path = F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
@@ -204,7 +215,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         coverage_by_order, coverage_failures, digest_coverage, concept_coverage, action_counts, reference_integrity, claim_plan_violations, composition_merge, update_plan_chain,
         content_groups, multiset_equality, pending_documents, cache_sync_diff, cache_metrics, ledger_append, latest_upsert, daily_log, operation_status, usage_cost, usage_rollup,
-        artifact_verify, index_listing,
+        artifact_verify, document_diffs, index_listing,
     )
 }
 
@@ -282,6 +293,8 @@ select log_date::varchar as log_date, row_number() over (partition by log_date o
     "usage_rollup": f"""with {_CALLS} select conv_id, count(*) as api_call_count, sum(n)::bigint as prompt_tokens, sum(n + out)::bigint as total_tokens,
   case when sum(n) > 0 then round(sum(hit) / sum(n) * 100, 2) else 0 end as cache_hit_rate_percent, round(sum(price), 6) as price_cny from p group by 1""",
     "artifact_verify": """select source as operation_id, case when doc_id % 10 = 0 then 'artifact_missing' else 'artifact_hash_drift' end as code, 'a/' || doc_id as path from documents where doc_id % 10 = 0 or doc_id % 7 = 0""",
+    "document_diffs": """select d.doc_id, n.doc_id as next_id, (len(string_split(n.text, chr(10))) - len(string_split(d.text, chr(10))))::bigint as net_lines, sha256(n.text) as applied_sha256
+from documents d join documents n on n.doc_id = d.doc_id + 1""",
     "index_listing": rf"""with s as (select *, {SENTENCES} as sentences from documents), j as (select *, array_to_string(sentences[1:2], ' ') as two from s)
 select lang as page_type, n_chars as updated, source || '/' || doc_id || '.md' as path, '| ' || concat_ws(' | ', replace(source || ' | ' || lang, '|', '\|'), replace('[[' || source || '/' || doc_id || ']]', '|', '\|'),
   replace(case when length(two) <= 240 then two else rtrim(substr(two, 1, 239)) || '...' end, '|', '\|'), n_chars::varchar) || ' |' as row from j""",

@@ -57,7 +57,9 @@ def strong_overlap_unhandled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = _pool(spark, sf_dir)
     new = pool.where("id % 10 = 0").select("id", F.reverse("vector").alias("vector"))
-    return vectors.pool_after(pool, new).select("id", F.round(F.col("vector")[0], 6).alias("first"))
+    # every component with its place, in millionths
+    checksum = F.aggregate(F.transform("vector", lambda x, i: F.floor(x * 1_000_000) * (i + 1)), F.lit(0).cast("long"), lambda s, x: s + x)
+    return vectors.pool_after(pool, new).select("id", F.size("vector").cast("long").alias("n"), checksum.alias("checksum"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -91,5 +93,6 @@ select id, current, round(cs, 4) as current_score, candidate, score as candidate
        when score >= cs + {vectors.REPLACE_MARGIN} then 'replace' else 'keep_existing' end as action from j""",
     "strong_overlap_unhandled": f"""with {_TOP}, b as (select * from t where rank = 1)
 select query, id, score from b where score >= {LEAST} and not ((query // 100) % 3 in (1, 2) and query % 200 = 0)""",
-    "vector_pool": """select vec_id as id, round(case when vec_id % 10 = 0 then list_extract(embedding, -1) else list_extract(embedding, 1) end::double, 6) as first from embeddings""",
+    "vector_pool": """with p as (select vec_id as id, case when vec_id % 10 = 0 then list_reverse(embedding) else embedding end::double[] as v from embeddings)
+select id, len(v)::bigint as n, list_sum(list_transform(v, lambda x, i: (floor(x * 1000000)::bigint * i)::hugeint))::bigint as checksum from p""",
 }

@@ -58,17 +58,17 @@ def claim_page_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def technical_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First and last words of texts as fields that may be all technical: which of them the gate lets through."""
-    words = F.split(F.trim("text"), " ")
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(words, 1, 2), " ").alias("head"), F.element_at(words, -1).alias("tail"))
-    return rows.select("doc_id", validate.is_technical(F.col("head")).alias("head_technical"), validate.is_technical(F.col("tail")).alias("tail_technical"))
+    """Every word of every text as a field that may be all technical: how many the gate lets through."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", r"\s+")).alias("word"))
+    return words.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.count_if(validate.is_technical(F.col("word"))).alias("n_technical"))
 
 
 def names_and_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """File names, slugs and keys made of every document's first line."""
-    line = F.split("text", "\n")[0]
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", text.slug(line, "page").alias("slug"), text.safe_filename(line).alias("file_name"), text.name_key(line).alias("name_key"), text.heading_key(line).alias("heading_key"),
+    """File names, slugs and keys made of every document's lines."""
+    line = F.col("line")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return rows.select(
+        "doc_id", F.col("pos").cast("long").alias("pos"), text.slug(line, "page").alias("slug"), text.safe_filename(line).alias("file_name"), text.name_key(line).alias("name_key"), text.heading_key(line).alias("heading_key"),
         text.has_cjk(line).alias("has_cjk"), text.state_id(F.col("source"), F.col("doc_id").cast("string")).alias("state_id"), text.labelled(F.col("source"), "来源").alias("labelled"),
         text.yaml_scalar(F.col("source")).alias("yaml_scalar"), text.demoted(F.concat(F.lit("# "), "source", F.lit("\n## "), "lang", F.lit("\n### x"))).alias("demoted"),
         text.card(F.col("source"), F.lit(" "), F.col("lang")).alias("card"),
@@ -80,9 +80,8 @@ def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def section_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages put together of a document's lines: one section is read, taken out, and replaced; headings are listed."""
-    parts = F.split("text", "\n")
-    page = F.concat(F.lit("---\ntitle: "), "source", F.lit("\n---\n\n# "), "lang", F.lit("\n\nstart\n\n## Related\n\n- a\n- b\n\n## Other\n\n"), F.regexp_replace(parts[0], "[#-]", " "))
+    """Pages around a document's text: one section is read, taken out, and replaced; headings are listed."""
+    page = F.concat(F.lit("---\ntitle: "), "source", F.lit("\n---\n\n# "), "lang", F.lit("\n\nstart\n\n## Related\n\n- a\n- b\n\n## Other\n\n"), F.regexp_replace("text", "[#-]", " "))
     rows = table(spark, sf_dir, "documents").select("doc_id", page.alias("page"))
     body = text.strip_frontmatter(F.col("page"))
     return rows.select(
@@ -141,20 +140,20 @@ x as (select item_id, doc_id, case when len(c.terms) = 0 then 0.0 else (len(list
   from c cross join pt),
 r as (select *, row_number() over (partition by item_id order by score desc, doc_id desc) as k, count(*) over (partition by item_id) as n from x)
 select 'op' as operation_id, item_id as claim_id, doc_id as final_page_id, round(score, 4) as score, n as n_candidates from r where k = 1""",
-    "technical_fragments": r"""with w as (select doc_id, string_split(trim(text, ' '), ' ') as w from documents), f as (select doc_id, array_to_string(w[1:2], ' ') as head, w[len(w)] as tail from w),
-m as (select doc_id, k, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(v, '`[^`]*`', ' CODE ', 'g'), 'https?://\S+', ' URL ', 'g'), '\[[^\]]*\]\([^)]*\)', ' LINK ', 'g'), '\[\[[^\]]*\]\]', ' LINK ', 'g'),
-  '(?i)\b(?:pip|npm|npx|uv|go|git|curl|brew|docker|kubectl)\s+[\w@./:+#=-]+(?:\s+[\w@./:+#=-]+)*', ' CMD ', 'g') as v from (select doc_id, 'h' as k, head as v from f union all select doc_id, 't', tail from f)),
-t as (select doc_id, k, regexp_extract_all(v, '[A-Za-z][A-Za-z0-9_@./:+#-]*') as t from m),
-x as (select doc_id, k, len(t) > 0 and len(list_filter(t, lambda y: not (list_contains([@@TECH@@], lower(y)) or regexp_matches(y, '[_@./:+#-]|[0-9]|^[A-Z]{2,}$|^[A-Z].{2,}|[a-z][A-Z]')))) = 0 as ok from t)
-select h.doc_id, h.ok as head_technical, t.ok as tail_technical from x h join x t on h.doc_id = t.doc_id and h.k = 'h' and t.k = 't'""",
-    "names_and_keys": r"""with l as (select *, string_split(text, chr(10))[1] as line from documents),
+    "technical_fragments": r"""with f as (select doc_id, unnest(string_split_regex(text, '[ \t\n\x0b\f\r]+')) as v from documents),
+m as (select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(v, '`[^`]*`', ' CODE ', 'g'), 'https?://\S+', ' URL ', 'g'), '\[[^\]]*\]\([^)]*\)', ' LINK ', 'g'), '\[\[[^\]]*\]\]', ' LINK ', 'g'),
+  '(?i)\b(?:pip|npm|npx|uv|go|git|curl|brew|docker|kubectl)\s+[\w@./:+#=-]+(?:\s+[\w@./:+#=-]+)*', ' CMD ', 'g') as v from f),
+t as (select doc_id, regexp_extract_all(v, '[A-Za-z][A-Za-z0-9_@./:+#-]*') as t from m),
+x as (select doc_id, len(t) > 0 and len(list_filter(t, lambda y: not (list_contains([@@TECH@@], lower(y)) or regexp_matches(y, '[_@./:+#-]|[0-9]|^[A-Z]{2,}$|^[A-Z].{2,}|[a-z][A-Z]')))) = 0 as ok from t)
+select doc_id, count(*) as n_words, count(*) filter (where ok) as n_technical from x group by doc_id""",
+    "names_and_keys": r"""with a as (select doc_id, source, lang, string_split(text, chr(10)) as lines from documents), l as (select doc_id, source, lang, unnest(range(len(lines))) as pos, unnest(lines) as line from a),
 s as (select *, regexp_replace(regexp_replace(lower(line), '[^\p{L}\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g') as slug, regexp_replace(trim(regexp_replace(line, '[\\/:*?"<>|\x00-\x1f]+', '_', 'g')), '^[._]+|[._]+$', '', 'g') as name from l)
-select doc_id, case when coalesce(slug, '') = '' then 'page' else slug end as slug, case when coalesce(name, '') = '' then 'untitled' else name end as file_name, lower(regexp_replace(line, '[^\p{L}\p{N}]', '', 'g')) as name_key,
+select doc_id, pos, case when coalesce(slug, '') = '' then 'page' else slug end as slug, case when coalesce(name, '') = '' then 'untitled' else name end as file_name, lower(regexp_replace(line, '[^\p{L}\p{N}]', '', 'g')) as name_key,
   regexp_replace(lower(line), '[^\x{4e00}-\x{9fff}A-Za-z0-9]', '', 'g') as heading_key, regexp_matches(line, '[\x{3400}-\x{9fff}]') as has_cjk, source || ':' || doc_id as state_id, '来源：' || source as labelled,
   '"' || source || '"' as yaml_scalar, '### ' || source || chr(10) || '### ' || lang || chr(10) || '### x' as demoted, source || chr(10) || chr(10) || lang as card from s""",
     "excerpts": r"""with s as (select doc_id, trim(regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13)) as t from documents)
 select doc_id, rtrim(substr(t, 1, 300), ' ' || chr(9) || chr(10) || chr(13)) as text, length(t) > 300 as truncated from s""",
-    "section_edits": r"""with p as (select doc_id, lang, regexp_replace(string_split(text, chr(10))[1], '[#-]', ' ', 'g') as line from documents),
+    "section_edits": r"""with p as (select doc_id, lang, regexp_replace(text, '[#-]', ' ', 'g') as line from documents),
 b as (select *, '# ' || lang || chr(10) || chr(10) || 'start' || chr(10) || chr(10) as top, '## Other' || chr(10) || chr(10) || line as rest from p)
 select doc_id, '- a' || chr(10) || '- b' as related, sha256(top || rest) as without_sha256, true as has_other, lang || '|Related|Other' as headings,
   sha256(rtrim(top || '## Related' || chr(10) || chr(10) || '- c' || chr(10) || chr(10) || rest, ' ' || chr(9) || chr(10) || chr(13)) || chr(10)) as with_sha256, lang as title from b""",

@@ -131,15 +131,18 @@ def initialise(spark: SparkSession, root: str) -> list[str]:
     return made
 
 
-def write_pages(spark: SparkSession, root: str, new: DataFrame, preimages: DataFrame) -> DataFrame:
+def write_pages(spark: SparkSession, root: str, new: DataFrame, preimages: DataFrame, again: bool = False) -> DataFrame:
     """Write pages (``target_path``, ``markdown``) whose present content is still what was seen; ``target_path``, ``content_sha256``.
 
     preimages: ``target_path``, ``preimage_sha256`` (null: the page must not exist). Any page that changed meanwhile stops the
-    whole write before anything is in place; one that holds the new text already is done. Tasks write the files, the driver only has them moved; see page_sink.
+    whole write before anything is in place. again: the write may have been made before, by a run that was stopped; a page that holds
+    the new text already is done then. Tasks write the files, the driver only has them moved; see page_sink.
     """
     page_sink.recover(f"{root.rstrip('/')}/wiki")
     current = text_files(spark, f"{root.rstrip('/')}/wiki", "*.md").select(F.col("path").alias("target_path"), F.col("sha256").alias("now"))
-    rows = new.join(preimages, "target_path", "left").join(current, "target_path", "left").where(~F.col("now").eqNullSafe(sha256(F.col("markdown"))))
+    rows = new.join(preimages, "target_path", "left").join(current, "target_path", "left")
+    if again:
+        rows = rows.where(~F.col("now").eqNullSafe(sha256(F.col("markdown"))))
     drift = [r[0] for r in rows.where(~F.col("now").eqNullSafe(F.col("preimage_sha256"))).select("target_path").limit(5).collect()]
     if drift:
         raise ValueError(f"pages changed since they were read: {', '.join(drift)}")
