@@ -256,6 +256,7 @@ def ingest(run: Run, raw_paths: list[str]) -> DataFrame:
     drafted = run.ask("candidate_pages", requests.page_requests(raws, digest_json, groups), PAGE, draft_rules)
     candidates = run.kept(drafted.select("operation_id", F.concat(F.lit("CP-"), "request_key").alias("candidate_page_id"), F.col("request_key").alias("content_unit_id"), "output.*"), "candidates")
     pages = run.kept(vault.pages(run.spark, run.root, run.types), "snapshot")
+    pool_hash = run.kept(vault.pool_hash(pages), "pool_hash").first()["pool_hash"]
     embed = lambda cards: cache.embedded(cards, run.encoder, run.dimensions).select("path", F.xxhash64("path").alias("id"), "vector")
     pool = _embeddings(run, pages, "pool").select("path", F.xxhash64("path").alias("id"), "vector")
     key = F.concat_ws("#", "operation_id", "candidate_page_id")
@@ -264,6 +265,9 @@ def ingest(run: Run, raw_paths: list[str]) -> DataFrame:
     named = top.join(queries.select(F.col("id").alias("query"), F.split("path", "#", 2).alias("k")), "query").join(pool.select("id", F.col("path").alias("hit")), "id")
     hits = named.join(pages.select(F.col("path").alias("hit"), F.col("text_excerpt").alias("excerpt")), "hit")
     hits = run.kept(hits.select(F.col("k")[0].alias("operation_id"), F.col("k")[1].alias("candidate_page_id"), "rank", F.col("hit").alias("path"), "score", "excerpt"), "contexts")
+    listed = hits.groupBy("operation_id", "candidate_page_id").agg(F.array_sort(F.collect_list(F.struct("rank", "path", "score", "excerpt"))).alias("hits"))  # TOP_K at most
+    whole = candidates.select("operation_id", "candidate_page_id").join(listed, ["operation_id", "candidate_page_id"], "left")
+    run.kept(whole.withColumn("hits", F.coalesce("hits", F.array().cast(listed.schema["hits"].dataType))).withColumn("pool_hash", F.lit(pool_hash)), "candidate_contexts")
 
     # Decisions, and what is to be written where.
     types = vault.page_type_rows(run.spark, run.types)

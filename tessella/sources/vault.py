@@ -16,6 +16,8 @@ from tessella.sources import page_sink
 # Fixed values.
 SYSTEM = r"^(?:index\.md|log\.md|logs/.*|sources/.*)$"
 EXCERPT = 1200
+#: Parts of a pool that are hashed one by one.
+POOL_PARTS = 4096
 LAYOUT = ["raw", "wiki", "state", "cache", "receipts", "runs"]
 TYPES = {"concept": "concepts", "overview": "overviews", "design": "designs", "entity": "entities", "comparison": "comparisons"}
 
@@ -59,8 +61,12 @@ def parsed_pages(files: DataFrame, types: dict[str, str] | None = None, type_key
 
 
 def pool_hash(entries: DataFrame) -> DataFrame:
-    """``pool_hash`` over paths and contents, in the order of the paths."""
-    return entries.agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("path", "sha256")))), 256).alias("pool_hash"))
+    """``pool_hash`` over paths and contents, whatever their order: a hash over POOL_PARTS hashes, each over the entries, in the order
+    of the paths, whose path falls to it. No row holds the whole pool."""
+    part = F.pmod(F.xxhash64("path"), F.lit(POOL_PARTS)).alias("part")
+    hashed = lambda *c: F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct(*c)))), 256)
+    parts = entries.groupBy(part).agg(hashed("path", "sha256").alias("h"))
+    return parts.agg(hashed("part", "h").alias("pool_hash"))
 
 
 def type_of_path(path: Column, types: dict[str, str] | None = None, default: str = "concept") -> Column:

@@ -83,6 +83,8 @@ def test_ingest(spark, root):
     assert claims.count() == 4 and claims.where("coverage_policy = '必须保留'").count() == 4
     told = {r.target_path: r.diff for r in spark.read.parquet(f"{root}/runs/{run.stamp}/page_diffs").collect()}
     assert set(told) >= {"concepts/Concept_New.md"} and told["concepts/Concept_New.md"].startswith("@@ -0,0 +1,") and "\n+# 编译 New" in told["concepts/Concept_New.md"]
+    contexts = spark.read.parquet(f"{root}/runs/{run.stamp}/candidate_contexts").collect()
+    assert contexts and len({c.pool_hash for c in contexts}) == 1 and all([h["rank"] for h in c.hits] == list(range(1, len(c.hits) + 1)) for c in contexts) and any(c.hits for c in contexts)
     receipts = spark.read.json(f"{root}/receipts")
     assert sorted(r.raw_path for r in receipts.select("raw_path").collect()) == ["raw/a.md", "raw/b.md"]
     assert tables.read("embeddings", "path string, vector array<double>").where(F.size("vector") == 2).count() == 3

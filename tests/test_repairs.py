@@ -78,3 +78,10 @@ def test_a_written_page_replaces_the_old_one(spark, tmp_path):
     assert (tmp_path / "wiki" / "concepts" / "A.md").read_text() == "new"
     with pytest.raises(ValueError, match="changed"):
         vault.write_pages(spark, root, new, seen)
+
+
+def test_pool_hash_goes_by_paths_and_contents(spark):
+    rows = [(f"p{i}.md", f"h{i}") for i in range(300)]
+    of = lambda rows: vault.pool_hash(spark.createDataFrame(rows, "path string, sha256 string").repartition(3)).first()["pool_hash"]
+    assert of(rows) == of(rows[::-1]) and len(of(rows)) == 64
+    assert len({of(rows), of(rows[1:]), of([("p0.md", "other"), *rows[1:]]), of([("q.md", "h0"), *rows[1:]]), of([])}) == 5
