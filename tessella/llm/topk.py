@@ -225,9 +225,13 @@ def reached(trees: DataFrame, queries: DataFrame, chunks: int, blocks: int) -> D
 
 
 def visited(asks: DataFrame, trees: DataFrame, queries: DataFrame, top: int) -> DataFrame:
-    """``rid``, ``query_id``, ``score``, ``vec_id``: what the reached shards add to the queries' highest scores."""
-    rows = asks.join(queries.drop(*_KEYS), "rid").select(*_KEYS, "chunk", "rid", "query_id", "v", "scores", "ids", F.lit(None).cast("binary").alias("tree"))
-    needed = asks.select(*_KEYS, "chunk").distinct().join(trees.select(*_KEYS, "tree"), _KEYS)
+    """``rid``, ``query_id``, ``score``, ``vec_id``: what the reached shards add to the queries' highest scores.
+
+    Stored, the asked rows are a few bits each, so Spark would take millions for a table small enough to broadcast. Sort-merge
+    joins keep them, and the pairs of shards and chunks, away from the driver.
+    """
+    rows = asks.hint("merge").join(queries.drop(*_KEYS), "rid").select(*_KEYS, "chunk", "rid", "query_id", "v", "scores", "ids", F.lit(None).cast("binary").alias("tree"))
+    needed = asks.select(*_KEYS, "chunk").distinct().hint("merge").join(trees.select(*_KEYS, "tree"), _KEYS)
     none = [F.lit(None).cast(kind).alias(name) for name, kind in (("rid", "long"), ("query_id", "long"), ("v", "array<double>"), ("scores", "array<long>"), ("ids", "array<long>"))]
     both = rows.unionAll(needed.select(*_KEYS, "chunk", *none, "tree"))
 

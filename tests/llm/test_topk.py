@@ -76,3 +76,11 @@ def test_clusters_are_skipped():
     best = np.lexsort((np.broadcast_to(ids, every.shape), -np.where(every == topk._NONE, -topk._LAST, every)), axis=1)[:, :5]
     assert (found == ids[best]).all() and (scores == np.take_along_axis(every, best, axis=1)).all()
     assert looked < 0.2 * every.size
+
+
+def test_asked_rows_are_not_broadcast(spark, vectors, monkeypatch):
+    """What grows with queries times shards goes between tasks, never through the driver."""
+    monkeypatch.setattr(topk, "SHARD", 64)
+    out = topk.highest(spark.createDataFrame(vectors, SCHEMA))
+    out.collect()
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
