@@ -288,6 +288,24 @@ def test_stage_drops_near_duplicates(spark, monkeypatch, tile):
     assert got == [i for i in range(len(docs)) if find(i) == i]
 
 
+def test_stage_drops_what_simhash_links(spark):
+    """Repeats of a passage leave the fingerprint near, however the sets of shingles differ."""
+    import random
+
+    import corpus_pipeline
+    from tessella.llm import near, simhash
+
+    r = random.Random(8)
+    line = lambda n: " ".join(f"w{r.randrange(5000)}" for _ in range(n))
+    rest, many = line(40), " ".join([line(31)] * 200)
+    docs = [(1, many), (2, many + " " + rest), (3, line(80)), (4, line(80))]
+    assert (simhash.fingerprint(docs[0][1].encode()) ^ simhash.fingerprint(docs[1][1].encode())).bit_count() <= simhash.RADIUS
+    a, b = (set(near.shingles(t.encode()).tolist()) for _, t in docs[:2])
+    assert len(a & b) < near.SIMILARITY * len(a | b)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(x.doc_id for x in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()) == [1, 3, 4]
+
+
 def test_pipeline_awkward_tables(spark, tmp_path):
     """No rows, and rows that are null or empty, in every stage; extra columns pass through."""
     import corpus_pipeline
