@@ -69,3 +69,21 @@ def test_maintenance_looks_at_one_candidate_more_than_links(spark):
         score = np.floor(np.clip(raw[i], 0, 1) * 1e4 + 0.5) / 1e4
         rest = sorted((-score[j], j) for j in range(n) if j != i and (i, j) not in linked and score[j] > vectors.RELATED_LEAST)
         assert candidate == (rest[0][1] if rest else None)
+
+
+def test_candidates_are_cut_in_tiles(spark, monkeypatch):
+    """Blocks are sent and candidates cut once a tile, not once a pair of blocks; one block of queries is dealt to many tiles."""
+    for name, value in (("POOL_BLOCK", 20), ("QUERY_BLOCK", 16), ("DIRECT_PAIRS", 0)):
+        monkeypatch.setattr(vectors, name, value)
+    x = clusters(4, 300, 1)
+    pool = frame(spark, x)
+    want = plain(x, np.arange(len(x)), x, np.arange(len(x)), 2, None, True, False)
+    counts = []
+    for tile in ({"q": 100, "p": 100}, {"q": 2, "p": 3}):
+        monkeypatch.setattr(vectors, "TILE_BLOCKS", tile)
+        found = vectors.search(pool, pool, 2)[0].collect()
+        got = {i: sorted((-r.score, r.id) for r in found if r["query"] == i)[:2] for i in want}
+        assert got == want
+        counts.append(len(found))
+    # two rows a query from its first block, two from all the others
+    assert counts[0] <= 4 * len(x) < counts[1]
