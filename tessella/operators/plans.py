@@ -76,14 +76,14 @@ def update_plan(items: DataFrame, pages: DataFrame, units: DataFrame, claims: Da
     """
     wanted = items.select("operation_id", "target_path", F.explode("candidate_page_ids").alias("candidate_page_id"))
     anchors = wanted.join(pages, ["operation_id", "candidate_page_id"]).select("operation_id", "target_path", F.col("content_unit_id").alias("anchor_unit_id")).distinct()
-    brought = anchors.join(units, ["operation_id", "anchor_unit_id"]).select("operation_id", "target_path", "content_unit_id", "claim_ids").distinct()
-    used = brought.select("operation_id", "target_path", F.explode("claim_ids").alias("claim_id")).distinct().join(claims, ["operation_id", "claim_id"], "left_semi")
+    brought = anchors.join(units, ["operation_id", "anchor_unit_id"]).select("operation_id", "target_path", "content_unit_id", F.explode_outer("claim_ids").alias("claim_id"))
+    used = brought.join(claims.select("operation_id", "claim_id", F.lit(True).alias("known")).distinct(), ["operation_id", "claim_id"], "left")
     keys = ["operation_id", "target_path"]
-    by_unit = brought.groupBy(*keys).agg(F.array_sort(F.collect_set("content_unit_id")).alias("unit_ids"))
-    by_claim = used.groupBy(*keys).agg(F.array_sort(F.collect_set("claim_id")).alias("claim_ids"))
+    # one chain of joins for both lists; the sets leave out what comes twice
+    both = used.groupBy(*keys).agg(F.array_sort(F.collect_set("content_unit_id")).alias("unit_ids"), F.array_sort(F.collect_set(F.when(F.col("known"), F.col("claim_id")))).alias("claim_ids"))
     active = (F.col("status") == "活跃") & (F.col("coverage_policy") != "低价值")
     held = state.groupBy(F.col("page_path").alias("target_path")).agg(F.count("*").alias("previous_claims"), F.count_if(active).alias("previous_active"))
-    rows = items.select(*keys).join(by_unit, keys, "left").join(by_claim, keys, "left").join(held, "target_path", "left")
+    rows = items.select(*keys).join(both, keys, "left").join(held, "target_path", "left")
     none = F.array().cast("array<string>")
     return rows.select(
         *keys, F.coalesce("unit_ids", none).alias("unit_ids"), F.coalesce("claim_ids", none).alias("claim_ids"),

@@ -85,3 +85,15 @@ def test_pool_hash_goes_by_paths_and_contents(spark):
     of = lambda rows: vault.pool_hash(spark.createDataFrame(rows, "path string, sha256 string").repartition(3)).first()["pool_hash"]
     assert of(rows) == of(rows[::-1]) and len(of(rows)) == 64
     assert len({of(rows), of(rows[1:]), of([("p0.md", "other"), *rows[1:]]), of([("q.md", "h0"), *rows[1:]]), of([])}) == 5
+
+
+def test_update_plan_joins_its_chain_once(spark):
+    """Units and claims of a target come from one chain of joins; repeated rows, units without claims and unknown claims change nothing."""
+    items = spark.createDataFrame([(1, "a", ["p", "q", "p"]), (1, "b", ["r"]), (2, "a", [])], "operation_id int, target_path string, candidate_page_ids array<string>")
+    pages = spark.createDataFrame([(1, "p", "u1"), (1, "p", "u1"), (1, "q", "u2")], "operation_id int, candidate_page_id string, content_unit_id string")
+    units = spark.createDataFrame([(1, "u1", "u1", ["c1", "c9", None]), (1, "x", "u1", []), (1, "y", "u2", None), (1, "u1", "u1", ["c2"])], "operation_id int, content_unit_id string, anchor_unit_id string, claim_ids array<string>")
+    claims = spark.createDataFrame([(1, "c1"), (1, "c1"), (1, "c2"), (2, "c9")], "operation_id int, claim_id string")
+    held = spark.createDataFrame([("b", "活跃", "可摘要")], "page_path string, status string, coverage_policy string")
+    out = plans.update_plan(items, pages, units, claims, held)
+    assert sorted(map(tuple, out.collect())) == [(1, "a", ["u1", "x", "y"], ["c1", "c2"], False, 0, 0), (1, "b", [], [], True, 1, 1), (2, "a", [], [], False, 0, 0)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 5
