@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 STRETCH_ROWS = 200_000
 #: Levels of spans: a span of level n is at most 2 ** n long.
 LEVELS = 62
+#: Levels that are told apart: a moment is sent once a level, and a cell is at most 2 ** STEP times as long as a span in it.
+STEP = 3
 
 
 def as_of(moments: DataFrame, states: DataFrame, on: list[str], time: str = "time", tolerance: int | None = None, rows: int = STRETCH_ROWS) -> DataFrame:
@@ -52,7 +54,7 @@ def as_of(moments: DataFrame, states: DataFrame, on: list[str], time: str = "tim
 def inside(moments: DataFrame, spans: DataFrame, on: list[str], time: str = "time", start: str = "start", end: str = "end") -> DataFrame:
     """Pairs of ``moments`` and ``spans`` of one key with start <= time < end; all columns of both, the key once.
 
-    A span lies in at most two cells of the level whose cells are at least as long as it; a moment looks in one cell of each level that
+    A span lies in at most two cells of the level, of every STEP-th one, whose cells are at least as long as it; a moment looks in one cell of each level that
     there is, so a long span costs no more than a short one. Empty spans and nulls meet nothing. Cells of many rows are split by the adaptive skew join.
     """
     length = F.col(end).cast("long") - F.col(start).cast("long")
@@ -60,6 +62,7 @@ def inside(moments: DataFrame, spans: DataFrame, on: list[str], time: str = "tim
     # the logarithm of a large number may be rounded down
     level = F.when(F.expr(f"shiftleft(1L, {LEVELS})") <= length, LEVELS).otherwise(level)
     laid = spans.where(length > 0).withColumn("_level", level).withColumn("_level", F.when(F.expr("shiftleft(1L, _level)") < length, F.col("_level") + 1).otherwise(F.col("_level")))
+    laid = laid.withColumn("_level", F.least(F.lit(LEVELS), F.ceil(F.col("_level") / STEP) * STEP).cast("int"))
     cells = F.array_distinct(F.array(F.expr(f"shiftright(cast({start} as long), _level)"), F.expr(f"shiftright(cast({end} as long) - 1, _level)")))
     laid = laid.withColumn("_cell", F.explode(cells))
     levels = sorted(r[0] for r in laid.select("_level").distinct().collect())  # LEVELS + 1 at most

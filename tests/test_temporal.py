@@ -44,3 +44,16 @@ def test_a_long_span_is_no_more_rows(spark):
     moments = spark.range(100).select(F.lit("a").alias("k"), (F.col("id") * 10**9).alias("time"))
     spans = spark.createDataFrame([("a", 0, 10**11)], "k string, start long, end long")
     assert temporal.inside(moments, spans, ["k"]).count() == 100
+
+
+def test_moments_are_sent_to_few_levels(spark):
+    """Spans of forty lengths, each twice the last, lie in a third as many levels; the pairs are those of a plain join."""
+    import re
+
+    spans = spark.range(40).select((F.col("id") % 3).alias("k"), F.col("id").alias("s"), (F.col("id") * 1_000_003).alias("start"), (F.col("id") * 1_000_003 + F.expr("shiftleft(1L, cast(id as int))")).alias("end"))
+    moments = spark.range(600).select((F.col("id") % 3).alias("k"), F.pmod(F.xxhash64("id"), F.expr("shiftleft(1L, cast(id % 41 as int))")).alias("time"))
+    found = temporal.inside(moments, spans, ["k"])
+    plain = moments.join(spans, "k").where("start <= time and time < end")
+    assert sorted(map(tuple, found.select("k", "time", "s").collect())) == sorted(map(tuple, plain.select("k", "time", "s").collect())) != []
+    levels = re.search(r"explode\(array\(([0-9, ]+)\)\)", found._jdf.queryExecution().analyzed().toString())[1].split(",")
+    assert len(levels) <= 15
