@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType
 
 SPACE = r"[\s\p{Z}\x85\x1c-\x1f]"
+#: All its characters, for trimming from the ends, which reads no further than it must.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 # Fixed values.
@@ -28,7 +30,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(c, F.lit(SPACES))
+
+
+def strip_end(c: Column) -> Column:
+    return F.rtrim(c, F.lit(SPACES))
 
 
 def sha256(c: Column) -> Column:
@@ -65,13 +71,23 @@ def title(c: Column, fallback: Column | str) -> Column:
     return let(F.transform(lines(c), strip), pick)
 
 
+def _flat(c: Column) -> Column:
+    """Every run of white space as one blank, none at the ends; a single blank is no match."""
+    return strip(F.regexp_replace(c, rf"{SPACE}{{2,}}|[{SPACE}&&[^ ]]", " "))
+
+
+def _flat_sentences(flat: Column) -> Column:
+    """Only single blanks are left, so a sentence has none at its ends; looked for by the blank, which costs less than looking behind every character."""
+    return F.filter(F.split(flat, rf" (?<=[{SENTENCE_ENDS}] )"), lambda s: s != "")
+
+
 def sentences(c: Column) -> Column:
-    flat = strip(F.regexp_replace(c, SPACE + "+", " "))
-    return F.filter(F.transform(F.split(flat, rf"(?<=[{SENTENCE_ENDS}])\s+"), strip), lambda s: s != "")
+    return _flat_sentences(_flat(c))
 
 
 def summary(c: Column, most_sentences: int = 2, most_chars: int = 240) -> Column:
-    return summary_of(sentences(c), most_sentences, most_chars)
+    """The first sentences, cut; they are what the flat text begins with, so no more of it than shows is taken apart."""
+    return summary_of(_flat_sentences(F.substring(_flat(c), 1, most_chars + 2)), most_sentences, most_chars)
 
 
 def summary_of(found: Column, most_sentences: int = 2, most_chars: int = 240) -> Column:

@@ -113,17 +113,20 @@ def assignment_score(claim_text: Column, concepts: Column, text: Column, claim_t
     return F.when(F.size(terms) == 0, 0.0).otherwise((shared + named) / F.greatest(F.lit(1), F.size(terms)))
 
 
-def assigned_claims(claims: DataFrame, pages: DataFrame, planned: DataFrame) -> DataFrame:
+def assigned_claims(claims: DataFrame, pages: DataFrame, planned: DataFrame, few: int = postings.BROADCAST_ASKED, few_concepts: int = postings.NEEDLES_A_TEXT) -> DataFrame:
     """``operation_id``, ``claim_id``, ``final_page_id``, ``score``, ``n_candidates``: the page that speaks most of a claim.
 
     claims: ``operation_id``, ``claim_id``, ``claim_text`` (text, concepts and locator), ``concept_terms``; pages: ``operation_id``, ``final_page_id``,
     ``text``; planned: ``operation_id``, ``claim_id``, ``final_page_id``. A claim without a planned page may go to any of its own
     operation's; of equal scores the larger id wins. Such claims meet pages by an inverted index, so a pair that shares nothing never
-    arises; a claim that shares nothing with any page gets the largest id.
+    arises; a claim that shares nothing with any page gets the largest id. Where the claims have few terms and concepts, a page is held
+    against them where it lies.
     """
     op = ["operation_id"]
     known = claims.select("operation_id", "claim_id", "claim_text", "concept_terms", assignment_terms(F.col("claim_text")).alias("claim_terms"))
-    wanted = planned.distinct().join(pages.select("operation_id", "final_page_id", "text"), ["operation_id", "final_page_id"])
+    plan = planned.distinct()
+    plan = F.broadcast(plan) if planned.limit(few + 1).count() <= few else plan
+    wanted = pages.select("operation_id", "final_page_id", "text").join(plan, ["operation_id", "final_page_id"])
     own = wanted.join(known, ["operation_id", "claim_id"])
     own = own.select("operation_id", "claim_id", "final_page_id", assignment_score(F.col("claim_text"), F.col("concept_terms"), F.col("text"), F.col("claim_terms")).alias("score"))
     best = lambda rows: rows.groupBy("operation_id", "claim_id").agg(F.max(F.struct("score", "final_page_id")).alias("b"), F.count("*").alias("n_candidates"))
@@ -131,12 +134,15 @@ def assigned_claims(claims: DataFrame, pages: DataFrame, planned: DataFrame) ->
 
     free = known.join(own.select("operation_id", "claim_id"), ["operation_id", "claim_id"], "left_anti").withColumn("n", F.size("claim_terms")).drop("claim_text")
     asked = free.select("operation_id", "claim_id", F.explode("claim_terms").alias("term"), F.lit(1).alias("weight"))
-    held = pages.select("operation_id", "final_page_id", F.explode(assignment_terms(F.col("text"))).alias("term"))
-    shared = postings.points(asked, held, op, "claim_id", "final_page_id")
-    concepts = free.select("operation_id", "claim_id", F.explode("concept_terms").alias("term")).where("term <> ''").groupBy("operation_id", "claim_id", "term").agg((2 * F.count("*")).alias("weight"))
-    inside = postings.containing(concepts.select("operation_id", F.col("term").alias("needle")).distinct(), pages, op, "final_page_id")
-    named = postings.points(concepts, inside.withColumnRenamed("needle", "term"), op, "claim_id", "final_page_id")
-    both = shared.unionByName(named).groupBy("operation_id", "claim_id", "final_page_id").agg(F.sum("points").alias("points"))
+    concepts = free.select("operation_id", "claim_id", F.explode("concept_terms").alias("needle")).where("needle <> ''").groupBy("operation_id", "claim_id", "needle").agg((2 * F.count("*")).alias("weight"))
+    held = pages.select("operation_id", "final_page_id", "text", assignment_terms(F.col("text")).alias("terms"))
+    if asked.limit(few + 1).count() <= few and concepts.limit(few_concepts + 1).count() <= few_concepts:
+        both = postings.points_in_place(asked, concepts, held, op, "claim_id", "final_page_id")
+    else:
+        shared = postings.points(asked, held.select("operation_id", "final_page_id", F.explode("terms").alias("term")), op, "claim_id", "final_page_id")
+        inside = postings.containing(concepts.select("operation_id", "needle").distinct(), pages, op, "final_page_id")
+        named = postings.points(concepts.withColumnRenamed("needle", "term"), inside.withColumnRenamed("needle", "term"), op, "claim_id", "final_page_id")
+        both = shared.unionByName(named).groupBy("operation_id", "claim_id", "final_page_id").agg(F.sum("points").alias("points"))
     found = both.join(free.where("n > 0").select("operation_id", "claim_id", "n"), ["operation_id", "claim_id"])
     found = best(found.select("operation_id", "claim_id", "final_page_id", (F.col("points") / F.col("n")).alias("score"))).select("operation_id", "claim_id", "b")
     every = pages.groupBy("operation_id").agg(F.max("final_page_id").alias("last"), F.count("*").alias("n_candidates"))

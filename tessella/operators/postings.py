@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Needles up to which they are sent to every task with the texts, counted before; beyond, candidates are joined with their texts again.
 BROADCAST_NEEDLES = 10_000
+#: Terms asked for, and needles of a key, up to which a text is held against all of them where it lies.
+BROADCAST_ASKED, NEEDLES_A_TEXT = 200_000, 1000
 #: Characters of the piece by which a longer needle is looked up.
 GRAM = 3
 
@@ -23,9 +25,24 @@ def points(asked: DataFrame, held: DataFrame, by: list[str], asker: str, holder:
     return asked.join(held, [*by, "term"]).groupBy(*by, asker, holder).agg(F.sum("weight").alias("points"))
 
 
+def points_in_place(asked: DataFrame, needles: DataFrame, held: DataFrame, by: list[str], asker: str, holder: str) -> DataFrame:
+    """``by``, ``asker``, ``holder``, ``points``: the weights of the asked terms that the holder has and of the needles that its text holds, for few askers.
+
+    asked: as for points; needles: ``by``, asker, ``needle``, ``weight``; held: ``by``, holder, ``text``, ``terms`` (distinct). What is asked
+    goes to every task, a holder's terms to one: no pair is shuffled.
+    """
+    mark = lambda c: F.concat(F.lit("\u0001"), c)  # noqa: E731  no term begins so
+    every = needles.groupBy(*by).agg(F.collect_set("needle").alias("needles"))
+    inside = F.transform(F.filter("needles", lambda n: F.contains("text", n)), mark)
+    rows = held.join(F.broadcast(every), by, "left").select(*by, holder, F.concat("terms", F.coalesce(inside, F.array().cast("array<string>"))).alias("terms"))
+    terms = rows.repartition(holder).select(*by, holder, F.explode("terms").alias("term"))
+    both = asked.select(*by, asker, "term", "weight").unionByName(needles.select(*by, asker, mark(F.col("needle")).alias("term"), "weight"))
+    return terms.join(F.broadcast(both), [*by, "term"]).groupBy(*by, asker, holder).agg(F.sum("weight").alias("points"))
+
+
 def _pieces(text: Column, n: int) -> Column:
-    """All pieces of the text of n characters, in order; of a shorter text the text."""
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substr(text, i, F.lit(n)))
+    """All pieces of the text of n characters, in order, in one pass; of a shorter text the text."""
+    return F.when(F.length(text) <= n, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), 1))
 
 
 def _anchor(needle: Column) -> Column:

@@ -57,6 +57,28 @@ def test_assignment_equals_every_pair(spark):
     assert {tuple(x) for x in out.collect()} == want
 
 
+def test_assignment_of_many_claims_equals_that_of_few(spark):
+    """Claims sent to every task, and claims that meet pages by the inverted index; a concept may look like a marked term."""
+    r = random.Random(6)
+    words = ["alpha", "beta", "\u0001alpha", "知识编译器", "😀x", "ab"]
+    line = lambda n: " ".join(r.choice(words) for _ in range(n))
+    pages = spark.createDataFrame([(o, i, line(r.randrange(0, 5))) for o in "pq" for i in range(15)], "operation_id string, final_page_id long, text string")
+    claims = spark.createDataFrame([(o, i, line(r.randrange(0, 4)), [r.choice([*words, ""]), "lph"]) for o in "pq" for i in range(20)], "operation_id string, claim_id long, claim_text string, concept_terms array<string>")
+    none = spark.createDataFrame([], "operation_id string, claim_id long, final_page_id long")
+    few, many = (sorted(map(tuple, plans.assigned_claims(claims, pages, none, *limits).collect())) for limits in ((1000, 1000), (0, 0)))
+    assert few == many and len(few) == 40
+
+
+def test_few_claims_are_counted_where_a_page_lies(spark):
+    """A page's terms go to one task; its pairs with claims aren't shuffled, nor is a text taken apart into pieces."""
+    claims = spark.createDataFrame([("o", 1, "alpha beta", ["alp"])], "operation_id string, claim_id long, claim_text string, concept_terms array<string>")
+    pages = spark.createDataFrame([("o", 7, "alpha")], "operation_id string, final_page_id long, text string")
+    out = plans.assigned_claims(claims, pages, spark.createDataFrame([], "operation_id string, claim_id long, final_page_id long"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(operation_id, claim_id, final_page_id" not in plan.replace("#", "").translate(str.maketrans("", "", "0123456789")) and "piece" not in plan
+    assert [tuple(x) for x in out.collect()] == [("o", 1, 7, 1.5, 1)]
+
+
 def test_assignment_makes_no_pairs_that_share_nothing(spark):
     """No product of claims and pages anywhere in the plan."""
     rows = spark.range(50).select(F.format_string("op%d", F.col("id") % 1).alias("operation_id"), "id")

@@ -141,3 +141,20 @@ def test_assignment(spark):
     pages = spark.createDataFrame([("o", "FP-001", "alpha here"), ("o", "FP-002", "alpha here")], "operation_id string, final_page_id string, text string")
     got = {r.claim_id: r for r in plans.assigned_claims(claims, pages, spark.createDataFrame([("o", 2, "FP-001"), ("o", 2, "gone")], "operation_id string, claim_id int, final_page_id string")).collect()}
     assert (got[1].final_page_id, got[1].score, got[1].n_candidates) == ("FP-002", 1.5, 2) and (got[2].final_page_id, got[2].score) == ("FP-001", 0.0)
+
+
+def test_trims_and_sentences_equal_their_patterns(spark):
+    """Trimming by characters and sentences by single blanks give what the patterns over all white space gave."""
+    import random
+    import re
+
+    space = "[" + "".join(text.SPACES) + "]"
+    r = random.Random(8)
+    rows = ["".join(r.choice(["a", "B.", "。", "!", "? ", " ", "  ", "\n", "\t", "\x85", "\u2028", "\u3000", "\xa0", "\x1c", "é", "😀"]) for _ in range(r.randrange(0, 40))) for _ in range(400)]
+    cut = lambda s: re.sub(f"^{space}+|{space}+\\Z", "", s)
+    for t, a, b, c, d in spark.createDataFrame([(x,) for x in rows], "t string").select("t", text.strip(F.col("t")), text.strip_end(F.col("t")), text.sentences(F.col("t")), text.summary(F.col("t"), 3, 12)).collect():
+        flat = cut(re.sub(space + "+", " ", t))
+        want = [s for s in map(cut, re.split(r"(?<=[。！？.!?])\s+", flat)) if s]
+        joined = " ".join(want[:3])
+        assert (a, b, c) == (cut(t), re.sub(f"{space}+\\Z", "", t), want)
+        assert d == (joined if len(joined) <= 12 else re.sub(f"{space}+\\Z", "", joined[:11]) + "..."), t
