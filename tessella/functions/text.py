@@ -17,6 +17,7 @@ SPACE = r"[\s\p{Z}\x85\x1c-\x1f]"
 #: All its characters, for trimming from the ends, which reads no further than it must.
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+OTHER_LINE_ENDS = "[\\r\\x0b\\x0c\\x1c-\\x1e\\x85\u2028\u2029]"
 
 # Fixed values.
 SENTENCE_ENDS = "。！？.!?"
@@ -47,14 +48,20 @@ def canonical_hash(*columns: Column | str) -> Column:
 
 
 def lines(c: Column) -> Column:
-    """Lines without their ends; a final line end starts no further line."""
-    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(c, f"(?:{LINE_ENDS})$", ""), LINE_ENDS))
+    """Lines without their ends; a final line end starts no further line. Text whose only line ends are \\n is split by that alone, which needs no pattern."""
+
+    def cut(x: Column) -> Column:
+        plain = F.split(F.when(x.endswith("\n"), F.regexp_replace(x, "\n$", "")).otherwise(x), "\n")
+        other = F.split(F.regexp_replace(x, f"(?:{LINE_ENDS})$", ""), LINE_ENDS)
+        return F.when(x == "", F.array().cast("array<string>")).when(x.rlike(OTHER_LINE_ENDS), other).otherwise(plain)
+
+    return let(c, cut)
 
 
 def strip_frontmatter(c: Column) -> Column:
     """Without a header between ``---`` lines; the end is looked for from the fifth character on."""
     end = F.locate("\n---", c, 5)
-    rest = F.regexp_replace(c.substr(end + 4, F.length(c)), f"^{SPACE}+", "")
+    rest = F.ltrim(c.substr(end + 4, F.length(c)), F.lit(SPACES))
     return F.when(c.startswith("---\n") & (end > 0), rest).otherwise(c)
 
 
@@ -94,7 +101,7 @@ def summary_of(found: Column, most_sentences: int = 2, most_chars: int = 240) ->
     """The first of a text's sentences, cut."""
 
     def cut(text: Column) -> Column:
-        short = F.concat(F.regexp_replace(F.substring(text, 1, most_chars - 1), f"{SPACE}+$", ""), F.lit("..."))
+        short = F.concat(strip_end(F.substring(text, 1, most_chars - 1)), F.lit("..."))
         return F.when(F.length(text) <= most_chars, text).otherwise(short)
 
     return let(F.array_join(F.slice(found, 1, most_sentences), " "), cut)
@@ -118,7 +125,7 @@ def excerpt(c: Column, most: int) -> Column:
     """Runs of blank lines shortened, trimmed and cut; with a flag that says whether it was cut."""
 
     def cut(text: Column) -> Column:
-        return F.struct(F.regexp_replace(F.substring(text, 1, most), f"{SPACE}+$", "").alias("text"), (F.length(text) > most).alias("truncated"))
+        return F.struct(strip_end(F.substring(text, 1, most)).alias("text"), (F.length(text) > most).alias("truncated"))
 
     return let(strip(F.regexp_replace(c, r"\n{3,}", "\n\n")), cut)
 
@@ -130,17 +137,24 @@ def _heading(line: Column) -> Column:
 
 
 def _sections(c: Column, headings: list[str], wanted: bool) -> Column:
-    """Lines inside (or outside) second-level sections with these headings, by a fold over the lines."""
+    """Lines inside (or outside) second-level sections with these headings: slices between one heading and the next."""
     names = [h.lower() for h in headings]
-    start = F.struct(F.lit(False).alias("inside"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, line: Column) -> Column:
-        name = _heading(line)
-        inside = F.when(name.isNull(), acc["inside"]).otherwise(name.isin(names))
-        keep = inside & name.isNull() if wanted else ~inside
-        return F.struct(inside.alias("inside"), F.when(keep, F.array_append(acc["out"], line)).otherwise(acc["out"]).alias("out"))
+    def cut(found: Column) -> Column:
+        heads = F.filter(F.transform(found, lambda x, i: F.struct(i.alias("at"), _heading(x).alias("name"))), lambda h: h["name"].isNotNull())
+        top = F.array(F.struct(F.lit(-1 if wanted else 0).alias("at"), F.lit(None).cast("string").alias("name")))  # what stands before the first heading
+
+        def kept(h: Column, first: Column, end: Column) -> Column:
+            inside = F.coalesce(h["name"].isin(names), F.lit(False))
+            return F.when(inside if wanted else ~inside, F.slice(found, first + 1, F.greatest(end - first, F.lit(0)))).otherwise(F.array().cast("array<string>"))
+
+        def parts(s: Column) -> Column:
+            end = lambda i: F.coalesce(F.get(s, i + 1)["at"], F.size(found))
+            return F.flatten(F.transform(s, lambda h, i: kept(h, h["at"] + 1 if wanted else h["at"], end(i))))
 
-    return F.aggregate(lines(c), start, step, lambda acc: F.array_join(acc["out"], "\n"))
+        return F.array_join(let(F.concat(top, heads), parts), "\n")
+
+    return let(lines(c), cut)
 
 
 def without_sections(c: Column, headings: list[str]) -> Column:
@@ -159,9 +173,13 @@ def with_section(c: Column, heading: str, body: Column) -> Column:
     """The section with this heading replaced, or appended where there is none."""
     block = F.concat(F.lit(f"## {heading}\n\n"), body)
     pattern = rf"(?ms)^[ \t]*##[ ]+{heading}[ \t]*$.*?(?=^[ \t]*##[ ]|\z)"
-    replaced = F.regexp_replace(c, F.lit(pattern), F.concat(F.regexp_replace(block, r"([\\$])", r"\\$1"), F.lit("\n\n")))
-    appended = F.concat(F.regexp_replace(c, f"{SPACE}+$", ""), F.lit("\n\n"), block, F.lit("\n"))
-    return F.when(has_section(c, [heading]), F.concat(F.regexp_replace(replaced, f"{SPACE}+$", ""), F.lit("\n"))).otherwise(appended)
+
+    def put(x: Column) -> Column:
+        replaced = F.regexp_replace(x, F.lit(pattern), F.concat(F.regexp_replace(block, r"([\\$])", r"\\$1"), F.lit("\n\n")))
+        appended = F.concat(strip_end(x), F.lit("\n\n"), block, F.lit("\n"))
+        return F.when(has_section(x, [heading]), F.concat(strip_end(replaced), F.lit("\n"))).otherwise(appended)
+
+    return let(c, put)
 
 
 def headings(c: Column, deepest: int = 3) -> Column:

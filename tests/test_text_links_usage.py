@@ -158,3 +158,37 @@ def test_trims_and_sentences_equal_their_patterns(spark):
         joined = " ".join(want[:3])
         assert (a, b, c) == (cut(t), re.sub(f"{space}+\\Z", "", t), want)
         assert d == (joined if len(joined) <= 12 else re.sub(f"{space}+\\Z", "", joined[:11]) + "..."), t
+
+
+def test_sections_equal_a_fold_over_lines(spark):
+    """Sections as slices between headings, and lines split without a pattern where it isn't needed."""
+    import random
+    import re
+
+    r = random.Random(9)
+    pieces = ["## A", " ##  a ", "## B", "##", "### c", "x", "", "y ", "## 😀"]
+    rows = [r.choice(["\n", "\n", "\r\n", " "]).join(r.choice(pieces) for _ in range(r.randrange(0, 12))) + r.choice(["", "\n"]) for _ in range(300)]
+    got = spark.createDataFrame([(x,) for x in [*rows, None]], "t string").select("t", text.lines(F.col("t")), text.without_sections(F.col("t"), ["A"]), text.section_body(F.col("t"), ["a"]), text.has_section(F.col("t"), ["A"]))
+    ends = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+    for t, lines, without, inside, has in got.collect():
+        if t is None:
+            assert (lines, without, inside, has) == (None,) * 4
+            continue
+        # a pattern's $ stands before a last line end too
+        whole = re.sub(f"(?:{ends})(?=(?:{ends})?\\Z)", "", t)
+        assert lines == ([] if t == "" else re.split(ends, whole)), t
+        now, out, into, seen = False, [], [], False
+        for line in lines:
+            name = line.strip()[3:].strip().lower() if line.strip().startswith("## ") else None
+            now = now if name is None else name == "a"
+            seen |= name == "a"
+            (out if not now else into if name is None else []).append(line)
+        assert (without, inside, has) == ("\n".join(out), "\n".join(into).strip(), seen), t
+
+
+def test_section_edits_work_a_page_out_once(spark):
+    """The header is looked for twice a page (in its body, and for its headings), and no list of lines is copied for every line."""
+    from tessella.plans import texts
+
+    plan = texts.section_edits(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("locate(") == 4 and "array_append" not in plan and "arrayappend" not in plan
