@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.session import spread
+
 #: Needles up to which they are sent to every task with the texts, counted before; beyond, candidates are joined with their texts again.
 BROADCAST_NEEDLES = 10_000
 #: Terms asked for, and needles of a key, up to which a text is held against all of them where it lies.
@@ -35,8 +37,7 @@ def points_in_place(asked: DataFrame, needles: DataFrame, held: DataFrame, by: l
     every = needles.groupBy(*by).agg(F.collect_set("needle").alias("needles"))
     inside = F.transform(F.filter("needles", lambda n: F.contains("text", n)), mark)
     rows = held.join(F.broadcast(every), by, "left").select(*by, holder, F.concat("terms", F.coalesce(inside, F.array().cast("array<string>"))).alias("terms"))
-    n = 4 * int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number given isn't lowered: a task counts its pairs in memory
-    terms = rows.repartition(n, holder).select(*by, holder, F.explode("terms").alias("term"))
+    terms = spread(rows, holder).select(*by, holder, F.explode("terms").alias("term"))
     both = asked.select(*by, asker, "term", "weight").unionByName(needles.select(*by, asker, mark(F.col("needle")).alias("term"), "weight"))
     return terms.join(F.broadcast(both), [*by, "term"]).groupBy(*by, asker, holder).agg(F.sum("weight").alias("points"))
 

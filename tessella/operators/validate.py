@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.text import has_cjk, heading_key, headings, strip, strip_frontmatter
+from tessella.session import spread
 
 # Fixed values.
 TRUNK, STANDALONE = "主干", "独立成页"
@@ -88,12 +89,13 @@ def claim_plan(claims: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def totality(left: DataFrame, right: DataFrame, key: str, only_left: str, only_right: str, order: int = 0) -> DataFrame:
-    """Keys on one side only, by one full outer join."""
-    a = left.select("operation_id", key).distinct().withColumn("l", F.lit(1))
-    b = right.select("operation_id", key).distinct().withColumn("r", F.lit(1))
-    rows = a.join(b, ["operation_id", key], "full_outer").where("l is null or r is null")
-    rule = F.when(F.col("r").isNull(), only_left).otherwise(only_right)
-    return rows.select("operation_id", rule.alias("rule"), F.col(key).cast("string").alias("key"), F.lit(order).alias("rule_order"))
+    """Keys on one side only, by one count of both sides; a null is on no side but its own."""
+    sides = [rows.select("operation_id", key, F.lit(i == 0).alias("l"), F.lit(i == 1).alias("r")) for i, rows in enumerate((left, right))]
+    rows = spread(sides[0].union(sides[1]), "operation_id", key).groupBy("operation_id", key).agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    alone = F.col("operation_id").isNull() | F.col(key).isNull()
+    rules = F.array(F.when(F.col("l") & (alone | ~F.col("r")), only_left), F.when(F.col("r") & (alone | ~F.col("l")), only_right))
+    found = rows.select("operation_id", key, F.explode(F.array_compact(rules)).alias("rule"))
+    return found.select("operation_id", "rule", F.col(key).cast("string").alias("key"), F.lit(order).alias("rule_order"))
 
 
 def merge_plan(decisions: DataFrame, candidates: DataFrame, hits: DataFrame, page_types: DataFrame) -> DataFrame:
@@ -122,7 +124,10 @@ def merge_plan(decisions: DataFrame, candidates: DataFrame, hits: DataFrame, pag
 
 def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """``side``, and the columns: rows one side has more often than the other, each as often as it is in excess."""
-    return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+    both = a.select("*", F.lit(1).alias("_n")).union(b.select("*", F.lit(-1).alias("_n")))
+    rows = spread(both, *a.columns).groupBy(*a.columns).agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    side = F.when(F.col("_n") > 0, "left").otherwise("right")
+    return rows.select(*a.columns, F.explode(F.array_repeat(side, F.abs("_n").cast("int"))).alias("side"))
 
 
 def composition(items: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -131,11 +136,12 @@ def composition(items: DataFrame, decisions: DataFrame) -> DataFrame:
     planned = items.select("operation_id", F.explode("merge_decision_ids").alias("decision_id"))
     gap = multiset_difference(planned, writable.select("operation_id", "decision_id"))
     related = items.select("operation_id", "target_path", F.explode("related_paths").alias("related"))
-    targets = items.select("operation_id", F.col("target_path").alias("related")).distinct()
+    targets = items.select("operation_id", F.col("target_path").alias("related"))
+    keys = ["operation_id", "related"]
     return together(
         totality(items, writable, "target_path", "unknown_target", "target_without_item", 1),
         gap.select("operation_id", F.concat(F.lit("decision_only_"), F.col("side")).alias("rule"), F.col("decision_id").alias("key"), F.lit(2).alias("rule_order")),
-        violations(related.join(targets, ["operation_id", "related"], "left_anti"), "related_out_of_batch", "related", 3),
+        violations(spread(related.select(*keys), *keys).join(spread(targets, *keys), keys, "left_anti"), "related_out_of_batch", "related", 3),
         violations(related.where("related = target_path"), "related_to_itself", "related", 4),
     )
 
@@ -206,7 +212,9 @@ def preimage_coverage(requirements: DataFrame, reports: DataFrame, pages: DataFr
     """
     keys = ["operation_id", "target_path"]
     name = lambda df: df.select("operation_id", F.concat_ws("#", "target_path", "requirement_id").alias("requirement"))
-    anchored = reports.join(pages.select(*keys, "markdown"), keys).where(~F.contains(heading_key(F.col("markdown")), heading_key(F.col("final_anchor"))))
+    # a page's key is worked out once, and only it goes to the page's reports
+    texts = pages.select(*keys, heading_key(F.col("markdown")).alias("_text"))
+    anchored = spread(reports, *keys).join(spread(texts, *keys), keys).where(~F.contains("_text", heading_key(F.col("final_anchor"))))
     return together(
         totality(name(requirements), name(reports), "requirement", "unreported", "unknown_requirement", 1),
         violations(reports.where(F.col("final_anchor").isin(GENERIC_ANCHORS)), "generic_anchor", "requirement_id", 2),

@@ -106,9 +106,10 @@ def preimage_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = rows.select("operation_id", "target_path", F.lit("Title").alias("title"), F.when(_n() % 3 == 0, "").otherwise("short").alias("summary"), body.alias("markdown"))
     wanted = validate.preimage_requirements(old)
     n = F.substring("target_path", 2, 20).cast("long")
-    made_up = wanted.where((n % 7 == 0) & (F.col("requirement_id") != "OLD-BODY")).withColumn("requirement_id", F.concat("requirement_id", F.lit("9")))
+    made_up = F.when((n % 7 == 0) & (F.col("requirement_id") != "OLD-BODY"), F.concat("requirement_id", F.lit("9")))
+    told = F.explode(F.array_compact(F.array(F.when(n % 6 != 0, F.col("requirement_id")), made_up)))
     anchor = F.when(n % 8 == 0, "全文").when(n % 5 == 0, "Nowhere").otherwise("Own")
-    reports = wanted.where(n % 6 != 0).unionByName(made_up).select("operation_id", "target_path", "requirement_id", anchor.alias("final_anchor"))
+    reports = wanted.select("operation_id", "target_path", told.alias("requirement_id"), anchor.alias("final_anchor"))
     new = rows.select("operation_id", "target_path", F.concat(F.lit("## Own\n\n全文 "), "o_orderpriority").alias("markdown"))
     return validate.preimage_coverage(wanted, reports, new).groupBy("operation_id", "rule").agg(F.count("*").alias("n"))
 

@@ -97,3 +97,25 @@ def test_update_plan_joins_its_chain_once(spark):
     out = plans.update_plan(items, pages, units, claims, held)
     assert sorted(map(tuple, out.collect())) == [(1, "a", ["u1", "x", "y"], ["c1", "c2"], False, 0, 0), (1, "b", [], [], True, 1, 1), (2, "a", [], [], False, 0, 0)]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 5
+
+
+def test_both_sides_are_counted_at_once(spark):
+    """Differences of keys by one aggregate over both sides, without sorts; nulls and repeats as before."""
+    a = spark.createDataFrame([("o", "x"), ("o", "x"), ("o", "y"), ("o", None), (None, "z")], "operation_id string, k string")
+    b = spark.createDataFrame([("o", "x"), ("o", "w"), ("o", "w"), ("o", None), (None, "z")], "operation_id string, k string")
+    total = validate.totality(a, b, "k", "left", "right")
+    assert sorted((r.operation_id or "", r.rule, r.key or "") for r in total.collect()) == [("", "left", "z"), ("", "right", "z"), ("o", "left", ""), ("o", "left", "y"), ("o", "right", ""), ("o", "right", "w")]
+    gap = validate.multiset_difference(a, b)
+    assert sorted((r.k, r.side) for r in gap.collect()) == [("w", "right"), ("w", "right"), ("x", "left"), ("y", "left")]
+    for out in (total, gap):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and plan.count("RepartitionByExpression") == 1
+
+
+@pytest.mark.parametrize("name", ["preimage_rules", "composition_rules"])
+def test_joins_of_rules_keep_their_tasks(spark, name):
+    """Joins read a number of partitions that was given, which isn't lowered to a few large tasks."""
+    from tessella.plans import registry
+
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") >= 3
