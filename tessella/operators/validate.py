@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.text import has_cjk, heading_key, headings, strip, strip_frontmatter
+from tessella.functions.text import has_cjk, heading_key, headings, let, strip, strip_frontmatter
 from tessella.session import spread
 
 # Fixed values.
@@ -174,12 +174,14 @@ def is_technical(c: Column) -> Column:
         ("`[^`]*`", " CODE "), (r"https?://\S+", " URL "), (r"\[[^\]]*\]\([^)]*\)", " LINK "), (r"\[\[[^\]]*\]\]", " LINK "),
         (rf"(?i)\b(?:{COMMANDS})\s+[\w@./:+#=-]+(?:\s+[\w@./:+#=-]+)*", " CMD "),
     ]
-    bare = F.coalesce(c, F.lit(""))
+    whole = F.coalesce(c, F.lit(""))
+    bare = whole
     for pattern, name in marked:
         bare = F.regexp_replace(bare, pattern, name)
     named = r"[_@./:+#-]|[0-9]|^[A-Z]{2,}$|^[A-Z].{2,}|[a-z][A-Z]"
-    words = F.regexp_extract_all(bare, F.lit(r"[A-Za-z][A-Za-z0-9_@./:+#-]*"), 0)
-    return (F.size(words) > 0) & F.forall(words, lambda w: F.lower(w).isin(TECHNICAL + STAND_INS) | w.rlike(named))
+    # each of the marks has one of these characters; most words have none
+    words = F.regexp_extract_all(F.when(whole.rlike(r"[`\[/\s]"), bare).otherwise(whole), F.lit(r"[A-Za-z][A-Za-z0-9_@./:+#-]*"), 0)
+    return let(words, lambda found: (F.size(found) > 0) & F.forall(found, lambda w: F.lower(w).isin(TECHNICAL + STAND_INS) | w.rlike(named)))
 
 
 def language_gate(rows: DataFrame, fields: list[str], key: str, script: str = r"[㐀-鿿]", technical: list[str] | None = None) -> DataFrame:
