@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.text import has_section, let, name_key, strip, strip_frontmatter, without_sections
+from tessella.session import spread
 
 # Fixed values.
 EXCLUDED_ROOTS = ["raw", "sources", "logs"]
@@ -19,7 +20,7 @@ WIKILINK = r"\[\[([^\]]+)\]\]"
 
 def clean_target(c: Column) -> Column:
     """Without quoting characters, fragment, query and leading ``./`` or ``/``; back slashes turned."""
-    bare = F.regexp_replace(F.regexp_replace(strip(c), "^`+|`+$", ""), "^[<>]+|[<>]+$", "")
+    bare = F.trim(F.trim(strip(c), F.lit("`")), F.lit("<>"))
     return F.regexp_replace(F.regexp_replace(F.replace(bare, F.lit("\\"), F.lit("/")), r"[#?].*$", ""), r"^(?:\./)*/*", "")
 
 
@@ -105,15 +106,21 @@ def link_keys(pages: DataFrame) -> DataFrame:
     return keys.groupBy("key").agg(F.max_by("path", F.struct("pos", "which")).alias("key_path")).where("key <> ''")
 
 
+def keyed(targets: DataFrame) -> DataFrame:
+    """``targets`` (column ``target``) with the path and the key that pages are found by."""
+    return targets.select("*", normalize_path(F.col("target")).alias("_path"), name_key(strip(F.col("target"))).alias("_key"))
+
+
 def resolve(targets: DataFrame, pages: DataFrame) -> DataFrame:
-    """``targets`` (column ``target``) with ``resolved``: the page of that path, else that of that title or name, else null.
+    """Keyed targets with ``resolved``: the page of that path, else that of that title or name, else null.
 
-    pages: ``pos``, ``path``, ``title``. Two equi-joins, one row a page each.
+    pages: ``pos``, ``path``, ``title``. Two equi-joins, one row a page each; pages are what a task holds, so a target that many pages name costs no memory.
     """
-    paths = pages.select(F.col("path").alias("known_path")).distinct()
-    rows = targets.withColumn("_path", normalize_path(F.col("target"))).withColumn("_key", name_key(strip(F.col("target"))))
-    rows = rows.join(paths, F.col("_path") == F.col("known_path"), "left").join(link_keys(pages), F.col("_key") == F.col("key"), "left")
-    return rows.withColumn("resolved", F.coalesce("known_path", "key_path")).drop("_path", "_key", "known_path", "key", "key_path")
+    paths = spread(pages.select(F.col("path").alias("known_path")), "known_path").distinct().hint("shuffle_hash")
+    keys = spread(link_keys(pages), "key").hint("shuffle_hash")
+    rows = spread(targets, "_path").join(paths, F.col("_path") == F.col("known_path"), "left").drop("_path")
+    rows = spread(rows, "_key").join(keys, F.col("_key") == F.col("key"), "left")
+    return rows.withColumn("resolved", F.coalesce("known_path", "key_path")).drop("_key", "known_path", "key", "key_path")
 
 
 def canonical_links(documents: DataFrame, pages: DataFrame) -> DataFrame:
@@ -126,7 +133,7 @@ def canonical_links(documents: DataFrame, pages: DataFrame) -> DataFrame:
     halves = links.select("id", "pos", F.split("inner", r"\|", 2).alias("h")).select(
         "id", "pos", F.col("h")[0].alias("target"), F.get("h", F.lit(1)).alias("alias")
     )
-    found = resolve(halves, pages)
+    found = resolve(keyed(halves), pages)
     text = F.when(F.col("resolved").isNull(), plain_text(F.col("target"), F.coalesce("alias", F.lit("")))).otherwise(
         F.concat(F.lit("[["), F.regexp_replace("resolved", r"\.md$", ""), F.coalesce(F.concat(F.lit("|"), strip(F.col("alias"))), F.lit("")), F.lit("]]"))
     )
@@ -155,11 +162,10 @@ def link_issues(pages: DataFrame, known: DataFrame) -> DataFrame:
             )
         ).alias("code"),
     )
-    each = resolve(rows.select(F.col("path").alias("page"), F.col("title").alias("page_title"), F.explode("targets").alias("target")), known)
-    key = name_key(strip(F.col("target")))
-    own = (normalize_path(F.col("target")) == normalize_path(F.col("page"))) | key.isin(name_key(F.col("page_title")), name_key(stem(F.col("page"))))
-    to_self = each.where(F.coalesce(own, F.lit(False))).select(F.col("page").alias("path"), F.lit("self_wikilink").alias("code"))
-    lost = each.where(F.col("resolved").isNull()).select(
-        F.col("page").alias("path"), F.when(normalize_path(F.col("target")).isNull(), "body_wikilink_invalid_target").otherwise("body_wikilink_unknown_target").alias("code")
-    )
-    return whole.unionByName(to_self).unionByName(lost)
+    mine = rows.select(F.col("path").alias("page"), normalize_path(F.col("path")).alias("page_path"), name_key(F.col("title")).alias("title_key"), name_key(stem(F.col("path"))).alias("stem_key"), "targets")
+    each = keyed(mine.select("page", "page_path", "title_key", "stem_key", F.explode("targets").alias("target")))
+    own = (F.col("_path") == F.col("page_path")) | (F.col("_key") == F.col("title_key")) | (F.col("_key") == F.col("stem_key"))
+    gone = F.when(F.col("_path").isNull(), "body_wikilink_invalid_target").otherwise("body_wikilink_unknown_target")
+    found = resolve(each.select("page", "_path", "_key", own.alias("own"), gone.alias("gone")), known)
+    codes = F.array(F.when(F.col("own"), "self_wikilink"), F.when(F.col("resolved").isNull(), F.col("gone")))
+    return whole.unionByName(found.select(F.col("page").alias("path"), F.explode(F.array_compact(codes)).alias("code")))

@@ -192,3 +192,16 @@ def test_section_edits_work_a_page_out_once(spark):
 
     plan = texts.section_edits(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("locate(") == 4 and "array_append" not in plan and "arrayappend" not in plan
+
+
+def test_targets_named_by_many_pages_are_not_sorted(spark):
+    """Pages are the side that a task holds; a target's path is worked out once."""
+    from tessella.plans import contracts
+
+    for name in ("link_rules", "link_resolution"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            plan = contracts.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert "SortMergeJoin" not in plan and plan.count("ShuffledHashJoin") == 2 and plan.count("REPARTITION_BY_NUM") >= 4
