@@ -54,18 +54,21 @@ def action_counts(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy("operation_id").agg(*(F.count_if(F.col("action") == a).alias(a) for a in ("create", "update", "noop")))
 
 
-def merged_items(items: DataFrame, scalars: list[str], lists: list[str]) -> DataFrame:
+def merged_items(items: DataFrame, scalars: list[str], lists: list[str], ties: tuple[str, ...] = ()) -> DataFrame:
     """Items of one target (``operation_id``, ``pos``, ``target_path``) become one: the first one's scalars, ordered distinct unions of the lists.
 
-    ``final_page_id`` numbers the targets in the order in which they first appear.
+    ``final_page_id`` numbers the targets in the order in which they first appear. ties: columns that say which of two items at the same position is the
+    first. Items without a position come last and give no scalars; where the first one has no value, the next one's is taken.
     """
-    unions = [F.array_sort(F.collect_list(F.struct("pos", F.col(c).alias("v")))).alias(c) for c in lists]
-    rows = items.groupBy("operation_id", "target_path").agg(
-        F.min("pos").alias("first_pos"), F.count("*").alias("n_items"), F.min_by(F.struct(*scalars), "pos").alias("s"), *unions
-    )
-    rank = F.dense_rank().over(Window.partitionBy("operation_id").orderBy("first_pos")) - 1
-    flat = [F.array_distinct(F.flatten(F.transform(c, lambda x: x["v"]))).alias(c) for c in lists]
-    return rows.select("operation_id", numbered("FP", rank).alias("final_page_id"), "target_path", "n_items", "s.*", *flat)
+    item = F.struct(F.col("pos").isNull().alias("late"), "pos", *ties, *scalars, *lists)
+    rows = items.groupBy("operation_id", "target_path").agg(F.min("pos").alias("first_pos"), F.array_sort(F.collect_list(item)).alias("m"))
+    rank = F.dense_rank().over(Window.partitionBy("operation_id").orderBy(F.col("first_pos").asc_nulls_last())) - 1
+
+    def first(c: str) -> Column:
+        return F.get(F.filter("m", lambda x: ~x["late"] & x[c].isNotNull()), F.lit(0))[c].alias(c)
+
+    flat = [F.array_distinct(F.flatten(F.col("m")[c])).alias(c) for c in lists]
+    return rows.select("operation_id", numbered("FP", rank).alias("final_page_id"), "target_path", F.size("m").cast("long").alias("n_items"), *map(first, scalars), *flat)
 
 
 def update_plan(items: DataFrame, pages: DataFrame, units: DataFrame, claims: DataFrame, state: DataFrame) -> DataFrame:

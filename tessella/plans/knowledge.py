@@ -69,12 +69,14 @@ def claim_plan_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def composition_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").select(
-        (F.col("l_orderkey") % 100).alias("operation_id"), F.col("l_partkey").alias("target_path"), (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")) * 100 + F.col("l_quantity").cast("long")).alias("pos"),
-        F.col("l_shipdate").alias("shipped"), F.array("l_returnflag").alias("flags"), F.array(F.col("l_suppkey").cast("string")).alias("suppliers"),
+    """Lines as items, by order, line, part and quantity; of two lines that agree in all of these the one read first is the first, as where the SQL is run in order."""
+    items = table(spark, sf_dir, "lineitem").where("l_orderkey is not null and l_partkey is not null").select(
+        (F.col("l_orderkey") % 100).alias("operation_id"), F.col("l_partkey").alias("target_path"), (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")) * 100 + F.rint("l_quantity").cast("long")).alias("pos"),
+        F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"), F.col("l_shipdate").alias("shipped"), F.array("l_returnflag").alias("flags"), F.array(F.col("l_suppkey").cast("string")).alias("suppliers"),
     )
-    merged = plans.merged_items(items, ["shipped"], ["flags", "suppliers"])
-    return merged.select("operation_id", "final_page_id", "target_path", "n_items", "shipped", F.array_join("flags", ",").alias("flags"), F.array_join("suppliers", ",").alias("suppliers"))
+    merged = plans.merged_items(items, ["shipped"], ["flags", "suppliers"], ("file", "row"))
+    joined = [F.when(F.size(F.array_compact(c)) > 0, F.array_join(c, ",")).alias(c) for c in ("flags", "suppliers")]  # null, not empty, where no line has a value
+    return merged.select("operation_id", "final_page_id", "target_path", "n_items", "shipped", *joined)
 
 
 def update_plan_chain(spark: SparkSession, sf_dir: str) -> DataFrame:

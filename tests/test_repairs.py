@@ -119,3 +119,25 @@ def test_joins_of_rules_keep_their_tasks(spark, name):
 
     plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_NUM") >= 3
+
+
+def test_composition_merge_equals_its_sql_on_ties_and_nulls(spark, tmp_path):
+    """Lines of one order, line, part and quantity go by the order in which they are read, and what is missing is left out as in SQL."""
+    import duckdb
+
+    from tessella.plans import knowledge
+
+    con = duckdb.connect()
+    con.execute("set threads = 1")
+    con.execute("create table lineitem (l_orderkey bigint, l_linenumber int, l_partkey bigint, l_quantity double, l_returnflag varchar, l_suppkey bigint, l_shipdate timestamp)")
+    lines = [
+        (1, 1, 7, 5.0, "R", 9, 3), (1, 1, 7, 5.0, "A", 2, 2), (1, 1, 7, 5.0, "N", 30, 1), (101, 2, 8, 5.6, "R", 1, 4), (101, 2, 8, 5.4, "A", 1, 5), (201, 1, 7, 1.0, "A", 9, 6),
+        (2, 1, 7, 1.0, None, None, None), (2, 2, 7, 1.0, None, 4, 7), (3, 1, 7, 1.0, None, None, None), (4, None, 7, 1.0, "A", 1, 8), (4, 1, 8, 1.0, "R", 2, None), (4, 3, 7, 1.0, "N", 3, 9),
+        (5, None, 7, 1.0, "", 1, 8), (5, 1, 9, 1.0, "R", 1, 1), (None, 1, 7, 1.0, "A", 1, 8), (6, 1, None, 1.0, "A", 1, 8), (6, 1, 7, 1.0, "A", 1, 8),
+    ]
+    con.executemany("insert into lineitem values (?, ?, ?, ?, ?, ?, timestamp '1995-01-01' + to_days(?::int))", lines)
+    con.execute(f"copy lineitem to '{tmp_path}/lineitem.parquet'")
+    key = lambda r: (r[0], r[2])
+    want = sorted(con.execute(knowledge.ORACLES["composition_merge"]).fetchall(), key=key)
+    assert sorted(map(tuple, knowledge.composition_merge(spark, str(tmp_path)).collect()), key=key) == want
+    assert want[0][4].day == 4 and want[0][5:] == ("R,A,N", "9,2,30")
