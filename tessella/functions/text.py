@@ -6,6 +6,7 @@ what the data model's strings are stripped by, and several times faster than the
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -169,15 +170,26 @@ def has_section(c: Column, headings: list[str]) -> Column:
     return F.exists(lines(c), lambda x: F.coalesce(_heading(x).isin([h.lower() for h in headings]), F.lit(False)))
 
 
-def with_section(c: Column, heading: str, body: Column) -> Column:
-    """The section with this heading replaced, or appended where there is none."""
+def _section(headings: list[str]) -> str:
+    """Pattern of the second-level sections with these headings, up to the next one or the end."""
+    names = "|".join(re.escape(h) for h in headings)
+    return rf"(?ms)^[ \t]*##[ ]+(?:{names})[ \t]*$.*?(?=^[ \t]*##[ ]|\z)"
+
+
+def cut_sections(c: Column, headings: list[str]) -> Column:
+    """The text without these sections and otherwise as it is, its line ends too, which without_sections doesn't keep."""
+    return F.regexp_replace(c, F.lit(_section(headings)), F.lit(""))
+
+
+def with_section(c: Column, heading: str, body: Column, blanks: str = SPACES) -> Column:
+    """The section with this heading replaced, or appended where there is none; blanks at the text's end go."""
     block = F.concat(F.lit(f"## {heading}\n\n"), body)
-    pattern = rf"(?ms)^[ \t]*##[ ]+{heading}[ \t]*$.*?(?=^[ \t]*##[ ]|\z)"
+    end = lambda x: F.rtrim(x, F.lit(blanks))
 
     def put(x: Column) -> Column:
-        replaced = F.regexp_replace(x, F.lit(pattern), F.concat(F.regexp_replace(block, r"([\\$])", r"\\$1"), F.lit("\n\n")))
-        appended = F.concat(strip_end(x), F.lit("\n\n"), block, F.lit("\n"))
-        return F.when(has_section(x, [heading]), F.concat(strip_end(replaced), F.lit("\n"))).otherwise(appended)
+        replaced = F.regexp_replace(x, F.lit(_section([heading])), F.concat(F.regexp_replace(block, r"([\\$])", r"\\$1"), F.lit("\n\n")))
+        appended = F.concat(end(x), F.lit("\n\n"), block, F.lit("\n"))
+        return F.when(has_section(x, [heading]), F.concat(end(replaced), F.lit("\n"))).otherwise(appended)
 
     return let(c, put)
 

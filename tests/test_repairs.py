@@ -141,3 +141,19 @@ def test_composition_merge_equals_its_sql_on_ties_and_nulls(spark, tmp_path):
     want = sorted(con.execute(knowledge.ORACLES["composition_merge"]).fetchall(), key=key)
     assert sorted(map(tuple, knowledge.composition_merge(spark, str(tmp_path)).collect()), key=key) == want
     assert want[0][4].day == 4 and want[0][5:] == ("R,A,N", "9,2,30")
+
+
+def test_section_edits_equal_their_sql_on_odd_documents(spark, tmp_path):
+    """What isn't edited stays as it is, its line ends and blanks too; a missing text, language or source hides no more than hangs on it."""
+    import duckdb
+
+    from tessella.plans import texts
+
+    pieces = ["a\n", "a\n\n", "a\r\nb", "a\r", "a\x0bb\x0c", "a\x1c", "a\x85b\x85", "a b ", "a\xa0", "a　", "a \t", "\n", "", " ", "a\n#", "## Related\n\nx", "---\n---", "$1 \\1", None]
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar, lang varchar, source varchar)")
+    con.executemany("insert into documents values (?, ?, ?, ?)", [(3 * i + k, t, lang, source) for i, t in enumerate(pieces) for k, (lang, source) in enumerate([("en", "s"), (None, "s"), ("de", None), ("fr", "a\n---\nb")][: 3 + i % 2])])
+    con.execute(f"copy documents to '{tmp_path}/documents.parquet'")
+    want = con.execute(texts.ORACLES["section_edits"]).fetchall()
+    order = lambda rows: sorted(map(tuple, rows), key=repr)
+    assert order(texts.section_edits(spark, str(tmp_path)).collect()) == order(want)
